@@ -5,22 +5,62 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillgraph.llm import quality
+from quillgraph.llm import decontam, quality, simhash
 from quillgraph.llm._spark import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.annotate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=("doc_id",))
+    return found.select(
+        "row.doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        F.expr(decontam.CONTAMINATED).alias("contaminated"),
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_simhash": op2_simhash,
+        "op4_decontamination": op4_decontamination,
         "op9_quality_rules": op9_quality_rules,
     }
 
 
+OP4 = r"""
+with d as (
+  select row_number() over () r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+b as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+bw as (
+  select distinct item_id, least(13, len(w)) l, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') k
+  from (select item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) i from b where len(w) > 0)),
+ls as (select distinct l from bw),
+dw as (
+  select r, l, i, array_to_string(w[i:i + l - 1], ' ') k
+  from (select r, w, l, unnest(range(1, len(w) - l + 2)) i from d, ls where len(w) >= l)),
+m as (select r, dw.l, i, item_id from dw join bw on dw.k = bw.k and dw.l = bw.l),
+h as (select r, count(distinct p) n from (select r, unnest(range(i, i + l)) p from m) group by 1),
+t as (select r, count(*) n, string_agg(item_id, ',' order by item_id) s from (select distinct r, item_id::varchar item_id from m) group by 1)
+select doc_id, len(w)::bigint n_words, coalesce(h.n, 0)::bigint n_hit, coalesce(t.n, 0)::bigint n_items, sha256(coalesce(t.s, '')) items_sha256,
+  coalesce(h.n, 0) > 0 and 20 * coalesce(h.n, 0) >= len(w) contaminated
+from d left join h using (r) left join t using (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_decontamination": OP4}
