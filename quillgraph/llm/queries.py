@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import decontam, quality, simhash
+from quillgraph.llm import decontam, kdshard, mixing, quality, simhash
 from quillgraph.llm._spark import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,24 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = kdshard.assign(table(spark, sf_dir, "documents"), shards=40)
+    return placed.select(
+        F.col("id").alias("doc_id"),
+        "size",
+        F.col("crc").alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.weigh(table(spark, sf_dir, "documents"), alpha=0.7)
+    return drawn.select(F.col("id").alias("doc_id"), "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"), "kept")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"))
 
@@ -37,6 +55,8 @@ def queries() -> dict[str, Query]:
     return {
         "op2_simhash": op2_simhash,
         "op4_decontamination": op4_decontamination,
+        "op5_sharding": op5_sharding,
+        "op7_mixing": op7_mixing,
         "op9_quality_rules": op9_quality_rules,
     }
 
@@ -62,5 +82,27 @@ from d left join h using (r) left join t using (r)
 """
 
 
+def _op7(alpha: float = 0.7, iterations: int = mixing.ITERATIONS) -> str:
+    axes = mixing.AXES
+    sql = r"""with d as (
+  select doc_id, coalesce(text, '') x, coalesce(source, '') source, coalesce(lang, '') lang, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))::bigint tokens from documents),
+r as (
+  select doc_id, source, lang, tokens, case when contains(x, 'icense') then 'licensed' when contains(x, ' | ') then 'tabular' when tokens < 100 then 'short' when tokens < 1000 then 'medium' else 'long' end topic from d),
+c as (select source, lang, topic, sum(tokens)::double tokens from r group by all having sum(tokens) > 0),
+"""
+    for a in axes:
+        sql += f"m_{a} as (select {a}, pow(sum(tokens), {alpha}) p from c group by all),\n"
+    targets = ", ".join(f"(select p from m_{a} m where m.{a} = c.{a}) / (select sum(p) from m_{a}) * (select sum(tokens) from c) t_{a}" for a in axes)
+    sql += f"w0 as materialized (select *, tokens weight, {targets} from c)"
+    n = 0
+    for _ in range(iterations):
+        for a in axes:
+            sql += f",\nw{n + 1} as materialized (select * replace (weight * t_{a} / sum(weight) over (partition by {a}) as weight) from w{n})"
+            n += 1
+    u = "('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 13))::bigint::double / 4503599627370496"
+    p = f"coalesce(w.weight / w.tokens / (select max(weight / tokens) from w{n}), 1.0)"
+    return sql + f"\nselect doc_id, source, lang, topic, r.tokens, round({p}, 6) probability, {u} < {p} kept from r left join w{n} w using (source, lang, topic)"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4}
+    return {"op4_decontamination": OP4, "op7_mixing": _op7()}
