@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import decontam, kdshard, mixing, quality, simhash
+from quillgraph.llm import chat, decontam, htmlpages, kdshard, mixing, quality, simhash
 from quillgraph.llm._spark import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,17 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select(F.col("id").alias("doc_id"), "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"), "kept")
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.format_conversations(rows.unionByName(extra)))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlpages.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"))
 
@@ -57,7 +68,9 @@ def queries() -> dict[str, Query]:
         "op4_decontamination": op4_decontamination,
         "op5_sharding": op5_sharding,
         "op7_mixing": op7_mixing,
+        "op8_chat_format": op8_chat_format,
         "op9_quality_rules": op9_quality_rules,
+        "op10_html_text": op10_html_text,
     }
 
 
