@@ -7,16 +7,51 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import chat, decontam, htmlpages, kdshard, mixing, quality, simhash
+from quillgraph.llm import chat, decontam, htmlpages, kdshard, license, mixing, pii, quality, simhash, urlfilter
 from quillgraph.llm._spark import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), *[f"n_{k}" for k in pii.KINDS], F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def dated_list(pages: DataFrame) -> DataFrame:
+    """A dated list that grows with the pages: their hosts' registered parts and every third page.
+
+    The tables hold no list, so entries are derived: an MD5 of the value sets when it was
+    added in 2024, its category, and whether it was removed and added again."""
+    urls = pages.select(urlfilter.host_of(F.col("url")).alias("h"), urlfilter.path_of(F.col("url")).alias("p"), F.pmod("page_id", F.lit(3)).alias("m"))
+    hosts = urls.select(F.when(F.size(F.split("h", r"\.")) > 3, F.regexp_replace("h", r"^[^.]+\.", "")).otherwise(F.col("h")).alias("value"))
+    values = hosts.unionByName(urls.filter("m = 0 and p <> ''").select(F.concat("h", "p").alias("value"))).filter("value <> ''").distinct()
+    number = lambda a: F.conv(F.substring(F.md5(F.col("value").cast("binary")), a, 3), 16, 10).cast("int")
+    day = lambda n: F.timestamp_seconds(F.lit(1704067200) + n * 86400)
+    kind = F.when(number(1) % 3 == 0, "spam").when(number(1) % 3 == 1, "adult").otherwise("malware")
+    added, gone = number(4) % 200, number(4) % 200 + 1 + number(7) % 120
+    return values.select("value", kind.alias("category"), F.explode(F.concat(
+        F.array(F.struct(day(added).alias("at"), F.lit("add").alias("action"))),
+        F.when(number(10) % 2 == 0, F.array(F.struct(day(gone).alias("at"), F.lit("remove").alias("action")))).otherwise(F.array().cast("array<struct<at:timestamp,action:string>>")),
+        F.when(number(10) % 4 == 0, F.array(F.struct(day(gone + 40).alias("at"), F.lit("add").alias("action")))).otherwise(F.array().cast("array<struct<at:timestamp,action:string>>")),
+    )).alias("e")).select("value", "category", "e.at", "e.action")
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    fetched = F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.col("page_id") * 7919, F.lit(366 * 24)) * 3600)
+    found = urlfilter.judge(pages.select("page_id", "url", fetched.alias("fetched")), dated_list(pages))
+    return found.select(F.col("id").alias("page_id"), "url", F.date_format("fetched", "yyyy-MM-dd HH:mm").alias("fetched"), "listed", "value", "category", F.date_format("since", "yyyy-MM-dd").alias("since"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.annotate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=("doc_id",))
     return found.select(
@@ -51,7 +86,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return chat.digests(chat.format_conversations(rows.unionByName(extra)))
+    return chat.digests(chat.format_conversations(rows.unionByName(extra))).drop("n_tokens", "n_loss_tokens")
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,9 +99,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_pii": op1_pii,
         "op2_simhash": op2_simhash,
+        "op3_url_filter": op3_url_filter,
         "op4_decontamination": op4_decontamination,
         "op5_sharding": op5_sharding,
+        "op6_license_scan": op6_license_scan,
         "op7_mixing": op7_mixing,
         "op8_chat_format": op8_chat_format,
         "op9_quality_rules": op9_quality_rules,
@@ -117,5 +155,72 @@ c as (select source, lang, topic, sum(tokens)::double tokens from r group by all
     return sql + f"\nselect doc_id, source, lang, topic, r.tokens, round({p}, 6) probability, {u} < {p} kept from r left join w{n} w using (source, lang, topic)"
 
 
+OP3 = r"""
+with u as (select page_id, url,
+  lower(regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*?)\.?(?::[0-9]*)?(?:[/?#]|$)', 1)) h,
+  regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*?)/?(?:[?#]|$)', 1) p,
+  to_timestamp(1704067200 + (((page_id * 7919) % 8784 + 8784) % 8784) * 3600)::timestamp fetched from pages),
+v as (
+  select distinct value from (
+    select case when len(string_split(h, '.')) > 3 then regexp_replace(h, '^[^.]+\.', '') else h end as value from u
+    union all select h || p from u where page_id % 3 = 0 and p <> '') where value <> ''),
+n as (select value, ('0x' || substr(md5(value), 1, 3))::int a, ('0x' || substr(md5(value), 4, 3))::int b, ('0x' || substr(md5(value), 7, 3))::int c, ('0x' || substr(md5(value), 10, 3))::int d from v),
+e as (
+  select value, b % 200 as day, 'add' as action, d, a from n
+  union all select value, b % 200 + 1 + c % 120, 'remove', d, a from n where d % 2 = 0
+  union all select value, b % 200 + 1 + c % 120 + 40, 'add', d, a from n where d % 4 = 0),
+i as (
+  select value, case a % 3 when 0 then 'spam' when 1 then 'adult' else 'malware' end category, action,
+    timestamp '2024-01-01' + day * interval 1 day since, lead(timestamp '2024-01-01' + day * interval 1 day) over (partition by value order by day) until from e),
+m as (
+  select page_id, url, fetched, value, category, since,
+    row_number() over (partition by page_id order by length(value) desc nulls last, value desc) k
+  from u left join i on action = 'add' and fetched >= since and (until is null or fetched < until)
+    and (u.h = value or ends_with(u.h, '.' || value) or (u.p <> '' and u.h || u.p = value)))
+select page_id, url, strftime(fetched, '%Y-%m-%d %H:%M') fetched, value is not null listed, value, category, strftime(since, '%Y-%m-%d') since from m where k = 1
+"""
+
+
+_ESC = "replace(replace({}, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|')"
+OP8 = rf"""
+with c as (
+  select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations
+  union all select -7, 0, 'user', chr(92) || '### Assistant: </turn> ok' union all select -7, 1, 'assistant', chr(92) || '### Assistant: </turn> ok'),
+f as (
+  select *, '<|turn|>' || replace({_ESC.format("role")}, chr(10), chr(92) || chr(10)) || chr(10) || {_ESC.format("text")} || '<|end|>' || chr(10) formatted from c),
+g as (
+  select conv_id, count(*) n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) t,
+    coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '') l, sum(length(formatted))::bigint formatted_chars from f group by 1)
+select conv_id, n_turns, sha256(t) turns_sha256, length(l)::bigint loss_chars, sha256(l) loss_sha256, formatted_chars from g
+"""
+
+
+def _op6() -> str:
+    """Templates by name and number; lines and bigrams are unnested, then joined."""
+    rows = ", ".join(f"({k}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for k, (name, text) in enumerate(license.TEMPLATES))
+    return rf"""
+with t0 as (select * from (values {rows}) t(k, name, body)),
+t1 as (select k, name, list_filter(regexp_split_to_array(lower(body), '[^a-z0-9]+'), lambda w: w <> '') w from t0),
+t as (select k, name, unnest(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) g from t1),
+tn as (select k, count(*) n from t group by 1),
+l0 as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line from documents),
+l1 as (select row_number() over () r, doc_id, list_filter(regexp_split_to_array(lower(line), '[^a-z0-9]+'), lambda w: w <> '') w from l0),
+l2 as (select r, doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) g from l1 where len(w) > 1),
+l as (select r, doc_id, len(g) n, unnest(g) g from l2),
+m as (
+  select r, doc_id, name, 2.0::double * count(*) / (any_value(l.n) + any_value(tn.n)) dice
+  from l join t using (g) join tn on tn.k = t.k group by r, doc_id, t.k, name),
+b as (select doc_id, name, dice, r from m where dice >= {license.THRESHOLD})
+select doc_id, max_by(name, (dice, name)) license, round(max(dice), 6) dice, count(distinct r)::bigint n_lines
+from documents left join b using (doc_id) group by doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4, "op7_mixing": _op7()}
+    return {
+        "op3_url_filter": OP3,
+        "op4_decontamination": OP4,
+        "op6_license_scan": _op6(),
+        "op7_mixing": _op7(),
+        "op8_chat_format": OP8,
+    }
