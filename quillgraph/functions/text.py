@@ -1,0 +1,225 @@
+"""Column functions over texts, ids, dates and vectors (the P series)."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Mapping
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def title(body: Column, node_id: Column) -> Column:
+    """The first line that starts with "# ", without all its leading "# "; else the id."""
+    found = F.trim(F.regexp_extract(F.coalesce(body, F.lit("")), r"(?m)^(?:# )+(.*)$", 1))
+    return F.coalesce(F.nullif(found, F.lit("")), node_id)
+
+
+def content_hash(body: Column) -> Column:
+    """A hash of the body alone."""
+    return F.sha2(body, 256)
+
+
+SUFFIX = r"^(.+)-([0-9a-hjkmnp-tv-z]{6})$"
+
+
+def id_slug(node_id: Column) -> Column:
+    """The id without its six-character suffix; '' if it has none."""
+    return F.regexp_extract(node_id, SUFFIX, 1)
+
+
+def id_suffix(node_id: Column) -> Column:
+    """The suffix, in the base-32 alphabet without i, l, o and u."""
+    return F.regexp_extract(node_id, SUFFIX, 2)
+
+
+def strip_prefix(node_id: Column, prefixes: list[str]) -> Column:
+    """P5: without a leading "<type>-"; the longest type wins."""
+    one = "|".join(sorted(prefixes, key=lambda p: (-len(p), p)))
+    return F.regexp_replace(node_id, rf"^(?:{one})-(?=.)", "")
+
+
+def make_suffix(node_id: Column, attempt: Column) -> Column:
+    """Six base-32 characters that follow from the id and the attempt."""
+    alphabet = F.lit("0123456789abcdefghjkmnpqrstvwxyz")
+    h = F.xxhash64(node_id, attempt)
+    return F.concat(*[F.substring(alphabet, F.shiftrightunsigned(h, 5 * k).bitwiseAND(F.lit(31)).cast("int") + 1, F.lit(1)) for k in range(6)])
+
+
+def body_section(body: Column, name: str) -> Column:
+    """The trimmed lines after a heading that starts with "## <name>", up to the next "## "; null without one."""
+    start = {"on": F.lit(0), "out": F.array().cast("array<string>")}
+
+    def step(a: Column, line: Column) -> Column:
+        opens, heading = line.startswith(f"## {name}"), line.startswith("## ")
+        on = F.when(a["on"] == 2, 2).when((a["on"] == 1) & heading, 2).when((a["on"] == 0) & opens, 1).otherwise(a["on"])
+        keep = (a["on"] == 1) & ~heading
+        return F.struct(on.alias("on"), F.when(keep, F.concat(a["out"], F.array(line))).otherwise(a["out"]).alias("out"))
+
+    folded = F.aggregate(F.split(body, "\n", -1), F.struct(*[v.alias(k) for k, v in start.items()]), step)
+    return let(folded, lambda f: F.when(f["on"] > 0, F.trim(F.array_join(f["out"], "\n"))))
+
+
+def without_title(body: Column) -> Column:
+    """Without the first line if it is a "# " heading."""
+    return F.regexp_replace(body, r"\A# [^\n]*\n*", "")
+
+
+def first_paragraph(body: Column, limit: int = 200) -> Column:
+    """The first paragraph that is no heading, cut to 197 characters and "..." beyond ``limit``."""
+    paragraphs = F.filter(F.transform(F.split(body, r"\n\s*\n", -1), lambda p: F.trim(F.regexp_replace(p, r"(?m)^#.*$\n?", ""))), lambda p: p != "")
+    one = F.coalesce(F.get(paragraphs, F.lit(0)), F.lit(""))
+    return F.when(F.length(one) > limit, F.concat(F.left(one, F.lit(limit - 3)), F.lit("..."))).otherwise(one)
+
+
+def summary(body: Column, limit: int) -> Column:
+    """P10: the first line of text, cut at the last space within ``limit`` with "..."."""
+    one = first_line(body)
+    return F.when(F.length(one) <= limit, one).otherwise(F.concat(F.regexp_replace(F.left(one, F.lit(limit)), r"\s\S*$", ""), F.lit("...")))
+
+
+def first_line(body: Column) -> Column:
+    """The first non-empty line, without leading "# "."""
+    lines = F.filter(F.split(F.coalesce(body, F.lit("")), "\n", -1), lambda x: F.trim(x) != "")
+    return F.trim(F.regexp_replace(F.coalesce(F.get(lines, F.lit(0)), F.lit("")), r"^\s*#+\s*", ""))
+
+
+def slug(text: Column, limit: int = 50) -> Column:
+    """Lower-case ASCII letters and digits joined by single dashes, cut to ``limit`` characters at a dash."""
+    whole = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+    joined = F.replace(whole, F.lit(" "), F.lit("-"))
+    cut = F.left(joined, F.lit(limit + 1))
+    return F.when(F.length(joined) <= limit, joined).otherwise(F.when(cut.contains("-"), F.regexp_replace(cut, "-[^-]*$", "")).otherwise(F.left(joined, F.lit(limit))))
+
+
+def query_terms(query: Column) -> Column:
+    """White-space terms reduced to letters, digits, "-" and "_"; empty ones go."""
+    return F.array_remove(F.transform(F.split(query, r"\s+"), lambda t: F.regexp_replace(t, r"[^\p{L}\p{N}_-]", "")), "")
+
+
+def tokens(text: Column) -> Column:
+    """P14 without folding or stemming: lower-case runs of letters and digits."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", -1), "")
+
+
+def recency(ts: Column, now: Column) -> Column:
+    """Half, halved every 14 days; half for the future."""
+    age = (F.unix_timestamp(now) - F.unix_timestamp(ts)) / 86400.0
+    return F.when(ts.isNull(), 0.0).when(age <= 0, 0.5).otherwise(0.5 * F.pow(F.lit(2.0), -age / 14.0))
+
+
+#: What each kind adds to a score.
+KIND_BOOST = {"decision": 0.5, "dead_end": 0.5, "finding": 0.3, "outcome": 0.2, "assumption": -0.1}
+
+
+def kind_boost(kind: Column) -> Column:
+    """P18."""
+    return F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in KIND_BOOST.items()], F.lit(0.0))
+
+
+def dedup_key(text: Column) -> Column:
+    """Lower case, single spaces."""
+    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+
+
+def node_tokens(title_: Column, body: Column) -> Column:
+    """P20: bytes of title and body, by four."""
+    return F.floor((F.octet_length(title_) + F.octet_length(body)) / 4).cast("long")
+
+
+def summary_cost(text: Column) -> Column:
+    """P20: characters by four, and one."""
+    return (F.floor(F.length(text) / 4) + 1).cast("long")
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Accumulated in double; 0 for unequal lengths, empty or zero vectors."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when((F.size(a) != F.size(b)) | (F.size(a) == 0) | (norm == 0), 0.0).otherwise(dot(a, b) / norm)
+
+
+def entropy(text: Column) -> Column:
+    """Shannon entropy in bits a character."""
+
+    def of(chars: Column) -> Column:
+        n = F.size(chars).cast("double")
+        parts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / n)
+        return F.aggregate(parts, F.lit(0.0), lambda s, p: s - p * F.log2(p))
+
+    return F.when(F.length(text) == 0, 0.0).otherwise(let(F.split(text, ""), of))
+
+
+#: Shapes of secrets and personal data, by rule name.
+SECRET_RULES: Mapping[str, str] = {
+    "aws_access_key": r"AKIA[0-9A-Z]{16}",
+    "github_pat": r"gh[pousr]_[A-Za-z0-9]{36,}",
+    "jwt": r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
+    "private_key": r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----",
+    "database_url": r"(?:postgres|postgresql|mysql|mongodb|redis)://[^\s:@/]+:[^\s:@/]+@[^\s]+",
+    "home_path": r"/(?:home|Users)/[A-Za-z0-9._-]+",
+}
+#: Rules that users add for a corpus (U4).
+CORPUS_RULES: Mapping[str, str] = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "hex_token": r"\b[0-9a-f]{40}\b"}
+
+
+def redact(text: Column, rules: Mapping[str, str]) -> Column:
+    """P25: each match replaced by <REDACTED:rule>, rule after rule."""
+    out = text
+    for name, pattern in rules.items():
+        out = F.regexp_replace(out, pattern, f"<REDACTED:{name}>")
+    return out
+
+
+def clamp(text: Column, limit: int = 200, mark: str = " […cut]") -> Column:
+    """At most ``limit`` characters, the mark included."""
+    return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit - len(mark))), F.lit(mark))).otherwise(text)
+
+
+SESSION = r"^([0-9]{8})-([0-9a-f]{8})-([0-9]{6})$"
+
+
+def archive_path(session: Column) -> Column:
+    """archive/YYYY/MM/DD/<id> of a session id; null if it is none."""
+    d = F.regexp_extract(session, SESSION, 1)
+    return F.when(d != "", F.concat(F.lit("archive/"), F.substring(d, 1, 4), F.lit("/"), F.substring(d, 5, 2), F.lit("/"), F.substring(d, 7, 2), F.lit("/"), session))
+
+
+def relative_path(path: Column, root: str) -> Column:
+    """Forward slashes, without the root and a leading "./"."""
+    return F.regexp_replace(F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), f"^{root}/?", ""), r"^(?:\./)+", "")
+
+
+KINDS = ("plan", "decision", "finding", "dead_end", "outcome", "assumption", "question", "risk")
+
+
+def nearest_kind(kind: Column, most: int = 3) -> Column:
+    """The kind itself if known, else the nearest within ``most`` edits (the least by name on ties); null beyond."""
+    far = F.array_min(F.filter(F.array(*[F.struct(F.levenshtein(kind, F.lit(k)).alias("d"), F.lit(k).alias("k")) for k in KINDS]), lambda x: x["d"] <= most))
+    return F.when(kind.isin(*KINDS), kind).otherwise(far["k"])
+
+
+def age(seconds: Column) -> Column:
+    """Seconds, minutes, hours or days, whole."""
+    unit = lambda n, u: F.concat(F.floor(seconds / n).cast("string"), F.lit(u))
+    return F.when(seconds < 60, unit(1, "s")).when(seconds < 3600, unit(60, "m")).when(seconds < 86400, unit(3600, "h")).otherwise(unit(86400, "d"))
+
+
+def parse_size(text: Column) -> Column:
+    """Bytes of a number with an optional K, M or G; null otherwise."""
+    n, u = F.regexp_extract(text, r"^\s*([0-9]+)\s*([KkMmGg]?)[Bb]?\s*$", 1), F.upper(F.regexp_extract(text, r"^\s*([0-9]+)\s*([KkMmGg]?)[Bb]?\s*$", 2))
+    return F.when(n != "", F.nullif(n, F.lit("")).cast("long") * F.when(u == "K", 1 << 10).when(u == "M", 1 << 20).when(u == "G", 1 << 30).otherwise(1))
+
+
+def needs_marker(body: Column) -> Column:
+    """A line starts with "needs:", in any case."""
+    return F.coalesce(body, F.lit("")).rlike(r"(?im)^\s*needs:")
+
+
+def embedding_text(*parts: Column) -> Column:
+    """The parts, a blank line between."""
+    return F.concat_ws("\n\n", *parts)
