@@ -1,3 +1,121 @@
-"""Queries."""
+"""Registered queries of the column functions, each beside its SQL twin."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillgraph.functions import text as T
+from quillgraph.operators import maintain as M
+from quillgraph.sources import bindings as B
+
+S = SparkSession
+C = F.col
+N, D, E = B.oracle("nodes"), B.oracle("docs"), B.oracle("entries")
+
+
+def nodes(s: S, d: str) -> DataFrame:
+    return B.view(s, d, "nodes")
+
+
+def docs(s: S, d: str) -> DataFrame:
+    return B.view(s, d, "docs")
+
+
+def events(s: S, d: str) -> DataFrame:
+    return B.raw(s, d, "events")
+
+
+def ids(s: S, d: str) -> DataFrame:
+    """Ids with and without a suffix, some with a type in front."""
+    h = F.substring(F.md5(C("id").cast("binary")), 1, 6)
+    return nodes(s, d).select("id", F.concat(F.when(C("id").like("%1"), "feature-").when(C("id").like("%2"), "feature-request-").otherwise(""), F.replace("id", F.lit("_"), F.lit("-")), F.lit("-"), F.when(C("id").like("%5"), F.lit("il")).otherwise(h)).alias("full"))
+
+
+IDS = N + ", x as (select id, case when id like '%1' then 'feature-' when id like '%2' then 'feature-request-' else '' end || id || '-' || case when id like '%5' then 'il' else substr(md5(id), 1, 6) end as full_id from nodes)"
+FIRST = "coalesce(list_filter(string_split(coalesce(body, ''), chr(10)), lambda x: trim(x) <> '')[1], '')"
+LINE1 = f"trim(regexp_replace({FIRST}, '^\\s*#+\\s*', ''))"
+COS = "list_sum(list_transform(range(1, len(a) + 1), lambda i: a[i]::double * b[i]::double))"
+
+
+def p6(s: S, d: str) -> DataFrame:
+    made = nodes(s, d).select("id", F.concat(F.lit("n-"), T.make_suffix(C("id"), F.lit(0))).alias("made"))
+    return made.select("id", (T.id_suffix(C("made")) != "").alias("valid"))
+
+
+def p21(s: S, d: str) -> DataFrame:
+    v = B.view(s, d, "vectors")
+    other = v.select((C("id") + 1).alias("id"), C("embedding").alias("b"))
+    return v.join(other, "id").select("id", F.round(T.cosine(C("embedding"), C("b")), 6).alias("cosine"))
+
+
+def p23(s: S, d: str) -> DataFrame:
+    """Rule hits over documents, by rule."""
+    rules = {**T.SECRET_RULES, **T.CORPUS_RULES}
+    hits = F.array(*[F.struct(F.lit(n).alias("rule"), F.regexp_extract_all("body", F.lit(p), F.lit(0)).alias("found")) for n, p in rules.items()])
+    one = docs(s, d).select("id", F.explode(hits).alias("h")).select("id", "h.rule", F.explode("h.found").alias("found"))
+    return one.groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_docs"), F.min("found").alias("least"))
+
+
+def rules_sql() -> str:
+    rows = " union all ".join(f"select id, '{n}' as rule, unnest(regexp_extract_all(body, '{p}')) found from docs" for n, p in {**T.SECRET_RULES, **T.CORPUS_RULES}.items())
+    return D + f", h as ({rows}) select rule, count(*) n, count(distinct id) n_docs, min(found) least from h group by 1"
+
+
+def redact_sql() -> str:
+    out = "body"
+    for n, p in {**T.SECRET_RULES, **T.CORPUS_RULES}.items():
+        out = f"regexp_replace({out}, '{p}', '<REDACTED:{n}>', 'g')"
+    return D + f"select id, sha256({out}) redacted from docs"
+
+
+def p24(s: S, d: str) -> DataFrame:
+    runs = docs(s, d).select("id", F.explode(F.regexp_extract_all("body", F.lit("[A-Za-z0-9_+/=-]{24,}"), F.lit(0))).alias("run"))
+    return runs.withColumn("bits", F.round(T.entropy(C("run")), 6)).filter("bits >= 3.0")
+
+
+def p29(s: S, d: str) -> DataFrame:
+    said = F.concat(F.col("event_type"), F.when(C("event_id") % 3 == 0, "s").otherwise(""))
+    typed = events(s, d).select("event_id", F.when(C("event_id") % 4 == 0, "decison").when(C("event_id") % 4 == 1, "findings").when(C("event_id") % 4 == 2, "plan").otherwise(said).alias("said"))
+    return typed.select("event_id", T.nearest_kind(C("said")).alias("kind"))
+
+
+KINDS = ", ".join(f"('{k}')" for k in T.KINDS)
+P29 = f"""with t as (select event_id, case event_id % 4 when 0 then 'decison' when 1 then 'findings' when 2 then 'plan' else event_type || case when event_id % 3 = 0 then 's' else '' end end said from events),
+ u as (select said, min_by(k, (levenshtein(said, k), k)) k, min(levenshtein(said, k)) far from (select distinct said from t), (values {KINDS}) v(k) group by 1)
+select event_id, case when far <= 3 then k end kind from t join u using (said)"""
+
+QUERIES = {
+    "P1_title": (lambda s, d: nodes(s, d).select("id", T.title(C("body"), C("id")).alias("title")), N + "select id, coalesce(nullif(trim(regexp_extract(body, '(?m)^(?:# )+(.*)$', 1)), ''), id) title from nodes"),
+    "P2_content_hash": (lambda s, d: docs(s, d).select("id", T.content_hash(C("body")).alias("content_hash")), D + "select id, sha256(body) content_hash from docs"),
+    "P3_index_hash": (lambda s, d: nodes(s, d).select(M.index_hash("node_type", "status", "owner").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).select("n"), N + "select count(*) n from nodes group by node_type, status, owner"),
+    "P4_parse_id": (lambda s, d: ids(s, d).select("id", T.id_slug(C("full")).alias("slug"), T.id_suffix(C("full")).alias("suffix")), IDS + " select id, regexp_extract(full_id, '^(.+)-([0-9a-hjkmnp-tv-z]{6})$', 1) slug, regexp_extract(full_id, '^(.+)-([0-9a-hjkmnp-tv-z]{6})$', 2) suffix from x"),
+    "P5_strip_prefix": (lambda s, d: ids(s, d).select("id", T.strip_prefix(C("full"), ["feature", "feature-request", "task"]).alias("bare")), IDS + " select id, case when starts_with(full_id, 'feature-request-') then substr(full_id, 17) when starts_with(full_id, 'feature-') then substr(full_id, 9) else full_id end bare from x"),
+    "P6_make_suffix": (p6, N + "select id, true as valid from nodes"),
+    "P8_body_section": (lambda s, d: nodes(s, d).select("id", T.body_section(C("body"), "Notes").alias("section")), N + "select id, case when contains(body, chr(10) || '## Notes' || chr(10)) then trim(split_part(body, '## Notes' || chr(10), 2)) end section from nodes"),
+    "P9_first_paragraph": (lambda s, d: nodes(s, d).select("id", F.sha2(T.without_title(C("body")), 256).alias("rest"), T.first_paragraph(C("body"), 20).alias("lead")), N + ", x as (select id, regexp_replace(body, '^# [^\\n]*\\n*', '') r from nodes), y as (select id, r, trim(regexp_replace(split_part(r, chr(10) || '##', 1), '\\s+$', '')) p from x) select id, sha256(r) rest, case when length(p) > 20 then left(p, 17) || '...' else p end lead from y"),
+    "P10_summary": (lambda s, d: docs(s, d).select("id", T.summary(C("body"), 40).alias("summary")), D + f", x as (select id, {LINE1} l from docs) select id, case when length(l) <= 40 then l else regexp_replace(left(l, 40), '\\s\\S*$', '') || '...' end summary from x"),
+    "P11_first_line": (lambda s, d: docs(s, d).select("id", T.first_line(C("body")).alias("line")), D + f"select id, {LINE1} line from docs"),
+    "P12_slug": (lambda s, d: docs(s, d).select("id", T.slug(C("title")).alias("slug")), D + ", x as (select id, replace(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' ', '-') j from docs) select id, case when length(j) <= 50 then j when contains(left(j, 51), '-') then regexp_replace(left(j, 51), '-[^-]*$', '') else left(j, 50) end slug from x"),
+    "P13_query_terms": (lambda s, d: docs(s, d).select("id", F.array_join(T.query_terms(F.substring("title", 1, 60)), "|").alias("terms")), D + "select id, array_to_string(list_filter(list_transform(regexp_split_to_array(substr(title, 1, 60), '\\s+'), lambda t: regexp_replace(t, '[^\\p{L}\\p{N}_-]', '', 'g')), lambda t: t <> ''), '|') terms from docs"),
+    "P14_tokens": (lambda s, d: docs(s, d).select(F.explode(T.tokens(C("body"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")), D + "select term, count(*) n from (select unnest(list_filter(regexp_split_to_array(lower(body), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) term from docs) group by 1"),
+    "P17_recency": (lambda s, d: events(s, d).select("event_id", F.round(T.recency(C("ts"), F.lit("2024-01-15").cast("timestamp")), 6).alias("recency")), "select event_id, round(case when ts >= timestamp '2024-01-15' then 0.5 else 0.5 * pow(2.0, -(epoch(timestamp '2024-01-15') - floor(epoch(ts))) / 86400.0 / 14.0) end, 6)::double recency from events"),
+    "P18_kind_boost": (lambda s, d: B.view(s, d, "entries").select("id", T.kind_boost(C("kind")).alias("boost")), E + "select id, (case kind when 'decision' then 0.5 when 'dead_end' then 0.5 when 'finding' then 0.3 when 'outcome' then 0.2 when 'assumption' then -0.1 else 0.0 end)::double boost from entries"),
+    "P19_dedup_key": (lambda s, d: docs(s, d).select("id", F.sha2(T.dedup_key(C("body")), 256).alias("k")), D + "select id, sha256(lower(trim(regexp_replace(body, '\\s+', ' ', 'g')))) k from docs"),
+    "P20_costs": (lambda s, d: docs(s, d).select("id", T.node_tokens(C("title"), C("body")).alias("tokens"), T.summary_cost(C("title")).alias("cost")), D + "select id, (strlen(title) + strlen(body)) // 4 as tokens, length(title) // 4 + 1 as cost from docs"),
+    "P21_cosine": (p21, f"select id, round({COS} / (sqrt({COS.replace('b[', 'a[')}) * sqrt({COS.replace('a[', 'b[').replace('len(a)', 'len(b)')})), 6) cosine from (select v.vec_id id, v.embedding a, w.embedding b from embeddings v join embeddings w on w.vec_id + 1 = v.vec_id)"),
+    "P23_rule_hits": (p23, rules_sql()),
+    "P24_high_entropy": (p24, D + ", r as (select id, unnest(regexp_extract_all(body, '[A-Za-z0-9_+/=-]{24,}')) run from docs), c as (select id, run, list_transform(list_distinct(string_split(run, '')), lambda x: len(list_filter(string_split(run, ''), lambda y: y = x)) / length(run)::double) p from r) select id, run, round(-list_sum(list_transform(p, lambda x: x * log2(x))), 6) bits from c where round(-list_sum(list_transform(p, lambda x: x * log2(x))), 6) >= 3.0"),
+    "P25_redact": (lambda s, d: docs(s, d).select("id", F.sha2(T.redact(C("body"), {**T.SECRET_RULES, **T.CORPUS_RULES}), 256).alias("redacted")), redact_sql()),
+    "P26_clamp": (lambda s, d: docs(s, d).select("id", T.clamp(C("body")).alias("clamped")), D + "select id, case when length(body) > 200 then left(body, 193) || ' […cut]' else body end clamped from docs"),
+    "P27_archive_path": (lambda s, d: events(s, d).select("event_id", T.archive_path(F.concat(F.date_format("ts", "yyyyMMdd"), F.lit("-"), F.substring(F.md5(C("user_id").cast("string").cast("binary")), 1, 8), F.lit("-"), F.when(C("event_id") % 9 == 0, "x").otherwise(F.date_format("ts", "HHmmss")))).alias("path")), "with x as (select event_id, ts, strftime(ts, '%Y%m%d') || '-' || substr(md5(user_id::varchar), 1, 8) || '-' || case when event_id % 9 = 0 then 'x' else strftime(ts, '%H%M%S') end s from events) select event_id, case when event_id % 9 <> 0 then 'archive/' || strftime(ts, '%Y/%m/%d') || '/' || s end path from x"),
+    "P28_relative_path": (lambda s, d: events(s, d).select("event_id", T.relative_path(F.concat(F.when(C("event_id") % 2 == 0, "/repo/").otherwise("./"), F.lit("src\\f"), C("user_id"), F.lit(".py")), "/repo").alias("path")), "select event_id, 'src/f' || user_id || '.py' path from events"),
+    "P29_nearest_kind": (p29, P29),
+    "P30_age": (lambda s, d: events(s, d).select("event_id", T.age((C("event_id") * 37 % 300000)).alias("age")), "select event_id, case when s < 60 then s || 's' when s < 3600 then s // 60 || 'm' when s < 86400 then s // 3600 || 'h' else s // 86400 || 'd' end age from (select event_id, event_id * 37 % 300000 s from events)"),
+    "P31_parse_size": (lambda s, d: events(s, d).select("event_id", T.parse_size(F.concat(C("user_id").cast("string"), F.element_at(F.array(*map(F.lit, ["", "K", "m", "G", "x"])), (C("event_id") % 5 + 1).cast("int")))).alias("bytes")), "select event_id, case event_id % 5 when 0 then user_id when 1 then user_id * 1024 when 2 then user_id * 1048576 when 3 then user_id * 1073741824 end::bigint bytes from events"),
+    "P32_needs": (lambda s, d: nodes(s, d).filter(T.needs_marker(C("body"))).select("id"), N + "select id from nodes where regexp_matches(body, '(?im)^\\s*needs:')"),
+    "P33_status_map": (lambda s, d: nodes(s, d).select("id", F.coalesce(F.when((C("node_type") == "feature") & (C("status") == "draft"), "Triage"), F.when(C("status") == "draft", "Backlog").when(C("status").isin("active", "discussing"), "In Progress").when(C("status").isin("completed", "decided"), "Done")).alias("state")), N + "select id, case when node_type = 'feature' and status = 'draft' then 'Triage' when status = 'draft' then 'Backlog' when status in ('active', 'discussing') then 'In Progress' when status in ('completed', 'decided') then 'Done' end state from nodes"),
+    "P34_fields": (lambda s, d: nodes(s, d).select("id", F.explode(F.array_compact(F.array(*[F.when(C(c).isNotNull(), F.struct(F.lit(c).alias("field"), (F.date_format(c, "yyyy-MM-dd") if c == "updated" else C(c)).alias("value"))) for c in ("status", "owner", "updated")]))).alias("f")).select("id", "f.field", "f.value"), N + "select id, 'status' field, status as value from nodes where status is not null union all select id, 'owner', owner from nodes where owner is not null union all select id, 'updated', strftime(updated, '%Y-%m-%d') from nodes where updated is not null"),
+    "P35_embedding_text": (lambda s, d: nodes(s, d).select("id", F.sha2(T.embedding_text(C("title"), C("body")), 256).alias("h")), N + "select id, sha256(title || chr(10) || chr(10) || body) h from nodes"),
+    "P37_directory": (lambda s, d: nodes(s, d).join(F.broadcast(B.node_types(s)), "node_type").select("id", F.concat("directory", F.lit("/"), "id", F.lit(".md")).alias("file_path")), B.oracle("nodes", "node_types") + "select id, directory || '/' || id || '.md' file_path from nodes join node_types using (node_type)"),
+}
