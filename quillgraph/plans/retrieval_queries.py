@@ -1,3 +1,151 @@
-"""Queries."""
+"""Registered search queries, each beside its SQL twin. Queries are every row whose id is divisible by 100."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillgraph.functions import text as T
+from quillgraph.operators import journal as J
+from quillgraph.operators import search as R
+from quillgraph.sources import bindings as B
+
+S = SparkSession
+C = F.col
+
+
+def docs(s: S, d: str) -> DataFrame:
+    return B.view(s, d, "docs").withColumn("id", C("doc_id"))
+
+
+def asked(s: S, d: str) -> DataFrame:
+    return docs(s, d).filter("doc_id % 100 = 0").select(C("doc_id").alias("query_id"), T.tokens(C("title")).alias("terms"))
+
+
+def words(s: S, d: str, k: int | None = 30, every: bool = False) -> DataFrame:
+    return R.bm25(R.corpus(docs(s, d), "title", "body"), asked(s, d), k, every)
+
+
+def vector_hits(s: S, d: str, k: int = 30) -> DataFrame:
+    v = B.view(s, d, "vectors")
+    return R.nearest(v, v.filter("id % 100 = 0").select(C("id").alias("query_id"), "embedding"), k)
+
+
+def structural(s: S, d: str) -> DataFrame:
+    """A document's neighbourhood: itself, and those of its source and language."""
+    x = docs(s, d).select("doc_id", "owner", "node_type")
+    q = x.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
+    return q.join(x, ["owner", "node_type"]).select("query_id", C("doc_id").alias("id"), F.when(C("query_id") == C("doc_id"), 1.0).otherwise(0.8).alias("score"))
+
+
+def payload(s: S, d: str) -> DataFrame:
+    updated = F.timestamp_seconds(F.lit(996710400) - C("doc_id") % 40 * 86400)
+    return docs(s, d).select("id", F.when(C("node_type") == "de", "decision").otherwise(C("node_type")).alias("node_type"), updated.alias("updated"), T.node_tokens(C("title"), C("body")).alias("tokens"))
+
+
+def k4(s: S, d: str, with_vectors: bool) -> DataFrame:
+    v = vector_hits(s, d).select("query_id", "id", C("similarity").alias("score")) if with_vectors else None
+    out = R.hybrid(structural(s, d), words(s, d), v, payload(s, d), F.lit(B.NODES_NOW).cast("timestamp"))
+    return out.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
+def journal(s: S, d: str) -> DataFrame:
+    return B.view(s, d, "entries").withColumn("id", F.substring("id", 3, 20).cast("long"))
+
+
+def journal_words(s: S, d: str) -> DataFrame:
+    e = journal(s, d)
+    q = e.filter("id % 100 = 0").select(C("id").alias("query_id"), T.tokens(C("summary")).alias("terms"))
+    return R.bm25(R.corpus(e, "summary", "detail"), q, 40, every=True)
+
+
+def journal_vectors(s: S, d: str) -> DataFrame:
+    """One vector serves many entries (J8): an entry's content key is its id within the vectors."""
+    v = B.view(s, d, "vectors").select(C("id").alias("vid"), "embedding")
+    n = F.lit(v.count())
+    e = journal(s, d).select("id", (C("id") % n).alias("vid")).join(v, "vid").select("id", "embedding")
+    return R.nearest(e, e.filter("id % 100 = 0").select(C("id").alias("query_id"), "embedding"), 40)
+
+
+def k7(s: S, d: str) -> DataFrame:
+    fused = R.fuse_ranks(journal_words(s, d), journal_vectors(s, d)).join(journal(s, d), "id")
+    out = J.boosted(fused, B.journal_now())
+    return out.select("query_id", "id", "word_rank", "vector_rank", F.round(R.finite(C("rrf") + C("score")), 6).alias("score"))
+
+
+def w4(s: S, d: str) -> DataFrame:
+    hits = journal_words(s, d).join(journal(s, d).select("id", "summary", "detail"), "id")
+    return R.skip_budget(hits, 60).select("query_id", "rank", "id", F.length("detail").alias("n_detail"))
+
+
+def k10(s: S, d: str) -> DataFrame:
+    """The default scorer: the share of the query's distinct terms in the document's title."""
+    hits = words(s, d, 60).join(asked(s, d), "query_id").join(docs(s, d).select("id", T.tokens(C("title")).alias("own")), "id")
+    share = F.size(F.array_intersect("terms", "own")) / F.size(F.array_distinct("terms"))
+    return R.rerank(hits, share).select("query_id", "id", "rank", "new_rank", "reranked")
+
+
+TOK = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+
+
+def bm25_sql(source: str, text: str, query: str, k: int, every: bool = False, name: str = "hits") -> str:
+    """CTEs that end in ``name`` (query_id, id, score, rank)."""
+    need = f" having count(*) = any_value(q.needed)" if every else ""  # noqa: F541
+    return f""", cx as materialized (select id, {TOK.format(text)} w from {source}),
+ cn as (select count(*)::double n, avg(len(w)) m from cx),
+ q as materialized (select query_id, term, count(*) over (partition by query_id) needed from (select query_id, unnest(list_distinct(w)) term from (select id query_id, {TOK.format(query)} w from {source} where id % 100 = 0))),
+ tf as materialized (select id, l, term, count(*) tf from (select id, len(w) l, unnest(w) term from cx) where term in (select term from q) group by all),
+ df as (select term, count(*) df from tf group by 1),
+ sc as (select query_id, id, sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / m))) score
+   from q join tf using (term) join df using (term), cn group by query_id, id{need}),
+ {name} as materialized (select *, (row_number() over (partition by query_id order by round(score, 9) desc, id))::int rank from sc qualify rank <= {k})"""
+
+
+def knn_sql(source: str, k: int, name: str = "near") -> str:
+    return f""", vn as materialized (select id, embedding e from {source}),
+ vp as (select a.id query_id, b.id, list_cosine_similarity(a.e::double[], b.e::double[]) similarity from vn a, vn b where a.id % 100 = 0),
+ {name} as materialized (select *, (row_number() over (partition by query_id order by round(similarity, 9) desc, id))::int rank from vp qualify rank <= {k})"""
+
+
+DOCS = B.oracle("docs") + ", dx as materialized (select doc_id id, title, body, node_type, owner from docs)"
+DWORDS = DOCS + bm25_sql("dx", "concat_ws(' ', title, body)", "title", 30)
+VEC = B.oracle("vectors")
+STRUCT = ", st as (select a.id query_id, b.id, case when a.id = b.id then 1.0 else 0.8 end::double score from dx a join dx b using (owner, node_type) where a.id % 100 = 0)"
+
+
+def k4_sql(with_vectors: bool) -> str:
+    ws, ww, wv = (0.5, 0.25, 0.25) if with_vectors else (0.625, 0.375, 0.0)
+    v = "union all select query_id, id, 'v', greatest(similarity, 0) from near" if with_vectors else ""
+    knn = ", vectors as (select vec_id id, embedding from embeddings)" + knn_sql("vectors", 30) if with_vectors else ""
+    return DWORDS + knn + STRUCT + f""",
+ sw as (select query_id, id, case when max(score) over p - min(score) over p < 1e-12 then 1.0 else (score - min(score) over p) / (max(score) over p - min(score) over p) end score from hits window p as (partition by query_id)),
+ al as (select query_id, id, 's' side, score from st union all select query_id, id, 'w', score from sw {v}),
+ fu as (select query_id, id, max(score) filter (side = 's') s, max(score) filter (side = 'w') w, max(score) filter (side = 'v') v from al group by 1, 2),
+ sc2 as (select query_id, id, coalesce(s, 0) * {ws} + coalesce(w, 0) * {ww} + coalesce(v, 0) * {wv} + case when id % 40 <= 7 then 0.1 else 0 end + case when node_type = 'de' then 0.05 else 0 end score, (strlen(title) + strlen(body)) // 4 tokens
+   from fu join dx using (id)),
+ rk as (select *, (row_number() over o)::int rank, sum(tokens) over (partition by query_id order by round(score, 9) desc, id rows unbounded preceding) cum from sc2 window o as (partition by query_id order by round(score, 9) desc, id))
+select query_id, id, rank, round(score, 6) score from rk where rank = 1 or cum <= 8000"""
+
+
+ENT = B.oracle("entries") + ", ex as materialized (select substr(id, 3)::bigint id, ts, kind, summary, detail from entries)"
+JW = ENT + bm25_sql("ex", "concat_ws(' ', summary, detail)", "summary", 40, every=True)
+REC = f"case when ts >= timestamp '{B.JOURNAL_NOW}' then 0.5 else 0.5 * pow(2.0, -(epoch(timestamp '{B.JOURNAL_NOW}') - floor(epoch(ts))) / 86400.0 / 14.0) end"
+BOOST = "case kind when 'decision' then 0.5 when 'dead_end' then 0.5 when 'finding' then 0.3 when 'outcome' then 0.2 else 0.0 end"
+K7 = JW + ", ve as (select id, embedding from ex join embeddings on vec_id = ex.id % (select count(*) from embeddings))" + knn_sql("ve", 40) + f""",
+ fu as (select coalesce(a.query_id, b.query_id) query_id, coalesce(a.id, b.id) id, a.rank word_rank, b.rank vector_rank from hits a full join near b on a.query_id = b.query_id and a.id = b.id)
+select query_id, id, word_rank, vector_rank, round(coalesce(30.0::double / (60 + word_rank), 0) + coalesce(30.0::double / (60 + vector_rank), 0) + {REC} + {BOOST}, 6) score from fu join ex using (id)"""
+CLASSES = ", c as (select node_type, lower(title) k, min(id) rep, count(*) n from docs group by 1, 2)"
+
+QUERIES = {
+    "A12_corpus_stats": (lambda s, d: R.corpus(docs(s, d), "title", "body").select("id", "n_terms", F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n_terms").cast("long").alias("n_terms")), DOCS + f", x as (select id, {TOK.format(chr(99) + 'oncat_ws(' + chr(39) + ' ' + chr(39) + ', title, body)')} w from dx) select term, count(*) df, sum(n)::bigint n_terms from (select len(w) n, unnest(list_distinct(w)) term from x) group by 1"),
+    "K1_keyword_search": (lambda s, d: words(s, d).select("query_id", "id", "rank", F.round("score", 6).alias("score")), DWORDS + " select query_id, id, rank, round(score, 6) score from hits"),
+    "K3_vector_search": (lambda s, d: vector_hits(s, d, 10).select("query_id", "id", "rank", F.round("similarity", 6).alias("similarity")), VEC + knn_sql("vectors", 10) + " select query_id, id, rank, round(similarity, 6) similarity from near"),
+    "K4_hybrid": (lambda s, d: k4(s, d, True), k4_sql(True)),
+    "K4_hybrid_without_vectors": (lambda s, d: k4(s, d, False), k4_sql(False)),
+    "K6_journal_keyword": (lambda s, d: journal_words(s, d).select("query_id", "id", "rank", F.round("score", 6).alias("score")), JW + " select query_id, id, rank, round(score, 6) score from hits"),
+    "K7_journal_hybrid": (k7, K7),
+    "K10_rerank": (k10, None),
+    "W4_skip_budget": (w4, None),
+    "K17_similar_titles": (lambda s, d: R.similar_titles(B.view(s, d, "docs")), B.oracle("docs") + CLASSES + ", w as (select node_type, rep, n, list_filter(regexp_split_to_array(k, '\\s+'), lambda x: x <> '') w from c), p as (select a.rep a, b.rep b, a.n n_a, b.n n_b, len(list_filter(a.w, lambda x: list_contains(b.w, x))) / greatest(len(a.w), len(b.w))::double s from w a join w b on a.node_type = b.node_type and a.rep < b.rep where len(a.w) > 0 and len(b.w) > 0 and len(a.w) >= 0.8 * len(b.w)) select a, b, n_a, n_b, round(s, 6) similarity from p where round(s, 6) >= 0.8"),
+    "K18_near_titles": (lambda s, d: R.near_titles(B.view(s, d, "docs")), B.oracle("docs") + CLASSES + " select a.rep a, b.rep b, a.n n_a, b.n n_b, levenshtein(a.k, b.k)::int distance from c a join c b on a.node_type = b.node_type and a.rep < b.rep where abs(length(a.k) - length(b.k)) <= 2 and levenshtein(a.k, b.k) <= 2"),
+}
