@@ -1,3 +1,195 @@
-"""Queries."""
+"""Registered workflow queries (interviews, sync, publishing, rendering), each beside its SQL twin."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillgraph.operators import workflow as W
+from quillgraph.sources import bindings as B
+
+S = SparkSession
+C = F.col
+
+#: Edges that a feature may have, in schema order.
+ROOT_EDGES = [("feature", e, t, i) for i, (e, t) in enumerate([("serves", "persona"), ("measured_by", "metric"), ("has_risk", "risk"), ("depends_on", "decision"), ("uses", "component"), ("decomposes_to", "task"), ("mentions", "note")])]
+SECTIONS = [(0, "Personas", "serves", "persona", []), (1, "Components", "uses", "component", ["active"]), (2, "Decisions", "depends_on", "decision", ["decided", "discussing"])]
+
+
+def sessions(s: S, d: str) -> DataFrame:
+    """A conversation is an interview: its first text is the problem statement."""
+    c = B.raw(s, d, "conversations")
+    first = c.groupBy(C("conv_id").alias("session_id")).agg(F.min_by("text", F.struct("turn", "role", "text")).alias("body"))
+    return first.select("session_id", F.lit("feature").alias("root_type"), (C("session_id") % 5).cast("int").alias("phase"), F.when(C("session_id") % 7 == 0, F.lit(" ")).otherwise(C("body")).alias("body"))
+
+
+def answers(s: S, d: str) -> DataFrame:
+    return B.raw(s, d, "conversations").filter("role = 'user'").select(C("conv_id").alias("session_id"), (C("turn") % 5).cast("int").alias("phase"), "turn", "text")
+
+
+def tentative(s: S, d: str) -> DataFrame:
+    c = B.raw(s, d, "conversations").filter("role = 'assistant'")
+    kind = F.element_at(F.array(*map(F.lit, ["metric", "persona", "component", "decision", "task"])), (C("turn") % 5 + 1).cast("int"))
+    return c.select(C("conv_id").alias("session_id"), F.concat(kind, F.lit("-"), "turn").alias("id"), kind.alias("node_type"), F.when(F.length("text") < 150, F.concat(F.lit("Needs: more\n"), "text")).otherwise(C("text")).alias("body"))
+
+
+def tentative_edges(s: S, d: str) -> DataFrame:
+    t = tentative(s, d)
+    edge = F.when(C("node_type") == "persona", "serves").when(C("node_type") == "component", "uses").when(C("node_type") == "decision", "depends_on").otherwise("decomposes_to")
+    return t.select("session_id", edge.alias("edge_type"), F.when(F.length("body") % 10 == 0, F.concat(F.lit("lost-"), "id")).otherwise(C("id")).alias("target_id")).distinct()
+
+
+def root_edges(s: S) -> DataFrame:
+    return s.createDataFrame(ROOT_EDGES, "source_type string, edge_type string, target_type string, ordinal int")
+
+
+IV = f""", se as (select conv_id session_id, 'feature' root_type, (conv_id % 5)::int phase, case when conv_id % 7 = 0 then ' ' else min_by(text, (turn, role, text)) end body from conversations group by conv_id),
+ an as (select conv_id session_id, (turn % 5)::int phase, turn, text from conversations where role = 'user'),
+ te as (select conv_id session_id, k || '-' || turn id, k node_type, case when length(text) < 150 then 'Needs: more' || chr(10) || text else text end body from (select *, ['metric', 'persona', 'component', 'decision', 'task'][turn % 5 + 1] k from conversations where role = 'assistant')),
+ ed as (select distinct session_id, case node_type when 'persona' then 'serves' when 'component' then 'uses' when 'decision' then 'depends_on' else 'decomposes_to' end edge_type, case when length(body) % 10 = 0 then 'lost-' || id else id end target_id from te),
+ rn as (select * from te where not regexp_matches(body, '(?im)^\\s*needs:')),
+ re as (select * from ed where (session_id, target_id) in (select session_id, id from rn)),
+ ru as (select * from (values {', '.join(f"('{e}', '{t}', {i})" for _, e, t, i in ROOT_EDGES)}) v(edge_type, target_type, ordinal)
+   left join (values {', '.join(f"('{e}', '{t}', '{g}', {p}, {f})" for e, t, g, p, f in W.GAP_CLASSES)}) k(edge_type, target_type, gap_type, priority, phase) using (edge_type, target_type)),
+ ga as (select session_id, coalesce(gap_type, 'missing_dependency') gap_type, target_type node_type, edge_type, coalesce(priority, 2) priority, coalesce(ru.phase, 2) phase, ordinal from se, ru
+   where (session_id, edge_type) not in (select session_id, edge_type from re) and (session_id, target_type) not in (select session_id, node_type from rn)
+   union all select session_id, 'problem_statement', root_type, null, 0, 0, -1 from se where trim(body) = '' or strlen(body) < 30),
+ gl as (select *, lag(gap_type) over w = gap_type and lag(node_type) over w = node_type same from ga window w as (partition by session_id order by phase, priority, ordinal)),
+ gp as (select session_id, gap_type, node_type, edge_type, priority, phase, (row_number() over (partition by session_id order by phase, priority, ordinal))::int pos from gl where not coalesce(same, false))"""
+I0, IN = "with x as (select 1)" + IV, B.oracle("nodes") + IV
+
+
+def found(s: S, d: str) -> DataFrame:
+    return W.gaps(sessions(s, d), root_edges(s), tentative(s, d), tentative_edges(s, d))
+
+
+def g3(s: S, d: str) -> DataFrame:
+    return W.phase_moves(sessions(s, d), answers(s, d).select("session_id", "phase"), tentative(s, d), tentative_edges(s, d))
+
+
+G3 = I0 + """, h as (select se.*, coalesce((select count(*) from an where an.session_id = se.session_id and an.phase = se.phase), 0) n,
+  (select coalesce(list(node_type), []) from rn where rn.session_id = se.session_id) t, (select coalesce(list(edge_type), []) from re where re.session_id = se.session_id) k from se)
+select session_id, phase, n n_answers, case when
+  (phase = 0 and n >= 1)
+  or (phase = 1 and ((n >= 1 and (list_contains(t, 'persona') or list_contains(k, 'serves')) and (list_contains(t, 'metric') or list_contains(k, 'measured_by')) and strlen(body) > 50) or n >= 4))
+  or (phase = 2 and ((n >= 1 and (list_contains(t, 'component') or list_contains(k, 'uses') or list_contains(t, 'decision') or list_contains(k, 'depends_on'))) or n >= 3))
+  or (phase = 3 and ((n >= 1 and (list_contains(t, 'task') or list_contains(k, 'decomposes_to'))) or n >= 2)) then phase + 1 end next_phase from h"""
+
+
+def synced_nodes(s: S, d: str) -> DataFrame:
+    return B.view(s, d, "nodes").withColumn("content_hash", F.sha2("body", 256))
+
+
+def state(s: S, d: str) -> DataFrame:
+    """What was synced: two thirds of the orders (some changed since), all nations, and nodes that are gone."""
+    o = B.raw(s, d, "orders").filter("o_orderkey % 3 <> 0").select(F.concat(F.lit("o-"), "o_orderkey").alias("id"), F.concat(F.lit("L-"), "o_orderkey").alias("linear_id"), (C("o_orderkey") % 7 == 0).alias("stale"), C("o_orderdate").alias("updated_at"))
+    n = B.raw(s, d, "nation").select(F.concat(F.lit("n-"), "n_nationkey").alias("id"), F.concat(F.lit("N-"), "n_nationkey").alias("linear_id"), (C("n_nationkey") % 4 == 0).alias("stale"), F.lit("1998-01-01").cast("timestamp").alias("updated_at"))
+    g = B.raw(s, d, "supplier").select(F.concat(F.lit("gone-"), "s_suppkey").alias("id"), F.concat(F.lit("G-"), "s_suppkey").alias("linear_id"), F.lit(False).alias("stale"), F.lit("1998-01-01").cast("timestamp").alias("updated_at"))
+    rows = o.unionByName(n).unionByName(g).join(synced_nodes(s, d).select("id", "content_hash"), "id", "left")
+    return rows.select(C("id").alias("node_id"), "linear_id", F.when(C("stale") | C("content_hash").isNull(), "old").otherwise(C("content_hash")).alias("hash_at_sync"), "updated_at")
+
+
+def issues(s: S, d: str) -> DataFrame:
+    k = C("o_orderkey")
+    remote = F.when(C("o_orderstatus") == "F", "completed").when(C("o_orderstatus") == "O", "active")
+    return B.raw(s, d, "orders").select(F.concat(F.lit("L-"), k).alias("id"), F.timestamp_add("DAY", F.when(k % 5 == 0, 1).otherwise(0), C("o_orderdate")).alias("updated_at"), (k % 11 == 0).alias("archived"), remote.alias("remote_status"), F.when(k % 2 == 0, F.concat(F.lit("L-"), k - 1)).alias("parent"))
+
+
+SY = B.oracle("nodes") + """, sn as materialized (select *, sha256(body) content_hash from nodes),
+ s0 as (select 'o-' || o_orderkey id, 'L-' || o_orderkey linear_id, o_orderkey % 7 = 0 stale, o_orderdate updated_at from orders where o_orderkey % 3 <> 0
+   union all select 'n-' || n_nationkey, 'N-' || n_nationkey, n_nationkey % 4 = 0, timestamp '1998-01-01' from nation
+   union all select 'gone-' || s_suppkey, 'G-' || s_suppkey, false, timestamp '1998-01-01' from supplier),
+ st as materialized (select s0.id node_id, linear_id, case when stale or content_hash is null then 'old' else content_hash end hash_at_sync, s0.updated_at from s0 left join sn using (id)),
+ iu as (select 'L-' || o_orderkey id, o_orderdate + case when o_orderkey % 5 = 0 then interval 1 day else interval 0 day end updated_at, o_orderkey % 11 = 0 archived, case o_orderstatus when 'F' then 'completed' when 'O' then 'active' end remote_status, case when o_orderkey % 2 = 0 then 'L-' || (o_orderkey - 1) end parent from orders)"""
+
+
+def roots(s: S, d: str) -> DataFrame:
+    return B.raw(s, d, "orders").select(F.concat(F.lit("o-"), "o_orderkey").alias("root_id"), F.date_add(F.to_date("o_orderdate"), 100).alias("day"))
+
+
+def items(s: S, d: str) -> DataFrame:
+    sections = s.createDataFrame(SECTIONS, "ordinal int, heading string, edge_type string, target_type string, statuses array<string>")
+    return W.traverse_sections(roots(s, d), sections, B.view(s, d, "edges"), B.view(s, d, "nodes"))
+
+
+ITEMS = B.oracle("nodes", "edges") + """, ro as (select 'o-' || o_orderkey root_id, o_orderdate::date + 100 as day from orders),
+ sc as (select * from (values (0, 'Personas', 'serves', 'persona', []::varchar[]), (1, 'Components', 'uses', 'component', ['active']), (2, 'Decisions', 'depends_on', 'decision', ['decided', 'discussing'])) v(ordinal, heading, edge_type, target_type, statuses)),
+ it as (select root_id, ordinal, heading, edge_idx, target_id, n.title item_title, n.status item_status from ro join edges on root_id = source_id and (valid_from is null or valid_from <= day) and (valid_until is null or valid_until > day)
+   join sc using (edge_type) join nodes n on n.id = target_id and n.node_type = sc.target_type
+   where coalesce(n.status, '') <> 'superseded' and (n.status is null or len(statuses) = 0 or list_contains(statuses, n.status)))"""
+R7 = ITEMS + """, se as (select root_id, ordinal, '## ' || heading || chr(10) || string_agg('- ' || item_title || coalesce(' (' || item_status || ')', ''), chr(10) order by edge_idx, item_title) t from it group by root_id, ordinal, heading),
+ wh as (select root_id, string_agg(t, chr(10) || chr(10) order by ordinal) t from se group by 1)
+select ro.root_id, concat_ws(chr(10) || chr(10), '# ' || title || coalesce(chr(10) || 'Status: ' || status, ''), t) as document from ro join nodes on id = ro.root_id left join wh on wh.root_id = ro.root_id"""
+
+
+def ended(s: S, d: str) -> DataFrame:
+    e = B.view(s, d, "entries")
+    return e.filter("final").groupBy("session_id").agg(F.max("ts").alias("ended"))
+
+
+def archived(s: S, d: str) -> DataFrame:
+    return ended(s, d).filter(F.length("session_id") % 2 == 0).select("session_id")
+
+
+def daily(s: S, d: str) -> DataFrame:
+    return B.raw(s, d, "events").groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("bytes"))
+
+
+def w8(s: S, d: str) -> DataFrame:
+    snaps = daily(s, d).select(C("day").alias("snapshot_key"), C("n").alias("bytes"), F.unix_timestamp(C("day").cast("timestamp")).alias("modified"), (F.dayofmonth(C("day").cast("date")) % 9 == 0).alias("pinned"))
+    return W.retention(snaps, 5, 4000)
+
+
+def s16(s: S, d: str) -> DataFrame:
+    n = B.view(s, d, "nodes")
+    return W.snapshot_key(n.select(C("id").alias("label"), C("body").alias("content"))).select("n_files", (F.length("snapshot_key") == 16).alias("keyed"))
+
+
+def e1(s: S, d: str) -> DataFrame:
+    e = B.view(s, d, "entries").select("id", "kind")
+    return W.union_first(e.filter("kind <> 'finding'").withColumn("kind", F.lit("open")), e, "id")
+
+
+def a14(s: S, d: str) -> DataFrame:
+    """Ingest report of the properties column: parsed, corrupt, references."""
+    p = B.raw(s, d, "events").select(F.from_json("props", "k int, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("p"))
+    return p.agg(F.count(F.lit(1)).alias("scanned"), F.count_if(C("p.k").isNotNull()).alias("parsed"), F.count_if(C("p._corrupt").isNotNull()).alias("corrupt"), F.count_distinct("p.k").alias("n_keys"))
+
+
+def t8(s: S, d: str) -> DataFrame:
+    """Journal rows that interview events emit: one an answer, one a finished interview."""
+    a = answers(s, d)
+    rows = a.select("session_id", F.concat(F.lit("answer-"), "turn").alias("event"), F.when(C("phase") == 2, "decision").otherwise("finding").alias("kind"), F.left(F.regexp_replace("text", r"\s+", " "), F.lit(100)).alias("summary"))
+    return rows.unionByName(a.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).select("session_id", F.lit("finished").alias("event"), F.lit("outcome").alias("kind"), F.concat("n", F.lit(" answers")).alias("summary")))
+
+
+QUERIES = {
+    "G1_gaps": (found, I0 + " select * from gp"),
+    "G2_question_types": (lambda s, d: W.question_types(found(s, d), B.view(s, d, "nodes")).select("session_id", "pos", "question_type"), IN + ", ex as (select node_type, count(*) n from nodes group by 1) select session_id, pos, case when n = 1 then 'closed' when n > 1 then 'forced_choice' when priority = 1 then 'implication' else 'open' end question_type from gp left join ex using (node_type)"),
+    "G3_phase_moves": (g3, G3),
+    "G4_next_questions": (lambda s, d: W.next_questions(found(s, d), sessions(s, d)).select("session_id", "gap_type", "rn"), I0 + " select session_id, gap_type, (row_number() over (partition by session_id order by pos))::int rn from gp join se using (session_id) where gp.phase <= se.phase qualify rn <= 3"),
+    "E4_filled_gaps": (lambda s, d: W.gaps(sessions(s, d), root_edges(s), tentative(s, d).limit(0), tentative_edges(s, d).limit(0)).join(found(s, d), ["session_id", "gap_type", "node_type"], "left_anti").select("session_id", "gap_type", "node_type"), I0 + ", al as (select session_id, coalesce(gap_type, 'missing_dependency') gap_type, target_type node_type from se, ru) select * from al where (session_id, gap_type, node_type) not in (select session_id, gap_type, node_type from gp)"),
+    "G5_ready_nodes": (lambda s, d: W.ready_nodes(tentative(s, d)).select("session_id", "id"), I0 + " select session_id, id from rn"),
+    "G6_commit_plan": (lambda s, d: W.commit_plan(tentative(s, d), tentative_edges(s, d), B.view(s, d, "nodes")), I0 + " select session_id, 'node' kind, id as key, 'created' outcome from te union all select session_id, 'edge', edge_type || ' ' || target_id, case when (session_id, target_id) in (select session_id, id from te) then 'written' else 'skipped' end from ed"),
+    "G7_last_wins": (lambda s, d: W.last_wins(B.raw(s, d, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id"), "select user_id, event_type, event_id from events qualify row_number() over (partition by user_id, event_type order by ts desc, event_id desc) = 1"),
+    "A16_progress": (lambda s, d: sessions(s, d).join(answers(s, d).groupBy("session_id").agg(F.count(F.lit(1)).alias("n_answers")), "session_id", "left").join(found(s, d).groupBy("session_id").agg(F.count(F.lit(1)).alias("n_gaps")), "session_id", "left").select("session_id", F.coalesce("n_answers", F.lit(0)).cast("long").alias("n_answers"), F.coalesce("n_gaps", F.lit(0)).cast("long").alias("n_gaps")), I0 + " select session_id, (select count(*) from an where an.session_id = se.session_id) n_answers, (select count(*) from gp where gp.session_id = se.session_id) n_gaps from se"),
+    "G8_push_plan": (lambda s, d: W.push_plan(synced_nodes(s, d), state(s, d)), SY + " select id, linear_id, case when linear_id is null then 'create' when content_hash = hash_at_sync and node_type <> 'epic' then 'skip' else 'update' end as action, case node_type when 'epic' then 0 when 'feature' then 1 else 2 end ord from sn left join st on node_id = id where node_type in ('epic', 'feature', 'task')"),
+    "G9_pull_plan": (lambda s, d: W.pull_plan(issues(s, d), state(s, d), synced_nodes(s, d)), SY + " select iu.id, st.node_id, case when st.node_id is null then case when pa.linear_id is not null then 'import' else 'ignore' end when iu.updated_at <= st.updated_at then 'unchanged' when content_hash <> st.hash_at_sync then 'conflict' when archived then 'archived' when remote_status is not null and remote_status is distinct from sn.status then 'status_change' else 'touched' end as action from iu left join st on st.linear_id = iu.id left join sn on sn.id = st.node_id left join st pa on pa.linear_id = iu.parent"),
+    "A15_sync_status": (lambda s, d: W.sync_status(synced_nodes(s, d), state(s, d)), SY + ", x as (select node_type, content_hash, hash_at_sync from sn full join st on node_id = id) select count(*) filter (node_type is not null and hash_at_sync is not null) linked, count(*) filter (node_type in ('epic', 'feature', 'task') and hash_at_sync is null) unlinked, count(*) filter (node_type is not null and content_hash <> hash_at_sync) stale, count(*) filter (node_type is null) orphaned from x"),
+    "A19_push_report": (lambda s, d: W.push_plan(synced_nodes(s, d), state(s, d)).groupBy("action").agg(F.count(F.lit(1)).alias("n")), SY + ", a as (select case when linear_id is null then 'create' when content_hash = hash_at_sync and node_type <> 'epic' then 'skip' else 'update' end as action from sn left join st on node_id = id where node_type in ('epic', 'feature', 'task')) select action, count(*) n from a group by 1"),
+    "S12_upsert": (lambda s, d: W.upsert(state(s, d).select("node_id", "linear_id"), B.raw(s, d, "nation").select(F.concat(F.lit("n-"), "n_nationkey").alias("node_id"), F.lit("new").alias("linear_id")), "node_id"), SY + " select node_id, linear_id from st where node_id not like 'n-%' union all select 'n-' || n_nationkey, 'new' from nation"),
+    "S13_issues_since": (lambda s, d: issues(s, d).filter("updated_at > timestamp '1996-01-01'").select("id"), SY + " select id from iu where updated_at > timestamp '1996-01-01'"),
+    "S16_snapshot": (s16, B.oracle("nodes") + " select count(*)::bigint n_files, true keyed from nodes"),
+    "S17_log_tail": (lambda s, d: B.raw(s, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "event_type"), "select event_id, event_type from events order by ts desc, event_id desc limit 50"),
+    "S19_publish_plan": (lambda s, d: W.publish_plan(ended(s, d), archived(s, d)).select("session_id", "status"), B.oracle("entries") + " select session_id, case when length(session_id) % 2 = 0 then 'already_archived' else 'published' end status from entries where final group by 1"),
+    "A18_publish_counts": (lambda s, d: W.publish_plan(ended(s, d), archived(s, d)).groupBy("status").agg(F.count(F.lit(1)).alias("n")), B.oracle("entries") + " select case when length(session_id) % 2 = 0 then 'already_archived' else 'published' end status, count(distinct session_id) n from entries where final group by 1"),
+    "W8_retention": (w8, None),
+    "W10_packs": (lambda s, d: W.packs(daily(s, d).select(C("day").alias("run"), "n"), 1000), "select run, n, total::bigint total, floor((total - n) / 1000) < floor(total / 1000) pack from (select run, n, sum(n) over (order by run) total from (select ts::date::varchar run, count(*) n from events group by 1))"),
+    "E1_union_first": (e1, B.oracle("entries") + " select id, case when kind <> 'finding' then 'open' else kind end kind from entries"),
+    "A14_ingest_report": (a14, "select count(*) scanned, count(*) filter (json_extract_string(props, '$.k') is not null) parsed, 0::bigint corrupt, count(distinct json_extract_string(props, '$.k')) n_keys from events"),
+    "T8_interview_events": (t8, I0 + " select session_id, 'answer-' || turn as event, case phase when 2 then 'decision' else 'finding' end kind, left(regexp_replace(text, '\\s+', ' ', 'g'), 100) summary from an union all select session_id, 'finished', 'outcome', count(*) || ' answers' from an group by 1"),
+    "R2_sections": (lambda s, d: items(s, d).select("root_id", "ordinal", "edge_idx", "target_id", "item_status"), ITEMS + " select root_id, ordinal, edge_idx, target_id, item_status from it"),
+    "R7_render": (lambda s, d: W.render(roots(s, d), items(s, d), B.view(s, d, "nodes")), R7),
+    "J18_ancestors": (lambda s, d: W.ancestors(B.view(s, d, "nodes"), B.view(s, d, "edges")), B.oracle("nodes", "edges") + ", f as (select source_id, min_by(target_id, edge_idx) up from edges where edge_type = 'child_of' group by 1) select id, a.up parent, b.up grandparent from nodes join f a on a.source_id = id left join f b on b.source_id = a.up"),
+    "J20_siblings": (lambda s, d: W.siblings(B.view(s, d, "nodes").filter("node_type = 'persona'"), B.view(s, d, "edges"), "child_of", "parent_of").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("sibling").alias("first_sibling")), B.oracle("nodes", "edges") + ", p as (select distinct n.id, b.target_id sibling from nodes n join edges a on a.source_id = n.id and a.edge_type = 'child_of' join edges b on b.source_id = a.target_id and b.edge_type = 'parent_of' where node_type = 'persona' and b.target_id <> n.id) select id, count(*) n, min(sibling) first_sibling from p group by 1"),
+}
