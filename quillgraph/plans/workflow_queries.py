@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.operators import workflow as W
 from quillgraph.sources import bindings as B
+from quillgraph.sources import markdown as MD
 
 S = SparkSession
 C = F.col
@@ -193,3 +194,17 @@ QUERIES = {
     "J18_ancestors": (lambda s, d: W.ancestors(B.view(s, d, "nodes"), B.view(s, d, "edges")), B.oracle("nodes", "edges") + ", f as (select source_id, min_by(target_id, edge_idx) up from edges where edge_type = 'child_of' group by 1) select id, a.up parent, b.up grandparent from nodes join f a on a.source_id = id left join f b on b.source_id = a.up"),
     "J20_siblings": (lambda s, d: W.siblings(B.view(s, d, "nodes").filter("node_type = 'persona'"), B.view(s, d, "edges"), "child_of", "parent_of").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("sibling").alias("first_sibling")), B.oracle("nodes", "edges") + ", p as (select distinct n.id, b.target_id sibling from nodes n join edges a on a.source_id = n.id and a.edge_type = 'child_of' join edges b on b.source_id = a.target_id and b.edge_type = 'parent_of' where node_type = 'persona' and b.target_id <> n.id) select id, count(*) n, min(sibling) first_sibling from p group by 1"),
 }
+
+
+def round_trip(s: S, d: str) -> DataFrame:
+    """Every node written as Markdown text and read back."""
+    e = B.view(s, d, "edges")
+    nested = e.groupBy(C("source_id").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("edge_idx", C("target_id").alias("target"), C("edge_type").alias("type"), "valid_from", "valid_until", F.lit(None).cast("string").alias("annotation")))), lambda x: x.dropFields("edge_idx")).alias("edges"))
+    n = B.view(s, d, "nodes").join(nested, "id", "left").withColumn("tags", F.array("node_type", F.lit("x")))
+    return MD.parse(MD.serialise(n).select(F.concat("id", F.lit(".md")).alias("file_path"), "content"))
+
+
+QUERIES |= {
+    "S2_parse_markdown": (lambda s, d: round_trip(s, d).select("id", "node_type", "status", "owner", "title", F.array_join("tags", ",").alias("tags"), F.size("edges").cast("long").alias("n_edges"), "content_hash", F.date_format("updated", "yyyy-MM-dd").alias("updated")), B.oracle("nodes", "edges") + " select id, node_type, status, owner, coalesce(nullif(trim(regexp_extract(body, '(?m)^(?:# )+(.*)$', 1)), ''), id) title, node_type || ',x' tags, (select count(*) from edges where source_id = nodes.id) n_edges, sha256(body) content_hash, strftime(updated, '%Y-%m-%d') updated from nodes"),
+    "S5_flatten_edges": (lambda s, d: MD.flatten(round_trip(s, d)).select("source_id", "edge_idx", "target_id", "edge_type", C("valid_from").cast("string").alias("valid_from"), C("valid_until").cast("string").alias("valid_until")), B.oracle("edges") + " select source_id, edge_idx, target_id, edge_type, valid_from::varchar valid_from, valid_until::varchar valid_until from edges"),
+}
