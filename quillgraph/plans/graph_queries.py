@@ -84,17 +84,18 @@ where (valid_from is null or valid_from <= day) and (valid_until is null or vali
 """
 
 
-def roots(s: S, d: str, step: int) -> DataFrame:
-    return B.raw(s, d, "orders").filter(F.col("o_orderkey") % step == 1).select(F.concat(F.lit("o-"), "o_orderkey").alias("root_id"))
+def roots(s: S, d: str) -> DataFrame:
+    """The roots of traversals: every order whose key is divisible by 100."""
+    return B.raw(s, d, "orders").filter(F.col("o_orderkey") % 100 == 0).select(F.concat(F.lit("o-"), "o_orderkey").alias("root_id"))
 
 
-def bfs_sql(step: int, depth: int, types: tuple[str, ...] = (), where: str = "true") -> str:
+def bfs_sql(depth: int, types: tuple[str, ...] = (), where: str = "true") -> str:
     """Breadth-first search unrolled to ``depth`` levels."""
     chosen = f"edge_type in ({', '.join(map(repr, types))})" if types else "true"
     rank = ("case edge_type " + " ".join(f"when '{t}' then {i}" for i, t in enumerate(types)) + " end") if types else "0"
     sql = B.oracle("nodes", "edges") + f""",
  e as (select source_id, target_id, {rank} tp, edge_idx from edges where {chosen} and {where} and {KNOWN}),
- l0 as (select 'o-' || o_orderkey root_id, 'o-' || o_orderkey id, 0 depth, 0 pos, ['o-' || o_orderkey] path from orders where o_orderkey % {step} = 1)"""
+ l0 as (select 'o-' || o_orderkey root_id, 'o-' || o_orderkey id, 0 depth, 0 pos, ['o-' || o_orderkey] path from orders where o_orderkey % 100 = 0)"""
     for k in range(1, depth + 1):
         seen = " union all ".join(f"select root_id, id from l{j}" for j in range(k))
         sql += f""",
@@ -114,12 +115,12 @@ def paths(df: DataFrame) -> DataFrame:
 
 def m3(s: S, d: str) -> DataFrame:
     o = B.raw(s, d, "orders")
-    wanted = o.filter("o_orderkey % 5 = 0").select(F.concat(F.lit("o-"), "o_orderkey").alias("source_id"), F.when(F.col("o_orderkey") % 3 == 0, "uses").otherwise("serves").alias("edge_type"), F.concat(F.when(F.col("o_orderkey") % 2 == 0, "c-").otherwise("p-"), (F.col("o_orderkey") % 1999).cast("string")).alias("target_id"))
+    wanted = o.select(F.concat(F.lit("o-"), "o_orderkey").alias("source_id"), F.when(F.col("o_orderkey") % 3 == 0, "uses").otherwise("serves").alias("edge_type"), F.concat(F.when(F.col("o_orderkey") % 2 == 0, "c-").otherwise("p-"), (F.col("o_orderkey") % 1999).cast("string")).alias("target_id"))
     return M.add_edges(nodes(s, d), edges(s, d), wanted, B.edge_types(s), M.permitted(*schema(s)))
 
 
 M3 = f"""{FULL}, {TRIPLES},
- w as (select 'o-' || o_orderkey source_id, case when o_orderkey % 3 = 0 then 'uses' else 'serves' end edge_type, case when o_orderkey % 2 = 0 then 'c-' else 'p-' end || (o_orderkey % 1999) target_id from orders where o_orderkey % 5 = 0)
+ w as (select 'o-' || o_orderkey source_id, case when o_orderkey % 3 = 0 then 'uses' else 'serves' end edge_type, case when o_orderkey % 2 = 0 then 'c-' else 'p-' end || (o_orderkey % 1999) target_id from orders)
 select w.source_id, w.edge_type, w.target_id, reverse,
   case when sn.id is null then 'no_source' when tn.id is null then 'no_target' when tr.edge_type is null then 'not_allowed' when ex.source_id is not null then 'duplicate' else 'added' end outcome
 from w left join nodes sn on sn.id = w.source_id left join nodes tn on tn.id = w.target_id
@@ -131,11 +132,11 @@ left join edge_types et on et.edge_type = w.edge_type
 
 def m4(s: S, d: str) -> DataFrame:
     e = edges(s, d)
-    out = M.remove_edges(e, e.filter("edge_type = 'uses' and edge_idx % 2 = 0"), B.edge_types(s))
+    out = M.remove_edges(e, e.filter("edge_type = 'uses' and valid_until is not null"), B.edge_types(s))
     return out.groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"), F.min("source_id").alias("first_source"))
 
 
-M4 = f"""{FULL}, u as (select source_id, edge_type, target_id from edges where edge_type = 'uses' and edge_idx % 2 = 0)
+M4 = f"""{FULL}, u as (select source_id, edge_type, target_id from edges where edge_type = 'uses' and valid_until is not null)
 select edge_type, count(*) n, min(source_id) first_source from edges e
 where not exists (select 1 from u where u.source_id = e.source_id and u.edge_type = e.edge_type and u.target_id = e.target_id)
   and not (edge_type = 'used_by' and exists (select 1 from u where u.target_id = e.source_id and u.source_id = e.target_id)) group by 1
@@ -143,12 +144,12 @@ where not exists (select 1 from u where u.source_id = e.source_id and u.edge_typ
 
 
 def m5(s: S, d: str) -> DataFrame:
-    names = B.raw(s, d, "part").filter("p_partkey % 3 = 0").select(F.concat(F.lit("p-"), "p_partkey").alias("old_id"), F.concat(F.lit("part-"), "p_partkey").alias("new_id"))
+    names = B.raw(s, d, "part").select(F.concat(F.lit("p-"), "p_partkey").alias("old_id"), F.concat(F.lit("part-"), "p_partkey").alias("new_id"))
     _, e = M.rename(nodes(s, d), edges(s, d), names)
     return e.select("source_id", "target_id", "edge_type")
 
 
-M5 = B.oracle("edges") + """, m as (select 'p-' || p_partkey o, 'part-' || p_partkey n from part where p_partkey % 3 = 0)
+M5 = B.oracle("edges") + """, m as (select 'p-' || p_partkey o, 'part-' || p_partkey n from part)
 select coalesce(a.n, source_id) source_id, coalesce(b.n, target_id) target_id, edge_type from edges left join m a on a.o = source_id left join m b on b.o = target_id
 """
 
@@ -203,11 +204,11 @@ union all select case when edge_type = 'uses' then 'consumes' else edge_type end
 
 
 def m17(s: S, d: str) -> DataFrame:
-    n, e = M.delete_nodes(nodes(s, d), edges(s, d), B.raw(s, d, "part").filter("p_partkey % 10 = 0").select(F.concat(F.lit("p-"), "p_partkey").alias("id")))
+    n, e = M.delete_nodes(nodes(s, d), edges(s, d), B.raw(s, d, "part").filter("p_size <= 5").select(F.concat(F.lit("p-"), "p_partkey").alias("id")))
     return G.dangling(n, e).groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-M17 = B.oracle("nodes", "edges") + """, g as (select 'p-' || p_partkey id from part where p_partkey % 10 = 0)
+M17 = B.oracle("nodes", "edges") + """, g as (select 'p-' || p_partkey id from part where p_size <= 5)
 select edge_type, count(*) n from edges where source_id not in (select id from g) and (target_id not in (select id from nodes) or target_id in (select id from g)) group by 1
 """
 
@@ -246,7 +247,7 @@ QUERIES = {
     "F5_edges_history": (lambda s, d: G.temporal(edges(s, d), "history").groupBy("edge_type").agg(F.count(F.lit(1)).alias("n")), B.oracle("edges") + "select edge_type, count(*) n from edges group by 1"),
     "F6_visible_nodes": (lambda s, d: nodes(s, d).filter(G.visible()).select("id", "status"), N + "select id, status from nodes where coalesce(status, '') <> 'superseded'"),
     "F7_section_status": (lambda s, d: nodes(s, d).filter("status is null or status in ('active', 'draft')").select("id", "status"), N + "select id, status from nodes where status is null or status in ('active', 'draft')"),
-    "F14_lookup": (lambda s, d: nodes(s, d).join(roots(s, d, 10).withColumnRenamed("root_id", "id"), "id", "left_semi").select("id", T.content_hash(F.col("body")).alias("content_hash"), "node_type"), N + "select id, sha256(body) content_hash, node_type from nodes where id in (select 'o-' || o_orderkey from orders where o_orderkey % 10 = 1)"),
+    "F14_lookup": (lambda s, d: nodes(s, d).join(B.raw(s, d, "orders").select(F.concat(F.lit("o-"), "o_orderkey").alias("id")), "id", "left_semi").select("id", T.content_hash(F.col("body")).alias("content_hash"), "node_type"), N + "select id, sha256(body) content_hash, node_type from nodes where id in (select 'o-' || o_orderkey from orders)"),
     "J1_outgoing": (lambda s, d: G.outgoing(nodes(s, d), edges(s, d), "uses").select("source_id", "edge_idx", "target_id", "target_type", "target_title"), NE + "select source_id, edge_idx, target_id, node_type target_type, title target_title from edges join nodes on id = target_id where edge_type = 'uses'"),
     "J2_incoming": (lambda s, d: G.incoming(edges(s, d), nodes(s, d).filter("node_type = 'epic'")).select("source_id", "target_id", "edge_type"), NE + "select source_id, target_id, edge_type from edges where target_id in (select id from nodes where node_type = 'epic')"),
     "J3_dangling": (lambda s, d: G.dangling(nodes(s, d), edges(s, d)).select("source_id", "target_id", "edge_type"), NE + "select source_id, target_id, edge_type from edges where target_id not in (select id from nodes)"),
@@ -257,9 +258,9 @@ QUERIES = {
     "A1_type_counts": (lambda s, d: G.type_counts(nodes(s, d)), N + "select node_type, count(*) n from nodes group by 1"),
     "A2_graph_totals": (lambda s, d: G.graph_totals(nodes(s, d), edges(s, d)), NE + "select (select count(*) from nodes) n_nodes, (select count(distinct node_type) from nodes) n_types, (select count(*) from edges) n_edges, (select count(*) from (select distinct source_id, target_id, edge_type from edges)) n_distinct_edges"),
     "K2_listing": (lambda s, d: G.listing(nodes(s, d), 50, node_type="feature", status="active").select("id", F.date_format("updated", "yyyy-MM-dd").alias("updated")), N + "select id, strftime(updated, '%Y-%m-%d') updated from nodes where node_type = 'feature' and status = 'active' order by nodes.updated desc nulls last, id limit 50"),
-    "V1_bfs": (lambda s, d: paths(G.bfs(roots(s, d, 1500), nodes(s, d), edges(s, d), 2)), bfs_sql(1500, 2) + f"select {PATHS} from reached"),
-    "V2_bfs_edge_types": (lambda s, d: paths(G.bfs(roots(s, d, 100), nodes(s, d), edges(s, d), 3, ("serves", "child_of", "uses"))), bfs_sql(100, 3, ("serves", "child_of", "uses")) + f"select {PATHS} from reached"),
-    "V3_bfs_scored": (lambda s, d: G.scored(G.bfs(roots(s, d, 3000), nodes(s, d), edges(s, d), 2)).select("root_id", "id", "score"), bfs_sql(3000, 2) + f"select root_id, id, {HOP}::double score from reached"),
-    "V5_traverse_payload": (lambda s, d: G.with_payload(G.bfs(roots(s, d, 100), nodes(s, d), edges(s, d), 2, ("serves", "child_of")), nodes(s, d)).select("root_id", "id", "depth", "node_type", "status", "title"), bfs_sql(100, 2, ("serves", "child_of")) + "select root_id, id, depth, node_type, status, title from reached join nodes using (id)"),
-    "V6_temporal_traverse": (lambda s, d: paths(G.bfs(roots(s, d, 200), nodes(s, d), G.temporal(edges(s, d), "as_of", F.lit(DAY).cast("date")), 2, ("serves", "uses", "child_of"))), bfs_sql(200, 2, ("serves", "uses", "child_of"), AS_OF) + f"select {PATHS} from reached"),
+    "V1_bfs": (lambda s, d: paths(G.bfs(roots(s, d), nodes(s, d), edges(s, d), 2)), bfs_sql(2) + f"select {PATHS} from reached"),
+    "V2_bfs_edge_types": (lambda s, d: paths(G.bfs(roots(s, d), nodes(s, d), edges(s, d), 3, ("serves", "child_of", "uses"))), bfs_sql(3, ("serves", "child_of", "uses")) + f"select {PATHS} from reached"),
+    "V3_bfs_scored": (lambda s, d: G.scored(G.bfs(roots(s, d), nodes(s, d), edges(s, d), 2)).select("root_id", "id", "score"), bfs_sql(2) + f"select root_id, id, {HOP}::double score from reached"),
+    "V5_traverse_payload": (lambda s, d: G.with_payload(G.bfs(roots(s, d), nodes(s, d), edges(s, d), 2, ("serves", "child_of")), nodes(s, d)).select("root_id", "id", "depth", "node_type", "status", "title"), bfs_sql(2, ("serves", "child_of")) + "select root_id, id, depth, node_type, status, title from reached join nodes using (id)"),
+    "V6_temporal_traverse": (lambda s, d: paths(G.bfs(roots(s, d), nodes(s, d), G.temporal(edges(s, d), "as_of", F.lit(DAY).cast("date")), 2, ("serves", "uses", "child_of"))), bfs_sql(2, ("serves", "uses", "child_of"), AS_OF) + f"select {PATHS} from reached"),
 }

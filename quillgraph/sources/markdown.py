@@ -16,7 +16,7 @@ FRONT = r"(?s)\A\s*---[ \t]*\r?\n(.*?)\n---[ \t]*(?:\r?\n(.*))?\z"
 
 def scan(spark: SparkSession, directory: str) -> DataFrame:
     """(file_path, content) of all *.md files below a first level of folders."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").option("wholetext", "true").text(directory)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(directory, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("content"))
 
 
