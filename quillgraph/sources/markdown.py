@@ -50,7 +50,8 @@ def _edges(front: Column) -> Column:
 def parse(files: DataFrame) -> DataFrame:
     """NODES rows of (file_path, content); files without front matter or id are left to :func:`rejected`."""
     front, body = F.regexp_extract("content", FRONT, 1), F.coalesce(F.regexp_extract("content", FRONT, 2), F.lit(""))
-    cut = files.select("file_path", front.alias("front"), body.alias("body")).filter("front <> ''")
+    halves = F.inline(F.array(F.struct(front.alias("front"), body.alias("body"))))  # a generator, so that no field cuts the file again
+    cut = files.select("file_path", halves).filter("front <> ''")
     f = F.col("front")
     node_id = _field(f, "id")
     out = cut.select(

@@ -1,6 +1,7 @@
 """File sources and streaming, driven in steps."""
 
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -68,3 +69,19 @@ def test_windows_and_duplicates(spark, tmp_path):
     assert run(SJ.distinct_ids(SJ.tail(spark, str(folder))), tmp_path, "ids").count() == 3
     days = {str(r.day): r.n for r in run(SJ.daily(SJ.tail(spark, str(folder))), tmp_path, "days", "complete").collect()}
     assert days == {"2024-01-01": 3, "2024-01-02": 1}
+
+
+def test_sessions_close_and_tasks_move(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "worktree string, agent string, id string, ts timestamp, final boolean, status string, updated timestamp"
+    rows = lambda *r: [{"worktree": "w", "agent": "a", "id": i, "ts": f"2024-01-01T00:00:0{k}Z", "final": f, "status": t, "updated": f"2024-01-01T00:00:0{k}Z"} for k, (i, f, t) in enumerate(r)]
+    folder = tmp_path / "in"
+    source = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
+    drop(folder, "1.json", *rows(("e1", False, "x"), ("e2", True, "x")))
+    time.sleep(1.1)  # files go in the order of their times
+    drop(folder, "2.json", *rows(("e3", False, "x")))
+    assert {r.id: r.session_no for r in run(SJ.sessions(source()), tmp_path, "numbers").collect()}["e3"] == 1
+    tasks = tmp_path / "tasks"
+    folder = tasks
+    drop(tasks, "1.json", *rows(("t1", False, "backlog"), ("t1", False, "in_progress"), ("t2", False, "done"), ("t1", False, "in_progress"), ("t1", False, "done")))
+    assert [(r.id, r.kind) for r in run(SJ.task_events(source()), tmp_path, "moves").collect()] == [("t1", "plan"), ("t1", "outcome")]
