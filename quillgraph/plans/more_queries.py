@@ -169,6 +169,65 @@ def t5(s: S, d: str) -> DataFrame:
     return B.view(s, d, "entries").groupBy(F.window("ts", "1 day").alias("w"), "kind").agg(F.count(F.lit(1)).alias("n")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "kind", "n")
 
 
+def corpus(s: S, d: str) -> DataFrame:
+    return SR.corpus(RQ.docs(s, d), "title", "body")
+
+
+def phrase_queries(s: S, d: str) -> DataFrame:
+    return RQ.asked(s, d).select("query_id", F.slice("terms", 1, 2).alias("terms"))
+
+
+def prefix_queries(s: S, d: str) -> DataFrame:
+    return RQ.asked(s, d).select("query_id", F.left(F.element_at("terms", -1), F.lit(3)).alias("prefix")).filter("prefix is not null")
+
+
+def r5(s: S, d: str) -> DataFrame:
+    """A semantic section: each root's nearest others of its type, without the root."""
+    near = RQ.vector_hits(s, d, 30)
+    v = B.view(s, d, "vectors").select("id", "node_type")
+    typed = near.join(v, "id").join(v.select(C("id").alias("query_id"), C("node_type").alias("root_type")), "query_id")
+    return typed.filter("node_type = root_type and id <> query_id").select("query_id", "id", "rank")
+
+
+def r10(s: S, d: str) -> DataFrame:
+    """An issue body: the node's own text, then a folded list for each kind of edge; ends that
+    do not exist stay by id."""
+    n = nodes(s, d).select(C("id").alias("target_id"), C("title").alias("label"))
+    e = edges(s, d).filter(C("source_id").like("o-%")).join(n, "target_id", "left").select("source_id", "edge_type", "edge_idx", F.coalesce("label", "target_id").alias("label"))
+    part = e.groupBy("source_id", "edge_type").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("edge_idx", "label"))), lambda x: F.concat(F.lit("- "), x["label"])), "\n").alias("body"))
+    fold = F.concat(F.lit("<details><summary>"), C("edge_type"), F.lit("</summary>\n"), C("body"), F.lit("\n</details>"))
+    folds = part.groupBy(C("source_id").alias("id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("edge_type", fold.alias("t")))), lambda x: x["t"]), "\n").alias("folds"))
+    return nodes(s, d).filter("node_type = 'feature'").join(folds, "id", "left").select("id", F.sha2(F.concat_ws("\n\n", T.without_title(C("body")), "folds"), 256).alias("payload"))
+
+
+R10 = NE + """, e as (select source_id, edge_type, edge_idx, coalesce(title, target_id) l from edges left join nodes on id = target_id where source_id like 'o-%'),
+ p as (select source_id, edge_type, '<details><summary>' || edge_type || '</summary>' || chr(10) || string_agg('- ' || l, chr(10) order by edge_idx, l) || chr(10) || '</details>' t from e group by 1, 2),
+ f as (select source_id id, string_agg(t, chr(10) order by edge_type) folds from p group by 1)
+select id, sha256(concat_ws(chr(10) || chr(10), regexp_replace(body, '^# [^\\n]*\\n*', ''), folds)) payload from nodes left join f using (id) where node_type = 'feature'"""
+
+
+def g11(s: S, d: str) -> DataFrame:
+    """The top documents for each interview's problem statement."""
+    q = WQ.sessions(s, d).select(C("session_id").alias("query_id"), T.tokens(C("body")).alias("terms"))
+    return SR.bm25(corpus(s, d), q, 20).select("query_id", "id", "rank")
+
+
+def g14(s: S, d: str) -> DataFrame:
+    """Ids asked in a session: exact or by suffix among its own nodes; two hits are an error."""
+    t = WQ.tentative(s, d)
+    ask = t.select("session_id", C("node_type").alias("query")).distinct()
+    own = t.select("session_id", "id", F.regexp_extract("id", "^([a-z]+)-", 1).alias("query")).distinct()
+    return ask.join(own, ["session_id", "query"], "left").groupBy("session_id", "query").agg(F.count("id").alias("n"), F.min("id").alias("id")).select("session_id", "query", F.when(C("n") == 1, C("id")).alias("id"), F.when(C("n") == 1, "found").when(C("n") == 0, "none").otherwise("ambiguous").alias("outcome"))
+
+
+def g15(s: S, d: str) -> DataFrame:
+    """A commit's skipped edges beside the graph's issues."""
+    a = W.commit_plan(WQ.tentative(s, d), WQ.tentative_edges(s, d), nodes(s, d)).filter("outcome = 'skipped'").select(F.lit("skipped_edge").alias("kind"), C("key").alias("detail"))
+    b = M.validate(nodes(s, d), edges(s, d), B.node_types(s), B.allowed_edges(s), B.edge_types(s)).filter("severity = 'error'").select("kind", F.lit("").alias("detail"))
+    return a.unionByName(b).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+CC = "concat_ws(' ', title, body)"
 ORDER = "case status when 'completed' then 0 when 'active' then 1 when 'draft' then 2 else 3 end"
 QUERIES = {
     "S4_schema_tables": (s4, B.oracle("nodes", "node_types", "allowed_edges") + "select n.node_type, n, directory, (select count(*) from allowed_edges a where a.source_type = n.node_type and directory is not null) n_allowed from (select node_type, count(*) n from nodes group by 1) n left join node_types t on t.node_type = n.node_type"),
@@ -212,6 +271,13 @@ select u.*, case when tr.edge_type is not null then 'already_present' when n.nod
     "G13_cascade": (lambda s, d: WQ.tentative_edges(s, d).join(WQ.tentative(s, d).filter("node_type = 'persona'").select("session_id", C("id").alias("target_id"), F.concat(F.lit("new-"), "id").alias("new_id")), ["session_id", "target_id"], "left").select("session_id", "edge_type", F.coalesce("new_id", "target_id").alias("target_id")), WQ.I0 + " select session_id, edge_type, case when target_id in (select id from te where te.session_id = ed.session_id and node_type = 'persona') then 'new-' || target_id else target_id end target_id from ed"),
     "G16_dry_run": (lambda s, d: W.push_plan(WQ.synced_nodes(s, d), WQ.state(s, d)).groupBy("ord").agg(F.count_if(F.expr("action = 'create'")).alias("n_create"), F.count_if(F.expr("action = 'update'")).alias("n_update"), F.count_if(F.expr("action = 'skip'")).alias("n_skip")), WQ.SY + ", a as (select case node_type when 'epic' then 0 when 'feature' then 1 else 2 end ord, case when linear_id is null then 'create' when content_hash = hash_at_sync and node_type <> 'epic' then 'skip' else 'update' end x from sn left join st on node_id = id where node_type in ('epic', 'feature', 'task')) select ord, count(*) filter (x = 'create') n_create, count(*) filter (x = 'update') n_update, count(*) filter (x = 'skip') n_skip from a group by 1"),
     "G17_link": (lambda s, d: nodes(s, d).select("id", F.when(C("node_type").isin(*W.SYNCED), "linked").otherwise("wrong_type").alias("outcome")), N + "select id, case when node_type in ('epic', 'feature', 'task') then 'linked' else 'wrong_type' end outcome from nodes"),
+    "K6_phrases": (lambda s, d: SR.phrases(corpus(s, d), phrase_queries(s, d)), RQ.DOCS + f", x as materialized (select id, {RQ.TOK.format(CC)} w from dx), q as (select id query_id, ({RQ.TOK.format('title')})[1:2] p from dx where id % 100 = 0), y as (select id, unnest(w) a, unnest(list_append(w[2:], null)) b from x) select query_id, id, count(*) n from y join q on a = p[1] and (len(p) = 1 or b = p[2]) group by 1, 2"),
+    "K6_prefixes": (lambda s, d: SR.prefixes(corpus(s, d), prefix_queries(s, d)), RQ.DOCS + f", x as materialized (select id, unnest({RQ.TOK.format(CC)}) t from dx), q as (select id query_id, left(({RQ.TOK.format('title')})[-1], 3) p from dx where id % 100 = 0) select query_id, id, count(*) n from x join q on starts_with(t, p) where p is not null group by 1, 2"),
+    "R5_semantic_section": (r5, RQ.VEC + RQ.knn_sql("vectors", 30) + " select query_id, near.id, rank from near join vectors a on a.id = near.id join vectors b on b.id = query_id where a.node_type = b.node_type and near.id <> query_id"),
+    "R10_issue_payload": (r10, R10),
+    "G11_session_context": (g11, None),
+    "G14_session_ids": (g14, WQ.I0 + ", k as (select session_id, node_type q, count(distinct id) n, min(id) id from te group by 1, 2) select session_id, q as query, case when n = 1 then id end id, case when n = 1 then 'found' else 'ambiguous' end outcome from k"),
+    "G15_commit_then_validate": (g15, None),
     "T5_day_windows": (t5, E + "select strftime(ts, '%Y-%m-%d') as day, kind, count(*) n from entries group by 1, 2"),
     "T2_distinct_ids": (lambda s, d: B.view(s, d, "entries").unionByName(B.view(s, d, "entries").filter("kind = 'plan'")).dropDuplicates(["id"]).select("id", "kind"), E + "select id, kind from entries"),
 }
