@@ -82,7 +82,7 @@ def layout(n: int, radius: int = RADIUS) -> list[list[tuple[int, int]]]:
 def _planes(block: np.ndarray) -> np.ndarray:
     """(blocks, 64) fingerprints to (64, blocks) bit planes: lane l of plane i is bit i of member l."""
     bits = np.unpackbits(block.view(np.uint8).reshape(len(block), BITS, 8), axis=2, bitorder="little")
-    return np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little").view(np.uint64)[:, :, 0]
+    return np.packbits(np.ascontiguousarray(bits.transpose(2, 0, 1)), axis=2, bitorder="little").view(np.uint64)[:, :, 0]
 
 
 def _within(planes: np.ndarray, block: np.ndarray, query: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
