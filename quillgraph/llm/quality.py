@@ -89,21 +89,9 @@ def votes(m: Column) -> list[Column]:
     ]
 
 
-def score(docs: DataFrame, text: str = "text", threshold: float = 0.5, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row for each row of ``docs``: the columns ``keep``, the counts, the votes,
-    ``base_failed``, ``quality`` (the posterior) and ``kept``.
-
-    A null or empty text has no words and fails the base rules. Repeated rows each
-    get a row, with equal results. Other columns of ``docs`` are not read. An empty
-    table gives an empty result.
-
-    One pass over the texts writes the counts to the checkpoint folder (a few dozen
-    bytes a document); the vote patterns are counted over all documents and only
-    these counts, at most 3 ** 7, come to the driver."""
-    measured = checkpoint(docs.select(*keep, measures(F.col(text)).alias("_m")))
-    voted = measured.withColumn("_v", F.array(*[v.cast("int") for v in votes(F.col("_m"))]))
-    counts = {tuple(r["_v"]): float(r["n"]) for r in voted.groupBy("_v").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return judged(voted, weak.fit(counts), threshold, keep)
+def ballot(m: Column) -> Column:
+    """The votes of all rules as an array."""
+    return F.array(*[v.cast("int") for v in votes(m)])
 
 
 def lookup(posterior: dict[tuple[int, ...], float], key: Column) -> Column:
@@ -114,28 +102,50 @@ def lookup(posterior: dict[tuple[int, ...], float], key: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), F.concat_ws(",", F.transform(key, lambda v: v.cast("string"))))
 
 
-def judged(voted: DataFrame, posterior: dict[tuple[int, ...], float], threshold: float, keep: tuple[str, ...]) -> DataFrame:
-    m, n = F.col("_m"), F.col("_m.w.n_words")
-    failed = (n < MIN_WORDS) | (100 * m["w"]["n_repeat_words"] > MAX_REPEAT_PERCENT * n)
-    return voted.select(
-        *keep,
-        n.alias("n_words"),
+def failed(m: Column) -> Column:
+    """The base rules."""
+    n = m["w"]["n_words"]
+    return (n < MIN_WORDS) | (100 * m["w"]["n_repeat_words"] > MAX_REPEAT_PERCENT * n)
+
+
+def score(docs: DataFrame, text: str = "text", threshold: float = 0.5, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row for each row of ``docs``: the columns ``keep``, the counts, ``base_failed``,
+    ``quality`` (the posterior) and ``kept``.
+
+    A null or empty text has no words and fails the base rules. Repeated rows each
+    get a row, with equal results. Other columns of ``docs`` are not read. An empty
+    table gives an empty result.
+
+    One pass over the texts writes the counts to the checkpoint folder (a few dozen
+    bytes a document); the vote patterns are counted over all documents and only
+    these counts, at most 3 ** 7, come to the driver."""
+    measured = checkpoint(docs.select(*[F.col(f"`{c}`") for c in keep], measures(F.col(f"`{text}`")).alias("_m")))
+    voted = measured.withColumn("_v", ballot(F.col("_m")))
+    m = F.col("_m")
+    judged = voted.select(
+        *[F.col(f"`{c}`") for c in keep],
+        m["w"]["n_words"].alias("n_words"),
         m["w"]["word_chars"].alias("word_chars"),
         m["n_symbols"].alias("n_symbols"),
         m["l"]["n_dup_lines"].alias("n_dup_lines"),
         m["w"]["n_repeat_words"].alias("n_repeat_words"),
-        failed.alias("base_failed"),
-        lookup(posterior, F.col("_v")).alias("quality"),
-    ).withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("quality"), F.lit(0.0)) >= threshold))
+        failed(m).alias("base_failed"),
+        lookup(fitted(voted.select("_v")), F.col("_v")).alias("quality"),
+    )
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("quality"), F.lit(0.0)) >= threshold))
+
+
+def fitted(ballots: DataFrame) -> dict[tuple[int, ...], float]:
+    """Posteriors of the vote patterns in the column ``_v``."""
+    counts = ballots.groupBy("_v").agg(F.count(F.lit(1)).alias("n")).collect()
+    return weak.fit({tuple(r["_v"]): float(r["n"]) for r in counts})
 
 
 def filter_docs(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that :func:`score` keeps, with their columns as they were.
 
-    The texts are read twice (to fit and to filter) rather than shuffled."""
-    stats = F.array(*[v.cast("int") for v in votes(F.col("_m"))])
-    counted = docs.select(measures(F.col(text)).alias("_m")).groupBy(stats.alias("_v")).agg(F.count(F.lit(1)).alias("n")).collect()
-    posterior = weak.fit({tuple(r["_v"]): float(r["n"]) for r in counted})
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    voted = docs.select(row.alias("_row"), measures(F.col(text)).alias("_m")).withColumn("_v", stats)
-    return judged(voted, posterior, threshold, ("_row",)).filter("kept").select("_row.*")
+    The texts are read twice (to fit and to filter) rather than shuffled; each pass binds
+    a text's counts once, and the filter is one expression over them."""
+    t = measures(F.col(f"`{text}`"))
+    posterior = fitted(docs.select(let(t, ballot).alias("_v")))
+    return docs.filter(let(t, lambda m: ~failed(m) & (F.coalesce(lookup(posterior, ballot(m)), F.lit(0.0)) >= threshold)))
