@@ -8,13 +8,14 @@ histograms' chosen bins, never rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillgraph.llm._spark import checkpoint
+from quillgraph.llm._spark import checkpoint, let
 
 #: Bins of a histogram and how often the chosen bin is cut again: 12 bits of a coordinate each time.
 BIN_BITS = 12
@@ -23,11 +24,11 @@ ROUNDS = 4
 
 @dataclass
 class Node:
-    """Rows in ``where``; leaves carry their first shard number, inner nodes are split further."""
+    """Rows whose coordinates satisfy ``where``; it gives ``shards`` shards from number ``first`` on."""
 
     first: int
     shards: int
-    where: Column
+    where: Callable[[Column], Column]
 
 
 def size_of(text: Column) -> Column:
@@ -68,7 +69,7 @@ def _compact(docs: DataFrame, id_col: str, text: str, dimensions: tuple[str, ...
 
 def _cuts(rows: DataFrame, level: list[Node], dims: int) -> list[tuple[int, int]]:
     """(dimension, cut) for each node of a level: rows below the cut go left."""
-    numbered = F.coalesce(*[F.when(n.where, F.lit(k)) for k, n in enumerate(level)])
+    numbered = F.coalesce(*[F.when(n.where(F.col("x")), F.lit(k)) for k, n in enumerate(level)])
     spread = rows.groupBy(numbered.alias("node")).agg(
         F.sum("size").alias("bytes"),
         *[F.min(F.get("x", d)).alias(f"lo{d}") for d in range(dims)],
@@ -87,7 +88,7 @@ def _cuts(rows: DataFrame, level: list[Node], dims: int) -> list[tuple[int, int]
         step = [max(1, -(-w >> BIN_BITS)) for w in width]
         if all(w <= 1 for w in width):
             break
-        at = F.coalesce(*[F.when(n.where, F.when(F.get("x", axis[k]).between(low[k], low[k] + width[k] - 1), F.lit(k) * (1 << BIN_BITS + 1) + F.floor((F.get("x", axis[k]) - low[k]) / step[k]))) for k, n in enumerate(level)])
+        at = F.coalesce(*[F.when(n.where(F.col("x")), F.when(F.get("x", axis[k]).between(low[k], low[k] + width[k] - 1), F.lit(k) * (1 << BIN_BITS + 1) + F.floor((F.get("x", axis[k]) - low[k]) / step[k]))) for k, n in enumerate(level)])
         bins = rows.groupBy(at.alias("bin")).agg(F.sum("size").alias("bytes")).filter("bin is not null")
         running = F.sum("bytes").over(Window.partitionBy(F.expr(f"shiftright(bin, {BIN_BITS + 1})")).orderBy("bin"))
         goal = F.coalesce(*[F.when(F.expr(f"shiftright(bin, {BIN_BITS + 1})") == k, F.lit(float(target[k]))) for k in range(len(level))])
@@ -109,7 +110,7 @@ def _cuts(rows: DataFrame, level: list[Node], dims: int) -> list[tuple[int, int]
 def tree(rows: DataFrame, shards: int, dims: int) -> list[Node]:
     """The leaves, in shard order."""
     leaves: list[Node] = []
-    level = [Node(0, shards, F.lit(True))]
+    level = [Node(0, shards, lambda x: F.lit(True))]
     while level:
         leaves += [n for n in level if n.shards == 1]
         level = [n for n in level if n.shards > 1]
@@ -117,16 +118,15 @@ def tree(rows: DataFrame, shards: int, dims: int) -> list[Node]:
             break
         nodes = []
         for n, (axis, cut) in zip(level, _cuts(rows, level, dims), strict=True):
-            left = F.get("x", axis) < cut
-            nodes.append(Node(n.first, n.shards // 2, n.where & left))
-            nodes.append(Node(n.first + n.shards // 2, n.shards - n.shards // 2, n.where & ~left))
+            nodes.append(Node(n.first, n.shards // 2, lambda x, w=n.where, a=axis, c=cut: w(x) & (F.get(x, a) < c)))
+            nodes.append(Node(n.first + n.shards // 2, n.shards - n.shards // 2, lambda x, w=n.where, a=axis, c=cut: w(x) & (F.get(x, a) >= c)))
         level = nodes
     return sorted(leaves, key=lambda n: n.first)
 
 
-def number_of(leaves: list[Node]) -> Column:
-    """The shard of a row with coordinates ``x``."""
-    return F.coalesce(*[F.when(n.where, F.lit(n.first)) for n in leaves]).cast("int")
+def number_of(leaves: list[Node], x: Column) -> Column:
+    """The shard of a row with the coordinates ``x``, which are computed once."""
+    return let(x, lambda v: F.coalesce(*[F.when(n.where(v), F.lit(n.first)) for n in leaves]).cast("int"))
 
 
 def with_slots(rows: DataFrame, order: list[str]) -> DataFrame:
@@ -155,13 +155,12 @@ def assign(docs: DataFrame, shards: int = 40, target_bytes: int | None = None, i
     if target_bytes:
         shards = max(1, -(-(rows.agg(F.sum("size")).first()[0] or 0) // target_bytes))
     leaves = tree(rows, shards, len(dimensions))
-    return with_slots(rows.select("id", "size", "crc", number_of(leaves).alias("shard")), ["crc", "id"])
+    return with_slots(rows.select("id", "size", "crc", number_of(leaves, F.col("x")).alias("shard")), ["crc", "id"])
 
 
 def shard_docs(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text: str = "text", dimensions: tuple[str, ...] = ("source", "lang", "n_chars")) -> DataFrame:
     """``docs`` with ``shard`` added: the tree is fitted on compact rows, then applied to
     each row where it is, without a shuffle of texts. A column named shard is replaced."""
     leaves = tree(checkpoint(_compact(docs, id_col, text, dimensions)), shards, len(dimensions))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "shard"])
-    placed = docs.select(row.alias("_row"), coordinates(docs, id_col, text, dimensions).alias("x"))
-    return placed.select("_row.*", number_of(leaves).alias("shard"))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != "shard"]
+    return docs.select(*kept, number_of(leaves, coordinates(docs, id_col, text, dimensions)).alias("shard"))

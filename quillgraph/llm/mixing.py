@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillgraph.llm._spark import checkpoint, words
+from quillgraph.llm._spark import checkpoint, let, words
 
 AXES = ("source", "lang", "topic")
 ITERATIONS = 10
@@ -105,8 +105,10 @@ def sample(rows: DataFrame, table: DataFrame) -> DataFrame:
 
 def mix_docs(docs: DataFrame, alpha: float = 0.9, id_col: str = "doc_id", text: str = "text", iterations: int = ITERATIONS) -> DataFrame:
     """The rows of ``docs`` that :func:`weigh` keeps, with their columns as they were."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    t, n = F.col(f"`{text}`"), token_count(F.col(f"`{text}`"))
+    t = F.col(f"`{text}`")
     named = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
-    rows = docs.select(row, F.col(f"`{id_col}`").alias("id"), named("source").alias("source"), named("lang").alias("lang"), n.alias("tokens"), topic_of(t, n).alias("topic"))
+    marks = let(token_count(t), lambda n: F.struct(n.alias("tokens"), topic_of(t, n).alias("topic")))  # one split of the text
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(row, F.col(f"`{id_col}`").alias("id"), named("source").alias("source"), named("lang").alias("lang"), marks.alias("_m"))
+    rows = rows.select("_row", "id", "source", "lang", F.col("_m.tokens").alias("tokens"), F.col("_m.topic").alias("topic"))
     return sample(rows, factors(rows.drop("_row"), alpha, iterations)).filter("kept").select("_row.*")
