@@ -20,6 +20,8 @@ from quillgraph.llm._spark import checkpoint, let
 #: Bins of a histogram and how often the chosen bin is cut again: 12 bits of a coordinate each time.
 BIN_BITS = 12
 ROUNDS = 4
+#: Equal texts stay in one shard while together they have at most this share of its bytes.
+WHOLE = 0.02
 
 
 @dataclass
@@ -36,15 +38,11 @@ def size_of(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long")
 
 
-def coordinates(docs: DataFrame, id_col: str, text: str, dimensions: tuple[str, ...]) -> Column:
-    """An array with one 48-bit coordinate a dimension.
-
-    A coordinate has the value's rank bits on top (24), then 12 bits of the text's hash,
-    then 12 of the id's: no value, not even one that all rows share, is too heavy to
-    split, and equal texts stay side by side until a cut has to go through them."""
-    h = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    copies = F.shiftrightunsigned(h, 52)
-    single = F.shiftrightunsigned(F.xxhash64(F.col(f"`{id_col}`"), h), 52)
+def _axes(docs: DataFrame, text: str, dimensions: tuple[str, ...]) -> list[Column]:
+    """A 48-bit coordinate a dimension, its last 12 bits still 0.
+
+    The value's rank bits are on top (24), then 12 bits of the text's hash."""
+    copies = F.shiftrightunsigned(_text_hash(text), 52)
     axes = []
     for d in dimensions:
         value = F.col(f"`{d}`")
@@ -52,19 +50,48 @@ def coordinates(docs: DataFrame, id_col: str, text: str, dimensions: tuple[str,
             top = F.shiftrightunsigned(F.xxhash64(F.coalesce(value.cast("string"), F.lit(""))), 40)
         else:  # a log scale for counts
             top = F.least(F.lit(float((1 << 24) - 1)), F.log2(F.greatest(F.coalesce(value.cast("double"), F.lit(0.0)), F.lit(0.0)) + 1) * (1 << 18)).cast("long")
-        axes.append(top * (1 << 24) + copies * (1 << 12) + single)
-    return F.array(*axes)
+        axes.append(top * (1 << 24) + copies * (1 << 12))
+    return axes
+
+
+def _text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+
+
+def _single(id_col: str, text: str) -> Column:
+    """12 bits of a row's own: with them no value, not even one that all rows share, is too heavy to split."""
+    return F.shiftrightunsigned(F.xxhash64(F.col(f"`{id_col}`"), _text_hash(text)), 52)
+
+
+def coordinates(docs: DataFrame, id_col: str, text: str, dimensions: tuple[str, ...]) -> Column:
+    """An array with one coordinate a dimension."""
+    return F.array(*[a + _single(id_col, text) for a in _axes(docs, text, dimensions)])
+
 
+def _compact(docs: DataFrame, id_col: str, text: str, dimensions: tuple[str, ...], shards: int | None, target_bytes: int | None) -> tuple[DataFrame, int]:
+    """A compact row for each document (id, size, CRC, coordinates) and the number of shards.
 
-def _compact(docs: DataFrame, id_col: str, text: str, dimensions: tuple[str, ...]) -> DataFrame:
-    """A compact row for each document: id, size, CRC and coordinates."""
+    Rows of equal texts take the least coordinates among them and no bits of their own, so that
+    no cut parts them, as long as they weigh at most WHOLE of a shard together; heavier
+    groups are split like any other rows. Only sums and the least coordinates of a group are
+    gathered, never its rows."""
     t = F.col(f"`{text}`")
-    return docs.select(
-        F.col(f"`{id_col}`").alias("id"),
-        size_of(t).alias("size"),
-        F.crc32(F.coalesce(t, F.lit("")).cast("binary")).alias("crc"),
-        coordinates(docs, id_col, text, dimensions).alias("x"),
+    rows = checkpoint(
+        docs.select(
+            F.col(f"`{id_col}`").alias("id"),
+            size_of(t).alias("size"),
+            F.crc32(F.coalesce(t, F.lit("")).cast("binary")).alias("crc"),
+            _text_hash(text).alias("h"),
+            F.array(*_axes(docs, text, dimensions)).alias("x"),
+            _single(id_col, text).alias("own"),
+        )
     )
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    count = shards if target_bytes is None else max(1, -(-total // target_bytes))
+    groups = rows.groupBy("h").agg(F.sum("size").alias("bytes"), F.min("x").alias("least"), F.count(F.lit(1)).alias("n"))
+    light = groups.filter((F.col("n") > 1) & (F.col("bytes") <= WHOLE * total / count)).select("h", "least")
+    own = F.transform("x", lambda v: v + F.col("own"))
+    return checkpoint(rows.join(light, "h", "left").select("id", "size", "crc", F.coalesce("least", own).alias("x"))), count
 
 
 def _cuts(rows: DataFrame, level: list[Node], dims: int) -> list[tuple[int, int]]:
@@ -146,21 +173,22 @@ def with_slots(rows: DataFrame, order: list[str]) -> DataFrame:
 def assign(docs: DataFrame, shards: int = 40, target_bytes: int | None = None, id_col: str = "doc_id", text: str = "text", dimensions: tuple[str, ...] = ("source", "lang", "n_chars")) -> DataFrame:
     """(id, size, crc, shard, slot) for each row of ``docs``; shards have near-equal bytes.
 
-    With ``target_bytes`` the number of shards follows from the total instead. Null
+    Equal texts go to one shard while they weigh little of it together. With ``target_bytes``
+    the number of shards follows from the total instead. Null
     metadata is a value of its own (an empty category, a count of 0); a null text has
     16 bytes and CRC 0. Repeated rows are placed one by one: rows alike in all
     dimensions, text and id share a coordinate and so a shard. Other columns are not
     read. An empty table gives an empty result."""
-    rows = checkpoint(_compact(docs, id_col, text, dimensions))
-    if target_bytes:
-        shards = max(1, -(-(rows.agg(F.sum("size")).first()[0] or 0) // target_bytes))
-    leaves = tree(rows, shards, len(dimensions))
+    rows, count = _compact(docs, id_col, text, dimensions, shards, target_bytes)
+    leaves = tree(rows, count, len(dimensions))
     return with_slots(rows.select("id", "size", "crc", number_of(leaves, F.col("x")).alias("shard")), ["crc", "id"])
 
 
 def shard_docs(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text: str = "text", dimensions: tuple[str, ...] = ("source", "lang", "n_chars")) -> DataFrame:
     """``docs`` with ``shard`` added: the tree is fitted on compact rows, then applied to
-    each row where it is, without a shuffle of texts. A column named shard is replaced."""
-    leaves = tree(checkpoint(_compact(docs, id_col, text, dimensions)), shards, len(dimensions))
+    each row where it is, without a shuffle of texts. Equal texts are not held together here
+    (the pipeline has none left). A column named shard is replaced."""
+    x = coordinates(docs, id_col, text, dimensions)
+    leaves = tree(checkpoint(docs.select(size_of(F.col(f"`{text}`")).alias("size"), x.alias("x"))), shards, len(dimensions))
     kept = [F.col(f"`{c}`") for c in docs.columns if c != "shard"]
-    return docs.select(*kept, number_of(leaves, coordinates(docs, id_col, text, dimensions)).alias("shard"))
+    return docs.select(*kept, number_of(leaves, x).alias("shard"))
