@@ -234,3 +234,31 @@ def ancestors(nodes: DataFrame, edges: DataFrame, edge_type: str = "child_of") -
     one = nodes.join(first, nodes["id"] == first["source_id"]).select("id", F.col("up").alias("parent"))
     two = first.select(F.col("source_id").alias("parent"), F.col("up").alias("grandparent"))
     return one.join(two, "parent", "left").select("id", "parent", "grandparent")
+
+
+def full_sync(nodes: DataFrame, issues: DataFrame, state: DataFrame) -> DataFrame:
+    """One plan of (step, id, action): local changes go first, then remote ones that are not already pushed."""
+    push = push_plan(nodes, state)
+    pull = pull_plan(issues, state, nodes)
+    sent = push.filter("action = 'update'").select(F.col("linear_id").alias("id"))
+    return push.select(F.lit("push").alias("step"), "id", "action").unionByName(pull.join(sent, "id", "left_anti").select(F.lit("pull").alias("step"), "id", "action"))
+
+
+def session_report(sessions: DataFrame, tentative: DataFrame, answers: DataFrame) -> DataFrame:
+    """For each session and node type the node ids, how many still need work, and a preview of the first
+    body's first three lines; with the number of answers."""
+    needs = T.needs_marker(F.col("body"))
+    preview = F.array_join(F.slice(F.split("body", "\n"), 1, 3), "\n")
+    kinds = tentative.groupBy("session_id", "node_type").agg(F.array_join(F.sort_array(F.collect_list("id")), ",").alias("ids"), F.count_if(needs).alias("n_needs"), F.min_by(preview, "id").alias("preview"))
+    count = answers.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_answers"))
+    return sessions.select("session_id", "phase").join(kinds, "session_id").join(count, "session_id", "left").select("session_id", "phase", "node_type", "ids", "n_needs", "preview", F.coalesce("n_answers", F.lit(0)).cast("long").alias("n_answers"))
+
+
+def store_sizes(files: DataFrame) -> DataFrame:
+    """Bytes, files and latest change of each snapshot (snapshot_key, length, modified)."""
+    return files.groupBy("snapshot_key").agg(F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("n_files"), F.max("modified").alias("modified"))
+
+
+def needs_rebuild(stored: str | None, wanted: str) -> bool:
+    """An index without a readable version, or of another one, is built anew."""
+    return stored != wanted

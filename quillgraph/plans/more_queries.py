@@ -17,6 +17,7 @@ from quillgraph.plans import retrieval_queries as RQ
 from quillgraph.plans import workflow_queries as WQ
 from quillgraph.sources import bindings as B
 from quillgraph.sources import markdown as MD
+from quillgraph.streaming import journal as SJ
 
 S = SparkSession
 C = F.col
@@ -227,6 +228,21 @@ def g15(s: S, d: str) -> DataFrame:
     return a.unionByName(b).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def t7(s: S, d: str) -> DataFrame:
+    """The batch twin of the stateful stream, with event types as statuses."""
+    moved = J.transitions(B.raw(s, d, "events"), "user_id", "event_type", "ts", "event_id")
+    kind = F.when(C("event_type") == "view", "plan").when(C("event_type") == "purchase", "outcome").when(C("event_type") == "error", "risk")
+    return moved.select("user_id", "event_id", kind.alias("kind")).filter("kind is not null")
+
+
+RED = "detail"
+for _name, _pattern in T.SECRET_RULES.items():
+    RED = f"regexp_replace({RED}, '{_pattern}', '<REDACTED:{_name}>', 'g')"
+G10 = WQ.SY + """, pu as (select id, linear_id, case when linear_id is null then 'create' when content_hash = hash_at_sync and node_type <> 'epic' then 'skip' else 'update' end as action from sn left join st on node_id = id where node_type in ('epic', 'feature', 'task')),
+ pl as (select iu.id, case when st.node_id is null then case when pa.linear_id is not null then 'import' else 'ignore' end when iu.updated_at <= st.updated_at then 'unchanged' when content_hash <> st.hash_at_sync then 'conflict' when archived then 'archived' when remote_status is not null and remote_status is distinct from sn.status then 'status_change' else 'touched' end as action
+   from iu left join st on st.linear_id = iu.id left join sn on sn.id = st.node_id left join st pa on pa.linear_id = iu.parent
+   where iu.id not in (select linear_id from pu where action = 'update' and linear_id is not null))
+select 'push' step, action, count(*) n, min(id) first_id from pu group by action union all select 'pull', action, count(*), min(id) from pl group by action"""
 CC = "concat_ws(' ', title, body)"
 ORDER = "case status when 'completed' then 0 when 'active' then 1 when 'draft' then 2 else 3 end"
 QUERIES = {
@@ -278,6 +294,13 @@ select u.*, case when tr.edge_type is not null then 'already_present' when n.nod
     "G11_session_context": (g11, None),
     "G14_session_ids": (g14, WQ.I0 + ", k as (select session_id, node_type q, count(distinct id) n, min(id) id from te group by 1, 2) select session_id, q as query, case when n = 1 then id end id, case when n = 1 then 'found' else 'ambiguous' end outcome from k"),
     "G15_commit_then_validate": (g15, None),
+    "G10_full_sync": (lambda s, d: W.full_sync(WQ.synced_nodes(s, d), WQ.issues(s, d), WQ.state(s, d)).groupBy("step", "action").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")), G10),
+    "G12_session_report": (lambda s, d: W.session_report(WQ.sessions(s, d), WQ.tentative(s, d), WQ.answers(s, d)), WQ.I0 + ", k as (select session_id, node_type, string_agg(id, ',' order by id) ids, count(*) filter (regexp_matches(body, '(?im)^\\s*needs:')) n_needs, min_by(array_to_string(string_split(body, chr(10))[1:3], chr(10)), id) preview from te group by 1, 2) select session_id, phase, node_type, ids, n_needs, preview, (select count(*) from an where an.session_id = se.session_id) n_answers from se join k using (session_id)"),
+    "A20_store_sizes": (lambda s, d: W.store_sizes(B.raw(s, d, "pages").select(F.regexp_extract("url", "//([^/?#]+)", 1).alias("snapshot_key"), F.octet_length("html").cast("long").alias("length"), C("page_id").alias("modified"))), "select regexp_extract(url, '//([^/?#]+)', 1) snapshot_key, sum(strlen(html))::bigint bytes, count(*) n_files, max(page_id) modified from pages group by 1"),
+    "S11_session_list": (lambda s, d: WQ.sessions(s, d).join(WQ.answers(s, d).groupBy("session_id").agg(F.max("turn").alias("last_turn")), "session_id", "left").withColumn("place", F.row_number().over(Window.partitionBy("phase").orderBy(F.desc_nulls_last("last_turn"), "session_id"))).select("session_id", "phase", "place"), WQ.I0 + ", l as (select session_id, max(turn) t from an group by 1) select session_id, phase, (row_number() over (partition by phase order by t desc nulls last, session_id))::int place from se left join l using (session_id)"),
+    "S6_json_lines": (lambda s, d: B.raw(s, d, "events").select(F.to_json(F.struct(F.concat(F.lit("e-"), "event_id").alias("id"), "ts", C("event_type").alias("kind"))).alias("line"), "event_id").select("event_id", F.from_json("line", "id string, ts timestamp, kind string").alias("e")).select("event_id", "e.id", "e.kind", F.date_format("e.ts", "yyyy-MM-dd HH:mm:ss").alias("ts")), "select event_id, 'e-' || event_id id, event_type kind, strftime(ts, '%Y-%m-%d %H:%M:%S') ts from events"),
+    "T7_task_events": (t7, "with x as (select *, lag(event_type) over (partition by user_id order by ts, event_id) prior from events) select user_id, event_id, case event_type when 'view' then 'plan' when 'purchase' then 'outcome' when 'error' then 'risk' end kind from x where prior <> event_type and event_type in ('view', 'purchase', 'error')"),
+    "T10_checked": (lambda s, d: SJ.checked(B.view(s, d, "docs").select("id", C("title").alias("summary"), C("body").alias("detail"), F.when(C("node_type") == "en", "decision").otherwise("finding").alias("kind"))).select("id", "reason", F.sha2("detail", 256).alias("h")), D + ", x as (select id, title summary, body detail, case node_type when 'en' then 'decision' else 'finding' end kind from docs) select id, case when length(trim(summary)) < 20 then 'summary_short' when length(trim(summary)) > 200 then 'summary_long' when kind = 'decision' and length(trim(detail)) < 50 then 'detail_short' end reason, sha256(" + RED + ") h from x"),
     "T5_day_windows": (t5, E + "select strftime(ts, '%Y-%m-%d') as day, kind, count(*) n from entries group by 1, 2"),
     "T2_distinct_ids": (lambda s, d: B.view(s, d, "entries").unionByName(B.view(s, d, "entries").filter("kind = 'plan'")).dropDuplicates(["id"]).select("id", "kind"), E + "select id, kind from entries"),
 }
