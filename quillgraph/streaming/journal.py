@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from quillgraph.functions import text as T
+from quillgraph.operators import embed as E
 from quillgraph.operators import journal as J
 from quillgraph.sources.schema import ENTRY_DDL
 
@@ -116,3 +117,16 @@ def ingest(entries: DataFrame, table: str, rejects: str, checkpoint: str) -> Str
         rows.filter(bad).write.mode("overwrite").parquet(f"{rejects}/batch={number}")
 
     return entries.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def embed_new(entries: DataFrame, table: str, checkpoint: str, embedder: E.Embedder | None = None) -> StreamingQuery:
+    """Vectors for the new entries of each batch worth one; the entries themselves are written elsewhere,
+    so a failure here loses no entry, and a batch that runs again replaces its vectors."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        text = T.embedding_text(F.col("summary"), F.col("detail"))
+        rows = batch.filter(F.col("kind").isin(*J.EMBEDDED_KINDS)).select(F.sha2(text, 256).alias("content_hash"), text.alias("text"))
+        none = batch.sparkSession.createDataFrame([], "content_hash string, model string, dim int, embedding array<float>")
+        E.fill(none, rows, embedder).write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    return entries.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
+from quillgraph.functions.stem import stems
 from quillgraph.operators import journal as J
 from quillgraph.operators import search as R
 from quillgraph.operators import workflow as W
@@ -74,3 +75,10 @@ def test_retention(spark):
     s = spark.createDataFrame([(f"k{k}", 100 * (1 + (k == 4) * 9), k, k == 0) for k in range(8)], "snapshot_key string, bytes long, modified long, pinned boolean")
     got = {r.snapshot_key: r.reason for r in W.retention(s, 2, 600).collect()}
     assert got == {"k0": "pinned", "k7": "recent", "k6": "recent", "k5": "under_cap", "k4": "evict", "k3": "under_cap", "k2": "under_cap", "k1": "evict"}
+
+
+def test_porter_stems(spark):
+    want = "caresses caress|ponies poni|cats cat|feed feed|agreed agre|motoring motor|sing sing|conflated conflat|troubled troubl|hopping hop|falling fall|filing file|happy happi|sky sky|relational relat|rational ration|digitizer digit|decisiveness decis|triplicate triplic|electrical electr|goodness good|revival reviv|adjustable adjust|replacement replac|adoption adopt|probate probat|rate rate|controll control|roll roll|Éclairs eclair"
+    pairs = [p.split() for p in want.split("|")]
+    got = {r.id: r.stem for r in stems(spark.createDataFrame([(w, w) for w, _ in pairs], "id string, body string")).collect()}
+    assert got == {w: s for w, s in pairs}

@@ -85,3 +85,10 @@ def test_sessions_close_and_tasks_move(spark, tmp_path):
     folder = tasks
     drop(tasks, "1.json", *rows(("t1", False, "backlog"), ("t1", False, "in_progress"), ("t2", False, "done"), ("t1", False, "in_progress"), ("t1", False, "done")))
     assert [(r.id, r.kind) for r in run(SJ.task_events(source()), tmp_path, "moves").collect()] == [("t1", "plan"), ("t1", "outcome")]
+
+
+def test_new_entries_are_embedded(spark, tmp_path):
+    drop(tmp_path / "in", "1.jsonl", entry(1, 1), entry(2, 1, summary="another summary, long enough to be kept"), entry(3, 1, kind="plan"))
+    SJ.embed_new(SJ.tail(spark, str(tmp_path / "in")), str(tmp_path / "v"), str(tmp_path / "cp")).awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "v")).collect()
+    assert len(got) == 2 and all(abs(sum(x * x for x in r.embedding) - 1) < 1e-6 for r in got)
