@@ -48,8 +48,8 @@ def tokens(text: str | None) -> list[bytes]:
     return WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
 
 
-def prepare(rows: list[tuple[str, str | None]], window: int = WINDOW) -> Items | None:
-    """The distinct windows of the items and, for each, the items that have it; None without any."""
+def prepare(rows: list[tuple[str, str | None]], window: int = WINDOW) -> Items:
+    """The distinct windows of the items and, for each, the items that have it."""
     vocabulary: dict[bytes, int] = {}
     names = sorted({name for name, _ in rows})
     number = {name: k for k, name in enumerate(names)}
@@ -58,24 +58,22 @@ def prepare(rows: list[tuple[str, str | None]], window: int = WINDOW) -> Items |
         ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in tokens(text)]
         for k in range(max(1, len(ids) - window + 1)) if ids else ():
             found.setdefault(tuple(ids[k : k + window]), set()).add(number[name])
-    if not found:
-        return None
     keys = sorted(found)
     low = np.zeros((len(keys), window), ">u4")
     high = np.full((len(keys), window), 0xFFFFFFFF, ">u4")
     for k, key in enumerate(keys):
         low[k, : len(key)] = high[k, : len(key)] = key
     owners = [sorted(found[key]) for key in keys]
-    sizes = np.array([len(o) for o in owners])
+    sizes = np.array([len(o) for o in owners], np.int64)
     return Items(
         vocabulary,
         _sortable(low),
         _sortable(high),
-        np.array([len(key) for key in keys]),
+        np.array([len(key) for key in keys], np.int64),
         np.r_[0, np.cumsum(sizes)],
-        np.concatenate(owners),
+        np.array([k for o in owners for k in o], np.int64),
         names,
-        min(map(len, keys)),
+        min(map(len, keys), default=window),
     )
 
 
@@ -201,7 +199,7 @@ def annotate(
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in now.schema])
     for k in range(passes):
         part = sized.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).select(F.col("item_id").cast("string"), "text")
-        items = prepare([(r[0], r[1]) for r in part.collect()]) or Items({}, *(np.zeros(0, "S52") for _ in "ab"), *(np.zeros(n, np.int64) for n in (0, 1, 0)), [], WINDOW)
+        items = prepare([(r[0], r[1]) for r in part.collect()])
         shared = spark.sparkContext.broadcast(items)
         now = now.mapInArrow(lambda batches, shared=shared: _pass(batches, shared, block_words), schema)
     length = F.transform("spans", lambda x, k: F.when(k % 2 == 1, x - F.get("spans", k - 1)))
