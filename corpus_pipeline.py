@@ -18,6 +18,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SHARDS = 40
 #: Source, language and topic shares go to tokens ** 0.9: a gentle flattening of the mixture.
 ALPHA = 0.9
+#: The expected share of tokens that the mixing stage of run_budget keeps.
+BUDGET = 0.95
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,6 +42,11 @@ def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return mixing.mix_docs(docs.select(*COLUMNS), alpha=ALPHA)
 
 
+def mixing_budget(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As :func:`mixing_weights`, scaled to the token budget: rare cells are kept whole and thin no others."""
+    return mixing.mix_docs(docs.select(*COLUMNS), alpha=ALPHA, budget=BUDGET)
+
+
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``shard``: a leaf of the k-d tree, 0 to 39, of near-equal bytes."""
     return kdshard.shard_docs(docs.select(*COLUMNS), SHARDS)
@@ -58,9 +65,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir, STAGES)
+
+
+def run_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pipeline with :func:`mixing_budget` as its fourth stage."""
+    return _run(spark, sf_dir, [(name, mixing_budget if name == "mixing" else stage) for name, stage in STAGES])
+
+
+def _run(spark: SparkSession, sf_dir: str, stages: list) -> DataFrame:
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillgraph-pipeline-")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (name, stage) in enumerate(stages):
         out = f"{base}/pipeline-{uuid.uuid4().hex}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)

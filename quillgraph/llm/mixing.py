@@ -2,7 +2,9 @@
 
 Token counts are summed into cells of (source, language, topic); the cells' weights
 are raked until their sums over each of the three match its target shares. A document's
-sampling probability is its cell's factor, scaled so that the largest is 1."""
+sampling probability is its cell's factor, scaled so that the largest is 1 or, with a
+token budget, so that the expected tokens are that share of all: then cells whose scaled
+factor passes 1 are kept whole, and no small cell sets the rate of the others."""
 
 from __future__ import annotations
 
@@ -73,7 +75,7 @@ def uniform(id_col: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def weigh(docs: DataFrame, alpha: float = 0.7, id_col: str = "doc_id", text: str = "text", topic: str | None = None, iterations: int = ITERATIONS, keep: tuple[str, ...] = ()) -> DataFrame:
+def weigh(docs: DataFrame, alpha: float = 0.7, id_col: str = "doc_id", text: str = "text", topic: str | None = None, iterations: int = ITERATIONS, keep: tuple[str, ...] = (), budget: float | None = None) -> DataFrame:
     """(id, source, lang, topic, tokens, probability, kept and ``keep``) for each row of ``docs``.
 
     ``kept`` is drawn by the id alone, so a run can be repeated and repeated rows share
@@ -84,17 +86,38 @@ def weigh(docs: DataFrame, alpha: float = 0.7, id_col: str = "doc_id", text: str
     named = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
     base = docs.select(F.col(f"`{id_col}`").alias("id"), named("source").alias("source"), named("lang").alias("lang"), token_count(t).alias("tokens"), *([named(topic).alias("_topic")] if topic else []), t.alias("_text"), *keep)
     rows = base.withColumn("topic", F.col("_topic") if topic else topic_of(F.col("_text"), F.col("tokens"))).drop("_text", "_topic")
-    return sample(rows, factors(rows, alpha, iterations))
+    return sample(rows, factors(rows, alpha, iterations, budget))
 
 
-def factors(rows: DataFrame, alpha: float, iterations: int = ITERATIONS) -> DataFrame:
-    """(source, lang, topic, probability) for each cell of ``rows``."""
+def factors(rows: DataFrame, alpha: float, iterations: int = ITERATIONS, budget: float | None = None) -> DataFrame:
+    """(source, lang, topic, probability) for each cell of ``rows``.
+
+    ``budget``: the expected share of all tokens to keep; without one the largest factor becomes 1."""
     raked = rake(checkpoint(tempered(checkpoint(cells(rows)), alpha)), iterations)
-    share = raked.select(*AXES, (F.col("weight") / F.col("tokens")).alias("factor"))
+    share = raked.select(*AXES, "tokens", (F.col("weight") / F.col("tokens")).alias("factor"))
+    if budget is not None:
+        share = checkpoint(share)  # read once a round of the scale's search
+        return share.select(*AXES, F.least(F.lit(1.0), F.col("factor") * F.lit(scale(share, budget))).alias("probability"))
     top = share.agg(F.max("factor")).first()[0] or 1.0
     return share.select(*AXES, (F.col("factor") / F.lit(top)).alias("probability"))
 
 
+def scale(share: DataFrame, budget: float) -> float:
+    """The c of which min(1, c * factor) keeps ``budget`` of the tokens of ``share`` (tokens, factor).
+
+    Cells that pass 1 are taken whole and the rest of the budget is dealt to the others,
+    until no more pass: the set only grows, so the rounds end. Sums alone come to the driver."""
+    if not 0.0 < budget <= 1.0:
+        raise ValueError("budget is a share of the tokens: above 0 and at most 1")
+    c, whole = 0.0, -1
+    while True:
+        full = F.col("factor") * F.lit(c) >= 1.0
+        n, cells_n, fixed, loose, total = share.agg(F.count_if(full), F.count(F.lit(1)), F.coalesce(F.sum(F.when(full, F.col("tokens"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~full, F.col("tokens") * F.col("factor"))), F.lit(0.0)), F.sum("tokens")).first()
+        if n == whole or n == cells_n:
+            return c
+        whole, c = n, max(c, (budget * total - fixed) / loose)
+
+
 def sample(rows: DataFrame, table: DataFrame) -> DataFrame:
     """Joins each row to its cell (the cells' table is broadcast if Spark finds it small
     enough; beyond that Spark splits hot sources) and draws."""
@@ -103,7 +126,7 @@ def sample(rows: DataFrame, table: DataFrame) -> DataFrame:
     return joined.withColumn("probability", p).withColumn("kept", uniform(F.col("id")) < p)
 
 
-def mix_docs(docs: DataFrame, alpha: float = 0.9, id_col: str = "doc_id", text: str = "text", iterations: int = ITERATIONS) -> DataFrame:
+def mix_docs(docs: DataFrame, alpha: float = 0.9, id_col: str = "doc_id", text: str = "text", iterations: int = ITERATIONS, budget: float | None = None) -> DataFrame:
     """The rows of ``docs`` that :func:`weigh` keeps, with their columns as they were."""
     t = F.col(f"`{text}`")
     named = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
@@ -111,4 +134,4 @@ def mix_docs(docs: DataFrame, alpha: float = 0.9, id_col: str = "doc_id", text:
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     rows = docs.select(row, F.col(f"`{id_col}`").alias("id"), named("source").alias("source"), named("lang").alias("lang"), marks.alias("_m"))
     rows = rows.select("_row", "id", "source", "lang", F.col("_m.tokens").alias("tokens"), F.col("_m.topic").alias("topic"))
-    return sample(rows, factors(rows.drop("_row"), alpha, iterations)).filter("kept").select("_row.*")
+    return sample(rows, factors(rows.drop("_row"), alpha, iterations, budget)).filter("kept").select("_row.*")

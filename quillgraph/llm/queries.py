@@ -82,6 +82,15 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select(F.col("id").alias("doc_id"), "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"), "kept")
 
 
+#: The expected share of tokens that op7_mixing_budget keeps.
+OP7_BUDGET = 0.85
+
+
+def op7_mixing_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.weigh(table(spark, sf_dir, "documents"), alpha=0.7, budget=OP7_BUDGET)
+    return drawn.select(F.col("id").alias("doc_id"), "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"), "kept")
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
@@ -106,6 +115,7 @@ def queries() -> dict[str, Query]:
         "op5_sharding": op5_sharding,
         "op6_license_scan": op6_license_scan,
         "op7_mixing": op7_mixing,
+        "op7_mixing_budget": op7_mixing_budget,
         "op8_chat_format": op8_chat_format,
         "op9_quality_rules": op9_quality_rules,
         "op10_html_text": op10_html_text,
