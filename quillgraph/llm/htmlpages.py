@@ -12,10 +12,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from quillgraph.llm._spark import by_value
+from quillgraph.llm._spark import by_value, let
 
 by_value(__name__)
 TAG = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|textarea|iframe|title)\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL | re.IGNORECASE)
@@ -168,13 +168,19 @@ def main_text(page: list[tuple[str, int]], other: list[tuple[str, int]] | None)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (host, path, page_id): each page against the one before it on its host,
-    or the one after it if it has none before; two pages are held at a time."""
-    last: tuple[str, list[tuple[str, int]]] | None = None  # the page before, its host
-    waiting: tuple[object, object, list[tuple[str, int]]] | None = None  # a host's first page
+    """Rows sorted by (bucket, host, path, page_id): each page against the one before it on its host,
+    or the one after it if it has none before; two pages are held at a time.
+
+    A bucket's rows of ``context`` are its neighbours in the buckets beside it: read, not returned."""
+    last: tuple[tuple[int, str], list[tuple[str, int]]] | None = None  # the page before, its bucket and host
+    waiting: tuple[object, object, bool, list[tuple[str, int]]] | None = None  # a host's first page
     kinds: pa.Schema | None = None
     done: list[tuple[object, object, str]] = []
 
+    def add(page: object, url: object, context: bool, own: list[tuple[str, int]], other: list[tuple[str, int]] | None) -> None:
+        if not context:
+            done.append((page, url, main_text(own, other)))
+
     def out() -> pa.RecordBatch:
         ids, urls, texts = zip(*done, strict=True)
         done.clear()
@@ -186,42 +192,75 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kinds = batch.schema
         for k in range(batch.num_rows):
-            page, url, host = (batch.column(c)[k].as_py() for c in ("page_id", "url", "host"))
+            page, url, host, bucket, context = (batch.column(c)[k].as_py() for c in ("page_id", "url", "host", "bucket", "context"))
             now = lines(batch.column("html")[k].as_py())
-            first = last is None or last[0] != host
+            first = last is None or last[0] != (bucket, host)
             if waiting is not None:
-                done.append((*waiting[:2], main_text(waiting[2], None if first else now)))
+                add(*waiting, None if first else now)
                 waiting = None
             if first:
-                waiting = (page, url, now)
+                waiting = (page, url, context, now)
             else:
-                done.append((page, url, main_text(now, last[1])))
-            last = (host, now)
+                add(page, url, context, now, last[1])
+            last = ((bucket, host), now)
         if done:
             yield out()
     if waiting is not None:
-        done.append((*waiting[:2], main_text(waiting[2], None)))
+        add(*waiting, None)
+    if done:
         yield out()
 
 
+ORDER = ("host", "path", "page_id")
+#: Ranges of keys for each partition, so that partitions made of whole ranges are of near-equal size.
+RANGES = 4
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first and the last row of a partition."""
+    first = last = None
+    for batch in batches:
+        if batch.num_rows:
+            first = batch.slice(0, 1) if first is None else first
+            last = batch.slice(batch.num_rows - 1, 1)
+    if first is not None:
+        yield from (first, last)
+
+
+def _bounds(keys: DataFrame, n: int) -> list[tuple[Row, Row]]:
+    """The first and last key of each of ``n`` ranges (fewer if some are empty), in order."""
+    kind = ", ".join(f"{c} {keys.schema[c].dataType.simpleString()}" for c in ORDER)
+    ends = keys.repartitionByRange(n, *ORDER).sortWithinPartitions(*ORDER).mapInArrow(_ends, kind).collect()
+    return list(zip(ends[::2], ends[1::2], strict=True))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of ``pages`` (page_id, url, html).
 
-    Pages are range-partitioned by (host, path, page_id), so a host with a third of all
-    pages lies in as many partitions as it needs; a partition's first page is aligned
-    with the page after it, as a host's first page is. Null html is an empty page; a page
+    Pages are dealt into ranges of (host, path, page_id), so a host with a third of all
+    pages lies in as many partitions as it needs. The ranges' ends come from a pass over the
+    keys alone (two keys a range come to the driver); the last page of a range goes to the next
+    range too and its first page to the one before, so each page meets the same neighbour
+    whatever the partitions are. Null html is an empty page; a page
     of null URL belongs to the host ''. Character references are decoded, white space
     inside a line becomes one space, lines are joined by one space. Repeated rows each
     get a row. Other columns are not read; an empty table gives an empty result."""
     url = F.coalesce(F.col("url"), F.lit(""))
-    rows = pages.select(
-        "page_id",
-        "url",
-        F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)).alias("host"),
-        F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1).alias("path"),
-        "html",
-    )
-    order = ("host", "path", "page_id")
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)).alias("host")
+    path = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1).alias("path")
     kind = pages.schema["page_id"].dataType.simpleString()
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ends = _bounds(pages.select(host, path, "page_id"), RANGES * n)
+    key = lambda r: F.struct(F.lit(r["host"]).alias("host"), F.lit(r["path"]).alias("path"), F.lit(r["page_id"]).cast(kind).alias("page_id"))
+    firsts = F.array(*[key(a) for a, _ in ends[1:]]) if ends[1:] else F.array().cast(f"array<struct<host: string, path: string, page_id: {kind}>>")
+    lasts = F.array(*[key(b) for _, b in ends[:-1]]) if ends[1:] else firsts
+
+    def places(k: Column) -> Column:
+        """The key's own bucket, the next one if it is the last key of its bucket, the one before if it is the first."""
+        place = lambda b, c: F.struct(b.cast("int").alias("bucket"), F.lit(c).alias("context"))
+        return let(F.size(F.filter(firsts, lambda f: f <= k)), lambda b: F.array_compact(F.array(place(b, False), F.when(F.get(lasts, b) == k, place(b + 1, True)), F.when(F.get(firsts, b - 1) == k, place(b - 1, True)))))
+
+    at = let(F.struct(host, path, F.col("page_id")), lambda k: F.transform(places(k), lambda p: F.struct(p["bucket"].alias("bucket"), p["context"].alias("context"), k["host"].alias("host"), k["path"].alias("path"))))
+    rows = pages.select("page_id", "url", F.explode(at).alias("_at"), "html").select("page_id", "url", "_at.*", "html")
+    ranged = rows.repartitionByRange(n, "bucket").sortWithinPartitions("bucket", *ORDER)
     return ranged.mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")

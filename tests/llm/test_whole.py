@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.llm import mixing
+from quillgraph.llm import htmlpages, mixing
 
 
 @pytest.mark.parametrize("budget", [0.3, 0.8, 1.0])
@@ -19,3 +19,21 @@ def test_a_rare_cell_does_not_thin_the_others(spark, budget):
     assert kept == pytest.approx(budget, abs=0.03)
     assert mixing.mix_docs(d, alpha=0.7, budget=budget).count() == got.filter("kept").count()
     assert mixing.weigh(d.limit(0), budget=budget).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_pages_meet_their_neighbours_across_partitions(spark, parts):
+    page = lambda k: f"<body><div>Acme daily</div><div>Section A</div><p>story {k}</p><div>All about Acme</div></body>"
+    rows = [(k, f"http://h{k // 2:02}.com/{k % 2}" if k < 20 else f"http://z.com/{k:03}", page(k)) for k in range(60)]
+    rows += [(None, "http://h00.com/9", page("last")), (99, None, page(99))]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = htmlpages.extract(d).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == len(rows)
+    text = {r.page_id: r.text for r in got}
+    assert text.pop(99) == "Acme daily Section A story 99 All about Acme" and text.pop(None) == "story last"
+    assert text == {k: f"story {k}" for k in range(60)}
