@@ -190,6 +190,14 @@ def r5(s: S, d: str) -> DataFrame:
     return typed.filter("node_type = root_type and id <> query_id").select("query_id", "id", "rank")
 
 
+def r5_typed(s: S, d: str) -> DataFrame:
+    """Each root's 30 nearest others among all vectors of its type."""
+    v = B.view(s, d, "vectors")
+    near = SR.nearest(v, v.filter("id % 100 = 0").select(C("id").alias("query_id"), "node_type", "embedding"), 31, within="node_type").filter("id <> query_id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    return near.select("query_id", "id", rank.alias("rank")).filter("rank <= 30")
+
+
 def r10(s: S, d: str) -> DataFrame:
     """An issue body: the node's own text, then a folded list for each kind of edge; ends that
     do not exist stay by id."""
@@ -290,6 +298,7 @@ select u.*, case when tr.edge_type is not null then 'already_present' when n.nod
     "K6_phrases": (lambda s, d: SR.phrases(corpus(s, d), phrase_queries(s, d)), RQ.DOCS + f", x as materialized (select id, {RQ.TOK.format(CC)} w from dx), q as (select id query_id, ({RQ.TOK.format('title')})[1:2] p from dx where id % 100 = 0), y as (select id, unnest(w) a, unnest(list_append(w[2:], null)) b from x) select query_id, id, count(*) n from y join q on a = p[1] and (len(p) = 1 or b = p[2]) group by 1, 2"),
     "K6_prefixes": (lambda s, d: SR.prefixes(corpus(s, d), prefix_queries(s, d)), RQ.DOCS + f", x as materialized (select id, unnest({RQ.TOK.format(CC)}) t from dx), q as (select id query_id, left(({RQ.TOK.format('title')})[-1], 3) p from dx where id % 100 = 0) select query_id, id, count(*) n from x join q on starts_with(t, p) where p is not null group by 1, 2"),
     "R5_semantic_section": (r5, RQ.VEC + RQ.knn_sql("vectors", 30) + " select query_id, near.id, rank from near join vectors a on a.id = near.id join vectors b on b.id = query_id where a.node_type = b.node_type and near.id <> query_id"),
+    "R5_typed_section": (r5_typed, RQ.VEC + ", p as (select a.id query_id, b.id, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) similarity from vectors a join vectors b on a.node_type = b.node_type and a.id <> b.id where a.id % 100 = 0) select query_id, id, (row_number() over (partition by query_id order by round(similarity, 9) desc, id))::int rank from p qualify rank <= 30"),
     "R10_issue_payload": (r10, R10),
     "G11_session_context": (g11, None),
     "G14_session_ids": (g14, WQ.I0 + ", k as (select session_id, node_type q, count(distinct id) n, min(id) id from te group by 1, 2) select session_id, q as query, case when n = 1 then id end id, case when n = 1 then 'found' else 'ambiguous' end outcome from k"),
