@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillgraph.functions import text as T
+from quillgraph.operators.search import skip_budget
 
 
 def filtered(entries: DataFrame, kinds: Sequence[str] = (), since: Column | None = None, tags: Sequence[str] = (), refs: Sequence[str] = ()) -> DataFrame:
@@ -109,6 +110,29 @@ def _newest(hits: DataFrame, key: str, now: Column, n: int) -> DataFrame:
     return boosted(distinct_summaries(pulled, [key], [F.col("_at")]), now).select(key, "id", "ts", F.round("score", 6).alias("score"))
 
 
+def range_digest(entries: DataFrame, commits: DataFrame, now: Column, limit: int = 50, budget: int = 4000) -> DataFrame:
+    """For each range of commits (range_id, sha) the newest ``limit`` distinct entries within a
+    token budget: (range_id, id, ts, score, detail)."""
+    return _digest(entries.join(commits.select("range_id", F.col("sha").alias("head")).distinct(), "head"), "range_id", now, limit, budget)
+
+
+def path_digest(entries: DataFrame, paths: DataFrame, now: Column, limit: int = 50, budget: int = 4000) -> DataFrame:
+    """As :func:`range_digest` for each path (path, id, ts, score, detail)."""
+    touched = entries.withColumn("path", F.explode(F.array_distinct("files")))
+    return _digest(touched.join(paths.select("path").distinct(), "path"), "path", now, limit, budget)
+
+
+def _digest(hits: DataFrame, key: str, now: Column, limit: int, budget: int) -> DataFrame:
+    """The newest max(40, 4 * limit) of each key, then dedup, the token budget and only then the limit."""
+    rn = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("ts"), "id"))
+    pulled = hits.withColumn("rank", rn).filter(F.col("rank") <= max(40, 4 * limit))
+    single = distinct_summaries(pulled, [key], [F.col("rank")])
+    fitted = skip_budget(single.select(F.col(key).alias("query_id"), "id", "rank", "summary", "detail"), budget)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    kept = fitted.withColumn("_place", place).filter(F.col("_place") <= limit).select(F.col("query_id").alias(key), "id", "detail")
+    return boosted(single.drop("detail").join(kept, [key, "id"]), now).select(key, "id", "ts", F.round("score", 6).alias("score"), "detail")
+
+
 def unreferenced(nodes: DataFrame, entries: DataFrame, node_type: str, status: str) -> DataFrame:
     """Nodes of a type and status that no entry refers to."""
     named = entries.select(F.explode("refs").alias("id")).distinct()

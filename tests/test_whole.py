@@ -32,3 +32,22 @@ def test_typed_section_is_whole(spark, sf):
 
 def test_typed_section_twin(spark, sf, duck):
     test_oracle.test_same_rows(spark, sf, duck, "R5_typed_section")
+
+
+def test_digests_look_past_repeats(spark):
+    at = datetime(2024, 1, 1)
+    rows = [(f"e{k:03}", at - timedelta(hours=k), "same" if k < 60 else f"other {k}", "x" * 40, "finding", "h", ["hot"]) for k in range(300)]
+    e = spark.createDataFrame(rows, "id string, ts timestamp, summary string, detail string, kind string, head string, files array<string>")
+    now = F.lit("2024-01-02").cast("timestamp")
+    got = J.path_digest(e, spark.createDataFrame([("hot",)], "path string"), now).collect()
+    assert sorted(r.id for r in got) == ["e000"] + [f"e{k:03}" for k in range(60, 109)]
+    c = spark.createDataFrame([("r", "h")], "range_id string, sha string")
+    assert J.range_digest(e, c, now).count() == 50
+    # 2 + 11 tokens, 3 + 11, and 3 for a third summary without its detail
+    assert sorted((r.id, r.detail is None) for r in J.range_digest(e, c, now, budget=30).collect()) == [("e000", False), ("e060", False), ("e061", True)]
+    assert J.by_commits(e, c, now).count() == 1
+
+
+def test_hot_paths_have_digests(spark, sf):
+    paths = {r.path for r in registry.queries()["K13_path_digest"](spark, sf).select("path").distinct().collect()}
+    assert {"src/g0.py", "src/g1.py", "src/g2.py"} <= paths
