@@ -178,6 +178,11 @@ def phrase_queries(s: S, d: str) -> DataFrame:
     return RQ.asked(s, d).select("query_id", F.slice("terms", 1, 2).alias("terms"))
 
 
+def title_phrases(s: S, d: str) -> DataFrame:
+    """Whole titles as phrases."""
+    return SR.phrases(corpus(s, d), RQ.asked(s, d))
+
+
 def prefix_queries(s: S, d: str) -> DataFrame:
     return RQ.asked(s, d).select("query_id", F.left(F.element_at("terms", -1), F.lit(3)).alias("prefix")).filter("prefix is not null")
 
@@ -296,6 +301,7 @@ select u.*, case when tr.edge_type is not null then 'already_present' when n.nod
     "G16_dry_run": (lambda s, d: W.push_plan(WQ.synced_nodes(s, d), WQ.state(s, d)).groupBy("ord").agg(F.count_if(F.expr("action = 'create'")).alias("n_create"), F.count_if(F.expr("action = 'update'")).alias("n_update"), F.count_if(F.expr("action = 'skip'")).alias("n_skip")), WQ.SY + ", a as (select case node_type when 'epic' then 0 when 'feature' then 1 else 2 end ord, case when linear_id is null then 'create' when content_hash = hash_at_sync and node_type <> 'epic' then 'skip' else 'update' end x from sn left join st on node_id = id where node_type in ('epic', 'feature', 'task')) select ord, count(*) filter (x = 'create') n_create, count(*) filter (x = 'update') n_update, count(*) filter (x = 'skip') n_skip from a group by 1"),
     "G17_link": (lambda s, d: nodes(s, d).select("id", F.when(C("node_type").isin(*W.SYNCED), "linked").otherwise("wrong_type").alias("outcome")), N + "select id, case when node_type in ('epic', 'feature', 'task') then 'linked' else 'wrong_type' end outcome from nodes"),
     "K6_phrases": (lambda s, d: SR.phrases(corpus(s, d), phrase_queries(s, d)), RQ.DOCS + f", x as materialized (select id, {RQ.TOK.format(CC)} w from dx), q as (select id query_id, ({RQ.TOK.format('title')})[1:2] p from dx where id % 100 = 0), y as (select id, unnest(w) a, unnest(list_append(w[2:], null)) b from x) select query_id, id, count(*) n from y join q on a = p[1] and (len(p) = 1 or b = p[2]) group by 1, 2"),
+    "K6_whole_phrases": (title_phrases, None),
     "K6_prefixes": (lambda s, d: SR.prefixes(corpus(s, d), prefix_queries(s, d)), RQ.DOCS + f", x as materialized (select id, unnest({RQ.TOK.format(CC)}) t from dx), q as (select id query_id, left(({RQ.TOK.format('title')})[-1], 3) p from dx where id % 100 = 0) select query_id, id, count(*) n from x join q on starts_with(t, p) where p is not null group by 1, 2"),
     "R5_semantic_section": (r5, RQ.VEC + RQ.knn_sql("vectors", 30) + " select query_id, near.id, rank from near join vectors a on a.id = near.id join vectors b on b.id = query_id where a.node_type = b.node_type and near.id <> query_id"),
     "R5_typed_section": (r5_typed, RQ.VEC + ", p as (select a.id query_id, b.id, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) similarity from vectors a join vectors b on a.node_type = b.node_type and a.id <> b.id where a.id % 100 = 0) select query_id, id, (row_number() over (partition by query_id order by round(similarity, 9) desc, id))::int rank from p qualify rank <= 30"),

@@ -99,6 +99,7 @@ QUERIES = {
     "P11_first_line": (lambda s, d: docs(s, d).select("id", T.first_line(C("body")).alias("line")), D + f"select id, {LINE1} line from docs"),
     "P12_slug": (lambda s, d: docs(s, d).select("id", T.slug(C("title")).alias("slug")), D + ", x as (select id, replace(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' ', '-') j from docs) select id, case when length(j) <= 50 then j when contains(left(j, 51), '-') then regexp_replace(left(j, 51), '-[^-]*$', '') else left(j, 50) end slug from x"),
     "P13_query_terms": (lambda s, d: docs(s, d).select("id", F.array_join(T.query_terms(F.substring("title", 1, 60)), "|").alias("terms")), D + "select id, array_to_string(list_filter(list_transform(regexp_split_to_array(substr(title, 1, 60), '\\s+'), lambda t: regexp_replace(t, '[^\\p{L}\\p{N}_-]', '', 'g')), lambda t: t <> ''), '|') terms from docs"),
+    "P13_whole_titles": (lambda s, d: docs(s, d).select("id", F.array_join(T.query_terms(C("title")), "|").alias("terms")), D + "select id, array_to_string(list_filter(list_transform(regexp_split_to_array(title, '\\s+'), lambda t: regexp_replace(t, '[^\\p{L}\\p{N}_-]', '', 'g')), lambda t: t <> ''), '|') terms from docs"),
     "P14_tokens": (lambda s, d: docs(s, d).select(F.explode(T.tokens(C("body"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")), D + "select term, count(*) n from (select unnest(list_filter(regexp_split_to_array(lower(body), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) term from docs) group by 1"),
     "P14_stems": (lambda s, d: stems(docs(s, d)).groupBy("stem").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df")), None),
     "P17_recency": (lambda s, d: events(s, d).select("event_id", F.round(T.recency(C("ts"), F.lit("2024-01-15").cast("timestamp")), 6).alias("recency")), "select event_id, round(case when ts >= timestamp '2024-01-15' then 0.5 else 0.5 * pow(2.0, -(epoch(timestamp '2024-01-15') - floor(epoch(ts))) / 86400.0 / 14.0) end, 6)::double recency from events"),

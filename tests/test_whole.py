@@ -32,6 +32,7 @@ def test_typed_section_is_whole(spark, sf):
 
 def test_typed_section_twin(spark, sf, duck):
     test_oracle.test_same_rows(spark, sf, duck, "R5_typed_section")
+    test_oracle.test_same_rows(spark, sf, duck, "P13_whole_titles")
 
 
 def test_digests_look_past_repeats(spark):
@@ -51,3 +52,13 @@ def test_digests_look_past_repeats(spark):
 def test_hot_paths_have_digests(spark, sf):
     paths = {r.path for r in registry.queries()["K13_path_digest"](spark, sf).select("path").distinct().collect()}
     assert {"src/g0.py", "src/g1.py", "src/g2.py"} <= paths
+
+
+def test_whole_phrases(spark, sf):
+    words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    title = {i: words(t.split("\n")[0]) for i, t in docs.items()}
+    joined = {i: " " + "  ".join(title[i] + words(t)) + " " for i, t in docs.items()}
+    want = {(q, i) for q, p in title.items() if q % 100 == 0 and p for i, x in joined.items() if " " + "  ".join(p) + " " in x}
+    got = registry.queries()["K6_whole_phrases"](spark, sf).collect()
+    assert {(r.query_id, r.id) for r in got} == want and any(len(title[q]) > 2 for q, _ in want)
