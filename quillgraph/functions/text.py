@@ -82,6 +82,17 @@ def summary(body: Column, limit: int) -> Column:
     return F.when(F.length(one) <= limit, one).otherwise(F.concat(F.regexp_replace(F.left(one, F.lit(limit)), r"\s\S*$", ""), F.lit("...")))
 
 
+def body_summary(body: Column, limit: int) -> Column:
+    """P10: the first paragraph after leading headings and blank lines, its lines joined by a space,
+    cut at the last space within ``limit`` with "..."."""
+    blank = lambda x: ~x.rlike(r"(?U)\S")
+    place = lambda xs, test: F.array_position(F.transform(xs, test), True).cast("int")
+    after = lambda xs: let(place(xs, lambda x: ~(x.startswith("#") | blank(x))), lambda i: F.when(i > 0, F.slice(xs, i, F.size(xs))).otherwise(F.array().cast("array<string>")))
+    before = lambda xs: let(place(xs, blank), lambda i: F.when(i > 0, F.slice(xs, F.lit(1), i - 1)).otherwise(xs))
+    text = F.array_join(let(let(F.split(F.coalesce(body, F.lit("")), "\r?\n", -1), after), before), " ")
+    return let(text, lambda t: F.when(F.length(t) <= limit, t).otherwise(F.concat(F.regexp_replace(F.left(t, F.lit(limit)), " [^ ]*$", ""), F.lit("..."))))
+
+
 def first_line(body: Column) -> Column:
     """The first non-empty line, without leading "# "."""
     lines = F.filter(F.split(F.coalesce(body, F.lit("")), "\n", -1), lambda x: F.trim(x) != "")

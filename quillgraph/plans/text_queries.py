@@ -96,6 +96,7 @@ QUERIES = {
     "P8_body_section": (lambda s, d: nodes(s, d).select("id", T.body_section(C("body"), "Notes").alias("section")), N + "select id, case when contains(body, chr(10) || '## Notes' || chr(10)) then trim(split_part(body, '## Notes' || chr(10), 2)) end section from nodes"),
     "P9_first_paragraph": (lambda s, d: nodes(s, d).select("id", F.sha2(T.without_title(C("body")), 256).alias("rest"), T.first_paragraph(C("body"), 20).alias("lead")), N + ", x as (select id, regexp_replace(body, '^# [^\\n]*\\n*', '') r from nodes), y as (select id, r, trim(regexp_replace(split_part(r, chr(10) || '##', 1), '\\s+$', '')) p from x) select id, sha256(r) rest, case when length(p) > 20 then left(p, 17) || '...' else p end lead from y"),
     "P10_summary": (lambda s, d: docs(s, d).select("id", T.summary(C("body"), 40).alias("summary")), D + f", x as (select id, {LINE1} l from docs) select id, case when length(l) <= 40 then l else regexp_replace(left(l, 40), '\\s\\S*$', '') || '...' end summary from x"),
+    "P10_body_summary": (lambda s, d: docs(s, d).select("id", T.body_summary(C("body"), 40).alias("summary")), None),
     "P11_first_line": (lambda s, d: docs(s, d).select("id", T.first_line(C("body")).alias("line")), D + f"select id, {LINE1} line from docs"),
     "P12_slug": (lambda s, d: docs(s, d).select("id", T.slug(C("title")).alias("slug")), D + ", x as (select id, replace(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' ', '-') j from docs) select id, case when length(j) <= 50 then j when contains(left(j, 51), '-') then regexp_replace(left(j, 51), '-[^-]*$', '') else left(j, 50) end slug from x"),
     "P13_query_terms": (lambda s, d: docs(s, d).select("id", F.array_join(T.query_terms(F.substring("title", 1, 60)), "|").alias("terms")), D + "select id, array_to_string(list_filter(list_transform(regexp_split_to_array(substr(title, 1, 60), '\\s+'), lambda t: regexp_replace(t, '[^\\p{L}\\p{N}_-]', '', 'g')), lambda t: t <> ''), '|') terms from docs"),

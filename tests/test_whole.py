@@ -62,3 +62,10 @@ def test_whole_phrases(spark, sf):
     want = {(q, i) for q, p in title.items() if q % 100 == 0 and p for i, x in joined.items() if " " + "  ".join(p) + " " in x}
     got = registry.queries()["K6_whole_phrases"](spark, sf).collect()
     assert {(r.query_id, r.id) for r in got} == want and any(len(title[q]) > 2 for q, _ in want)
+
+
+def test_body_summary_takes_the_first_paragraph(spark):
+    cases = [("# Title\n\n## More\nfirst line\nsecond line\n\nother", "first line second line"), (None, ""), ("# only", ""), ("a\r\nb", "a b"), ("  lead\n \t\nx", "  lead"), ("one two three four five six seven eight nine ten", "one two three four five six seven eight..."), ("y" * 50, "y" * 40 + "...")]
+    d = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "k int, t string")
+    got = {r.k: r.s for r in d.select("k", T.body_summary(F.col("t"), 40).alias("s")).collect()}
+    assert got == {k: w for k, (_, w) in enumerate(cases)}
