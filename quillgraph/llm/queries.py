@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), *[f"n_{k}" for k in pii.KINDS], F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+    return found.select(F.col("id").alias("doc_id"), *[f"n_{k}" for k in pii.BASE_KINDS], F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_added")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,51 +12,61 @@ from collections.abc import Mapping
 
 Votes = tuple[int, ...]
 
+#: Where expectation starts: the belief in the positive class after 0, 1, 2, and 3 or more negative votes.
+START = (0.95, 0.6, 0.15, 0.05)
+
 
 def fit(
     counts: Mapping[Votes, float],
-    iterations: int = 60,
+    negative: Mapping[Votes, float] | None = None,
+    iterations: int = 1000,
     prior: float = 0.9,
-    false_alarm: float = 0.002,
-    recall: float = 0.15,
-    strength: float = 0.2,
-    most_false_alarms: float = 0.005,
+    tolerance: float = 1e-9,
+    most_false_alarms: float | None = None,
 ) -> dict[Votes, float]:
-    """The posterior probability of the positive class for each vote pattern.
-
-    A labeler has two error rates: ``P(-1 | positive)`` and ``P(-1 | negative)``,
-    both given that it does not abstain; an abstention says nothing. Two rates let
-    a rare negative vote outweigh many cheap positive ones. Expectation starts from
-    the rule "any negative vote means negative", which fixes what the two classes
-    mean, and the starting belief (``false_alarm``, ``recall``, ``prior``) counts as
-    ``strength`` times the rows. No labeler is believed to err on more than
-    ``most_false_alarms`` of the positive rows, so that a kind of bad row that only
-    one labeler knows is not explained away as its slips. Iteration stops early when
-    the posteriors stand still. Without rows the result is empty."""
+    """The posterior probability of the positive class for each vote pattern of ``counts``.
+
+    A labeler has two error rates, ``P(-1 | positive)`` and ``P(-1 | negative)``, both given
+    that it does not abstain; an abstention says nothing. The rates are free: they are what
+    the weighted counts give, with one pseudo vote for each answer. ``negative`` counts the
+    patterns of rows known to be negative: they anchor what the second class means, as their
+    votes count towards its rates whatever expectation believes. The first expectation goes by
+    the number of negative votes (``START``), so one negative vote alone decides nothing: if
+    the labelers that cast it alone do so on many rows that all others call good, their false
+    alarms are learned and the rows stay positive. Iteration ends when no posterior moves by
+    more than ``tolerance`` (``iterations`` bounds it where they creep). ``most_false_alarms``
+    bounds ``P(-1 | positive)`` for callers who know it; by default nothing does. Without rows
+    the result is empty."""
     patterns = sorted(p for p, n in counts.items() if n > 0)
     if not patterns:
         return {}
+    known = {p: n for p, n in (negative or {}).items() if n > 0}
+    post = {p: START[min(len(START) - 1, sum(v < 0 for v in p))] for p in patterns}
     total = float(sum(counts[p] for p in patterns))
-    weight = max(1.0, strength * total)
-    post = {p: 0.05 if -1 in p else (0.95 if 1 in p else prior) for p in patterns}
     for _ in range(iterations):
-        share = (sum(counts[p] * post[p] for p in patterns) + weight * prior) / (total + weight)
-        rates = []
-        for j in range(len(patterns[0])):
-            told = [(p, counts[p]) for p in patterns if p[j]]
-            good, bad = sum(n * post[p] for p, n in told), sum(n * (1 - post[p]) for p, n in told)
-            alarms = min(most_false_alarms, (sum(n * post[p] for p, n in told if p[j] < 0) + weight * false_alarm) / (good + weight))
-            caught = (sum(n * (1 - post[p]) for p, n in told if p[j] < 0) + weight * recall) / (bad + weight)
-            # a labeler may be useless but is never believed to mean the opposite
-            rates.append((alarms, max(alarms, caught)))
+        positive = sum(counts[p] * post[p] for p in patterns)
+        share = (positive + prior) / (total + 1)
+        odds = [_odds(patterns, counts, post, known, j, most_false_alarms) for j in range(len(patterns[0]))]
         moved = 0.0
         for p in patterns:
-            odds = math.log(share / (1 - share))
-            for vote, (alarms, caught) in zip(p, rates, strict=True):
-                odds += 0 if not vote else math.log(alarms / caught) if vote < 0 else math.log((1 - alarms) / (1 - caught))
-            new = 1 / (1 + math.exp(-max(-60.0, min(60.0, odds))))
+            x = math.log(share / (1 - share)) + sum(odds[j][v] for j, v in enumerate(p) if v)
+            new = 1 / (1 + math.exp(-max(-60.0, min(60.0, x))))
             moved = max(moved, abs(new - post[p]))
             post[p] = new
-        if moved < 1e-9:
+        if moved < tolerance:
             break
     return post
+
+
+def _odds(patterns: list[Votes], counts: Mapping[Votes, float], post: Mapping[Votes, float], known: Mapping[Votes, float], j: int, most: float | None) -> dict[int, float]:
+    """The log odds that a vote of labeler ``j`` adds, for -1 and 1."""
+    told = [p for p in patterns if p[j]]
+    good, good_no = sum(counts[p] * post[p] for p in told), sum(counts[p] * post[p] for p in told if p[j] < 0)
+    bad, bad_no = sum(counts[p] * (1 - post[p]) for p in told), sum(counts[p] * (1 - post[p]) for p in told if p[j] < 0)
+    bad += sum(n for p, n in known.items() if p[j])
+    bad_no += sum(n for p, n in known.items() if p[j] < 0)
+    alarms, caught = (good_no + 1) / (good + 2), (bad_no + 1) / (bad + 2)
+    if most is not None:
+        alarms = min(most, alarms)
+    caught = max(alarms, caught)  # a labeler may be useless but is never believed to mean the opposite
+    return {-1: math.log(alarms / caught), 1: math.log((1 - alarms) / (1 - caught))}

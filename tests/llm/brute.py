@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections import defaultdict
 
 import numpy as np
@@ -96,3 +97,53 @@ def counts(text: str | None) -> tuple[int, int, int, int, int, bool]:
 
 def sha(x: str) -> str:
     return hashlib.sha256(x.encode()).hexdigest()
+
+
+def rule_votes(text: str | None) -> tuple[int, ...]:
+    """The quality rules' votes, from a plain reading of the text."""
+    from quillgraph.llm.quality import COMMON
+
+    t = text or ""
+    n, chars, symbols, dup, repeat, _ = counts(t)
+    w = SPACED.findall(t)
+    lines = [x for x in t.split("\n") if SPACED.search(x)]
+    n1, l1, c1 = max(1, n), max(1, len(lines)), max(1, chars)
+    rule = lambda v, good, bad: 0 if n < 5 else -1 if v > bad else 1 if v <= good else 0
+    common = sum(x.translate(LOWER) in set(COMMON) for x in w)
+    bare = sum(not any(c.isalpha() for c in x) for x in w)
+    ended = sum(x.rstrip(" \t\x0b\x0c\r\"')]»”’")[-1:] in (".", "!", "?") for x in lines) / l1
+    length = chars / n1
+    return (
+        -1 if n < 50 else 1 if n >= 100 else 0,
+        0 if n < 1 else -1 if length < 3 or length > 10 else 1 if 3.5 <= length <= 7 else 0,
+        rule(symbols / n1, 0.02, 0.1),
+        rule(dup / l1, 0.15, 0.5),
+        rule(repeat / n1, 0.1, 0.3),
+        rule(bare / n1, 0.1, 0.2),
+        0 if n < 20 else -1 if common < 2 or common / n1 < 0.02 else 1 if common / n1 >= 0.06 else 0,
+        0 if n < 1 else -1 if ended < 0.5 else 1 if ended >= 0.9 else 0,
+        rule(sum(unicodedata.category(c) == "Lu" for c in t) / c1, 0.1, 0.3),
+        rule(sum(c in "!?" for c in t) / n1, 0.05, 0.2),
+        rule(sum(c in "0123456789" for c in t) / c1, 0.05, 0.2),
+    )
+
+
+def em(votes: np.ndarray, bad: np.ndarray, rounds: int = 1000) -> np.ndarray:
+    """The posterior of every row (rows that are known to be bad: of no meaning), row by row, without pattern counts."""
+    free = votes[~bad]
+    post = np.array([0.95, 0.6, 0.15, 0.05])[np.minimum((free < 0).sum(1), 3)]
+    for _ in range(rounds):
+        odds = np.full(len(free), np.log((post.sum() + 0.9) / (len(free) - post.sum() + 0.1)))
+        for j in range(votes.shape[1]):
+            no, told, anchor = free[:, j] < 0, free[:, j] != 0, votes[bad, j]
+            alarms = (post[no].sum() + 1) / (post[told].sum() + 2)
+            caught = ((1 - post)[no].sum() + (anchor < 0).sum() + 1) / ((1 - post)[told].sum() + (anchor != 0).sum() + 2)
+            caught = max(alarms, caught)
+            odds += np.where(no, np.log(alarms / caught), np.where(told, np.log((1 - alarms) / (1 - caught)), 0.0))
+        new = 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
+        still, post = np.abs(new - post).max() < 1e-9, new
+        if still:
+            break
+    out = np.zeros(len(votes))
+    out[~bad] = post
+    return out
