@@ -77,6 +77,8 @@ WORDS_AGAINST = r"\b(?:isbn|issn|doi|order|invoice|version|ver|v|page|section|fi
 
 #: Spans of the kind's own mixture that count towards each class's share of a feature value.
 STRENGTH = 5.0
+#: The prior belief in a labeler of spans: how often it says no to personal data, and to other spans.
+BELIEF = (0.1, 0.6)
 
 
 @dataclass(frozen=True)
@@ -225,7 +227,7 @@ def train(counts: dict[str, float], share: float = 0.9) -> set[str]:
         votes: dict[weak.Votes, float] = defaultdict(float)
         for k, n in own.items():
             votes[_vote_of(k)] += n
-        post = weak.fit(votes, prior=0.7)
+        post = weak.fit(votes, prior=0.7, start=weak.by_balance, belief=BELIEF, weight=0.2)
         features = {k: list(enumerate(k.split("|")[1:])) for k in own}
         mass: dict[tuple[bool, int, str], float] = defaultdict(float)
         whole = {True: 1.0, False: 1.0}

@@ -128,16 +128,18 @@ def rule_votes(text: str | None) -> tuple[int, ...]:
     )
 
 
-def em(votes: np.ndarray, bad: np.ndarray, rounds: int = 1000) -> np.ndarray:
+def em(votes: np.ndarray, bad: np.ndarray, rounds: int = 1000, prior: float = 0.9, balance: bool = False, belief: tuple[float, float] = (0.5, 0.5), weight: float = 2.0) -> np.ndarray:
     """The posterior of every row (rows that are known to be bad: of no meaning), row by row, without pattern counts."""
     free = votes[~bad]
     post = np.array([0.95, 0.6, 0.15, 0.05])[np.minimum((free < 0).sum(1), 3)]
+    if balance:
+        post = np.array([0.1, 0.5, 0.9])[np.sign(free.sum(1)) + 1]
     for _ in range(rounds):
-        odds = np.full(len(free), np.log((post.sum() + 0.9) / (len(free) - post.sum() + 0.1)))
+        odds = np.full(len(free), np.log((post.sum() + prior) / (len(free) - post.sum() + 1 - prior)))
         for j in range(votes.shape[1]):
             no, told, anchor = free[:, j] < 0, free[:, j] != 0, votes[bad, j]
-            alarms = (post[no].sum() + 1) / (post[told].sum() + 2)
-            caught = ((1 - post)[no].sum() + (anchor < 0).sum() + 1) / ((1 - post)[told].sum() + (anchor != 0).sum() + 2)
+            alarms = (post[no].sum() + weight * belief[0]) / (post[told].sum() + weight)
+            caught = ((1 - post)[no].sum() + (anchor < 0).sum() + weight * belief[1]) / ((1 - post)[told].sum() + (anchor != 0).sum() + weight)
             caught = max(alarms, caught)
             odds += np.where(no, np.log(alarms / caught), np.where(told, np.log((1 - alarms) / (1 - caught)), 0.0))
         new = 1 / (1 + np.exp(-np.clip(odds, -60, 60)))

@@ -45,7 +45,7 @@ def candidates(text):
 def accepted(found):
     """The candidates that a naive Bayes over plain EM labels accepts, row by row."""
     votes = np.array([c[3] for c in found])
-    post = brute.em(votes, np.zeros(len(found), bool)) if len(found) else np.zeros(0)
+    post = brute.em(votes, np.zeros(len(found), bool), prior=0.7, balance=True, belief=(0.1, 0.6), weight=2 + 0.2 * len(found)) if len(found) else np.zeros(0)
     feature = [("".join(c[2]), *map(str, c[3]), *c[4:]) for c in found]
     good, bad = 1 + post.sum(), 1 + (1 - post).sum()
     keep = []
