@@ -61,6 +61,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
         F.expr(decontam.CONTAMINATED).alias("contaminated"),
+        F.col("longest").alias("longest_match"),
     )
 
 
@@ -136,10 +137,16 @@ dw as (
   from (select r, w, l, unnest(range(1, len(w) - l + 2)) i from d, ls where len(w) >= l)),
 m as (select r, dw.l, i, item_id from dw join bw on dw.k = bw.k and dw.l = bw.l),
 h as (select r, count(distinct p) n from (select r, unnest(range(i, i + l)) p from m) group by 1),
+bp as (
+  select item_id, j, len(w) n, least(13, len(w)) l, array_to_string(w[j:j + least(13, len(w)) - 1], ' ') k
+  from (select item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) j from b where len(w) > 0)),
+mp as (select distinct r, dw.l, i, item_id, n, j from dw join bp on dw.k = bp.k and dw.l = bp.l),
+g as (select r, l, item_id, n, i - j diagonal, i - row_number() over (partition by r, item_id, n, l, i - j order by i) part from mp),
+x as (select r, max(l + c - 1)::bigint longest from (select r, l, count(*) c from g group by r, l, item_id, n, diagonal, part) group by 1),
 t as (select r, count(*) n, string_agg(item_id, ',' order by item_id) s from (select distinct r, item_id::varchar item_id from m) group by 1)
 select doc_id, len(w)::bigint n_words, coalesce(h.n, 0)::bigint n_hit, coalesce(t.n, 0)::bigint n_items, sha256(coalesce(t.s, '')) items_sha256,
-  coalesce(h.n, 0) > 0 and 20 * coalesce(h.n, 0) >= len(w) contaminated
-from d left join h using (r) left join t using (r)
+  coalesce(h.n, 0) > 0 and 20 * coalesce(h.n, 0) >= len(w) contaminated, coalesce(x.longest, 0)::bigint longest_match
+from d left join h using (r) left join t using (r) left join x using (r)
 """
 
 
