@@ -20,8 +20,6 @@ from quillgraph.llm._spark import checkpoint, let
 #: Bins of a histogram and how often the chosen bin is cut again: 12 bits of a coordinate each time.
 BIN_BITS = 12
 ROUNDS = 4
-#: Equal texts stay in one shard while together they have at most this share of its bytes.
-WHOLE = 0.02
 
 
 @dataclass
@@ -63,18 +61,14 @@ def _single(id_col: str, text: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.col(f"`{id_col}`"), _text_hash(text)), 52)
 
 
-def coordinates(docs: DataFrame, id_col: str, text: str, dimensions: tuple[str, ...]) -> Column:
-    """An array with one coordinate a dimension."""
-    return F.array(*[a + _single(id_col, text) for a in _axes(docs, text, dimensions)])
+def _points(docs: DataFrame, id_col: str, text: str, dimensions: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """A compact row for each document (id, size, crc, x: one coordinate a dimension), and the points of its groups (h, least).
 
-
-def _compact(docs: DataFrame, id_col: str, text: str, dimensions: tuple[str, ...], shards: int | None, target_bytes: int | None) -> tuple[DataFrame, int]:
-    """A compact row for each document (id, size, CRC, coordinates) and the number of shards.
-
-    Rows of equal texts take the least coordinates among them and no bits of their own, so that
-    no cut parts them, as long as they weigh at most WHOLE of a shard together; heavier
-    groups are split like any other rows. Only sums and the least coordinates of a group are
-    gathered, never its rows."""
+    Rows of equal texts form a group, of any size. A group of several rows lies at the least of its
+    rows' coordinates, whatever their metadata, and only the last 12 bits are a row's own: on every
+    axis a group is one stretch, so it stays together unless a cut falls inside it, and then its rows
+    on either side still do. Only counts and the least coordinates of a group are gathered, never its
+    rows; Spark splits the rows of a hot group in the join."""
     t = F.col(f"`{text}`")
     rows = checkpoint(
         docs.select(
@@ -86,12 +80,13 @@ def _compact(docs: DataFrame, id_col: str, text: str, dimensions: tuple[str, ...
             _single(id_col, text).alias("own"),
         )
     )
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    count = shards if target_bytes is None else max(1, -(-total // target_bytes))
-    groups = rows.groupBy("h").agg(F.sum("size").alias("bytes"), F.min("x").alias("least"), F.count(F.lit(1)).alias("n"))
-    light = groups.filter((F.col("n") > 1) & (F.col("bytes") <= WHOLE * total / count)).select("h", "least")
-    own = F.transform("x", lambda v: v + F.col("own"))
-    return checkpoint(rows.join(light, "h", "left").select("id", "size", "crc", F.coalesce("least", own).alias("x"))), count
+    groups = checkpoint(rows.groupBy("h").agg(F.min("x").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "least"))
+    return checkpoint(rows.join(groups, "h", "left").select("id", "size", "crc", _placed("x", "own").alias("x"))), groups
+
+
+def _placed(x: str, own: str) -> Column:
+    """The group's coordinates where there is a group, else the row's, with the row's own bits below."""
+    return F.transform(F.coalesce("least", x), lambda v: v + F.col(own))
 
 
 def _cuts(rows: DataFrame, level: list[Node], dims: int) -> list[tuple[int, int]]:
@@ -173,22 +168,28 @@ def with_slots(rows: DataFrame, order: list[str]) -> DataFrame:
 def assign(docs: DataFrame, shards: int = 40, target_bytes: int | None = None, id_col: str = "doc_id", text: str = "text", dimensions: tuple[str, ...] = ("source", "lang", "n_chars")) -> DataFrame:
     """(id, size, crc, shard, slot) for each row of ``docs``; shards have near-equal bytes.
 
-    Equal texts go to one shard while they weigh little of it together. With ``target_bytes``
-    the number of shards follows from the total instead. Null
+    Equal texts lie together on every axis and are parted only where a cut falls among them.
+    With ``target_bytes`` the number of shards follows from the total instead. Null
     metadata is a value of its own (an empty category, a count of 0); a null text has
-    16 bytes and CRC 0. Repeated rows are placed one by one: rows alike in all
-    dimensions, text and id share a coordinate and so a shard. Other columns are not
-    read. An empty table gives an empty result."""
-    rows, count = _compact(docs, id_col, text, dimensions, shards, target_bytes)
-    leaves = tree(rows, count, len(dimensions))
+    16 bytes and CRC 0. A very long text is one row and goes whole to one shard, which it may fill.
+    Repeated rows are placed one by one: rows alike in text and id share a
+    coordinate and so a shard. Other columns are not read, whatever their names.
+    An empty table gives an empty result."""
+    rows, _ = _points(docs, id_col, text, dimensions)
+    if target_bytes is not None:
+        shards = max(1, -(-(rows.agg(F.sum("size")).first()[0] or 0) // target_bytes))
+    leaves = tree(rows, shards, len(dimensions))
     return with_slots(rows.select("id", "size", "crc", number_of(leaves, F.col("x")).alias("shard")), ["crc", "id"])
 
 
 def shard_docs(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text: str = "text", dimensions: tuple[str, ...] = ("source", "lang", "n_chars")) -> DataFrame:
-    """``docs`` with ``shard`` added: the tree is fitted on compact rows, then applied to
-    each row where it is, without a shuffle of texts. Equal texts are not held together here
-    (the pipeline has none left). A column named shard is replaced."""
-    x = coordinates(docs, id_col, text, dimensions)
-    leaves = tree(checkpoint(docs.select(size_of(F.col(f"`{text}`")).alias("size"), x.alias("x"))), shards, len(dimensions))
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != "shard"]
-    return docs.select(*kept, number_of(leaves, x).alias("shard"))
+    """``docs`` with ``shard`` added, by the rule of :func:`assign`: the tree is fitted on compact rows, then
+    applied to each row where it is. Texts move only if there are too many groups of equal texts for Spark to
+    broadcast their points. A column named shard is replaced. Nulls, long texts, repeated rows and an
+    empty table: as :func:`assign`."""
+    rows, groups = _points(docs, id_col, text, dimensions)
+    leaves = tree(rows, shards, len(dimensions))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "shard"]).alias("_row")
+    placed = docs.select(row, _text_hash(text).alias("h"), F.array(*_axes(docs, text, dimensions)).alias("_x"), _single(id_col, text).alias("_own"))
+    x = _placed("_x", "_own")
+    return placed.join(groups, "h", "left").select("_row.*", number_of(leaves, x).alias("shard"))
