@@ -7,18 +7,18 @@ last return the columns of documents."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.llm import decontam, kdshard, mixing, quality, simhash
+from quillgraph.llm._spark import shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SHARDS = 40
 #: Source, language and topic shares go to tokens ** 0.9: a gentle flattening of the mixture.
 ALPHA = 0.9
-#: The expected share of tokens that the mixing stage of run_budget keeps.
+#: The expected share of tokens that the mixing stage keeps.
 BUDGET = 0.95
 
 
@@ -38,12 +38,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are sampled by probabilities raked to the target shares."""
-    return mixing.mix_docs(docs.select(*COLUMNS), alpha=ALPHA)
-
-
-def mixing_budget(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As :func:`mixing_weights`, scaled to the token budget: rare cells are kept whole and thin no others."""
+    """Documents are sampled by probabilities raked to the target shares and scaled to the token budget:
+    cells that are rare against their target are kept whole and thin no others."""
     return mixing.mix_docs(docs.select(*COLUMNS), alpha=ALPHA, budget=BUDGET)
 
 
@@ -65,19 +61,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, STAGES)
-
-
-def run_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pipeline with :func:`mixing_budget` as its fourth stage."""
-    return _run(spark, sf_dir, [(name, mixing_budget if name == "mixing" else stage) for name, stage in STAGES])
-
-
-def _run(spark: SparkSession, sf_dir: str, stages: list) -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillgraph-pipeline-")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(stages):
-        out = f"{base}/pipeline-{uuid.uuid4().hex}/{k}-{name}"
+    """The last stage's rows. Each stage's rows lie in a folder of this run below the shared checkpoint
+    folder; a stage's input is deleted once its output is written, the last output stays."""
+    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for k, (name, stage) in enumerate(STAGES):
+        out = f"{base}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if before is not None:
+            path = spark._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        before = out
     return docs
+
+
+#: The mixing stage has a token budget of its own accord; this name is kept for callers of the earlier pipeline without one.
+run_budget = run

@@ -150,12 +150,19 @@ from d left join h using (r) left join t using (r) left join x using (r)
 """
 
 
-def _op7(alpha: float = 0.7, iterations: int = mixing.ITERATIONS) -> str:
+#: Iterations that the SQL twin unrolls; the weights stand still before that.
+OP7_ITERATIONS = 24
+
+
+def _op7(alpha: float = 0.7, iterations: int = OP7_ITERATIONS, budget: float | None = None) -> str:
     axes = mixing.AXES
-    sql = r"""with d as (
-  select doc_id, coalesce(text, '') x, coalesce(source, '') source, coalesce(lang, '') lang, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))::bigint tokens from documents),
-r as (
-  select doc_id, source, lang, tokens, case when contains(x, 'icense') then 'licensed' when contains(x, ' | ') then 'tabular' when tokens < 100 then 'short' when tokens < 1000 then 'medium' else 'long' end topic from d),
+    quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in sorted(set(ws))) + "]"
+    scores = ", ".join(f"{{'n': len(list_intersect(w, {quoted(ws)})), 'k': {-k}, 't': '{name}'}}" for k, (name, ws) in enumerate(mixing.TOPICS.items()))
+    sql = rf"""with d as (
+  select doc_id, list_distinct(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z]+')) w, coalesce(source, '') source, coalesce(lang, '') lang,
+    len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))::bigint tokens from documents),
+s as (select doc_id, source, lang, tokens, list_sort([{scores}], 'desc')[1] b from d),
+r as (select doc_id, source, lang, tokens, case when b.n = 0 then '{mixing.GENERAL}' else b.t end topic from s),
 c as (select source, lang, topic, sum(tokens)::double tokens from r group by all having sum(tokens) > 0),
 """
     for a in axes:
@@ -168,8 +175,14 @@ c as (select source, lang, topic, sum(tokens)::double tokens from r group by all
             sql += f",\nw{n + 1} as materialized (select * replace (weight * t_{a} / sum(weight) over (partition by {a}) as weight) from w{n})"
             n += 1
     u = "('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 13))::bigint::double / 4503599627370496"
-    p = f"coalesce(w.weight / w.tokens / (select max(weight / tokens) from w{n}), 1.0)"
-    return sql + f"\nselect doc_id, source, lang, topic, r.tokens, round({p}, 6) probability, {u} < {p} kept from r left join w{n} w using (source, lang, topic)"
+    p = f"weight / w.tokens / (select max(weight / tokens) from w{n})"
+    if budget is not None:  # the first k cells of largest factor are kept whole, the others scaled to the rest of the budget
+        sql += f""",
+o as (select weight / tokens f, tokens, row_number() over (order by weight / tokens desc) k from w{n}),
+q as (select k, f, coalesce(sum(tokens) over (order by k rows between unbounded preceding and 1 preceding), 0) whole, sum(tokens * f) over (order by k rows between current row and unbounded following) loose, sum(tokens) over () total from o),
+z as (select coalesce(min_by(({budget} * total - whole) / loose, k), 1e300) scale from q where ({budget} * total - whole) / loose * f < 1)"""
+        p = "least(1.0, weight / w.tokens * (select scale from z))"
+    return sql + f"\nselect doc_id, source, lang, topic, r.tokens, round(coalesce({p}, 1.0), 6) probability, {u} < coalesce({p}, 1.0) kept from r left join w{n} w using (source, lang, topic)"
 
 
 OP3 = r"""
@@ -239,5 +252,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_decontamination": OP4,
         "op6_license_scan": _op6(),
         "op7_mixing": _op7(),
+        "op7_mixing_budget": _op7(budget=OP7_BUDGET),
         "op8_chat_format": OP8,
     }

@@ -155,14 +155,17 @@ def test_pipeline_against_brute_force(spark, sf, tmp_path):
 
 
 def raked(rows):
-    """The documents that a plain IPF keeps."""
+    """The documents that a plain IPF keeps, scaled to the token budget cell by cell."""
     import hashlib
+    import re
 
-    def topic(t, n):
-        return "licensed" if "icense" in t else "tabular" if " | " in t else "short" if n < 100 else "medium" if n < 1000 else "long"
+    def topic(t):
+        own = set(re.split("[^a-z]+", t.translate(brute.LOWER)))
+        best = max(mixing.TOPICS, key=lambda name: (len(own & set(mixing.TOPICS[name])), -list(mixing.TOPICS).index(name)))
+        return best if own & set(mixing.TOPICS[best]) else mixing.GENERAL
 
     n = {i: len(brute.SPACED.findall(r.text)) for i, r in rows.items()}
-    cell = {i: (r.source, r.lang, topic(r.text, n[i])) for i, r in rows.items()}
+    cell = {i: (r.source, r.lang, topic(r.text)) for i, r in rows.items()}
     tokens = Counter()
     for i in rows:
         tokens[cell[i]] += n[i]
@@ -174,13 +177,17 @@ def raked(rows):
             own[c[a]] += v
         whole = sum(v**corpus_pipeline.ALPHA for v in own.values())
         targets.append({x: v**corpus_pipeline.ALPHA / whole * total for x, v in own.items()})
-    for _ in range(mixing.ITERATIONS):
+    for _ in range(200):
         for a in range(3):
             have = defaultdict(float)
             for c, w in weight.items():
                 have[c[a]] += w
             weight = {c: w * targets[a][c[a]] / have[c[a]] for c, w in weight.items()}
     factor = {c: weight[c] / tokens[c] for c in weight}
-    top = max(factor.values())
+    low, high = 0.0, 1e9  # the scale at which the expected tokens are the budget, by halving
+    for _ in range(200):
+        c = (low + high) / 2
+        kept = sum(tokens[x] * min(1.0, c * factor[x]) for x in factor)
+        low, high = (c, high) if kept < corpus_pipeline.BUDGET * total else (low, c)
     u = lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:13], 16) / 2**52
-    return {i for i in rows if u(i) < factor[cell[i]] / top}
+    return {i for i in rows if u(i) < min(1.0, high * factor[cell[i]])}
