@@ -60,26 +60,30 @@ def bfs(roots: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int, ed
     A root that does not exist has no row. A node is reached once, by the candidate with the
     smallest (parent's position, type position, edge_idx); ``edge_types`` orders neighbours
     by its own order and an empty list admits all. Each hop is a join on the frontier and is
-    written out; the driver sees only whether the frontier is empty."""
+    written out; the driver sees only whether the frontier is empty. Hops carry parents, and
+    the paths are put together level by level at the end."""
     e = edges.filter(F.col("edge_type").isin(list(edge_types))) if edge_types else edges
     rank = F.coalesce(*[F.when(F.col("edge_type") == t, i) for i, t in enumerate(edge_types)]) if edge_types else F.lit(0)
     e = e.join(nodes.select(F.col("id").alias("target_id")), "target_id", "left_semi").select(F.col("source_id").alias("id"), "target_id", rank.alias("tp"), "edge_idx")
-    seen = roots.select("root_id").distinct().join(nodes.select(F.col("id").alias("root_id")), "root_id", "left_semi")
-    seen = checkpoint(seen.select("root_id", F.col("root_id").alias("id"), F.lit(0).alias("depth"), F.lit(0).alias("pos"), F.array("root_id").alias("path")))
-    frontier, levels = seen, [seen]
+    e = checkpoint(e) if max_depth > 1 else e  # read once a hop
+    known = roots.select("root_id").distinct().join(nodes.select(F.col("id").alias("root_id")), "root_id", "left_semi")
+    frontier = checkpoint(known.select("root_id", F.col("root_id").alias("id"), F.lit(0).alias("depth"), F.lit(0).alias("pos"), F.lit(None).cast("string").alias("parent")))
+    levels, seen = [frontier], frontier.select("root_id", "id")
     for depth in range(1, max_depth + 1):
-        met = frontier.join(e, "id").select("root_id", F.col("target_id").alias("id"), F.struct("pos", "tp", "edge_idx").alias("via"), "path")
-        fresh = met.join(seen.select("root_id", "id"), ["root_id", "id"], "left_anti")
-        first = fresh.groupBy("root_id", "id").agg(F.min(F.struct("via", "path")).alias("m"))
+        met = frontier.join(e, "id").select("root_id", F.col("target_id").alias("id"), F.struct("pos", "tp", "edge_idx").alias("via"), F.col("id").alias("parent"))
+        fresh = met.join(seen, ["root_id", "id"], "left_anti")
+        first = fresh.groupBy("root_id", "id").agg(F.min(F.struct("via", "parent")).alias("m"))
         place = F.row_number().over(Window.partitionBy("root_id").orderBy("m.via", "id"))
-        frontier = checkpoint(first.select("root_id", "id", F.lit(depth).alias("depth"), place.alias("pos"), F.concat("m.path", F.array("id")).alias("path")))
+        frontier = checkpoint(first.select("root_id", "id", F.lit(depth).alias("depth"), place.alias("pos"), "m.parent"))
         if frontier.isEmpty():
             break
         levels.append(frontier)
-        seen = seen.unionByName(frontier)
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
+        seen = seen.unionByName(frontier.select("root_id", "id"))
+    out = path = levels[0].withColumn("path", F.array("root_id")).drop("parent")
+    for level in levels[1:]:
+        up = path.select("root_id", F.col("id").alias("parent"), F.col("path").alias("_path"))
+        path = level.join(up, ["root_id", "parent"]).select("root_id", "id", "depth", "pos", F.concat("_path", F.array("id")).alias("path"))
+        out = out.unionByName(path)
     return out
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +30,25 @@ def rejection(summary: str = "summary", detail: str = "detail", kind: str = "kin
     return F.when(n < 20, "summary_short").when(n > 200, "summary_long").when(F.col(kind).isin("decision", "dead_end") & (F.length(F.coalesce(F.trim(detail), F.lit(""))) < 50), "detail_short")
 
 
+def enforce(entries: DataFrame, mode: str = "redact", fields: Sequence[str] = ("summary", "detail"), rules: Mapping[str, str] = T.SECRET_RULES, bits: float | None = T.ENTROPY_BITS, length: int = T.ENTROPY_LENGTH) -> DataFrame:
+    """The redaction policy over ``fields``.
+
+    Every mode adds ``matches`` (rule, field, matched), field after field. "warn" leaves the rows as
+    they are, "redact" replaces what matches, and "block" adds ``blocked`` (rule, field) of the first
+    match, null for rows that may pass. ``rules`` and the entropy rule (``bits``, null for none, and
+    ``length``) are the caller's."""
+    if mode not in ("block", "redact", "warn"):
+        raise ValueError(f"mode is block, redact or warn, not {mode!r}")
+
+    def hits(field: str) -> Column:
+        return F.transform(T.secret_hits(F.col(f"`{field}`"), rules, bits, length), lambda h: F.struct(h["rule"].alias("rule"), F.lit(field).alias("field"), h["matched"].alias("matched")))
+
+    found = entries.withColumn("matches", F.concat(*map(hits, fields)))
+    if mode == "block":
+        return found.withColumn("blocked", F.when(F.size("matches") > 0, F.struct(F.get("matches", F.lit(0))["rule"].alias("rule"), F.get("matches", F.lit(0))["field"].alias("field"))))
+    return found if mode == "warn" else found.withColumns({f: T.redact(F.col(f"`{f}`"), rules, bits, length) for f in fields})
+
+
 def after_final(entries: DataFrame) -> DataFrame:
     """entries of a session later than its first final one."""
     ends = entries.filter("final").groupBy("session_id").agg(F.min("ts").alias("ended"))

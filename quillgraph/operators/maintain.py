@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillgraph.functions import text as T
+from quillgraph.plans.lineage import checkpoint
+
 
 def _typed(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with their ends' types; only those whose ends both exist."""
@@ -81,14 +84,14 @@ def add_edges(nodes: DataFrame, edges: DataFrame, wanted: DataFrame, edge_types:
     t = nodes.select(F.col("id").alias("target_id"), F.col("node_type").alias("target_type"))
     there = edges.select(*KEY).distinct().withColumn("there", F.lit(True))
     ok = triples.withColumn("ok", F.lit(True))
-    joined = wanted.join(s, "source_id", "left").join(t, "target_id", "left").join(there, KEY, "left").join(F.broadcast(ok), ["source_type", "edge_type", "target_type"], "left").join(F.broadcast(edge_types), "edge_type", "left")
+    joined = wanted.join(s, "source_id", "left").join(t, "target_id", "left").join(there, KEY, "left").join(ok, ["source_type", "edge_type", "target_type"], "left").join(edge_types, "edge_type", "left")
     outcome = F.when(F.col("source_type").isNull(), "no_source").when(F.col("target_type").isNull(), "no_target").when(F.col("ok").isNull(), "not_allowed").when(F.col("there"), "duplicate").otherwise("added")
     return joined.select(*KEY, "reverse", outcome.alias("outcome"))
 
 
 def remove_edges(edges: DataFrame, unwanted: DataFrame, edge_types: DataFrame) -> DataFrame:
     """M4: the edges without the unwanted ones and their reverses (a missing reverse is no error)."""
-    back = unwanted.join(F.broadcast(edge_types), "edge_type").select(F.col("target_id").alias("source_id"), F.col("reverse").alias("edge_type"), F.col("source_id").alias("target_id"))
+    back = unwanted.join(edge_types, "edge_type").select(F.col("target_id").alias("source_id"), F.col("reverse").alias("edge_type"), F.col("source_id").alias("target_id"))
     return edges.join(unwanted.select(KEY).unionByName(back.select(KEY)), KEY, "left_anti")
 
 
@@ -104,9 +107,30 @@ def create_nodes(nodes: DataFrame, fresh: DataFrame) -> DataFrame:
     return fresh.join(known, "id", "left").withColumn("outcome", F.when(F.col("there"), "exists").otherwise("created")).drop("there")
 
 
+def auto_ids(fresh: DataFrame, nodes: DataFrame, key: str, title: str = "title") -> DataFrame:
+    """``fresh`` with ``id``: the slug of its title and a suffix that no other row and no node has.
+
+    ``key`` tells the rows of ``fresh`` apart; a suffix follows from it and the number of the attempt.
+    Rows whose id is taken, by a node or by an earlier row, try again: the first attempt settles
+    nearly all, and each further one works on what is left."""
+    slug = F.coalesce(F.nullif(T.slug(F.col(title)), F.lit("")), F.lit("node"))
+    taken, done, attempt = nodes.select("id"), None, 0
+    left = fresh
+    while True:
+        made = checkpoint(left.withColumn("id", F.concat(slug, F.lit("-"), T.make_suffix(F.col(key).cast("string"), F.lit(attempt)))))
+        again = made.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(key))).join(taken.withColumn("_t", F.lit(True)), "id", "left")
+        judged = checkpoint(again.select(*fresh.columns, "id", (F.col("_t").isNotNull() | (F.col("_n") > 1)).alias("_again")))
+        good = judged.filter("not _again").drop("_again")
+        done = good if done is None else done.unionByName(good)
+        left = judged.filter("_again").drop("_again", "id")
+        if left.isEmpty():
+            return done
+        taken, attempt = taken.unionByName(good.select("id")), attempt + 1
+
+
 def update_status(nodes: DataFrame, changes: DataFrame, node_types: DataFrame) -> DataFrame:
     """M7: changes (id, new_status) with the prior status and the outcome."""
-    n = nodes.select("id", "node_type", F.col("status").alias("prior")).join(F.broadcast(node_types.select("node_type", "statuses")), "node_type", "left")
+    n = nodes.select("id", "node_type", F.col("status").alias("prior")).join(node_types.select("node_type", "statuses"), "node_type", "left")
     allowed = F.col("statuses").isNull() | (F.size("statuses") == 0) | F.array_contains("statuses", F.col("new_status"))
     outcome = F.when(F.col("node_type").isNull(), "no_node").when(~allowed, "not_allowed").otherwise("updated")
     return changes.join(n, "id", "left").select("id", "new_status", "prior", outcome.alias("outcome"))

@@ -44,7 +44,7 @@ def gaps(sessions: DataFrame, allowed: DataFrame, tentative: DataFrame, edges: D
     spark = sessions.sparkSession
     classes = spark.createDataFrame(GAP_CLASSES, "edge_type string, target_type string, gap_type string, priority int, phase int")
     rules = allowed.join(classes, ["edge_type", "target_type"], "left").select("source_type", "edge_type", "target_type", "ordinal", F.coalesce("gap_type", F.lit("missing_dependency")).alias("gap_type"), F.coalesce("priority", F.lit(2)).alias("priority"), F.coalesce("phase", F.lit(2)).alias("phase"))
-    wanted = sessions.select("session_id", F.col("root_type").alias("source_type")).join(F.broadcast(rules), "source_type")
+    wanted = sessions.select("session_id", F.col("root_type").alias("source_type")).join(rules, "source_type")
     by_edge = ready_edges(edges, tentative).select("session_id", "edge_type").distinct()
     by_node = ready_nodes(tentative).select("session_id", F.col("node_type").alias("target_type")).distinct()
     open_ = wanted.join(by_edge, ["session_id", "edge_type"], "left_anti").join(by_node, ["session_id", "target_type"], "left_anti")
@@ -62,7 +62,7 @@ def question_types(found: DataFrame, nodes: DataFrame) -> DataFrame:
     existing = nodes.groupBy("node_type").agg(F.count(F.lit(1)).alias("n"))
     n = F.coalesce(F.col("n"), F.lit(0))
     kind = F.when(n == 1, "closed").when(n > 1, "forced_choice").when(F.col("priority") == 1, "implication").otherwise("open")
-    return found.join(F.broadcast(existing), "node_type", "left").withColumn("question_type", kind).drop("n")
+    return found.join(existing, "node_type", "left").withColumn("question_type", kind).drop("n")
 
 
 def next_questions(found: DataFrame, sessions: DataFrame, n: int = 3) -> DataFrame:
@@ -178,11 +178,11 @@ def retention(snapshots: DataFrame, keep_recent: int, cap: int) -> DataFrame:
     return listed.select(F.explode(F.aggregate("s", start, step, lambda a: a["out"])).alias("r")).select(F.col("r.key").alias("snapshot_key"), "r.reason")
 
 
-def snapshot_key(files: DataFrame, buckets: int = 1024) -> DataFrame:
+def snapshot_key(files: DataFrame) -> DataFrame:
     """One hash over (label, content) of all files, whatever their order: hashes of buckets of
-    sorted file hashes, so no task holds them all."""
+    sorted file hashes, so no task holds them all. A bucket is the first 4 hexadecimal digits of the file hash."""
     own = F.sha2(F.concat_ws("\u0001", "label", F.sha2("content", 256)), 256)
-    hashed = files.select(own.alias("h")).withColumn("b", F.pmod(F.xxhash64("h"), F.lit(buckets)))
+    hashed = files.select(own.alias("h")).withColumn("b", F.left("h", F.lit(4)))
     part = hashed.groupBy("b").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"), F.count(F.lit(1)).alias("n"))
     return part.agg(F.substring(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256), 1, 16).alias("snapshot_key"), F.sum("n").alias("n_files"))
 
@@ -204,7 +204,7 @@ def packs(runs: DataFrame, every: int) -> DataFrame:
 def traverse_sections(roots: DataFrame, sections: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Items of each (root_id, day) and section (ordinal, heading, edge_type, target_type,
     statuses), by as-of edges, in edge order."""
-    valid = G.as_of_join(roots, edges).join(F.broadcast(sections), "edge_type")
+    valid = G.as_of_join(roots, edges).join(sections, "edge_type")
     n = nodes.filter(G.visible()).select(F.col("id").alias("target_id"), F.col("node_type").alias("target_type"), F.col("status").alias("item_status"), F.col("title").alias("item_title"))
     ok = F.col("item_status").isNull() | (F.size("statuses") == 0) | F.array_contains("statuses", F.col("item_status"))
     return valid.join(n, ["target_id", "target_type"]).filter(ok).select("root_id", "ordinal", "heading", "edge_idx", "target_id", "item_title", "item_status")

@@ -42,8 +42,8 @@ TRIPLES = """
  triples as (select * from flat union select target_type, reverse, source_type from flat join edge_types using (edge_type)),
  typed as (select e.*, s.node_type source_type, t.node_type target_type from edges e join nodes s on s.id = source_id join nodes t on t.id = target_id),
  bad as (select * from typed anti join triples using (source_type, edge_type, target_type)),
- lacking as (select e.*, reverse from edges e join edge_types using (edge_type) where target_id in (select id from nodes)
-   and not exists (select 1 from edges b where b.source_id = e.target_id and b.target_id = e.source_id and b.edge_type = reverse))"""
+ known as (select e.*, reverse from edges e join edge_types using (edge_type) semi join nodes n on n.id = e.target_id),
+ lacking as (select * from known e anti join edges b on b.source_id = e.target_id and b.target_id = e.source_id and b.edge_type = e.reverse)"""
 FULL = B.oracle("nodes", "edges", "node_types", "allowed_edges", "edge_types")
 
 M1 = f"""{FULL}, {TRIPLES}

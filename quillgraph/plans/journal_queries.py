@@ -79,7 +79,7 @@ QUERIES = {
     "O7_boosts": (lambda s, d: J.boosted(entries(s, d), B.journal_now()).select("id", F.round("score", 6).alias("score")), E + f"select id, round({REC} + {BOOST}, 6)::double score from entries"),
     "K8_filter_search": (k8, E + f"select id, round({REC} + {BOOST}, 6)::double score from entries where ts >= timestamp '2024-01-10' and list_has_all(tags, ['k1', 'error'])"),
     "K12_by_commits": (lambda s, d: ts_text(J.by_commits(entries(s, d), commits(s, d), B.journal_now()), "ts"), newest("range_id", "select e.*, range_id from entries e join (select distinct 'range-' || (event_id % 5) range_id, 'sha' || (event_id % 60) head from events) c using (head)", 40).replace("ts::varchar ts", ts_sql("ts") + " ts")),
-    "K13_by_paths": (lambda s, d: ts_text(J.by_paths(entries(s, d), s.range(20).select(F.concat(F.lit("src/f"), "id", F.lit(".py")).alias("path")), B.journal_now()), "ts"), newest("path", "select * from (select *, unnest(list_distinct(files)) path from entries) where path like 'src/f%'", 40).replace("ts::varchar ts", ts_sql("ts") + " ts")),
+    "K13_by_paths": (lambda s, d: ts_text(J.by_paths(entries(s, d), entries(s, d).select(F.explode("files").alias("path")).distinct(), B.journal_now()), "ts"), newest("path", "select * from (select *, unnest(list_distinct(files)) path from entries)", 40).replace("ts::varchar ts", ts_sql("ts") + " ts")),
     "K12_range_digest": (lambda s, d: ts_text(J.range_digest(entries(s, d), commits(s, d), B.journal_now()), "ts"), None),
     "K13_path_digest": (lambda s, d: ts_text(J.path_digest(entries(s, d), entries(s, d).select(F.explode("files").alias("path")), B.journal_now()), "ts"), None),
     "K14_by_id": (lambda s, d: entries(s, d).join(B.raw(s, d, "orders").select(F.concat(F.lit("e-"), "o_orderkey").alias("id")), "id", "left_semi").select("id", "summary"), E + "select id, summary from entries where id in (select 'e-' || o_orderkey from orders)"),

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder of the session (one of our own only where none is set)."""
+    """``df`` written to the session's shared checkpoint folder.
+
+    Only in local mode, where all is one machine, a temporary folder stands in for an unset
+    spark.checkpoint.dir; on a cluster that is an error."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillgraph-lineage-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillgraph-lineage-"))
     return df.checkpoint()

@@ -13,6 +13,7 @@ from quillgraph.operators import journal as J
 from quillgraph.operators import maintain as M
 from quillgraph.operators import search as SR
 from quillgraph.operators import workflow as W
+from quillgraph.plans import graph_queries as GQ
 from quillgraph.plans import retrieval_queries as RQ
 from quillgraph.plans import workflow_queries as WQ
 from quillgraph.sources import bindings as B
@@ -250,7 +251,7 @@ def t7(s: S, d: str) -> DataFrame:
 
 RED = "detail"
 for _name, _pattern in T.SECRET_RULES.items():
-    RED = f"regexp_replace({RED}, '{_pattern}', '<REDACTED:{_name}>', 'g')"
+    RED = f"regexp_replace({RED}, '{_pattern.replace(chr(39), chr(39) * 2)}', '<REDACTED:{_name}>', 'g')"
 G10 = WQ.SY + """, pu as (select id, linear_id, case when linear_id is null then 'create' when content_hash = hash_at_sync and node_type <> 'epic' then 'skip' else 'update' end as action from sn left join st on node_id = id where node_type in ('epic', 'feature', 'task')),
  pl as (select iu.id, case when st.node_id is null then case when pa.linear_id is not null then 'import' else 'ignore' end when iu.updated_at <= st.updated_at then 'unchanged' when content_hash <> st.hash_at_sync then 'conflict' when archived then 'archived' when remote_status is not null and remote_status is distinct from sn.status then 'status_change' else 'touched' end as action
    from iu left join st on st.linear_id = iu.id left join sn on sn.id = st.node_id left join st pa on pa.linear_id = iu.parent
@@ -277,12 +278,12 @@ QUERIES = {
     "A10_coverage": (lambda s, d: X.coverage(store(s, d), hashed(s, d)), STORE + " select node_type, count(*) n, count(st.content_hash) n_embedded from h left join st using (content_hash) group by 1"),
     "A11_backlog": (lambda s, d: B.view(s, d, "entries").filter(~C("kind").isin(*J.EMBEDDED_KINDS)).groupBy("kind").agg(F.count(F.lit(1)).alias("n")), E + "select kind, count(*) n from entries where kind not in ('decision', 'finding', 'dead_end', 'outcome') group by 1"),
     "A17_health": (health, B.oracle("nodes", "edges", "entries", "docs") + ", h as (select doc_id, sha256(body) c from docs), st as (select distinct c from h join embeddings on vec_id = doc_id), se as (select session_id, bool_or(final) r from entries group by 1) select (select count(*) from nodes) n_nodes, (select count(*) from edges) n_edges, (select count(*) from se where r) n_ready, (select count(*) from se where not r) n_open, (select count(*) from h where c in (select c from st))::bigint n_embedded"),
-    "A22_answer_summary": (lambda s, d: RQ.k4(s, d, True).join(RQ.docs(s, d).select("id", "node_type"), "id").groupBy("query_id", "node_type").agg(F.count(F.lit(1)).alias("n")), RQ.k4_sql(True).replace("select query_id, id, rank, round(score, 6) score from rk where", "select query_id, node_type, count(*) n from rk join dx using (id) where") + " group by 1, 2"),
-    "O5_fused_order": (o5, None),
+    "A22_answer_summary": (lambda s, d: RQ.k4(s, d, True).join(nodes(s, d).select("id", "node_type"), "id").groupBy("query_id", "node_type").agg(F.count(F.lit(1)).alias("n")), RQ.k4_sql(True).replace("select query_id, id, rank, round(score, 6) score from rk where", "select query_id, node_type, count(*) n from rk join nx using (id) where") + " group by 1, 2"),
+    "O5_fused_order": (o5, f"select query_id, id, (row_number() over (partition by query_id order by score desc, word_rank nulls last, vector_rank nulls last, id))::int place from ({RQ.K7})"),
     "O8_status_order": (lambda s, d: nodes(s, d).filter("node_type = 'feature'").withColumn("place", F.row_number().over(Window.partitionBy("owner").orderBy(F.expr(ORDER), "id"))).select("owner", "id", "place"), N + f"select owner, id, (row_number() over (partition by owner order by {ORDER}, id))::int place from nodes where node_type = 'feature'"),
     "E2_prune": (lambda s, d: X.prune(B.raw(s, d, "embeddings").select(F.concat(F.lit("o-"), C("vec_id") * 37).alias("id")), nodes(s, d)), N + "select 'o-' || vec_id * 37 id from embeddings where 'o-' || vec_id * 37 not in (select id from nodes)"),
     "E7_root_and_tentative": (lambda s, d: WQ.sessions(s, d).select("session_id", F.lit("root").alias("id"), F.lit(True).alias("is_root")).unionByName(WQ.tentative(s, d).select("session_id", "id", F.lit(False).alias("is_root"))), WQ.I0 + " select session_id, 'root' id, true is_root from se union all select session_id, id, false from te"),
-    "K5_context": (lambda s, d: RQ.k4(s, d, True).join(RQ.docs(s, d).select("id", "title", "body"), "id").select("query_id", "rank", "id", F.sha2(F.concat_ws("\n\n", "title", "body"), 256).alias("text_hash")), RQ.k4_sql(True).replace("select query_id, id, rank, round(score, 6) score from rk where", "select query_id, rank, id, sha256(title || chr(10) || chr(10) || body) text_hash from rk join dx using (id) where")),
+    "K5_context": (lambda s, d: RQ.k4(s, d, True).join(nodes(s, d).select("id", "title", "body"), "id").select("query_id", "rank", "id", F.sha2(F.concat_ws("\n\n", "title", "body"), 256).alias("text_hash")), RQ.k4_sql(True).replace("select query_id, id, rank, round(score, 6) score from rk where", "select query_id, rank, id, sha256(title || chr(10) || chr(10) || body) text_hash from rk join nx using (id) where")),
     "K9_explain": (lambda s, d: J.boosted(B.view(s, d, "entries"), B.journal_now()).select("id", F.round("recency", 6).alias("recency"), C("kind_boost").alias("kind_boost")), E + f"select id, round({RQ.REC}, 6)::double recency, ({RQ.BOOST})::double kind_boost from entries"),
     "K11_filtered_neighbours": (lambda s, d: SR.nearest(B.view(s, d, "vectors").filter("node_type = 1"), B.view(s, d, "vectors").filter("id % 100 = 0").select(C("id").alias("query_id"), "embedding"), 10).select("query_id", "id", "rank"), RQ.VEC + ", vn as (select id, embedding e, node_type from vectors), vp as (select a.id query_id, b.id, list_cosine_similarity(a.e::double[], b.e::double[]) similarity from vn a, vn b where a.id % 100 = 0 and b.node_type = 1) select query_id, id, (row_number() over (partition by query_id order by round(similarity, 9) desc, id))::int rank from vp qualify rank <= 10"),
     "K15_statistics": (k15, K15),
@@ -306,9 +307,9 @@ select u.*, case when tr.edge_type is not null then 'already_present' when n.nod
     "R5_semantic_section": (r5, RQ.VEC + RQ.knn_sql("vectors", 30) + " select query_id, near.id, rank from near join vectors a on a.id = near.id join vectors b on b.id = query_id where a.node_type = b.node_type and near.id <> query_id"),
     "R5_typed_section": (r5_typed, RQ.VEC + ", p as (select a.id query_id, b.id, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) similarity from vectors a join vectors b on a.node_type = b.node_type and a.id <> b.id where a.id % 100 = 0) select query_id, id, (row_number() over (partition by query_id order by round(similarity, 9) desc, id))::int rank from p qualify rank <= 30"),
     "R10_issue_payload": (r10, R10),
-    "G11_session_context": (g11, None),
+    "G11_session_context": (g11, RQ.DOCS + f", se as (select session_id id, body from ({WQ.I0} select session_id, body from se))" + RQ.bm25_sql("dx", "concat_ws(' ', title, body)", "body", 20, queries="se") + " select query_id, id, rank from hits"),
     "G14_session_ids": (g14, WQ.I0 + ", k as (select session_id, node_type q, count(distinct id) n, min(id) id from te group by 1, 2) select session_id, q as query, case when n = 1 then id end id, case when n = 1 then 'found' else 'ambiguous' end outcome from k"),
-    "G15_commit_then_validate": (g15, None),
+    "G15_commit_then_validate": (g15, f"select kind, count(*) n from (select kind from ({GQ.M1}) where severity = 'error' union all select 'skipped_edge' from (" + WQ.QUERIES["G6_commit_plan"][1] + ") where outcome = 'skipped') group by 1"),
     "G10_full_sync": (lambda s, d: W.full_sync(WQ.synced_nodes(s, d), WQ.issues(s, d), WQ.state(s, d)).groupBy("step", "action").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")), G10),
     "G12_session_report": (lambda s, d: W.session_report(WQ.sessions(s, d), WQ.tentative(s, d), WQ.answers(s, d)), WQ.I0 + ", k as (select session_id, node_type, string_agg(id, ',' order by id) ids, count(*) filter (regexp_matches(body, '(?im)^\\s*needs:')) n_needs, min_by(array_to_string(string_split(body, chr(10))[1:3], chr(10)), id) preview from te group by 1, 2) select session_id, phase, node_type, ids, n_needs, preview, (select count(*) from an where an.session_id = se.session_id) n_answers from se join k using (session_id)"),
     "A20_store_sizes": (lambda s, d: W.store_sizes(B.raw(s, d, "pages").select(F.regexp_extract("url", "//([^/?#]+)", 1).alias("snapshot_key"), F.octet_length("html").cast("long").alias("length"), C("page_id").alias("modified"))), "select regexp_extract(url, '//([^/?#]+)', 1) snapshot_key, sum(strlen(html))::bigint bytes, count(*) n_files, max(page_id) modified from pages group by 1"),

@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
+from quillgraph.operators import graph as G
 from quillgraph.operators import journal as J
 from quillgraph.operators import search as R
+from quillgraph.operators.search import Retrieval
+from quillgraph.plans.graph_queries import HOP, bfs_sql
 from quillgraph.sources import bindings as B
 
 S = SparkSession
 C = F.col
+#: The default weights, boosts and token budget of hybrid retrieval.
+K4 = Retrieval()
 
 
 def docs(s: S, d: str) -> DataFrame:
@@ -31,21 +36,37 @@ def vector_hits(s: S, d: str, k: int = 30) -> DataFrame:
     return R.nearest(v, v.filter("id % 100 = 0").select(C("id").alias("query_id"), "embedding"), k)
 
 
-def structural(s: S, d: str) -> DataFrame:
-    """A document's neighbourhood: itself, and those of its source and language."""
-    x = docs(s, d).select("doc_id", "owner", "node_type")
-    q = x.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
-    return q.join(x, ["owner", "node_type"]).select("query_id", C("doc_id").alias("id"), F.when(C("query_id") == C("doc_id"), 1.0).otherwise(0.8).alias("score"))
+def graph_roots(s: S, d: str) -> DataFrame:
+    """The roots of hybrid retrieval: every order whose key is divisible by 100, with its number."""
+    o = B.raw(s, d, "orders").filter("o_orderkey % 100 = 0")
+    return o.select(F.concat(F.lit("o-"), "o_orderkey").alias("root_id"), C("o_orderkey").alias("k"))
 
 
-def payload(s: S, d: str) -> DataFrame:
-    updated = F.timestamp_seconds(F.lit(996710400) - C("doc_id") % 40 * 86400)
-    return docs(s, d).select("id", F.when(C("node_type") == "de", "decision").otherwise(C("node_type")).alias("node_type"), updated.alias("updated"), T.node_tokens(C("title"), C("body")).alias("tokens"))
+def graph_asked(s: S, d: str) -> DataFrame:
+    """A root asks for the name of a part, of which there are as many as there are parts."""
+    p = B.raw(s, d, "part").select("p_partkey", "p_name")
+    n = F.lit(p.count())
+    return graph_roots(s, d).withColumn("p_partkey", C("k") % n + 1).join(p, "p_partkey").select(C("root_id").alias("query_id"), T.tokens(C("p_name")).alias("terms"))
+
+
+def part_vectors(s: S, d: str) -> DataFrame:
+    return B.view(s, d, "vectors").select(F.concat(F.lit("p-"), C("id") + 1).alias("id"), C("id").alias("vec"), "embedding")
+
+
+def graph_vector_hits(s: S, d: str) -> DataFrame:
+    v = part_vectors(s, d)
+    asked_ = graph_roots(s, d).withColumn("vec", C("k") % F.lit(v.count())).join(v.select("vec", "embedding"), "vec")
+    return R.nearest(v, asked_.select(C("root_id").alias("query_id"), "embedding"), 30)
 
 
 def k4(s: S, d: str, with_vectors: bool) -> DataFrame:
-    v = vector_hits(s, d).select("query_id", "id", C("similarity").alias("score")) if with_vectors else None
-    out = R.hybrid(structural(s, d), words(s, d), v, payload(s, d), F.lit(B.NODES_NOW).cast("timestamp"))
+    """K4: structural hop scores of the nodes within two hops of each root, the 30 best by words, the 30 nearest by vector."""
+    n = B.view(s, d, "nodes")
+    hops = G.scored(G.bfs(graph_roots(s, d), n, B.view(s, d, "edges"), 2)).select(C("root_id").alias("query_id"), "id", "score")
+    words_ = R.bm25(R.corpus(n, "title", "body"), graph_asked(s, d), 30)
+    near = graph_vector_hits(s, d).select("query_id", "id", C("similarity").alias("score")) if with_vectors else None
+    payload = n.select("id", "node_type", "updated", T.node_tokens(C("title"), C("body")).alias("tokens"))
+    out = R.hybrid(hops, words_, near, payload, F.lit(B.NODES_NOW).cast("timestamp"), K4)
     return out.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -88,12 +109,13 @@ def k10(s: S, d: str) -> DataFrame:
 TOK = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
 
 
-def bm25_sql(source: str, text: str, query: str, k: int, every: bool = False, name: str = "hits") -> str:
+def bm25_sql(source: str, text: str, query: str, k: int, every: bool = False, name: str = "hits", queries: str = "") -> str:
     """CTEs that end in ``name`` (query_id, id, score, rank)."""
+    queries = queries or f"(select * from {source} where id % 100 = 0)"
     need = f" having count(*) = any_value(q.needed)" if every else ""  # noqa: F541
     return f""", cx as materialized (select id, {TOK.format(text)} w from {source}),
  cn as (select count(*)::double n, avg(len(w)) m from cx),
- q as materialized (select query_id, term, count(*) over (partition by query_id) needed from (select query_id, unnest(list_distinct(w)) term from (select id query_id, {TOK.format(query)} w from {source} where id % 100 = 0))),
+ q as materialized (select query_id, term, count(*) over (partition by query_id) needed from (select query_id, unnest(list_distinct(w)) term from (select id query_id, {TOK.format(query)} w from {queries}))),
  tf as materialized (select id, l, term, count(*) tf from (select id, len(w) l, unnest(w) term from cx) where term in (select term from q) group by all),
  df as (select term, count(*) df from tf group by 1),
  sc as (select query_id, id, sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / m))) score
@@ -110,19 +132,22 @@ def knn_sql(source: str, k: int, name: str = "near") -> str:
 DOCS = B.oracle("docs") + ", dx as materialized (select doc_id id, title, body, node_type, owner from docs)"
 DWORDS = DOCS + bm25_sql("dx", "concat_ws(' ', title, body)", "title", 30)
 VEC = B.oracle("vectors")
-STRUCT = ", st as (select a.id query_id, b.id, case when a.id = b.id then 1.0 else 0.8 end::double score from dx a join dx b using (owner, node_type) where a.id % 100 = 0)"
 
 
 def k4_sql(with_vectors: bool) -> str:
     ws, ww, wv = (0.5, 0.25, 0.25) if with_vectors else (0.625, 0.375, 0.0)
     v = "union all select query_id, id, 'v', greatest(similarity, 0) from near" if with_vectors else ""
-    knn = ", vectors as (select vec_id id, embedding from embeddings)" + knn_sql("vectors", 30) if with_vectors else ""
-    return DWORDS + knn + STRUCT + f""",
+    near = """, vt as materialized (select vec_id vec, 'p-' || (vec_id + 1) id, embedding::double[] e from embeddings),
+ vq as (select root_id query_id, e from rq join vt on vec = k % (select count(*) from embeddings)),
+ vp as (select query_id, id, list_cosine_similarity(vq.e, vt.e) similarity from vq, vt),
+ near as materialized (select * from vp qualify row_number() over (partition by query_id order by round(similarity, 9) desc, id) <= 30)""" if with_vectors else ""
+    words_ = bm25_sql("nx", "concat_ws(' ', title, body)", "p_name", 30, queries="(select root_id id, p_name from rq join part on p_partkey = k % (select count(*) from part) + 1)")
+    return bfs_sql(2) + ", nx as materialized (select * from nodes), rq as (select 'o-' || o_orderkey root_id, o_orderkey k from orders where o_orderkey % 100 = 0)" + words_ + near + f""",
  sw as (select query_id, id, case when max(score) over p - min(score) over p < 1e-12 then 1.0 else (score - min(score) over p) / (max(score) over p - min(score) over p) end score from hits window p as (partition by query_id)),
- al as (select query_id, id, 's' side, score from st union all select query_id, id, 'w', score from sw {v}),
+ al as (select root_id query_id, id, 's' side, ({HOP})::double score from reached union all select query_id, id, 'w', score from sw {v}),
  fu as (select query_id, id, max(score) filter (side = 's') s, max(score) filter (side = 'w') w, max(score) filter (side = 'v') v from al group by 1, 2),
- sc2 as (select query_id, id, coalesce(s, 0) * {ws} + coalesce(w, 0) * {ww} + coalesce(v, 0) * {wv} + case when id % 40 <= 7 then 0.1 else 0 end + case when node_type = 'de' then 0.05 else 0 end score, (strlen(title) + strlen(body)) // 4 tokens
-   from fu join dx using (id)),
+ sc2 as (select query_id, id, coalesce(s, 0) * {ws} + coalesce(w, 0) * {ww} + coalesce(v, 0) * {wv} + case when epoch(timestamp '{B.NODES_NOW}') - epoch(updated) < 8 * 86400 then 0.1 else 0 end + case when node_type in ('decision', 'constraint') then 0.05 else 0 end score, (strlen(title) + strlen(body)) // 4 tokens
+   from fu join nx using (id)),
  rk as (select *, (row_number() over o)::int rank, sum(tokens) over (partition by query_id order by round(score, 9) desc, id rows unbounded preceding) cum from sc2 window o as (partition by query_id order by round(score, 9) desc, id))
 select query_id, id, rank, round(score, 6) score from rk where rank = 1 or cum <= 8000"""
 
@@ -136,6 +161,11 @@ K7 = JW + ", ve as (select id, embedding from ex join embeddings on vec_id = ex.
 select query_id, id, word_rank, vector_rank, round(coalesce(30.0::double / (60 + word_rank), 0) + coalesce(30.0::double / (60 + vector_rank), 0) + {REC} + {BOOST}, 6) score from fu join ex using (id)"""
 CLASSES = ", c as (select node_type, lower(title) k, min(id) rep, count(*) n from docs group by 1, 2)"
 
+K10 = DOCS + bm25_sql("dx", "concat_ws(' ', title, body)", "title", 60) + f""",
+ ow as (select id, list_distinct({TOK.format("title")}) w from dx),
+ sh as (select query_id, h.id, rank, len(list_intersect(a.w, b.w)) / len(a.w)::double s from hits h join ow a on a.id = query_id join ow b on b.id = h.id)
+select query_id, id, rank, (row_number() over (partition by query_id order by rank > 50, case when rank > 50 then 0.0 else s end desc, rank))::int new_rank, rank <= 50 reranked from sh"""
+
 QUERIES = {
     "A12_corpus_stats": (lambda s, d: R.corpus(docs(s, d), "title", "body").select("id", "n_terms", F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n_terms").cast("long").alias("n_terms")), DOCS + f", x as (select id, {TOK.format(chr(99) + 'oncat_ws(' + chr(39) + ' ' + chr(39) + ', title, body)')} w from dx) select term, count(*) df, sum(n)::bigint n_terms from (select len(w) n, unnest(list_distinct(w)) term from x) group by 1"),
     "K1_keyword_search": (lambda s, d: words(s, d).select("query_id", "id", "rank", F.round("score", 6).alias("score")), DWORDS + " select query_id, id, rank, round(score, 6) score from hits"),
@@ -144,7 +174,7 @@ QUERIES = {
     "K4_hybrid_without_vectors": (lambda s, d: k4(s, d, False), k4_sql(False)),
     "K6_journal_keyword": (lambda s, d: journal_words(s, d).select("query_id", "id", "rank", F.round("score", 6).alias("score")), JW + " select query_id, id, rank, round(score, 6) score from hits"),
     "K7_journal_hybrid": (k7, K7),
-    "K10_rerank": (k10, None),
+    "K10_rerank": (k10, K10),
     "W4_skip_budget": (w4, None),
     "K17_similar_titles": (lambda s, d: R.similar_titles(B.view(s, d, "docs")), B.oracle("docs") + CLASSES + ", w as (select node_type, rep, n, list_filter(regexp_split_to_array(k, '\\s+'), lambda x: x <> '') w from c), p as (select a.rep a, b.rep b, a.n n_a, b.n n_b, len(list_filter(a.w, lambda x: list_contains(b.w, x))) / greatest(len(a.w), len(b.w))::double s from w a join w b on a.node_type = b.node_type and a.rep < b.rep where len(a.w) > 0 and len(b.w) > 0 and len(a.w) >= 0.8 * len(b.w)) select a, b, n_a, n_b, round(s, 6) similarity from p where round(s, 6) >= 0.8"),
     "K18_near_titles": (lambda s, d: R.near_titles(B.view(s, d, "docs")), B.oracle("docs") + CLASSES + " select a.rep a, b.rep b, a.n n_a, b.n n_b, levenshtein(a.k, b.k)::int distance from c a join c b on a.node_type = b.node_type and a.rep < b.rep where abs(length(a.k) - length(b.k)) <= 2 and levenshtein(a.k, b.k) <= 2"),

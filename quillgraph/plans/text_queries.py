@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
 from quillgraph.functions.stem import stems
+from quillgraph.operators import journal as J
 from quillgraph.operators import maintain as M
 from quillgraph.sources import bindings as B
 
@@ -40,8 +41,9 @@ COS = "list_sum(list_transform(range(1, len(a) + 1), lambda i: a[i]::double * b[
 
 
 def p6(s: S, d: str) -> DataFrame:
-    made = nodes(s, d).select("id", F.concat(F.lit("n-"), T.make_suffix(C("id"), F.lit(0))).alias("made"))
-    return made.select("id", (T.id_suffix(C("made")) != "").alias("valid"))
+    """Ids for all nodes from their titles; slugs that repeat are told apart by the suffix alone."""
+    made = M.auto_ids(nodes(s, d).select(C("id").alias("draft"), "title"), nodes(s, d), "draft")
+    return made.groupBy(F.regexp_extract("id", "^(.*)-[0-9a-hjkmnp-tv-z]{6}$", 1).alias("slug")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_ids"))
 
 
 def p21(s: S, d: str) -> DataFrame:
@@ -59,20 +61,41 @@ def p23(s: S, d: str) -> DataFrame:
 
 
 def rules_sql() -> str:
-    rows = " union all ".join(f"select id, '{n}' as rule, unnest(regexp_extract_all(body, '{p}')) found from docs" for n, p in {**T.SECRET_RULES, **T.CORPUS_RULES}.items())
+    rows = " union all ".join(f"select id, '{n}' as rule, unnest(regexp_extract_all(body, '{p.replace(chr(39), chr(39) * 2)}')) found from docs" for n, p in {**T.SECRET_RULES, **T.CORPUS_RULES}.items())
     return D + f", h as ({rows}) select rule, count(*) n, count(distinct id) n_docs, min(found) least from h group by 1"
 
 
 def redact_sql() -> str:
     out = "body"
     for n, p in {**T.SECRET_RULES, **T.CORPUS_RULES}.items():
-        out = f"regexp_replace({out}, '{p}', '<REDACTED:{n}>', 'g')"
+        out = f"regexp_replace({out}, '{p.replace(chr(39), chr(39) * 2)}', '<REDACTED:{n}>', 'g')"
     return D + f"select id, sha256({out}) redacted from docs"
 
 
 def p24(s: S, d: str) -> DataFrame:
-    runs = docs(s, d).select("id", F.explode(F.regexp_extract_all("body", F.lit("[A-Za-z0-9_+/=-]{24,}"), F.lit(0))).alias("run"))
-    return runs.withColumn("bits", F.round(T.entropy(C("run")), 6)).filter("bits >= 3.0")
+    runs = docs(s, d).select("id", F.explode(T.entropy_runs(C("body"), 3.0)).alias("run"))
+    return runs.withColumn("bits", F.round(T.entropy(C("run")), 6))
+
+
+#: Bits a character from which the corpus queries take a run for a secret; hexadecimal keys have at most 4.
+CORPUS_BITS = 3.0
+
+
+def p25_block(s: S, d: str) -> DataFrame:
+    """P25: the documents that block mode stops, and why."""
+    out = J.enforce(docs(s, d), "block", ("title", "body"), {**T.SECRET_RULES, **T.CORPUS_RULES}, CORPUS_BITS)
+    return out.filter("blocked is not null").select("id", "blocked.rule", "blocked.field", F.size("matches").cast("long").alias("n"))
+
+
+def block_sql() -> str:
+    rules = list({**T.SECRET_RULES, **T.CORPUS_RULES}.items())
+    rows = " union all ".join(f"select id, {f} f, {k} k, unnest(regexp_extract_all({c}, '{p.replace(chr(39), chr(39) * 2)}')) m from docs" for f, c in enumerate(("title", "body")) for k, (_, p) in enumerate(rules))
+    runs = " union all ".join(f"select id, {f} f, unnest(regexp_extract_all({c}, '[A-Za-z0-9_+/=-]{{24,}}')) m from docs" for f, c in enumerate(("title", "body")))
+    names = ", ".join(f"({k}, '{n}')" for k, n in enumerate([*(n for n, _ in rules), T.ENTROPY_RULE]))
+    bits = "-list_sum(list_transform(list_distinct(string_split(m, '')), lambda x: len(list_filter(string_split(m, ''), lambda y: y = x)) / length(m)::double * log2(len(list_filter(string_split(m, ''), lambda y: y = x)) / length(m)::double)))"
+    return D + f""", h as ({rows} union all select id, f, {len(rules)}, m from ({runs}) where {bits} >= {CORPUS_BITS}),
+ b as (select id, min((f, k)) x, count(*) n from h group by 1)
+select id, name as rule, case x[1] when 0 then 'title' else 'body' end field, n from b join (values {names}) v(k, name) on k = x[2]"""
 
 
 def p29(s: S, d: str) -> DataFrame:
@@ -92,7 +115,7 @@ QUERIES = {
     "P3_index_hash": (lambda s, d: nodes(s, d).select(M.index_hash("node_type", "status", "owner").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).select("n"), N + "select count(*) n from nodes group by node_type, status, owner"),
     "P4_parse_id": (lambda s, d: ids(s, d).select("id", T.id_slug(C("full")).alias("slug"), T.id_suffix(C("full")).alias("suffix")), IDS + " select id, regexp_extract(full_id, '^(.+)-([0-9a-hjkmnp-tv-z]{6})$', 1) slug, regexp_extract(full_id, '^(.+)-([0-9a-hjkmnp-tv-z]{6})$', 2) suffix from x"),
     "P5_strip_prefix": (lambda s, d: ids(s, d).select("id", T.strip_prefix(C("full"), ["feature", "feature-request", "task"]).alias("bare")), IDS + " select id, case when starts_with(full_id, 'feature-request-') then substr(full_id, 17) when starts_with(full_id, 'feature-') then substr(full_id, 9) else full_id end bare from x"),
-    "P6_make_suffix": (p6, N + "select id, true as valid from nodes"),
+    "P6_make_suffix": (p6, N + ", x as (select replace(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' ', '-') j from nodes) select case when length(j) <= 50 then j when contains(left(j, 51), '-') then regexp_replace(left(j, 51), '-[^-]*$', '') else left(j, 50) end slug, count(*) n, count(*) n_ids from x group by 1"),
     "P8_body_section": (lambda s, d: nodes(s, d).select("id", T.body_section(C("body"), "Notes").alias("section")), N + "select id, case when contains(body, chr(10) || '## Notes' || chr(10)) then trim(split_part(body, '## Notes' || chr(10), 2)) end section from nodes"),
     "P9_first_paragraph": (lambda s, d: nodes(s, d).select("id", F.sha2(T.without_title(C("body")), 256).alias("rest"), T.first_paragraph(C("body"), 20).alias("lead")), N + ", x as (select id, regexp_replace(body, '^# [^\\n]*\\n*', '') r from nodes), y as (select id, r, trim(regexp_replace(split_part(r, chr(10) || '##', 1), '\\s+$', '')) p from x) select id, sha256(r) rest, case when length(p) > 20 then left(p, 17) || '...' else p end lead from y"),
     "P10_summary": (lambda s, d: docs(s, d).select("id", T.summary(C("body"), 40).alias("summary")), D + f", x as (select id, {LINE1} l from docs) select id, case when length(l) <= 40 then l else regexp_replace(left(l, 40), '\\s\\S*$', '') || '...' end summary from x"),
@@ -111,6 +134,7 @@ QUERIES = {
     "P23_rule_hits": (p23, rules_sql()),
     "P24_high_entropy": (p24, D + ", r as (select id, unnest(regexp_extract_all(body, '[A-Za-z0-9_+/=-]{24,}')) run from docs), c as (select id, run, list_transform(list_distinct(string_split(run, '')), lambda x: len(list_filter(string_split(run, ''), lambda y: y = x)) / length(run)::double) p from r) select id, run, round(-list_sum(list_transform(p, lambda x: x * log2(x))), 6) bits from c where round(-list_sum(list_transform(p, lambda x: x * log2(x))), 6) >= 3.0"),
     "P25_redact": (lambda s, d: docs(s, d).select("id", F.sha2(T.redact(C("body"), {**T.SECRET_RULES, **T.CORPUS_RULES}), 256).alias("redacted")), redact_sql()),
+    "P25_block": (p25_block, block_sql()),
     "P26_clamp": (lambda s, d: docs(s, d).select("id", T.clamp(C("body")).alias("clamped")), D + "select id, case when length(body) > 200 then left(body, 193) || ' […cut]' else body end clamped from docs"),
     "P27_archive_path": (lambda s, d: events(s, d).select("event_id", T.archive_path(F.concat(F.date_format("ts", "yyyyMMdd"), F.lit("-"), F.substring(F.md5(C("user_id").cast("string").cast("binary")), 1, 8), F.lit("-"), F.when(C("event_id") % 9 == 0, "x").otherwise(F.date_format("ts", "HHmmss")))).alias("path")), "with x as (select event_id, ts, strftime(ts, '%Y%m%d') || '-' || substr(md5(user_id::varchar), 1, 8) || '-' || case when event_id % 9 = 0 then 'x' else strftime(ts, '%H%M%S') end s from events) select event_id, case when event_id % 9 <> 0 then 'archive/' || strftime(ts, '%Y/%m/%d') || '/' || s end path from x"),
     "P28_relative_path": (lambda s, d: events(s, d).select("event_id", T.relative_path(F.concat(F.when(C("event_id") % 2 == 0, "/repo/").otherwise("./"), F.lit("src\\f"), C("user_id"), F.lit(".py")), "/repo").alias("path")), "select event_id, 'src/f' || user_id || '.py' path from events"),

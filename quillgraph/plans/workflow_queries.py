@@ -143,7 +143,7 @@ def w8(s: S, d: str) -> DataFrame:
 
 def s16(s: S, d: str) -> DataFrame:
     n = B.view(s, d, "nodes")
-    return W.snapshot_key(n.select(C("id").alias("label"), C("body").alias("content"))).select("n_files", (F.length("snapshot_key") == 16).alias("keyed"))
+    return W.snapshot_key(n.select(C("id").alias("label"), C("body").alias("content")))
 
 
 def e1(s: S, d: str) -> DataFrame:
@@ -180,11 +180,21 @@ QUERIES = {
     "A19_push_report": (lambda s, d: W.push_plan(synced_nodes(s, d), state(s, d)).groupBy("action").agg(F.count(F.lit(1)).alias("n")), SY + ", a as (select case when linear_id is null then 'create' when content_hash = hash_at_sync and node_type <> 'epic' then 'skip' else 'update' end as action from sn left join st on node_id = id where node_type in ('epic', 'feature', 'task')) select action, count(*) n from a group by 1"),
     "S12_upsert": (lambda s, d: W.upsert(state(s, d).select("node_id", "linear_id"), B.raw(s, d, "nation").select(F.concat(F.lit("n-"), "n_nationkey").alias("node_id"), F.lit("new").alias("linear_id")), "node_id"), SY + " select node_id, linear_id from st where node_id not like 'n-%' union all select 'n-' || n_nationkey, 'new' from nation"),
     "S13_issues_since": (lambda s, d: issues(s, d).filter("updated_at > timestamp '1996-01-01'").select("id"), SY + " select id from iu where updated_at > timestamp '1996-01-01'"),
-    "S16_snapshot": (s16, B.oracle("nodes") + " select count(*)::bigint n_files, true keyed from nodes"),
+    "S16_snapshot": (s16, B.oracle("nodes") + """, h as (select sha256(id || chr(1) || sha256(body)) h from nodes),
+ b as (select left(h, 4) b, sha256(string_agg(h, '' order by h)) x, count(*) n from h group by 1)
+select left(sha256(string_agg(x, '' order by b)), 16) snapshot_key, sum(n)::bigint n_files from b"""),
     "S17_log_tail": (lambda s, d: B.raw(s, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "event_type"), "select event_id, event_type from events order by ts desc, event_id desc limit 50"),
     "S19_publish_plan": (lambda s, d: W.publish_plan(ended(s, d), archived(s, d)).select("session_id", "status"), B.oracle("entries") + " select session_id, case when length(session_id) % 2 = 0 then 'already_archived' else 'published' end status from entries where final group by 1"),
     "A18_publish_counts": (lambda s, d: W.publish_plan(ended(s, d), archived(s, d)).groupBy("status").agg(F.count(F.lit(1)).alias("n")), B.oracle("entries") + " select case when length(session_id) % 2 = 0 then 'already_archived' else 'published' end status, count(distinct session_id) n from entries where final group by 1"),
-    "W8_retention": (w8, None),
+    "W8_retention": (w8, """with recursive s as (
+  select day::varchar k, n bytes, day(day) % 9 = 0 pinned, row_number() over (order by day desc) i, row_number() over (partition by day(day) % 9 = 0 order by day desc) j from (select ts::date as day, count(*) n from events group by 1)),
+ f as (
+  select 0::bigint i, 0 recent, (select coalesce(sum(bytes), 0) from s where pinned or j <= 5)::bigint used, null::varchar k, null::varchar reason
+  union all
+  select s.i, recent + (not pinned and recent < 5)::int, used + case when not pinned and recent >= 5 and used + bytes <= 4000 then bytes else 0 end, s.k,
+    case when pinned then 'pinned' when recent < 5 then 'recent' when used + bytes <= 4000 then 'under_cap' else 'evict' end
+  from f join s on s.i = f.i + 1)
+select k snapshot_key, reason from f where k is not null"""),
     "W10_packs": (lambda s, d: W.packs(daily(s, d).select(C("day").alias("run"), "n"), 1000), "select run, n, total::bigint total, floor((total - n) / 1000) < floor(total / 1000) pack from (select run, n, sum(n) over (order by run) total from (select ts::date::varchar run, count(*) n from events group by 1))"),
     "E1_union_first": (e1, B.oracle("entries") + " select id, case when kind <> 'finding' then 'open' else kind end kind from entries"),
     "A14_ingest_report": (a14, "select count(*) scanned, count(*) filter (json_extract_string(props, '$.k') is not null) parsed, 0::bigint corrupt, count(distinct json_extract_string(props, '$.k')) n_keys from events"),

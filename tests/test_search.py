@@ -55,7 +55,7 @@ def test_text_functions(spark):
     assert one(spark, T.body_section(F.col("b"), "Why"), b="# T\n## Why now\nbecause\n## Next\nno") == "because"
     assert one(spark, T.nearest_kind(F.col("k")), k="decison") == "decision" and one(spark, T.nearest_kind(F.col("k")), k="xyzzyx") is None
     assert one(spark, T.parse_size(F.col("s")), s="200K") == 204800
-    for rule, secret in (("aws_access_key", "AKIA" + "A1" * 8), ("github_pat", "ghp_" + "a" * 36), ("private_key", "-----BEGIN RSA PRIVATE KEY-----"), ("home_path", "/home/alice"), ("database_url", "postgres://u:p@h/db")):
+    for rule, secret in (("aws_access_key", "AKIA" + "A1" * 8), ("github_pat", "ghp_" + "a" * 36), ("private_key_block", "-----BEGIN RSA PRIVATE KEY-----"), ("user_home_path", "/home/alice"), ("db_url_with_password", "postgres://u:p@h/db")):
         assert f"<REDACTED:{rule}>" in one(spark, T.redact(F.col("s"), T.SECRET_RULES), s=f"x {secret} y")
     assert one(spark, T.redact(F.col("s"), T.SECRET_RULES), s="plain prose") == "plain prose"
 
