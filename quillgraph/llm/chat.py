@@ -83,12 +83,24 @@ def mask(offsets: list[tuple[int, int]], turns: list[tuple[str, int, int]], role
     return tokens, spans
 
 
-def _format(batches: Iterator[pa.RecordBatch], tokenizer: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+#: The columns after conv_id, whose type is the input's.
+FORMATTED = [
+    ("n_turns", pa.int64()),
+    ("text", pa.string()),
+    ("turns", pa.list_(pa.struct([("role", pa.string()), ("begin", pa.int32()), ("end", pa.int32())]))),
+    ("token_ids", pa.list_(pa.int32())),
+    ("loss_tokens", pa.list_(pa.int32())),
+    ("loss_spans", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))),
+]
+
+
+def _format(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[pa.RecordBatch]:
     from tokenizers import Tokenizer
 
     encoder = Tokenizer.from_file(tokenizer)
     encoder.encode_special_tokens = True
     for batch in batches:
+        schema = pa.schema([("conv_id", batch.schema.field("conv_id").type), *FORMATTED])
         out = []
         for conv, rows in zip(batch.column("conv_id").to_pylist(), batch.column("turns").to_pylist(), strict=True):
             turns = [(r["role"] or "", r["text"] or "") for r in rows]
@@ -119,24 +131,13 @@ def format_conversations(conversations: DataFrame, tokenizer: str = TOKENIZER) -
 
     ``conversations`` has conv_id, turn, role and text; turns go by ``turn`` (null first), and
     repeated turn numbers by role and text, so equal rows all stay. Null roles and texts are
-    empty. Null conv_id is a conversation of its own. Other columns are not read. An empty
+    empty. Null conv_id is a conversation of its own; conv_id has any type. Other columns are not read. An empty
     table gives an empty result. ``tokenizer`` is a path that every executor can read; it is
     part of the tokenizer package there. A conversation is one training example, so its turns
     meet in one task; long conversations do not wait on each other."""
     turns = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     schema = SCHEMA.format(id=conversations.schema["conv_id"].dataType.simpleString())
-    arrow = pa.schema(
-        [
-            ("conv_id", pa.int64() if conversations.schema["conv_id"].dataType.simpleString() == "bigint" else pa.string()),
-            ("n_turns", pa.int64()),
-            ("text", pa.string()),
-            ("turns", pa.list_(pa.struct([("role", pa.string()), ("begin", pa.int32()), ("end", pa.int32())]))),
-            ("token_ids", pa.list_(pa.int32())),
-            ("loss_tokens", pa.list_(pa.int32())),
-            ("loss_spans", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))),
-        ]
-    )
-    return turns.mapInArrow(lambda batches: _format(batches, tokenizer, arrow), schema)
+    return turns.mapInArrow(lambda batches: _format(batches, tokenizer), schema)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

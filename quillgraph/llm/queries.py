@@ -226,12 +226,14 @@ select conv_id, n_turns, sha256(t) turns_sha256, length(l)::bigint loss_chars, s
 
 
 def _op6() -> str:
-    """Templates by name and number; lines and bigrams are unnested, then joined."""
-    rows = ", ".join(f"({k}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for k, (name, text) in enumerate(license.TEMPLATES))
+    """Templates by name and number; lines, and windows that begin at a template's bigram, are unnested, then joined."""
+    values = lambda ts, first: ", ".join(f"({k}, '{name}', '{' '.join(text.split()).replace(chr(39), chr(39) * 2)}')" for k, (name, text) in enumerate(ts, first))
+    rows = values(license.TEMPLATES, 0) + ", " + values(license.TEXTS, len(license.TEMPLATES))
+    share = license.THRESHOLD / (2 - license.THRESHOLD)
     return rf"""
 with t0 as (select * from (values {rows}) t(k, name, body)),
 t1 as (select k, name, list_filter(regexp_split_to_array(lower(body), '[^a-z0-9]+'), lambda w: w <> '') w from t0),
-t as (select k, name, unnest(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) g from t1),
+t as (select k, name, len(w) - 1 l, unnest(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) g from t1),
 tn as (select k, count(*) n from t group by 1),
 l0 as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line from documents),
 l1 as (select row_number() over () r, doc_id, list_filter(regexp_split_to_array(lower(line), '[^a-z0-9]+'), lambda w: w <> '') w from l0),
@@ -239,10 +241,21 @@ l2 as (select r, doc_id, list_distinct(list_transform(range(1, len(w)), lambda i
 l as (select r, doc_id, len(g) n, unnest(g) g from l2),
 m as (
   select r, doc_id, name, 2.0::double * count(*) / (any_value(l.n) + any_value(tn.n)) dice
-  from l join t using (g) join tn on tn.k = t.k group by r, doc_id, t.k, name),
-b as (select doc_id, name, dice, r from m where dice >= {license.THRESHOLD})
-select doc_id, max_by(name, (dice, name)) license, round(max(dice), 6) dice, count(distinct r)::bigint n_lines
-from documents left join b using (doc_id) group by doc_id
+  from l join t using (g) join tn on tn.k = t.k where t.k < {len(license.TEMPLATES)} group by r, doc_id, t.k, name),
+b as (select doc_id, name, dice, r from m where dice >= {license.THRESHOLD}),
+d1 as (select row_number() over () d, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: w <> '') w from documents),
+d2 as (select d, w, unnest(range(1, len(w))) i from d1),
+d3 as materialized (select d, i, w[i] || ' ' || w[i + 1] g from d2),
+h as materialized (select d, i, k, l, g from d3 join t using (g)),
+ok as (select d, k from h join tn using (k) group by d, k having count(distinct g) >= {share} * any_value(n) - 1e-9),
+s as (select d, k, i, l from h join ok using (d, k)),
+x as (select s.d, s.k, s.i, count(distinct h.g) c from s join h on h.d = s.d and h.k = s.k and h.i >= s.i and h.i < s.i + s.l group by 1, 2, 3),
+y as (select s.d, s.k, s.i, count(distinct d3.g) c from s join d3 on d3.d = s.d and d3.i >= s.i and d3.i < s.i + s.l group by 1, 2, 3),
+z as (select x.d, x.k, max(2.0::double * x.c / (tn.n + y.c)) dice from x join y using (d, k, i) join tn on tn.k = x.k group by 1, 2 having max(2.0::double * x.c / (tn.n + y.c)) >= {license.THRESHOLD}),
+p as (select doc_id, name, dice from z join d1 using (d) join t0 using (k)),
+u as (select doc_id, name, dice, r, 0 q from b union all select doc_id, name, dice, null, 1 from p)
+select doc_id, max_by(name, (dice, name)) license, round(max(dice), 6) dice, count(distinct r)::bigint n_lines, coalesce(sum(q), 0)::bigint n_passages
+from documents left join u using (doc_id) group by doc_id
 """
 
 

@@ -47,7 +47,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     the shingles of a row meet in its own task before the shuffle of one row a document.
     Null or empty texts have fingerprint 0; repeated rows each keep a row."""
     pair = F.lit((1 << 32) | 1)
-    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("_row"), shingle_hashes(F.col(text)).alias("_h"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("_row"), shingle_hashes(F.col(f"`{text}`")).alias("_h"))
     each = rows.select("id", "_row", F.explode_outer("_h").alias("h"))
     sums = each.groupBy("_row", "id").agg(F.count("h").alias("n"), *[F.sum(F.shiftrightunsigned("h", j).bitwiseAND(pair)).alias(f"s{j}") for j in range(32)])
     bits = []
@@ -184,6 +184,8 @@ def _compare(group: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
 def _link(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Sorted rows (g, fp, rep) to star links (u, v) of each bucket's local components."""
 
+    kind = pa.int64()
+
     def done(g: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> Iterator[pa.RecordBatch]:
         many = np.r_[g[1:] == g[:-1], False] | np.r_[False, g[1:] == g[:-1]]
         g, fp, rep = g[many], fp[many], rep[many]
@@ -191,11 +193,12 @@ def _link(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordB
             root = _compare(g, fp, radius)
             far = root != np.arange(len(root))
             if far.any():
-                yield pa.RecordBatch.from_pydict({"u": rep[far], "v": rep[root[far]]})
+                yield pa.RecordBatch.from_arrays([pa.array(rep[far], kind), pa.array(rep[root[far]], kind)], names=["u", "v"])
 
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
     for batch in batches:
+        kind = batch.schema.field("rep").type
         if batch.num_rows:
             held.append(tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)))
             size += batch.num_rows
@@ -210,7 +213,7 @@ def _link(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordB
 
 
 def links(prints: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
-    """(u, v) links over ``rep`` that join all of ``prints`` (fp, rep; fp distinct) within the radius.
+    """(u, v) links over ``rep`` (of any type with an order) that join all of ``prints`` (fp, rep; fp distinct) within the radius.
 
     Each bucket gives the links of a star for each of its local components, not all pairs.
     A bucket of more than ``chunk`` rows is dealt into chunks, and each pair of chunks is
@@ -227,7 +230,8 @@ def links(prints: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFr
     cells = F.when(c > 1, F.transform(F.sequence(F.lit(0), c - 1), lambda j: F.xxhash64("t", "k", F.least(j.cast("long"), own), F.greatest(j.cast("long"), own)))).otherwise(F.array(F.xxhash64("t", "k")))
     grouped = keyed.join(hot, ["t", "k"], "left").select(F.explode(cells).alias("g"), "fp", "rep")
     dealt = grouped.repartition("g").sortWithinPartitions("g")
-    return dealt.mapInArrow(lambda batches: _link(batches, radius), "u long, v long")
+    kind = prints.schema["rep"].dataType.simpleString()
+    return dealt.mapInArrow(lambda batches: _link(batches, radius), f"u {kind}, v {kind}")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -236,8 +240,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius:
     ``component_id`` is the smallest id that links reach. Equal fingerprints are one
     node, however many copies there are. Texts without words have fingerprint zero and
     link like any other. A row whose id is null takes part through its fingerprint but
-    lends no id (null if its class has none). Other columns are not read; an empty table
-    gives an empty result."""
+    lends no id (null if its class has none). A very long text is as many rows as it has
+    shingles before they are counted. Ids have any type with an order. Other columns are not
+    read, whatever their names; an empty table gives an empty result."""
     prints = checkpoint(fingerprints(docs, id_col, text))
     nodes = checkpoint(prints.filter("id is not null").groupBy("fp").agg(F.min("id").alias("rep")))
     roots = components(links(nodes, radius))
@@ -249,9 +254,10 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rad
     """One document of each class stays, that with the smallest id, with its columns as they were.
 
     Of several rows with that id the first by a hash of all columns stays; rows
-    whose id is null cannot be named by a class and stay."""
+    whose id is null cannot be named by a class and stay. Columns have any names. Null,
+    empty and long texts as :func:`classes`; an empty table gives an empty result."""
     keep = classes(docs, id_col, text, radius).filter(F.col("id") == F.col("component_id")).select(F.col("id").alias("_keep")).distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    kept = docs.select(F.col(f"`{id_col}`").alias("_keep"), row.alias("_row")).join(keep, "_keep", "left_semi")
+    kept = docs.filter(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("_keep"), row.alias("_row")).join(keep, "_keep", "left_semi")
     first = kept.groupBy("_keep").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row.*")
     return first.unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))

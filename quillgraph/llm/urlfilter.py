@@ -23,10 +23,15 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*?)/?(?:[?#]|$)", 1)
 
 
-def values_of(url: Column) -> Column:
-    """All values that can list a URL: its host, each parent domain and host with path."""
+def values_of(url: Column, depths: list[int] | None = None) -> Column:
+    """All values that can list a URL: its host, each parent domain and host with path.
+
+    ``depths``: numbers of labels that listed domains have; others are left out."""
     labels = F.split(host_of(url), r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    places = F.sequence(F.lit(1), F.size(labels))
+    if depths is not None:
+        places = F.filter(places, lambda k: (F.size(labels) - k + 1).isin(*depths)) if depths else F.array().cast("array<int>")
+    suffixes = F.transform(places, lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     page = F.when(path_of(url) != "", F.array(F.concat(host_of(url), path_of(url)))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.array_remove(F.concat(suffixes, page), ""))
 
@@ -47,8 +52,13 @@ def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url:
     """(id, url, fetched, listed, value, category, since) for each row of ``captures``.
 
     Of several active entries that match, the longest value counts (then the greatest). A
-    null URL or fetch time matches nothing. Repeated rows each get a row; other columns are
-    not read; empty captures give an empty result and empty entries list nothing.
+    null URL or fetch time matches nothing. A very long URL has a value for each label of its
+    host. Repeated rows each get a row; other columns are not read, whatever their names; empty
+    captures give an empty result and empty entries list nothing.
+
+    The different numbers of labels that the list's domains have (DNS has at most 127, whatever
+    the list's length) come to the driver first, so that a capture is not sent to "com" if no
+    such domain is listed.
 
     Intervals are cut at bucket borders and joined on (value, bucket) with the range as a
     condition, so a capture meets the few intervals near its time, and Spark can split a
@@ -64,7 +74,9 @@ def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url:
         spans = spans.withColumn("bucket", F.explode(F.sequence(bucket(F.greatest("since", low)), bucket(F.least(F.coalesce("until", high), high)))))
     else:
         spans = spans.withColumn("bucket", F.lit(0).cast("long"))
-    keys = rows.select("*", F.explode_outer(values_of(F.col("url"))).alias("_value"), bucket("fetched").alias("_bucket"))
+    domains = spans.filter(~F.col("value").contains("/")).select(F.size(F.split("value", r"\.")).alias("n"))
+    depths = [r["n"] for r in domains.distinct().collect()]
+    keys = rows.select("*", F.explode_outer(values_of(F.col("url"), depths)).alias("_value"), bucket("fetched").alias("_bucket"))
     on = (F.col("_value") == F.col("value")) & (F.col("_bucket") == F.col("bucket")) & (F.col("fetched") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until")))
     met = keys.join(spans, on, "left")
     best = F.max(F.when(F.col("value").isNotNull(), F.struct(F.length("value").alias("n"), "value", "category", "since"))).alias("_best")
