@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -107,6 +109,59 @@ def slug(text: Column, limit: int = 50) -> Column:
     return F.when(F.length(joined) <= limit, joined).otherwise(F.when(cut.contains("-"), F.regexp_replace(cut, "-[^-]*$", "")).otherwise(F.left(joined, F.lit(limit))))
 
 
+def slug_words(text: Column, limit: int = 50) -> Column:
+    """P12, for interviews: the first line's letters and digits of any script, lower case, joined by single dashes and cut to
+    ``limit`` characters wherever that falls; "untitled" for a text without a line."""
+    one = F.coalesce(F.nullif(first_line(text), F.lit("")), F.lit("untitled"))
+    return F.left(F.replace(F.trim(F.regexp_replace(F.lower(one), r"[^\p{L}\p{N}]+", " ")), F.lit(" "), F.lit("-")), F.lit(limit))
+
+
+#: How synced node types are named in ids.
+ID_PREFIXES: Mapping[str, str] = {"epic": "epic", "feature": "feat", "task": "task"}
+
+
+def typed_slug(title_: Column, node_type: Column, limit: int = 50) -> Column:
+    """P12, for synced issues: the type's prefix and the ASCII slug, cut at the last dash within ``limit`` characters."""
+    joined = F.replace(F.trim(F.regexp_replace(F.lower(title_), "[^a-z0-9]+", " ")), F.lit(" "), F.lit("-"))
+    cut = F.left(joined, F.lit(limit))
+    short = F.when(F.length(joined) <= limit, joined).when(cut.contains("-"), F.regexp_replace(cut, "-[^-]*$", "")).otherwise(cut)
+    return F.concat(F.coalesce(*[F.when(node_type == t, p) for t, p in ID_PREFIXES.items()], node_type), F.lit("-"), short)
+
+
+#: How to approach a gap: keywords of the root's text that choose the wording, the last for any text.
+ANGLES: Mapping[str, Sequence[tuple[tuple[str, ...], str]]] = {
+    "missing_persona": [((), "Ask who will use this and what their primary goal is.")],
+    "missing_success_metric": [((), "Ask what success looks like — quantitative if possible.")],
+    "missing_constraint": [
+        (("data", "storage"), "User mentioned data. Ask about volume, cost, or retention constraints."),
+        (("latency", "performance", "fast"), "User mentioned performance. Ask for specific P99/throughput targets."),
+        (("compliance", "gdpr", "pii"), "User mentioned compliance. Ask about specific regulatory requirements."),
+        ((), "Ask about technical, business, or regulatory constraints."),
+    ],
+    "missing_risk": [
+        (("migration", "legacy"), "User mentioned migration/legacy. Ask about backward-compatibility risks."),
+        (("scale", "volume"), "User mentioned scale. Ask about capacity and failure-mode risks."),
+        ((), "Ask what could go wrong and what the biggest unknowns are."),
+    ],
+    "no_technical_decision": [((), "Present 2-3 architectural options and ask which direction to go.")],
+    "missing_component": [((), "Ask what existing systems or modules this interacts with.")],
+    "missing_api_surface": [((), "Ask if this exposes any APIs or interfaces for other systems.")],
+    "no_task_decomposition": [((), "Ask the user to break this into concrete implementation tasks.")],
+    "unresolved_question": [((), "Ask if there are open questions that need answers before implementation.")],
+    "problem_statement": [((), "Ask what problem this solves and what happens if it's not addressed.")],
+    "missing_dependency": [((), "Ask about external dependencies or prerequisites.")],
+    "missing_owner": [((), "Ask who owns or is responsible for this.")],
+    "insufficient_detail": [((), "Ask the user to elaborate — the description is too brief.")],
+}
+
+
+def suggested_angle(gap_type: Column, body: Column, angles: Mapping[str, Sequence[tuple[tuple[str, ...], str]]] = ANGLES) -> Column:
+    """The wording for a gap: of its type the first of whose keywords the text has one; null for other types."""
+    low = F.lower(F.coalesce(body, F.lit("")))
+    has = lambda words: reduce(or_, [low.contains(w) for w in words]) if words else F.lit(True)
+    return F.coalesce(*[F.when((gap_type == gap) & has(words), said) for gap, choices in angles.items() for words, said in choices])
+
+
 def query_terms(query: Column) -> Column:
     """White-space terms reduced to letters, digits, "-" and "_"; empty ones go."""
     return F.array_remove(F.transform(F.split(query, r"\s+"), lambda t: F.regexp_replace(t, r"[^\p{L}\p{N}_-]", "")), "")
@@ -238,8 +293,13 @@ def relative_path(path: Column, root: str) -> Column:
 KINDS = ("plan", "decision", "finding", "dead_end", "outcome", "assumption", "question", "risk")
 
 
-def nearest_kind(kind: Column, most: int = 3) -> Column:
-    """The kind itself if known, else the nearest within ``most`` edits (the least by name on ties); null beyond."""
+def nearest_kind(kind: Column, most: int = 3, aliases: Mapping[str, str] | None = None) -> Column:
+    """The kind itself if known, else the nearest within ``most`` edits (the least by name on ties); null beyond.
+
+    With ``aliases`` the input is first trimmed and put in lower case, and other names of a kind stand for it."""
+    if aliases is not None:
+        plain = F.lower(F.trim(kind))
+        kind = F.coalesce(*[F.when(plain == a, k) for a, k in aliases.items()], plain)
     far = F.array_min(F.filter(F.array(*[F.struct(F.levenshtein(kind, F.lit(k)).alias("d"), F.lit(k).alias("k")) for k in KINDS]), lambda x: x["d"] <= most))
     return F.when(kind.isin(*KINDS), kind).otherwise(far["k"])
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillgraph.functions import text as T
 from quillgraph.plans.lineage import checkpoint
 
 
@@ -87,6 +88,18 @@ def bfs(roots: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int, ed
     return out
 
 
+def resolve(asked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Queries (query) to ids: (query, id, outcome). A query is a file name (with or without folders and ".md"), a
+    whole id, the six-character suffix of an id, or the number after an id's last dash, tried in this order; two hits of one kind are ambiguous."""
+    name = F.regexp_replace("file_path", r"^.*/|\.md$", "") if "file_path" in nodes.columns else F.lit(None).cast("string")
+    k = lambda rank, key: F.struct(F.lit(rank).alias("rank"), key.alias("_q"))
+    keys = F.array(k(0, name), k(1, F.col("id")), k(2, F.regexp_extract("id", T.SUFFIX, 2)), k(3, F.regexp_extract("id", "-([0-9]+)$", 1)))
+    keyed = nodes.select("id", F.explode(keys).alias("k")).select("id", "k.*").filter("_q is not null and _q <> ''")
+    q = asked.select("query").distinct().withColumn("_q", F.regexp_replace("query", r"^.*/|\.md$", ""))
+    found = q.join(keyed, "_q", "left").groupBy("query", "rank").agg(F.count_distinct("id").alias("n"), F.min("id").alias("id")).groupBy("query").agg(F.min(F.struct("rank", "n", "id")).alias("m"))
+    return found.select("query", F.when(F.col("m.n") == 1, F.col("m.id")).alias("id"), F.when(F.col("m.n") == 0, "none").when(F.col("m.n") == 1, "found").otherwise("ambiguous").alias("outcome"))
+
+
 def hop_score(depth: Column) -> Column:
     """1.0, 0.8, 0.5, then 0.1 less for each hop but at least 0.3."""
     return F.when(depth == 0, 1.0).when(depth == 1, 0.8).when(depth == 2, 0.5).otherwise(F.greatest(F.lit(0.3), 0.5 - 0.1 * (depth - 2)))

@@ -30,6 +30,17 @@ def rejection(summary: str = "summary", detail: str = "detail", kind: str = "kin
     return F.when(n < 20, "summary_short").when(n > 200, "summary_long").when(F.col(kind).isin("decision", "dead_end") & (F.length(F.coalesce(F.trim(detail), F.lit(""))) < 50), "detail_short")
 
 
+#: What entries of a kind must have besides summary and detail.
+REQUIRED: Mapping[str, Sequence[str]] = {"decision": ("chosen", "rationale", "reversible"), "dead_end": ("approach", "failure_mode"), "assumption": ("polarity",)}
+
+
+def missing_field(entries: DataFrame, kind: str = "kind", required: Mapping[str, Sequence[str]] = REQUIRED) -> Column:
+    """"missing_<field>" of the first field that the entry's kind requires and that is null or blank; a column that
+    ``entries`` does not have is missing for all; null if there is none."""
+    blank = lambda c: F.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) == "" if c in entries.columns else F.lit(True)
+    return F.coalesce(*[F.when((F.col(kind) == k) & blank(c), f"missing_{c}") for k, cs in required.items() for c in cs])
+
+
 def enforce(entries: DataFrame, mode: str = "redact", fields: Sequence[str] = ("summary", "detail"), rules: Mapping[str, str] = T.SECRET_RULES, bits: float | None = T.ENTROPY_BITS, length: int = T.ENTROPY_LENGTH) -> DataFrame:
     """The redaction policy over ``fields``.
 

@@ -167,6 +167,38 @@ def apply_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return same.unionByName(new.join(same.select("id"), "id", "left_anti"))
 
 
+def refreshed(old: DataFrame, new: DataFrame, stored: str | None, wanted: str) -> tuple[DataFrame, bool]:
+    """(index, rebuilt): an index of the wanted version takes the changes, one of another version or
+    without a readable version is built anew."""
+    return (new, True) if stored != wanted else (apply_changes(old, new), False)
+
+
+def suffix_plan(nodes: DataFrame, prefixes: list[str]) -> DataFrame:
+    """(old_id, new_id, outcome) for ids without a suffix: the type in front goes and a suffix comes that no
+    node has. Ids whose last part is six characters of the alphabet look alike but may be plain words:
+    without a digit they are reported as 'look_alike' and left as they are."""
+    tail = F.regexp_extract("id", "-([0-9a-z]{6})$", 1)
+    alike = (T.id_suffix(F.col("id")) != "") & ~tail.rlike("[0-9]")
+    bare = nodes.filter(T.id_suffix(F.col("id")) == "").select(F.col("id").alias("old_id"), T.strip_prefix(F.col("id"), prefixes).alias("title"))
+    made = auto_ids(bare, nodes, "old_id").select("old_id", F.col("id").alias("new_id"), F.lit("rename").alias("outcome"))
+    return made.unionByName(nodes.filter(alike).select(F.col("id").alias("old_id"), F.lit(None).cast("string").alias("new_id"), F.lit("look_alike").alias("outcome")))
+
+
+def schema_deltas(wanted: DataFrame, known: DataFrame, node_types: DataFrame) -> DataFrame:
+    """(source_type, edge_type, target_type, outcome) of wanted triples: already present, skipped for an
+    unknown source type, or added."""
+    key = ["source_type", "edge_type", "target_type"]
+    types = node_types.select(F.col("node_type").alias("source_type"), F.lit(True).alias("_s"))
+    x = wanted.select(*key).distinct().join(known.select(*key).distinct().withColumn("_k", F.lit(True)), key, "left").join(types, "source_type", "left")
+    return x.select(*key, F.when(F.col("_k"), "already_present").when(F.col("_s").isNull(), "skipped_unknown_type").otherwise("added").alias("outcome"))
+
+
+def upgraded(known: DataFrame, deltas: DataFrame) -> DataFrame:
+    """The schema's triples with the added deltas; applying the same deltas again adds nothing."""
+    key = ["source_type", "edge_type", "target_type"]
+    return known.select(*key).unionByName(deltas.filter("outcome = 'added'").select(*key)).distinct()
+
+
 def migrate(nodes: DataFrame, edges: DataFrame, types: dict[str, str], statuses: dict[tuple[str, str], str], edge_types: dict[str, str], defaults: dict[str, str]) -> tuple[DataFrame, DataFrame]:
     """Rename node types, statuses (of a type) and edge types; fill null fields with defaults."""
     pick = lambda c, table: F.coalesce(*[F.when(F.col(c) == a, F.lit(b)) for a, b in table.items()], F.col(c)) if table else F.col(c)

@@ -187,6 +187,48 @@ def snapshot_key(files: DataFrame) -> DataFrame:
     return part.agg(F.substring(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256), 1, 16).alias("snapshot_key"), F.sum("n").alias("n_files"))
 
 
+def pruned(snapshots: DataFrame, keep_recent: int, cap: int) -> tuple[DataFrame, DataFrame]:
+    """(rows that stay, keys that go) under the retention of W8; deleting the files is the caller's."""
+    why = retention(snapshots, keep_recent, cap)
+    return snapshots.join(why.filter("reason <> 'evict'").select("snapshot_key"), "snapshot_key", "left_semi"), why.filter("reason = 'evict'").select("snapshot_key")
+
+
+def rebuilt(entries: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A journal index built anew from ``entries`` (of one id the first by ts), beside the vectors, which are
+    kept whole: contents that come back find theirs."""
+    first = Window.partitionBy("id").orderBy("ts")
+    return entries.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n"), vectors
+
+
+def linked(nodes: DataFrame, state: DataFrame, asked: DataFrame) -> DataFrame:
+    """Link requests (id, linear_id) with the outcome of each: 'no_node', 'wrong_type' (only epics, features and
+    tasks can be linked), 'taken' (another node has the issue), 'unchanged', 'relinked' or 'linked'."""
+    own = state.select(F.col("node_id").alias("id"), F.col("linear_id").alias("_own"))
+    other = state.select("linear_id", F.col("node_id").alias("_other"))
+    x = asked.join(nodes.select("id", "node_type"), "id", "left").join(own, "id", "left").join(other, "linear_id", "left")
+    outcome = F.when(F.col("node_type").isNull(), "no_node").when(~F.col("node_type").isin(*SYNCED), "wrong_type").when(F.col("_other").isNotNull() & (F.col("_other") != F.col("id")), "taken").when(F.col("_own") == F.col("linear_id"), "unchanged").when(F.col("_own").isNotNull(), "relinked").otherwise("linked")
+    return x.select("id", "linear_id", outcome.alias("outcome"))
+
+
+def unlinked(state: DataFrame, asked: DataFrame) -> DataFrame:
+    """The sync state without the nodes of ``asked`` (id)."""
+    return state.join(asked.select(F.col("id").alias("node_id")), "node_id", "left_anti")
+
+
+def push_targets(plan: DataFrame, nodes: DataFrame, edges: DataFrame, state: DataFrame) -> DataFrame:
+    """A push plan with the remote ``parent_id`` (of the first tracked parent that is a feature or task) and
+    ``project_id`` (of the first tracked epic that the node or its parent belongs to)."""
+    up = edges.filter("edge_type = 'child_of'").select(F.col("source_id").alias("id"), "target_id", "edge_idx")
+    known = nodes.select(F.col("id").alias("target_id"), "node_type").join(state.select(F.col("node_id").alias("target_id"), "linear_id"), "target_id", "left")
+    one = up.join(known, "target_id")
+    two = one.filter("node_type = 'feature'").select("id", F.col("target_id").alias("_via"), F.col("edge_idx").alias("_first")).join(one.filter("node_type = 'epic'").select(F.col("id").alias("_via"), "linear_id", "edge_idx"), "_via")
+    parent = one.filter("node_type in ('feature', 'task') and linear_id is not null").groupBy("id").agg(F.min_by("linear_id", "edge_idx").alias("parent_id"))
+    near = one.filter("node_type = 'epic' and linear_id is not null").groupBy("id").agg(F.min_by("linear_id", "edge_idx").alias("_near"))
+    far = two.filter("linear_id is not null").groupBy("id").agg(F.min_by("linear_id", F.struct("_first", "edge_idx")).alias("_far"))
+    x = plan.join(parent, "id", "left").join(near, "id", "left").join(far, "id", "left")
+    return x.withColumn("project_id", F.coalesce("_near", "_far")).drop("_near", "_far")
+
+
 def publish_plan(sessions: DataFrame, archived: DataFrame) -> DataFrame:
     """Ready sessions in order of age, with 'published' or 'already_archived'."""
     there = archived.select("session_id").withColumn("_there", F.lit(True))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import text as T
 from quillgraph.operators import graph as G
 from quillgraph.operators import maintain as M
+from quillgraph.operators import reports as P
 from quillgraph.sources import bindings as B
 
 S = SparkSession
@@ -214,16 +215,14 @@ select edge_type, count(*) n from edges where source_id not in (select id from g
 
 
 def resolve(s: S, d: str) -> DataFrame:
-    """Queries that are a whole id, or the number after a type letter; two hits are ambiguous."""
-    q = B.raw(s, d, "part").select(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("p-"), "p_partkey")).otherwise(F.col("p_partkey").cast("string")).alias("query"))
-    keyed = nodes(s, d).select("id", F.explode(F.array(F.struct(F.lit(0).alias("rank"), F.col("id").alias("query")), F.struct(F.lit(1).alias("rank"), F.regexp_extract("id", "-([0-9]+)$", 1).alias("query")))).alias("k")).select("id", "k.*")
-    best = q.join(keyed, "query", "left").groupBy("query", "rank").agg(F.count("id").alias("n"), F.min("id").alias("id")).groupBy("query").agg(F.min(F.struct("rank", "n", "id")).alias("m"))
-    return best.select("query", F.when(F.col("m.n") == 1, F.col("m.id")).alias("id"), F.when(F.col("m.n") == 0, "none").when(F.col("m.n") == 1, "found").otherwise("ambiguous").alias("outcome"))
+    """Queries that are a whole id, a file name, or the number after a type letter."""
+    q = B.raw(s, d, "part").select(F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("components/p-"), "p_partkey", F.lit(".md"))).when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("p-"), "p_partkey")).otherwise(F.col("p_partkey").cast("string")).alias("query"))
+    return G.resolve(q, nodes(s, d).withColumn("file_path", F.concat(F.lit("any/"), "id", F.lit(".md"))))
 
 
-J25 = B.oracle("nodes") + """, q as (select case when p_partkey % 2 = 0 then 'p-' || p_partkey else p_partkey::varchar end query from part),
- k as (select id, 0 r, id query from nodes union all select id, 1, regexp_extract(id, '-([0-9]+)$', 1) from nodes),
- m as (select q.query, r, count(id) n, min(id) id from q left join k using (query) group by 1, 2),
+J25 = B.oracle("nodes") + """, q as (select case when p_partkey % 4 = 0 then 'components/p-' || p_partkey || '.md' when p_partkey % 2 = 0 then 'p-' || p_partkey else p_partkey::varchar end query, case when p_partkey % 2 = 0 then 'p-' || p_partkey else p_partkey::varchar end key from part),
+ k as (select id, 0 r, id key from nodes union all select id, 1, id from nodes union all select id, 2, regexp_extract(id, '^(.+)-([0-9a-hjkmnp-tv-z]{6})$', 2) from nodes union all select id, 3, regexp_extract(id, '-([0-9]+)$', 1) from nodes),
+ m as (select q.query, r, count(distinct id) n, min(id) id from q left join k using (key) group by 1, 2),
  b as (select *, row_number() over (partition by query order by r nulls first) rn from m)
 select query, case when n = 1 then id end id, case n when 0 then 'none' when 1 then 'found' else 'ambiguous' end outcome from b where rn = 1
 """
@@ -241,7 +240,7 @@ QUERIES = {
     "M9_index_changes": (m9, M9),
     "M11_migrate": (m11, M11),
     "M17_delete_nodes": (m17, M17),
-    "F2_nodes_of_type": (lambda s, d: nodes(s, d).filter("node_type = 'component'").select("id", "title", "owner"), N + "select id, title, owner from nodes where node_type = 'component'"),
+    "F2_nodes_of_type": (lambda s, d: P.nodes_of_type(nodes(s, d), "component").select("id", "title", "owner"), N + "select id, title, owner from nodes where node_type = 'component'"),
     "F3_edges_as_of": (lambda s, d: strings(G.temporal(edges(s, d), "as_of", F.lit(DAY).cast("date"))), B.oracle("edges") + f"select {E_SQL} from edges where {AS_OF}"),
     "F4_edges_current": (lambda s, d: strings(G.temporal(edges(s, d))).drop("valid_until"), B.oracle("edges") + "select source_id, edge_idx, target_id, edge_type, valid_from::varchar valid_from from edges where valid_until is null"),
     "F5_edges_history": (lambda s, d: G.temporal(edges(s, d), "history").groupBy("edge_type").agg(F.count(F.lit(1)).alias("n")), B.oracle("edges") + "select edge_type, count(*) n from edges group by 1"),

@@ -9,6 +9,7 @@ from quillgraph.functions import text as T
 from quillgraph.functions.stem import stems
 from quillgraph.operators import journal as J
 from quillgraph.operators import maintain as M
+from quillgraph.operators import reports as P
 from quillgraph.sources import bindings as B
 
 S = SparkSession
@@ -122,6 +123,8 @@ QUERIES = {
     "P10_body_summary": (lambda s, d: docs(s, d).select("id", T.body_summary(C("body"), 40).alias("summary")), None),
     "P11_first_line": (lambda s, d: docs(s, d).select("id", T.first_line(C("body")).alias("line")), D + f"select id, {LINE1} line from docs"),
     "P12_slug": (lambda s, d: docs(s, d).select("id", T.slug(C("title")).alias("slug")), D + ", x as (select id, replace(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' ', '-') j from docs) select id, case when length(j) <= 50 then j when contains(left(j, 51), '-') then regexp_replace(left(j, 51), '-[^-]*$', '') else left(j, 50) end slug from x"),
+    "P12_slug_words": (lambda s, d: docs(s, d).select("id", T.slug_words(C("title")).alias("slug")), D + ", x as (select id, coalesce(nullif(trim(regexp_replace(title, '^\\s*#+\\s*', '')), ''), 'untitled') l from docs) select id, left(replace(trim(regexp_replace(lower(l), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ', '-'), 50) slug from x"),
+    "P12_typed_slug": (lambda s, d: nodes(s, d).select("id", T.typed_slug(C("body"), C("node_type")).alias("slug")), N + ", x as (select id, case node_type when 'feature' then 'feat' else node_type end p, replace(trim(regexp_replace(lower(body), '[^a-z0-9]+', ' ', 'g')), ' ', '-') j from nodes) select id, p || '-' || case when length(j) <= 50 then j when contains(left(j, 50), '-') then regexp_replace(left(j, 50), '-[^-]*$', '') else left(j, 50) end slug from x"),
     "P13_query_terms": (lambda s, d: docs(s, d).select("id", F.array_join(T.query_terms(F.substring("title", 1, 60)), "|").alias("terms")), D + "select id, array_to_string(list_filter(list_transform(regexp_split_to_array(substr(title, 1, 60), '\\s+'), lambda t: regexp_replace(t, '[^\\p{L}\\p{N}_-]', '', 'g')), lambda t: t <> ''), '|') terms from docs"),
     "P13_whole_titles": (lambda s, d: docs(s, d).select("id", F.array_join(T.query_terms(C("title")), "|").alias("terms")), D + "select id, array_to_string(list_filter(list_transform(regexp_split_to_array(title, '\\s+'), lambda t: regexp_replace(t, '[^\\p{L}\\p{N}_-]', '', 'g')), lambda t: t <> ''), '|') terms from docs"),
     "P14_tokens": (lambda s, d: docs(s, d).select(F.explode(T.tokens(C("body"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")), D + "select term, count(*) n from (select unnest(list_filter(regexp_split_to_array(lower(body), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) term from docs) group by 1"),
@@ -142,8 +145,8 @@ QUERIES = {
     "P30_age": (lambda s, d: events(s, d).select("event_id", T.age((C("event_id") * 37 % 300000)).alias("age")), "select event_id, case when s < 60 then s || 's' when s < 3600 then s // 60 || 'm' when s < 86400 then s // 3600 || 'h' else s // 86400 || 'd' end age from (select event_id, event_id * 37 % 300000 s from events)"),
     "P31_parse_size": (lambda s, d: events(s, d).select("event_id", T.parse_size(F.concat(C("user_id").cast("string"), F.element_at(F.array(*map(F.lit, ["", "K", "m", "G", "x"])), (C("event_id") % 5 + 1).cast("int")))).alias("bytes")), "select event_id, case event_id % 5 when 0 then user_id when 1 then user_id * 1024 when 2 then user_id * 1048576 when 3 then user_id * 1073741824 end::bigint bytes from events"),
     "P32_needs": (lambda s, d: nodes(s, d).filter(T.needs_marker(C("body"))).select("id"), N + "select id from nodes where regexp_matches(body, '(?im)^\\s*needs:')"),
-    "P33_status_map": (lambda s, d: nodes(s, d).select("id", F.coalesce(F.when((C("node_type") == "feature") & (C("status") == "draft"), "Triage"), F.when(C("status") == "draft", "Backlog").when(C("status").isin("active", "discussing"), "In Progress").when(C("status").isin("completed", "decided"), "Done")).alias("state")), N + "select id, case when node_type = 'feature' and status = 'draft' then 'Triage' when status = 'draft' then 'Backlog' when status in ('active', 'discussing') then 'In Progress' when status in ('completed', 'decided') then 'Done' end state from nodes"),
-    "P34_fields": (lambda s, d: nodes(s, d).select("id", F.explode(F.array_compact(F.array(*[F.when(C(c).isNotNull(), F.struct(F.lit(c).alias("field"), (F.date_format(c, "yyyy-MM-dd") if c == "updated" else C(c)).alias("value"))) for c in ("status", "owner", "updated")]))).alias("f")).select("id", "f.field", "f.value"), N + "select id, 'status' field, status as value from nodes where status is not null union all select id, 'owner', owner from nodes where owner is not null union all select id, 'updated', strftime(updated, '%Y-%m-%d') from nodes where updated is not null"),
+    "P33_status_map": (lambda s, d: nodes(s, d).select("id", P.remote_state(C("node_type"), C("status")).alias("state")), N + "select id, case when node_type = 'feature' and status = 'draft' then 'Triage' when status = 'draft' then 'Backlog' when status in ('active', 'discussing') then 'In Progress' when status in ('completed', 'decided') then 'Done' end state from nodes"),
+    "P34_fields": (lambda s, d: P.fields(nodes(s, d), ("status", "owner", "updated")), N + "select id, 'status' field, status as value from nodes where status is not null union all select id, 'owner', owner from nodes where owner is not null union all select id, 'updated', strftime(updated, '%Y-%m-%d') from nodes where updated is not null"),
     "P35_embedding_text": (lambda s, d: nodes(s, d).select("id", F.sha2(T.embedding_text(C("title"), C("body")), 256).alias("h")), N + "select id, sha256(title || chr(10) || chr(10) || body) h from nodes"),
-    "P37_directory": (lambda s, d: nodes(s, d).join(F.broadcast(B.node_types(s)), "node_type").select("id", F.concat("directory", F.lit("/"), "id", F.lit(".md")).alias("file_path")), B.oracle("nodes", "node_types") + "select id, directory || '/' || id || '.md' file_path from nodes join node_types using (node_type)"),
+    "P37_directory": (lambda s, d: P.node_paths(nodes(s, d), B.node_types(s)), B.oracle("nodes", "node_types") + "select id, directory || '/' || id || '.md' file_path from nodes join node_types using (node_type)"),
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.operators import reports as P
 from quillgraph.operators import workflow as W
 from quillgraph.sources import bindings as B
 from quillgraph.sources import markdown as MD
@@ -136,9 +137,12 @@ def daily(s: S, d: str) -> DataFrame:
     return B.raw(s, d, "events").groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("bytes"))
 
 
+def snapshots(s: S, d: str) -> DataFrame:
+    return daily(s, d).select(C("day").alias("snapshot_key"), C("n").alias("bytes"), F.unix_timestamp(C("day").cast("timestamp")).alias("modified"), (F.dayofmonth(C("day").cast("date")) % 9 == 0).alias("pinned"))
+
+
 def w8(s: S, d: str) -> DataFrame:
-    snaps = daily(s, d).select(C("day").alias("snapshot_key"), C("n").alias("bytes"), F.unix_timestamp(C("day").cast("timestamp")).alias("modified"), (F.dayofmonth(C("day").cast("date")) % 9 == 0).alias("pinned"))
-    return W.retention(snaps, 5, 4000)
+    return W.retention(snapshots(s, d), 5, 4000)
 
 
 def s16(s: S, d: str) -> DataFrame:
@@ -152,9 +156,10 @@ def e1(s: S, d: str) -> DataFrame:
 
 
 def a14(s: S, d: str) -> DataFrame:
-    """Ingest report of the properties column: parsed, corrupt, references."""
-    p = B.raw(s, d, "events").select(F.from_json("props", "k int, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("p"))
-    return p.agg(F.count(F.lit(1)).alias("scanned"), F.count_if(C("p.k").isNotNull()).alias("parsed"), F.count_if(C("p._corrupt").isNotNull()).alias("corrupt"), F.count_distinct("p.k").alias("n_keys"))
+    """Ingest report of the properties column, every eleventh line cut short: parsed, corrupt, distinct keys."""
+    line = F.when(C("event_id") % 11 == 0, F.left("props", F.length("props") - 1)).otherwise(C("props"))
+    p = B.raw(s, d, "events").select(F.from_json(line, "k int, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("p"))
+    return P.ingest_report(p.select("p.*"), "k")
 
 
 def t8(s: S, d: str) -> DataFrame:
@@ -169,21 +174,26 @@ QUERIES = {
     "G2_question_types": (lambda s, d: W.question_types(found(s, d), B.view(s, d, "nodes")).select("session_id", "pos", "question_type"), IN + ", ex as (select node_type, count(*) n from nodes group by 1) select session_id, pos, case when n = 1 then 'closed' when n > 1 then 'forced_choice' when priority = 1 then 'implication' else 'open' end question_type from gp left join ex using (node_type)"),
     "G3_phase_moves": (g3, G3),
     "G4_next_questions": (lambda s, d: W.next_questions(found(s, d), sessions(s, d)).select("session_id", "gap_type", "rn"), I0 + " select session_id, gap_type, (row_number() over (partition by session_id order by pos))::int rn from gp join se using (session_id) where gp.phase <= se.phase qualify rn <= 3"),
-    "E4_filled_gaps": (lambda s, d: W.gaps(sessions(s, d), root_edges(s), tentative(s, d).limit(0), tentative_edges(s, d).limit(0)).join(found(s, d), ["session_id", "gap_type", "node_type"], "left_anti").select("session_id", "gap_type", "node_type"), I0 + ", al as (select session_id, coalesce(gap_type, 'missing_dependency') gap_type, target_type node_type from se, ru) select * from al where (session_id, gap_type, node_type) not in (select session_id, gap_type, node_type from gp)"),
+    "E4_filled_gaps": (lambda s, d: W.gaps(sessions(s, d), root_edges(s), tentative(s, d).limit(0), tentative_edges(s, d).limit(0)).transform(P.filled_gaps, found(s, d)), I0 + ", al as (select session_id, coalesce(gap_type, 'missing_dependency') gap_type, target_type node_type from se, ru) select * from al where (session_id, gap_type, node_type) not in (select session_id, gap_type, node_type from gp)"),
     "G5_ready_nodes": (lambda s, d: W.ready_nodes(tentative(s, d)).select("session_id", "id"), I0 + " select session_id, id from rn"),
     "G6_commit_plan": (lambda s, d: W.commit_plan(tentative(s, d), tentative_edges(s, d), B.view(s, d, "nodes")), I0 + " select session_id, 'node' kind, id as key, 'created' outcome from te union all select session_id, 'edge', edge_type || ' ' || target_id, case when (session_id, target_id) in (select session_id, id from te) then 'written' else 'skipped' end from ed"),
     "G7_last_wins": (lambda s, d: W.last_wins(B.raw(s, d, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id"), "select user_id, event_type, event_id from events qualify row_number() over (partition by user_id, event_type order by ts desc, event_id desc) = 1"),
     "A16_progress": (lambda s, d: sessions(s, d).join(answers(s, d).groupBy("session_id").agg(F.count(F.lit(1)).alias("n_answers")), "session_id", "left").join(found(s, d).groupBy("session_id").agg(F.count(F.lit(1)).alias("n_gaps")), "session_id", "left").select("session_id", F.coalesce("n_answers", F.lit(0)).cast("long").alias("n_answers"), F.coalesce("n_gaps", F.lit(0)).cast("long").alias("n_gaps")), I0 + " select session_id, (select count(*) from an where an.session_id = se.session_id) n_answers, (select count(*) from gp where gp.session_id = se.session_id) n_gaps from se"),
     "G8_push_plan": (lambda s, d: W.push_plan(synced_nodes(s, d), state(s, d)), SY + " select id, linear_id, case when linear_id is null then 'create' when content_hash = hash_at_sync and node_type <> 'epic' then 'skip' else 'update' end as action, case node_type when 'epic' then 0 when 'feature' then 1 else 2 end ord from sn left join st on node_id = id where node_type in ('epic', 'feature', 'task')"),
+    "G8_push_targets": (lambda s, d: W.push_targets(W.push_plan(synced_nodes(s, d), state(s, d)), B.view(s, d, "nodes"), B.view(s, d, "edges"), state(s, d)).select("id", "parent_id", "project_id"), SY.replace("with recursive ", B.oracle("edges").rstrip() + ",", 1) + """, up as (select source_id id, target_id, edge_idx, n.node_type t, st.linear_id l from edges join nodes n on n.id = target_id left join st on st.node_id = target_id where edge_type = 'child_of'),
+ pa as (select id, min_by(l, edge_idx) parent_id from up where t in ('feature', 'task') and l is not null group by 1),
+ ne as (select id, min_by(l, edge_idx) p from up where t = 'epic' and l is not null group by 1),
+ fa as (select a.id, min_by(b.l, (a.edge_idx, b.edge_idx)) p from up a join up b on b.id = a.target_id where a.t = 'feature' and b.t = 'epic' and b.l is not null group by 1)
+select sn.id, parent_id, coalesce(ne.p, fa.p) project_id from sn left join pa using (id) left join ne on ne.id = sn.id left join fa on fa.id = sn.id where node_type in ('epic', 'feature', 'task')"""),
     "G9_pull_plan": (lambda s, d: W.pull_plan(issues(s, d), state(s, d), synced_nodes(s, d)), SY + " select iu.id, st.node_id, case when st.node_id is null then case when pa.linear_id is not null then 'import' else 'ignore' end when iu.updated_at <= st.updated_at then 'unchanged' when content_hash <> st.hash_at_sync then 'conflict' when archived then 'archived' when remote_status is not null and remote_status is distinct from sn.status then 'status_change' else 'touched' end as action from iu left join st on st.linear_id = iu.id left join sn on sn.id = st.node_id left join st pa on pa.linear_id = iu.parent"),
     "A15_sync_status": (lambda s, d: W.sync_status(synced_nodes(s, d), state(s, d)), SY + ", x as (select node_type, content_hash, hash_at_sync from sn full join st on node_id = id) select count(*) filter (node_type is not null and hash_at_sync is not null) linked, count(*) filter (node_type in ('epic', 'feature', 'task') and hash_at_sync is null) unlinked, count(*) filter (node_type is not null and content_hash <> hash_at_sync) stale, count(*) filter (node_type is null) orphaned from x"),
-    "A19_push_report": (lambda s, d: W.push_plan(synced_nodes(s, d), state(s, d)).groupBy("action").agg(F.count(F.lit(1)).alias("n")), SY + ", a as (select case when linear_id is null then 'create' when content_hash = hash_at_sync and node_type <> 'epic' then 'skip' else 'update' end as action from sn left join st on node_id = id where node_type in ('epic', 'feature', 'task')) select action, count(*) n from a group by 1"),
+    "A19_push_report": (lambda s, d: P.action_counts(W.push_plan(synced_nodes(s, d), state(s, d))), SY + ", a as (select case when linear_id is null then 'create' when content_hash = hash_at_sync and node_type <> 'epic' then 'skip' else 'update' end as action from sn left join st on node_id = id where node_type in ('epic', 'feature', 'task')) select action, count(*) n from a group by 1"),
     "S12_upsert": (lambda s, d: W.upsert(state(s, d).select("node_id", "linear_id"), B.raw(s, d, "nation").select(F.concat(F.lit("n-"), "n_nationkey").alias("node_id"), F.lit("new").alias("linear_id")), "node_id"), SY + " select node_id, linear_id from st where node_id not like 'n-%' union all select 'n-' || n_nationkey, 'new' from nation"),
-    "S13_issues_since": (lambda s, d: issues(s, d).filter("updated_at > timestamp '1996-01-01'").select("id"), SY + " select id from iu where updated_at > timestamp '1996-01-01'"),
+    "S13_issues_since": (lambda s, d: P.issues_since(issues(s, d), F.lit("1996-01-01").cast("timestamp")).select("id"), SY + " select id from iu where updated_at > timestamp '1996-01-01'"),
     "S16_snapshot": (s16, B.oracle("nodes") + """, h as (select sha256(id || chr(1) || sha256(body)) h from nodes),
  b as (select left(h, 4) b, sha256(string_agg(h, '' order by h)) x, count(*) n from h group by 1)
 select left(sha256(string_agg(x, '' order by b)), 16) snapshot_key, sum(n)::bigint n_files from b"""),
-    "S17_log_tail": (lambda s, d: B.raw(s, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "event_type"), "select event_id, event_type from events order by ts desc, event_id desc limit 50"),
+    "S17_log_tail": (lambda s, d: P.log_tail(B.raw(s, d, "events"), 50).select("event_id", "event_type"), "select event_id, event_type from events order by ts desc, event_id desc limit 50"),
     "S19_publish_plan": (lambda s, d: W.publish_plan(ended(s, d), archived(s, d)).select("session_id", "status"), B.oracle("entries") + " select session_id, case when length(session_id) % 2 = 0 then 'already_archived' else 'published' end status from entries where final group by 1"),
     "A18_publish_counts": (lambda s, d: W.publish_plan(ended(s, d), archived(s, d)).groupBy("status").agg(F.count(F.lit(1)).alias("n")), B.oracle("entries") + " select case when length(session_id) % 2 = 0 then 'already_archived' else 'published' end status, count(distinct session_id) n from entries where final group by 1"),
     "W8_retention": (w8, """with recursive s as (
@@ -197,7 +207,7 @@ select left(sha256(string_agg(x, '' order by b)), 16) snapshot_key, sum(n)::bigi
 select k snapshot_key, reason from f where k is not null"""),
     "W10_packs": (lambda s, d: W.packs(daily(s, d).select(C("day").alias("run"), "n"), 1000), "select run, n, total::bigint total, floor((total - n) / 1000) < floor(total / 1000) pack from (select run, n, sum(n) over (order by run) total from (select ts::date::varchar run, count(*) n from events group by 1))"),
     "E1_union_first": (e1, B.oracle("entries") + " select id, case when kind <> 'finding' then 'open' else kind end kind from entries"),
-    "A14_ingest_report": (a14, "select count(*) scanned, count(*) filter (json_extract_string(props, '$.k') is not null) parsed, 0::bigint corrupt, count(distinct json_extract_string(props, '$.k')) n_keys from events"),
+    "A14_ingest_report": (a14, "with x as (select case when event_id % 11 = 0 then left(props, length(props) - 1) else props end p from events) select count(*) scanned, count(case when json_valid(p) then json_extract_string(p, '$.k') end) parsed, count(*) filter (not json_valid(p)) corrupt, count(distinct case when json_valid(p) then json_extract_string(p, '$.k') end) n_keys from x"),
     "T8_interview_events": (t8, I0 + " select session_id, 'answer-' || turn as event, case phase when 2 then 'decision' else 'finding' end kind, left(regexp_replace(text, '\\s+', ' ', 'g'), 100) summary from an union all select session_id, 'finished', 'outcome', count(*) || ' answers' from an group by 1"),
     "R2_sections": (lambda s, d: items(s, d).select("root_id", "ordinal", "edge_idx", "target_id", "item_status"), ITEMS + " select root_id, ordinal, edge_idx, target_id, item_status from it"),
     "R7_render": (lambda s, d: W.render(roots(s, d), items(s, d), B.view(s, d, "nodes")), R7),
