@@ -5,7 +5,7 @@ same plans that a cluster runs; :func:`ingest` writes with exactly-once output p
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
 import pandas as pd
@@ -93,16 +93,17 @@ def task_events(changes: DataFrame) -> DataFrame:
     return moved.withColumn("kind", kind).filter("kind is not null")
 
 
-def checked(entries: DataFrame) -> DataFrame:
+def checked(entries: DataFrame, rules: Mapping[str, str] = T.SECRET_RULES) -> DataFrame:
     """Entries with their reason of rejection (null: accepted) and secrets redacted."""
-    rules = T.SECRET_RULES
     return entries.withColumn("reason", J.rejection()).withColumns({c: T.redact(F.col(c), rules) for c in ("summary", "detail")})
 
 
-def ingest(entries: DataFrame, table: str, rejects: str, checkpoint: str) -> StreamingQuery:
+def ingest(entries: DataFrame, table: str, rejects: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Validate, redact, append once by id; rejects and corrupt lines go to ``rejects``.
 
-    Each batch writes a folder of its own number, so a batch that runs again replaces its rows."""
+    Each batch writes a folder of its own number, so a batch that runs again replaces its rows.
+    ``every``: the interval of a stream that goes on ("60 seconds"); without one what is there
+    is taken and the query ends."""
 
     def write(batch: DataFrame, number: int) -> None:
         rows = checked(batch)
@@ -116,7 +117,20 @@ def ingest(entries: DataFrame, table: str, rejects: str, checkpoint: str) -> Str
         new.write.mode("overwrite").parquet(f"{table}/batch={number}")
         rows.filter(bad).write.mode("overwrite").parquet(f"{rejects}/batch={number}")
 
-    return entries.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    trigger = {"availableNow": True} if every is None else {"processingTime": every}
+    return entries.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def publish(entries: DataFrame, table: str, rejects: str, checkpoint: str, every: str = "60 seconds") -> Callable[[], None]:
+    """Starts :func:`ingest` at intervals and returns the function that ends it: it stops the stream and
+    takes, in one last flush from the same checkpoint, what came since the last interval."""
+    query = ingest(entries, table, rejects, checkpoint, every)
+
+    def finish() -> None:
+        query.stop()
+        ingest(entries, table, rejects, checkpoint).awaitTermination()
+
+    return finish
 
 
 def embed_new(entries: DataFrame, table: str, checkpoint: str, embedder: E.Embedder | None = None) -> StreamingQuery:

@@ -93,3 +93,38 @@ def test_ids_links_and_stores(spark):
     plan = {r.old_id: (r.new_id, r.outcome) for r in M.suffix_plan(spark.createDataFrame([("feature-a",), ("feature-b-abcdef",), ("feature-c-0abcde",)], "id string"), ["feature"]).collect()}
     assert plan["feature-b-abcdef"] == (None, "look_alike") and "feature-c-0abcde" not in plan and plan["feature-a"][0].startswith("a-")
     assert {r.state: r.s for r in spark.createDataFrame([("Triage",), ("Done",), ("?",)], "state string").select("state", P.local_status(F.lit("feature"), F.col("state")).alias("s")).collect()} == {"Triage": "draft", "Done": "completed", "?": None}
+
+
+def test_semantic_sections_by_a_provider(spark):
+    n, e = graph(spark)
+    v = spark.createDataFrame([("task-1", "task", [1.0, 0.0]), ("task-2", "task", [0.9, 0.1]), ("task-3", "task", [0.0, 1.0]), ("dec-1", "decision", [1.0, 0.0])], "id string, node_type string, embedding array<double>")
+    roots = spark.createDataFrame([("task-1",)], "root_id string")
+    got = D.semantic_items(D.VectorProvider(v), roots, n, 7, "Similar", 1).collect()
+    assert [(r.root_id, r.ordinal, r.target_id, r.item_title) for r in got] == [("task-1", 7, "task-2", "Joints")]
+
+    class Fixed:
+        def similar(self, roots, k):
+            return roots.select(F.col("root_id").alias("query_id"), F.lit("comp-1").alias("id"), F.lit(1).alias("rank"))
+
+    assert D.semantic_items(Fixed(), roots, n, 1, "H").first().item_title == "Engine"
+
+
+def test_publishing_flushes_at_the_end(spark, tmp_path):
+    import json
+    import time
+
+    from quillgraph.streaming import journal as SJ
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    row = lambda k: json.dumps({"id": f"e{k}", "ts": "2024-01-01T00:00:00Z", "agent": "a", "kind": "finding", "summary": f"a summary that is long enough {k}", "session_id": "s"}) + "\n"
+    (folder / "1.json").write_text(row(1))
+    out = str(tmp_path / "out")
+    finish = SJ.publish(SJ.tail(spark, str(folder)), out, str(tmp_path / "bad"), str(tmp_path / "cp"), "1 hour")
+    for _ in range(120):
+        if (tmp_path / "out" / "batch=0" / "_SUCCESS").exists() and (tmp_path / "bad" / "batch=0" / "_SUCCESS").exists():
+            break
+        time.sleep(0.5)
+    (folder / "2.json").write_text(row(2))
+    finish()
+    assert {r.id for r in spark.read.parquet(out).collect()} == {"e1", "e2"}
