@@ -94,6 +94,20 @@ def k7(s: S, d: str) -> DataFrame:
     return out.select("query_id", "id", "word_rank", "vector_rank", F.round(R.finite(C("rrf") + C("score")), 6).alias("score"))
 
 
+def k6_combined(s: S, d: str) -> DataFrame:
+    """K6: entries of the asking entry's type on its item or the next one, but none of band 3."""
+    e = journal(s, d)
+    t = T.tokens(C("summary"))
+    item = F.element_at(t, -1)
+    q = e.filter("id % 100 = 0").select(C("id").alias("query_id"), F.slice(t, 1, 1).alias("must"), F.array(item, (item.cast("int") + 1).cast("string")).alias("should"), F.array(F.lit("3")).alias("never"))
+    return R.combined(R.corpus(e, "summary", "detail"), q).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+
+
+K6_COMBINED_TAIL = """, cw as materialized (select id, list_distinct({0}) w, {1} s from ex),
+ cq as (select id query_id, s[1] m, s[-1] a, (s[-1]::int + 1)::varchar b from cw where id % 100 = 0)
+select query_id, count(*) n, min(id) first_id from cq join cw on list_contains(w, m) and (list_contains(w, a) or list_contains(w, b)) and not list_contains(w, '3') group by 1"""
+
+
 def w4(s: S, d: str) -> DataFrame:
     hits = journal_words(s, d).join(journal(s, d).select("id", "summary", "detail"), "id")
     return R.skip_budget(hits, 60).select("query_id", "rank", "id", F.length("detail").alias("n_detail"))
@@ -173,6 +187,7 @@ QUERIES = {
     "K4_hybrid": (lambda s, d: k4(s, d, True), k4_sql(True)),
     "K4_hybrid_without_vectors": (lambda s, d: k4(s, d, False), k4_sql(False)),
     "K6_journal_keyword": (lambda s, d: journal_words(s, d).select("query_id", "id", "rank", F.round("score", 6).alias("score")), JW + " select query_id, id, rank, round(score, 6) score from hits"),
+    "K6_combined": (k6_combined, ENT + K6_COMBINED_TAIL.format(TOK.format("concat_ws(' ', summary, detail)"), TOK.format("summary"))),
     "K7_journal_hybrid": (k7, K7),
     "K10_rerank": (k10, K10),
     "W4_skip_budget": (w4, None),

@@ -89,3 +89,12 @@ def test_bm25_shares_queries_and_starts_rare(spark):
     got = R.bm25(R.corpus(docs, "body"), q, k=20, every=True).collect()
     assert {r.id for r in got if r.query_id == 1} == {r.id for r in got if r.query_id == 2} == {k for k in range(100) if k % 10 == 3}
     assert not [r for r in got if r.query_id > 2]
+
+
+def test_combined_queries(spark):
+    docs = spark.createDataFrame([(1, "red fox"), (2, "red dog"), (3, "blue fox dog"), (4, "red fox dog")], "id long, body string")
+    q = spark.createDataFrame([(1, ["red"], ["fox", "dog"], None), (2, ["fox"], [], ["red"]), (3, None, ["fox", "dog"], ["blue"]), (4, ["red", "absent"], None, None), (5, None, None, ["red"])], "query_id long, must array<string>, should array<string>, never array<string>")
+    got = {}
+    for r in R.combined(R.corpus(docs, "body"), q).collect():
+        got.setdefault(r.query_id, set()).add(r.id)
+    assert got == {1: {1, 2, 4}, 2: {3}, 3: {1, 2, 4}}
