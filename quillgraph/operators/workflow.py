@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from quillgraph.functions import text as T
 from quillgraph.operators import graph as G
+from quillgraph.plans.lineage import checkpoint
 
 #: What a missing edge of a root means: edge, target, gap type, priority (0 required, 1 recommended, 2 nice to have), phase.
 GAP_CLASSES = [
@@ -237,10 +238,15 @@ def publish_plan(sessions: DataFrame, archived: DataFrame) -> DataFrame:
 
 
 def packs(runs: DataFrame, every: int) -> DataFrame:
-    """Running totals of published rows, and whether a run crosses a multiple of ``every``."""
-    w = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = F.sum("n").over(w)
-    return runs.select("run", "n", upto.alias("total"), (F.floor((upto - F.col("n")) / every) < F.floor(upto / every)).alias("pack"))
+    """Running totals of published rows, and whether a run crosses a multiple of ``every``.
+
+    Runs are dealt into ranges; totals run within a range, and the sums of the ranges before, a
+    row each, are added."""
+    ranged = checkpoint(runs.repartitionByRange("run").withColumn("_part", F.spark_partition_id()))
+    before = F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    ahead = ranged.groupBy("_part").agg(F.sum("n").alias("_sum")).select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    upto = F.sum("n").over(Window.partitionBy("_part").orderBy("run")) + F.col("_before")
+    return ranged.join(ahead, "_part").select("run", "n", upto.alias("total"), (F.floor((upto - F.col("n")) / every) < F.floor(upto / every)).alias("pack"))
 
 
 def traverse_sections(roots: DataFrame, sections: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
