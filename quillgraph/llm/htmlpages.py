@@ -319,22 +319,11 @@ ORDER = ("host", "path", "page_id")
 RANGES = 4
 
 
-def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first and the last row of a partition."""
-    first = last = None
-    for batch in batches:
-        if batch.num_rows:
-            first = batch.slice(0, 1) if first is None else first
-            last = batch.slice(batch.num_rows - 1, 1)
-    if first is not None:
-        yield from (first, last)
-
-
 def _bounds(keys: DataFrame, n: int) -> list[tuple[Row, Row]]:
     """The first and last key of each of ``n`` ranges (fewer if some are empty), in order."""
-    kind = ", ".join(f"{c} {keys.schema[c].dataType.simpleString()}" for c in ORDER)
-    ends = keys.repartitionByRange(n, *ORDER).sortWithinPartitions(*ORDER).mapInArrow(_ends, kind).collect()
-    return list(zip(ends[::2], ends[1::2], strict=True))
+    ranged = keys.repartitionByRange(n, *ORDER).groupBy(F.spark_partition_id().alias("part"))
+    ends = ranged.agg(F.min(F.struct(*ORDER)).alias("first"), F.max(F.struct(*ORDER)).alias("last")).collect()
+    return [(r["first"], r["last"]) for r in sorted(ends, key=lambda r: r["part"])]
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -372,5 +361,5 @@ def extract(pages: DataFrame) -> DataFrame:
 
     at = let(F.struct(host, path, F.col("page_id")), lambda k: F.transform(let(table, lambda t: places(k, t)), lambda p: F.struct(p["bucket"].alias("bucket"), p["context"].alias("context"), k["host"].alias("host"), k["path"].alias("path"))))
     rows = pages.select("page_id", "url", F.explode(at).alias("_at"), "html").select("page_id", "url", "_at.*", "html")
-    ranged = rows.repartitionByRange(n, "bucket").sortWithinPartitions("bucket", *ORDER)
+    ranged = rows.repartitionById(n, F.floor(F.col("bucket") / RANGES).cast("int")).sortWithinPartitions("bucket", *ORDER)
     return ranged.mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")
