@@ -81,7 +81,16 @@ def _points(docs: DataFrame, id_col: str, text: str, dimensions: tuple[str, ...]
         )
     )
     groups = checkpoint(rows.groupBy("h").agg(F.min("x").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "least"))
-    return checkpoint(rows.join(groups, "h", "left").select("id", "size", "crc", _placed("x", "own").alias("x"))), groups
+    return checkpoint(rows.join(_sized(groups), "h", "left").select("id", "size", "crc", _placed("x", "own").alias("x"))), groups
+
+
+#: Groups of equal texts up to which their points are broadcast; a point is a hash and a short array, some 100 bytes.
+BROADCAST_GROUPS = 1 << 16
+
+
+def _sized(groups: DataFrame) -> DataFrame:
+    """``groups`` to be broadcast if they are counted to be few; Spark does not know the size of what was checkpointed."""
+    return F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
 
 
 def _placed(x: str, own: str) -> Column:
@@ -184,12 +193,12 @@ def assign(docs: DataFrame, shards: int = 40, target_bytes: int | None = None, i
 
 def shard_docs(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text: str = "text", dimensions: tuple[str, ...] = ("source", "lang", "n_chars")) -> DataFrame:
     """``docs`` with ``shard`` added, by the rule of :func:`assign`: the tree is fitted on compact rows, then
-    applied to each row where it is. Texts move only if there are too many groups of equal texts for Spark to
-    broadcast their points. A column named shard is replaced. Nulls, long texts, repeated rows and an
+    applied to each row where it is. Texts move only if there are more groups of equal texts than
+    ``BROADCAST_GROUPS``. A column named shard is replaced. Nulls, long texts, repeated rows and an
     empty table: as :func:`assign`."""
     rows, groups = _points(docs, id_col, text, dimensions)
     leaves = tree(rows, shards, len(dimensions))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "shard"]).alias("_row")
     placed = docs.select(row, _text_hash(text).alias("h"), F.array(*_axes(docs, text, dimensions)).alias("_x"), _single(id_col, text).alias("_own"))
     x = _placed("_x", "_own")
-    return placed.join(groups, "h", "left").select("_row.*", number_of(leaves, x).alias("shard"))
+    return placed.join(_sized(groups), "h", "left").select("_row.*", number_of(leaves, x).alias("shard"))

@@ -44,7 +44,9 @@ def test_leaves_equal_a_plain_tree(spark, shards):
     assert [r.shard for r in got] == list(want)
 
 
-def test_stage_and_query_have_one_rule(spark):
+@pytest.mark.parametrize("few", [1 << 16, 0])
+def test_stage_and_query_have_one_rule(spark, monkeypatch, few):
+    monkeypatch.setattr(kdshard, "BROADCAST_GROUPS", few)
     rows = [(k, f"text {k // 3} " + "w " * (k % 40), f"s{k % 5}", "en", k % 40) for k in range(900)] + [(k, "hot text", f"s{k % 7}", "de", 8) for k in range(900, 1500)] + [(-1, None, None, None, None), (-1, None, None, None, None), (-2, "x" * 300_000, "s1", "en", 300_000)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").withColumn("h", F.lit(1)).withColumn("least", F.lit("clash"))
     stage = {r.doc_id: r.shard for r in kdshard.shard_docs(d, 9).collect()}
