@@ -1,4 +1,5 @@
 """Training-data operators: personal data, near copies, URL lists, decontamination,
-sharding, licences, mixing, chat formatting, quality rules and HTML extraction.
+sharding, licences, mixing, chat formatting, quality rules, HTML extraction, collocations,
+centroids and fingerprints.
 
 Nothing else in the library imports this subpackage."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import chat, decontam, htmlpages, kdshard, license, mixing, pii, quality, simhash, urlfilter
+from quillgraph.llm import chat, corpus_queries, decontam, htmlpages, kdshard, license, mixing, pii, quality, simhash, urlfilter
 from quillgraph.llm._spark import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,6 +120,7 @@ def queries() -> dict[str, Query]:
         "op8_chat_format": op8_chat_format,
         "op9_quality_rules": op9_quality_rules,
         "op10_html_text": op10_html_text,
+        **corpus_queries.QUERIES,
     }
 
 
@@ -267,4 +268,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_mixing": _op7(),
         "op7_mixing_budget": _op7(budget=OP7_BUDGET),
         "op8_chat_format": OP8,
+        **corpus_queries.SQL,
     }

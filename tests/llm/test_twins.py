@@ -6,10 +6,10 @@ import pytest
 from quillgraph.llm import queries
 
 
-@pytest.mark.parametrize("name", ["op3_url_filter", "op7_mixing", "op7_mixing_budget", "op8_chat_format"])
+@pytest.mark.parametrize("name", ["op3_url_filter", "op7_mixing", "op7_mixing_budget", "op8_chat_format", "op11_collocations", "op12_centroids"])
 def test_same_rows(spark, sf, name):
     c = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     cursor = c.execute(queries.oracle_sql()[name])
     order = [x[0] for x in cursor.description]
