@@ -27,16 +27,15 @@ with p as (
     select coalesce(lang, 'und') lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[.,;:!?\x0A-\x0D]')) p from documents)),
 g as materialized (
   select lang, k, array_to_string(w[i:i + k - 1], ' ') phrase, count(*) f
-  from (select lang, w, k, unnest(range(1, len(w) - k + 2)) i from p, range(1, 5) t(k) where len(w) >= k) group by all),
+  from (select *, unnest(range(1, len(w) - k + 2)) i from (select lang, w, unnest(range(1, least(4, len(w)) + 1)) k from p)) group by all),
 n as (select lang, sum(f)::bigint n from g where k = 1 group by 1),
 c as materialized (select *, string_split(phrase, ' ') w from g where k > 1 and f >= 30),
+q as materialized (select lang, phrase, f, j, array_to_string(w[1:j], ' ') p, array_to_string(w[j + 1:], ' ') q from (select *, unnest(range(1, k)) j from c)),
 s as (
-  select c.lang, c.phrase, c.f a, j, l.f l, r.f r, ((2000000::hugeint * c.f) // (l.f::hugeint + r.f))::bigint score
-  from c join range(1, 4) t(j) on j < c.k
-    join g l on l.lang = c.lang and l.k = j and l.phrase = array_to_string(c.w[1:j], ' ')
-    join g r on r.lang = c.lang and r.k = c.k - j and r.phrase = array_to_string(c.w[j + 1:], ' ')),
+  select q.lang, q.phrase, q.f a, j, l.f l, r.f r, ((2000000::hugeint * q.f) // (l.f::hugeint + r.f))::bigint score
+  from q join g l on l.lang = q.lang and l.phrase = q.p join g r on r.lang = q.lang and r.phrase = q.q),
 b as (select * from s qualify row_number() over (partition by lang, phrase order by score, j) = 1),
-o as (select distinct q.lang, array_to_string(w[i:i + m - 1], ' ') phrase, f from (select lang, w, f, m, unnest(range(1, k - m + 2)) i from c, range(2, 4) t(m) where m < k) q),
+o as materialized (select lang, array_to_string(w[i:i + m - 1], ' ') phrase, f from (select *, unnest(range(1, k - m + 2)) i from (select lang, k, w, f, unnest(range(2, k)) m from c))),
 x as (select lang, phrase, max(f) f from o group by 1, 2),
 z as (select b.* from b left join x using (lang, phrase) where x.f is null or 100::hugeint * x.f < 80::hugeint * a)
 select lang, row_number() over (partition by lang order by score desc, a desc, phrase) rank, phrase, a, l, r, n, score from z join n using (lang) qualify rank <= 2000
