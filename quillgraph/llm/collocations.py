@@ -10,6 +10,7 @@ sides in step and build no hash table, so neither side needs to fit in memory.""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,8 @@ MOST_WORDS = 4
 PIECES, BLANKS = "[.,;:!?\n\x0b\x0c\r]", "[ \t]+"
 #: The language of a null.
 UNKNOWN = "und"
-#: Bytes of text that a task counts at a time (one text at least), and rows of a batch that it hands on.
-SLICE, ROWS = 16 << 20, 1 << 17
+#: Bytes of text that a task counts at a time, and rows of a batch that it hands on.
+SLICE, ROWS = 4 << 20, 1 << 17
 #: Bits of the filter of frequent pairs (16 MB), and those of one of its parts.
 FILTER_BITS, PART_BITS = 1 << 27, 1 << 17
 COUNTS = "lang string, phrase string, words int, f long"
@@ -103,12 +104,27 @@ def filter_bits(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return h % np.uint64(bits), (h >> np.uint64(32)) * np.uint64(0x85EBCA6B) % np.uint64(bits)
 
 
+def _parts(text: str, size: int) -> Iterator[str]:
+    """A text in parts of about ``size`` characters that end where a piece does; counts add up to the whole text's."""
+    ends, start = re.compile(PIECES), 0
+    while start < len(text):
+        end = ends.search(text, start + size)
+        stop = end.end() if end else len(text)
+        yield text[start:stop]
+        start = stop
+
+
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    start = 0
+    """Rows (text, lang) of about SLICE bytes; a longer text is cut between pieces."""
+    size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, start = np.cumsum(size), 0
     while start < batch.num_rows:
         stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SLICE, "right")))
-        yield batch.slice(start, stop - start)
+        if size[start] > SLICE:
+            for part in _parts(batch.column("text")[start].as_py(), SLICE // 4):
+                yield pa.RecordBatch.from_arrays([pa.array([part]), batch.column("lang").slice(start, 1)], names=["text", "lang"])
+        else:
+            yield batch.slice(start, stop - start)
         start = stop
 
 
@@ -190,8 +206,8 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     that no longer ones need be looked at). Ranks go by score, then a, both descending, then by the phrase's
     bytes. Numbers are 38-digit decimals where products may pass 64 bits. Null, empty and word-less texts
     count nothing; repeated rows count as often as they stand; an empty table gives an empty result. Other columns are not
-    read, whatever their names. A hot language or phrase is pre-counted in each task; a text longer than 16 MB
-    is counted by itself."""
+    read, whatever their names. A hot language or phrase is pre-counted in each task; a text longer than SLICE
+    is counted in parts that end where pieces do, whole if it has no such end."""
     phrases, totals = frequent(docs, lang_col, text_col, least)
     big = lambda c: F.col(c).cast("decimal(20,0)")
     found = phrases.filter("words > 1")

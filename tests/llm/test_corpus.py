@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillgraph.llm import centroids, collocations, winnowing
@@ -50,7 +51,12 @@ def test_collocations_equal_a_plain_count(spark, least, top):
 def test_collocations_of_an_empty_table_and_of_slices(spark, monkeypatch):
     d = spark.createDataFrame([], "text string, lang string")
     assert collocations.collocations(d).count() == 0
-    assert [p.num_rows for p in collocations._slices(__import__("pyarrow").record_batch({"text": ["x" * (9 << 20)] * 3 + ["y" * (40 << 20), None, "z"], "lang": ["en"] * 6}))] == [1, 1, 1, 1, 2]
+    long = "".join(f"word{k} and more{'.' if k % 7 == 0 else ' '}" for k in range(300_000))
+    batch = pa.record_batch({"text": ["x" * (3 << 20)] * 3 + [long, None, "z"], "lang": ["en"] * 6})
+    parts = list(collocations._slices(batch))
+    assert [p.num_rows for p in parts[:3]] == [1, 1, 1] and parts[-1].num_rows == 2
+    assert len(parts) > 5 and "".join(p.column("text")[0].as_py() for p in parts[3:-1]) == long
+    assert all(p.column("text")[0].as_py().endswith(".") for p in parts[3:-2])
 
 
 def test_a_full_filter_only_costs_rows(spark, monkeypatch):
