@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from quillgraph.functions import text as T
 from quillgraph.operators import maintain as M
+from quillgraph.operators import postings as X
 from quillgraph.operators import search as R
 from quillgraph.operators import workflow as W
 
@@ -148,9 +149,9 @@ def filtered_neighbours(vectors: DataFrame, queries: DataFrame, condition: Colum
     return R.nearest(vectors.filter(condition), queries, k)
 
 
-def session_context(docs: DataFrame, sessions: DataFrame, k: int = 20) -> DataFrame:
-    """The ``k`` best documents (id, terms, n_terms) for each session's free text."""
-    return R.bm25(docs, sessions.select(F.col("session_id").alias("query_id"), T.tokens(F.col("body")).alias("terms")), k).select("query_id", "id", "rank")
+def session_context(index: X.Index, sessions: DataFrame, k: int = 20) -> DataFrame:
+    """The ``k`` best documents of a full-text index for each session's free text."""
+    return X.search(index, X.terms(sessions, "session_id", "body"), k).select("query_id", "id", "rank")
 
 
 def cascade(edges: DataFrame, names: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from quillgraph.operators import embed as X
 from quillgraph.operators import graph as G
 from quillgraph.operators import journal as J
 from quillgraph.operators import maintain as M
+from quillgraph.operators import postings as PX
 from quillgraph.operators import reports as P
 from quillgraph.operators import search as SR
 from quillgraph.operators import workflow as W
@@ -321,7 +322,7 @@ def features(s: S, d: str) -> DataFrame:
 
 def g11(s: S, d: str) -> DataFrame:
     """The top documents for each interview's problem statement."""
-    return P.session_context(corpus(s, d), WQ.sessions(s, d))
+    return P.session_context(PX.build(RQ.docs(s, d), *RQ.SEARCHED), WQ.sessions(s, d))
 
 
 def g14(s: S, d: str) -> DataFrame:
@@ -431,7 +432,7 @@ from q left join nodes n using (id) left join st w on w.node_id = q.id left join
     "R5_semantic_section": (r5, RQ.VEC + RQ.knn_sql("vectors", 30) + " select query_id, near.id, rank from near join vectors a on a.id = near.id join vectors b on b.id = query_id where a.node_type = b.node_type and near.id <> query_id"),
     "R5_typed_section": (r5_typed, RQ.VEC + ", p as (select a.id query_id, b.id, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) similarity from vectors a join vectors b on a.node_type = b.node_type and a.id <> b.id where a.id % 100 = 0) select query_id, id, (row_number() over (partition by query_id order by round(similarity, 9) desc, id))::int rank from p qualify rank <= 30"),
     "R10_issue_payload": (r10, R10),
-    "G11_session_context": (g11, RQ.DOCS + f", se as (select session_id id, body from ({WQ.I0} select session_id, body from se))" + RQ.bm25_sql("dx", "concat_ws(' ', title, body)", "body", 20, queries="se") + " select query_id, id, rank from hits"),
+    "G11_session_context": (g11, RQ.DOCS + f", se as (select session_id id, body from ({WQ.I0} select session_id, body from se))" + RQ.bm25_sql("dx", RQ.DTEXT, "body", 20, queries="se") + " select query_id, id, rank from hits"),
     "G14_session_ids": (g14, WQ.I0 + ", k as (select session_id, node_type q, count(distinct id) n, min(id) id from te group by 1, 2) select session_id, q as query, case when n = 1 then id end id, case when n = 1 then 'found' else 'ambiguous' end outcome from k"),
     "G15_commit_then_validate": (g15, f"select kind, count(*) n from (select kind from ({GQ.M1}) where severity = 'error' union all select 'skipped_edge' from (" + WQ.QUERIES["G6_commit_plan"][1] + ") where outcome = 'skipped') group by 1"),
     "G10_full_sync": (lambda s, d: W.full_sync(WQ.synced_nodes(s, d), WQ.issues(s, d), WQ.state(s, d)).groupBy("step", "action").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")), G10),

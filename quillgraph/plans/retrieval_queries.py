@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from quillgraph.functions import text as T
 from quillgraph.operators import graph as G
 from quillgraph.operators import journal as J
+from quillgraph.operators import postings as P
 from quillgraph.operators import search as R
 from quillgraph.operators.search import Retrieval
+from quillgraph.plans import stem_sql
 from quillgraph.plans.graph_queries import HOP, bfs_sql
 from quillgraph.sources import bindings as B
 
@@ -19,16 +21,30 @@ C = F.col
 K4 = Retrieval()
 
 
+#: What full-text search looks at: a document's language and source are its tags.
+SEARCHED = ("id", "title", "body", "tags")
+NODE_FIELDS, ENTRY_FIELDS = ("id", "title", "body"), ("summary", "detail")
+
+
 def docs(s: S, d: str) -> DataFrame:
-    return B.view(s, d, "docs").withColumn("id", C("doc_id"))
+    return B.view(s, d, "docs").withColumn("id", C("doc_id")).withColumn("tags", F.concat_ws(" ", "node_type", "owner"))
 
 
 def asked(s: S, d: str) -> DataFrame:
     return docs(s, d).filter("doc_id % 100 = 0").select(C("doc_id").alias("query_id"), T.tokens(C("title")).alias("terms"))
 
 
-def words(s: S, d: str, k: int | None = 30, every: bool = False) -> DataFrame:
-    return R.bm25(R.corpus(docs(s, d), "title", "body"), asked(s, d), k, every)
+def title_terms(s: S, d: str) -> DataFrame:
+    return P.terms(docs(s, d).filter("doc_id % 100 = 0"), "id", "title")
+
+
+def words(s: S, d: str, k: int | None = 30) -> DataFrame:
+    return P.search(P.build(docs(s, d), *SEARCHED), title_terms(s, d), k)
+
+
+def filtered_words(s: S, d: str) -> DataFrame:
+    """K1 under a metadata filter: hits of one language, N and document frequencies of all."""
+    return P.search(P.build(docs(s, d), *SEARCHED), title_terms(s, d), 30, allowed=docs(s, d).filter("node_type = 'de'"))
 
 
 def vector_hits(s: S, d: str, k: int = 30) -> DataFrame:
@@ -46,7 +62,7 @@ def graph_asked(s: S, d: str) -> DataFrame:
     """A root asks for the name of a part, of which there are as many as there are parts."""
     p = B.raw(s, d, "part").select("p_partkey", "p_name")
     n = F.lit(p.count())
-    return graph_roots(s, d).withColumn("p_partkey", C("k") % n + 1).join(p, "p_partkey").select(C("root_id").alias("query_id"), T.tokens(C("p_name")).alias("terms"))
+    return graph_roots(s, d).withColumn("p_partkey", C("k") % n + 1).join(p, "p_partkey").select(C("root_id").alias("query_id"), "p_name")
 
 
 def part_vectors(s: S, d: str) -> DataFrame:
@@ -63,7 +79,7 @@ def k4(s: S, d: str, with_vectors: bool) -> DataFrame:
     """K4: structural hop scores of the nodes within two hops of each root, the 30 best by words, the 30 nearest by vector."""
     n = B.view(s, d, "nodes")
     hops = G.scored(G.bfs(graph_roots(s, d), n, B.view(s, d, "edges"), 2)).select(C("root_id").alias("query_id"), "id", "score")
-    words_ = R.bm25(R.corpus(n, "title", "body"), graph_asked(s, d), 30)
+    words_ = P.search(P.build(n, *NODE_FIELDS), P.terms(graph_asked(s, d), "query_id", "p_name"), 30)
     near = graph_vector_hits(s, d).select("query_id", "id", C("similarity").alias("score")) if with_vectors else None
     payload = n.select("id", "node_type", "updated", T.node_tokens(C("title"), C("body")).alias("tokens"))
     out = R.hybrid(hops, words_, near, payload, F.lit(B.NODES_NOW).cast("timestamp"), K4)
@@ -76,8 +92,7 @@ def journal(s: S, d: str) -> DataFrame:
 
 def journal_words(s: S, d: str) -> DataFrame:
     e = journal(s, d)
-    q = e.filter("id % 100 = 0").select(C("id").alias("query_id"), T.tokens(C("summary")).alias("terms"))
-    return R.bm25(R.corpus(e, "summary", "detail"), q, 40, every=True)
+    return P.search(P.build(e, *ENTRY_FIELDS), P.terms(e.filter("id % 100 = 0"), "id", "summary"), 40, every=True)
 
 
 def journal_vectors(s: S, d: str) -> DataFrame:
@@ -123,17 +138,25 @@ def k10(s: S, d: str) -> DataFrame:
 TOK = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
 
 
-def bm25_sql(source: str, text: str, query: str, k: int, every: bool = False, name: str = "hits", queries: str = "") -> str:
-    """CTEs that end in ``name`` (query_id, id, score, rank)."""
+#: The words of full-text search, before their terms are looked up.
+WORDS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+'), lambda t: t <> '')"
+
+
+def bm25_sql(source: str, text: str, query: str, k: int, every: bool = False, name: str = "hits", queries: str = "", where: str = "") -> str:
+    """CTEs that end in ``name`` (query_id, id, score, rank); every posting is scored."""
     queries = queries or f"(select * from {source} where id % 100 = 0)"
-    need = f" having count(*) = any_value(q.needed)" if every else ""  # noqa: F541
-    return f""", cx as materialized (select id, {TOK.format(text)} w from {source}),
- cn as (select count(*)::double n, avg(len(w)) m from cx),
- q as materialized (select query_id, term, count(*) over (partition by query_id) needed from (select query_id, unnest(list_distinct(w)) term from (select id query_id, {TOK.format(query)} w from {queries}))),
- tf as materialized (select id, l, term, count(*) tf from (select id, len(w) l, unnest(w) term from cx) where term in (select term from q) group by all),
- df as (select term, count(*) df from tf group by 1),
+    need = " having count(*) = any_value(q.needed)" if every else ""
+    return f""", cx as materialized (select id, {WORDS.format(text)} w from {source}),
+ qx as materialized (select id query_id, {WORDS.format(query)} w from {queries}),
+ raw as (select distinct t from (select unnest(w) t from cx union all select unnest(w) from qx)),
+ {stem_sql.stems("raw", "voc")},
+ ca as materialized (select id, voc.w term, count(*) tf from (select id, unnest(w) t from cx) join voc using (t) group by 1, 2),
+ cl as materialized (select id, sum(tf) l from ca group by 1),
+ cn as (select (select count(*) from cx)::double n, (select sum(tf) from ca)::double / (select count(*) from cx) m),
+ q as materialized (select query_id, term, count(*) over (partition by query_id) needed from (select distinct query_id, voc.w term from (select query_id, unnest(w) t from qx) join voc using (t))),
+ df as (select term, count(*) df from ca group by 1),
  sc as (select query_id, id, sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / m))) score
-   from q join tf using (term) join df using (term), cn group by query_id, id{need}),
+   from q join ca using (term) join cl using (id) join df using (term), cn {where} group by query_id, id{need}),
  {name} as materialized (select *, (row_number() over (partition by query_id order by round(score, 9) desc, id))::int rank from sc qualify rank <= {k})"""
 
 
@@ -144,7 +167,8 @@ def knn_sql(source: str, k: int, name: str = "near") -> str:
 
 
 DOCS = B.oracle("docs") + ", dx as materialized (select doc_id id, title, body, node_type, owner from docs)"
-DWORDS = DOCS + bm25_sql("dx", "concat_ws(' ', title, body)", "title", 30)
+DTEXT = "concat_ws(' ', id, title, body, node_type, owner)"
+DWORDS = DOCS + bm25_sql("dx", DTEXT, "title", 30)
 VEC = B.oracle("vectors")
 
 
@@ -155,7 +179,7 @@ def k4_sql(with_vectors: bool) -> str:
  vq as (select root_id query_id, e from rq join vt on vec = k % (select count(*) from embeddings)),
  vp as (select query_id, id, list_cosine_similarity(vq.e, vt.e) similarity from vq, vt),
  near as materialized (select * from vp qualify row_number() over (partition by query_id order by round(similarity, 9) desc, id) <= 30)""" if with_vectors else ""
-    words_ = bm25_sql("nx", "concat_ws(' ', title, body)", "p_name", 30, queries="(select root_id id, p_name from rq join part on p_partkey = k % (select count(*) from part) + 1)")
+    words_ = bm25_sql("nx", "concat_ws(' ', id, title, body)", "p_name", 30, queries="(select root_id id, p_name from rq join part on p_partkey = k % (select count(*) from part) + 1)")
     return bfs_sql(2) + ", nx as materialized (select * from nodes), rq as (select 'o-' || o_orderkey root_id, o_orderkey k from orders where o_orderkey % 100 = 0)" + words_ + near + f""",
  sw as (select query_id, id, case when max(score) over p - min(score) over p < 1e-12 then 1.0 else (score - min(score) over p) / (max(score) over p - min(score) over p) end score from hits window p as (partition by query_id)),
  al as (select root_id query_id, id, 's' side, ({HOP})::double score from reached union all select query_id, id, 'w', score from sw {v}),
@@ -175,7 +199,7 @@ K7 = JW + ", ve as (select id, embedding from ex join embeddings on vec_id = ex.
 select query_id, id, word_rank, vector_rank, round(coalesce(30.0::double / (60 + word_rank), 0) + coalesce(30.0::double / (60 + vector_rank), 0) + {REC} + {BOOST}, 6) score from fu join ex using (id)"""
 CLASSES = ", c as (select node_type, lower(title) k, min(id) rep, count(*) n from docs group by 1, 2)"
 
-K10 = DOCS + bm25_sql("dx", "concat_ws(' ', title, body)", "title", 60) + f""",
+K10 = DOCS + bm25_sql("dx", DTEXT, "title", 60) + f""",
  ow as (select id, list_distinct({TOK.format("title")}) w from dx),
  sh as (select query_id, h.id, rank, len(list_intersect(a.w, b.w)) / len(a.w)::double s from hits h join ow a on a.id = query_id join ow b on b.id = h.id)
 select query_id, id, rank, (row_number() over (partition by query_id order by rank > 50, case when rank > 50 then 0.0 else s end desc, rank))::int new_rank, rank <= 50 reranked from sh"""
@@ -183,6 +207,7 @@ select query_id, id, rank, (row_number() over (partition by query_id order by ra
 QUERIES = {
     "A12_corpus_stats": (lambda s, d: R.corpus(docs(s, d), "title", "body").select("id", "n_terms", F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n_terms").cast("long").alias("n_terms")), DOCS + f", x as (select id, {TOK.format(chr(99) + 'oncat_ws(' + chr(39) + ' ' + chr(39) + ', title, body)')} w from dx) select term, count(*) df, sum(n)::bigint n_terms from (select len(w) n, unnest(list_distinct(w)) term from x) group by 1"),
     "K1_keyword_search": (lambda s, d: words(s, d).select("query_id", "id", "rank", F.round("score", 6).alias("score")), DWORDS + " select query_id, id, rank, round(score, 6) score from hits"),
+    "K1_filtered_search": (lambda s, d: filtered_words(s, d).select("query_id", "id", "rank", F.round("score", 6).alias("score")), DOCS + bm25_sql("dx", DTEXT, "title", 30, where="where id in (select id from dx where node_type = 'de')") + " select query_id, id, rank, round(score, 6) score from hits"),
     "K3_vector_search": (lambda s, d: vector_hits(s, d, 10).select("query_id", "id", "rank", F.round("similarity", 6).alias("similarity")), VEC + knn_sql("vectors", 10) + " select query_id, id, rank, round(similarity, 6) similarity from near"),
     "K4_hybrid": (lambda s, d: k4(s, d, True), k4_sql(True)),
     "K4_hybrid_without_vectors": (lambda s, d: k4(s, d, False), k4_sql(False)),
