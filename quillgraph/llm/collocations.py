@@ -30,7 +30,7 @@ PIECES, BLANKS = "[.,;:!?\n\x0b\x0c\r]", "[ \t]+"
 #: The language of a null.
 UNKNOWN = "und"
 #: Bytes of text that a task counts at a time, and rows of a batch that it hands on.
-SLICE, ROWS = 4 << 20, 1 << 17
+SLICE, ROWS = 2 << 20, 1 << 16
 #: Bits of the filter of frequent pairs (16 MB), and those of one of its parts.
 FILTER_BITS, PART_BITS = 1 << 27, 1 << 17
 COUNTS = "lang string, phrase string, words int, f long"
