@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
 from quillgraph.operators import journal as J
+from quillgraph.plans.retrieval_queries import budget_sql
 from quillgraph.sources import bindings as B
 
 S = SparkSession
@@ -24,10 +25,12 @@ BOOST = "case kind when 'decision' then 0.5 when 'dead_end' then 0.5 when 'findi
 KEY = "lower(trim(regexp_replace(summary, '\\s+', ' ', 'g')))"
 
 
-def newest(key: str, source: str, n: int) -> str:
-    return f"""{E}, h as ({source}), p as (select *, row_number() over (partition by {key} order by ts desc, id) place from h qualify place <= {n}),
- f as (select *, row_number() over (partition by {key}, {KEY}, kind order by place) rn from p)
-select {key}, id, ts::varchar ts, round({REC} + {BOOST}, 6)::double score from f where rn = 1"""
+def digest(key: str, source: str, pull: int = 200, budget: int = 4000, limit: int = 50) -> str:
+    """The newest ``pull`` entries of each key; of each normalised summary and kind the newest; those that fit the budget; ``limit`` of them."""
+    return f"""{E}, h as materialized ({source}), p as (select *, row_number() over (partition by {key} order by ts desc, id) place from h qualify place <= {pull}),
+ one as materialized (select *, {key} g from p qualify row_number() over (partition by {key}, {KEY}, kind order by place) = 1)""" + budget_sql("one", budget) + f"""
+select {key}, id, {ts_sql("ts")} ts, round({REC} + {BOOST}, 6)::double score, detail
+from (select * from fit qualify row_number() over (partition by g order by place) <= {limit}) f join (select * exclude (detail, place) from one) o using (g, id)"""
 
 
 def commits(s: S, d: str) -> DataFrame:
@@ -78,10 +81,8 @@ QUERIES = {
     "W9_first_seen": (lambda s, d: ts_text(J.first_seen(entries(s, d)), "started"), E + f"select session_id, min_by(id, (ts, id)) first_id, min_by(agent, (ts, id)) agent, {ts_sql('min(ts)')} started from entries group by 1"),
     "O7_boosts": (lambda s, d: J.boosted(entries(s, d), B.journal_now()).select("id", F.round("score", 6).alias("score")), E + f"select id, round({REC} + {BOOST}, 6)::double score from entries"),
     "K8_filter_search": (k8, E + f"select id, round({REC} + {BOOST}, 6)::double score from entries where ts >= timestamp '2024-01-10' and list_has_all(tags, ['k1', 'error'])"),
-    "K12_by_commits": (lambda s, d: ts_text(J.by_commits(entries(s, d), commits(s, d), B.journal_now()), "ts"), newest("range_id", "select e.*, range_id from entries e join (select distinct 'range-' || (event_id % 5) range_id, 'sha' || (event_id % 60) head from events) c using (head)", 40).replace("ts::varchar ts", ts_sql("ts") + " ts")),
-    "K13_by_paths": (lambda s, d: ts_text(J.by_paths(entries(s, d), entries(s, d).select(F.explode("files").alias("path")).distinct(), B.journal_now()), "ts"), newest("path", "select * from (select *, unnest(list_distinct(files)) path from entries)", 40).replace("ts::varchar ts", ts_sql("ts") + " ts")),
-    "K12_range_digest": (lambda s, d: ts_text(J.range_digest(entries(s, d), commits(s, d), B.journal_now()), "ts"), None),
-    "K13_path_digest": (lambda s, d: ts_text(J.path_digest(entries(s, d), entries(s, d).select(F.explode("files").alias("path")), B.journal_now()), "ts"), None),
+    "K12_range_digest": (lambda s, d: ts_text(J.range_digest(entries(s, d), commits(s, d), B.journal_now()), "ts"), digest("range_id", "select e.*, range_id from entries e join (select distinct 'range-' || (event_id % 5) range_id, 'sha' || (event_id % 60) head from events) c using (head)")),
+    "K13_path_digest": (lambda s, d: ts_text(J.path_digest(entries(s, d), entries(s, d).select(F.explode("files").alias("path")), B.journal_now()), "ts"), digest("path", "select * from (select *, unnest(list_distinct(files)) path from entries)")),
     "K14_by_id": (lambda s, d: entries(s, d).join(B.raw(s, d, "orders").select(F.concat(F.lit("e-"), "o_orderkey").alias("id")), "id", "left_semi").select("id", "summary"), E + "select id, summary from entries where id in (select 'e-' || o_orderkey from orders)"),
     "K16_lint": (lambda s, d: J.unreferenced(B.view(s, d, "nodes"), entries(s, d), "feature", "active").select("id", "title"), NE + "select id, title from nodes where node_type = 'feature' and status = 'active' and id not in (select unnest(refs) from entries)"),
     "T6_sessions_batch": (t6, E + ", x as (select *, coalesce(lag(final::int) over (partition by worktree, agent order by ts, id), 0) c from entries), y as (select *, sum(c) over (partition by worktree, agent order by ts, id rows unbounded preceding)::bigint session_no from x) select worktree, agent, session_no, count(*) n, bool_or(final) closed from y group by 1, 2, 3"),

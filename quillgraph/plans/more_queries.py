@@ -264,10 +264,6 @@ def corpus(s: S, d: str) -> DataFrame:
     return SR.corpus(RQ.docs(s, d), "title", "body")
 
 
-def phrase_queries(s: S, d: str) -> DataFrame:
-    return RQ.asked(s, d).select("query_id", F.slice("terms", 1, 2).alias("terms"))
-
-
 def title_phrases(s: S, d: str) -> DataFrame:
     """Whole titles as phrases."""
     return SR.phrases(corpus(s, d), RQ.asked(s, d))
@@ -277,14 +273,6 @@ def prefix_queries(s: S, d: str) -> DataFrame:
     return RQ.asked(s, d).select("query_id", F.left(F.element_at("terms", -1), F.lit(3)).alias("prefix")).filter("prefix is not null")
 
 
-def r5(s: S, d: str) -> DataFrame:
-    """A semantic section: each root's nearest others of its type, without the root."""
-    near = RQ.vector_hits(s, d, 30)
-    v = B.view(s, d, "vectors").select("id", "node_type")
-    typed = near.join(v, "id").join(v.select(C("id").alias("query_id"), C("node_type").alias("root_type")), "query_id")
-    return typed.filter("node_type = root_type and id <> query_id").select("query_id", "id", "rank")
-
-
 def r5_typed(s: S, d: str) -> DataFrame:
     """Each root's 30 nearest others among all vectors of its type."""
     v = B.view(s, d, "vectors")
@@ -379,7 +367,12 @@ QUERIES = {
     "S15_json_rows": (lambda s, d: MD.to_json_rows(nodes(s, d).select("id", "status")), N + """select '{"id":"' || id || '","status":' || coalesce('"' || status || '"', 'null') || '}' as value from nodes"""),
     "S18_import_texts": (lambda s, d: MD.import_texts(B.view(s, d, "docs").select(C("id").alias("file_path"), C("body").alias("content")), "feature").select("file_path", "id", "status"), D + ", f as (select id file_path, trim(regexp_replace(coalesce(list_filter(string_split(coalesce(body, ''), chr(10)), lambda x: trim(x) <> '')[1], ''), '^\\s*#+\\s*', '')) l from docs), x as (select file_path, replace(trim(regexp_replace(lower(l), '[^a-z0-9]+', ' ', 'g')), ' ', '-') j from f) select file_path, 'feature-' || case when length(j) <= 50 then j when contains(left(j, 51), '-') then regexp_replace(left(j, 51), '-[^-]*$', '') else left(j, 50) end id, 'draft' status from x"),
     "P7_renumbered_edges": (lambda s, d: M.renumber(edges(s, d)).select("source_id", "target_id", "edge_type", "edge_idx"), B.oracle("edges") + "select source_id, target_id, edge_type, (row_number() over (partition by source_id order by target_id, edge_type, valid_from nulls first) - 1)::int edge_idx from edges"),
-    "P15_snippets": (p15, None),
+    "P15_snippets": (p15, RQ.DWORDS + f""", tm as (select id query_id, {RQ.TOK.format('title')} t from dx where id % 100 = 0),
+ sn as materialized (select query_id, id, t, list_filter(regexp_split_to_array(body, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') w from hits join dx using (id) join tm using (query_id) where rank <= 10),
+ sh as materialized (select *, list_transform(w, lambda x: list_contains(t, lower(x))::int) h, greatest(len(w) - 32, 0) z from sn),
+ sa as materialized (select *, 0 - list_max(list_transform(range(0, z + 1), lambda i: coalesce(list_sum(h[i + 1:i + 32]), 0)::bigint * 100000000 - i)) % 100000000 r from sh),
+ sb as (select *, case when r < 0 then r + 100000000 else r end s from sa)
+select query_id, id, case when s > 0 then '...' else '' end || array_to_string(list_transform(w[s + 1:s + 32], lambda x: case when list_contains(t, lower(x)) then '>>>' || x || '<<<' else x end), ' ') || case when s < z then '...' else '' end snippet from sb"""),
     "P16_hop_score": (lambda s, d: B.raw(s, d, "lineitem").select("l_orderkey", "l_linenumber", G.hop_score(C("l_linenumber")).alias("score")), "select l_orderkey, l_linenumber, (case l_linenumber when 0 then 1.0 when 1 then 0.8 when 2 then 0.5 else greatest(0.3, 0.5::double - 0.1::double * (l_linenumber - 2)) end)::double score from lineitem"),
     "P36_angle": (lambda s, d: WQ.found(s, d).join(WQ.sessions(s, d).select("session_id", "body"), "session_id").select("session_id", "gap_type", "node_type", T.suggested_angle(C("gap_type"), C("body")).alias("angle")), WQ.I0 + ", an0 as (select session_id, gap_type, gp.node_type, lower(coalesce(se.body, '')) b from gp join se using (session_id)) select session_id, gap_type, node_type, case " + " ".join(f"when gap_type = '{g}' and ({' or '.join(f'contains(b, {chr(39)}{w}{chr(39)})' for w in ws) or 'true'}) then '{t.replace(chr(39), chr(39) * 2)}'" for g, choices in T.ANGLES.items() for ws, t in choices) + " end angle from an0"),
     "F10_min_similarity": (lambda s, d: RQ.vector_hits(s, d, 50).filter("similarity >= 0.2").select("query_id", "id"), RQ.VEC + RQ.knn_sql("vectors", 50) + " select query_id, id from near where round(similarity, 9) >= 0.2"),
@@ -420,16 +413,14 @@ select u.*, case when tr.edge_type is not null then 'already_present' when n.nod
     "R11_context_attachments": (r11, NE + """select source_id, edge_idx, title, node_type || ' (' || coalesce(status, '—') || ') — ' || replace(regexp_replace(body, '^# [^\\n]*\\n+', ''), chr(10), ' ') subtitle, 'graph://' || target_id url,
   '{"nodeId":"' || target_id || '","nodeType":"' || node_type || '","edgeType":"' || edge_type || '","status":"' || coalesce(status, '—') || '"}' metadata
 from edges join nodes on id = target_id where node_type in ('decision', 'persona', 'component')"""),
-    "R11_attachments": (lambda s, d: G.outgoing(nodes(s, d), edges(s, d).filter(C("edge_type").isin("serves", "depends_on", "child_of"))).select("source_id", "target_id", "edge_type", F.left("target_title", F.lit(80)).alias("label")), NE + "select source_id, target_id, edge_type, left(title, 80) label from edges join nodes on id = target_id where edge_type in ('serves', 'depends_on', 'child_of')"),
+    "R11_attachments": (lambda s, d: G.outgoing(nodes(s, d), edges(s, d).filter(C("edge_type").isin("serves", "depends_on", "child_of"))).select("source_id", "target_id", "edge_type", C("target_title").alias("label")), NE + "select source_id, target_id, edge_type, title label from edges join nodes on id = target_id where edge_type in ('serves', 'depends_on', 'child_of')"),
     "G13_cascade": (lambda s, d: P.cascade(WQ.tentative_edges(s, d), WQ.tentative(s, d).filter("node_type = 'persona'").select("session_id", C("id").alias("target_id"), F.concat(F.lit("new-"), "id").alias("new_id"))), WQ.I0 + " select session_id, edge_type, case when target_id in (select id from te where te.session_id = ed.session_id and node_type = 'persona') then 'new-' || target_id else target_id end target_id from ed"),
     "G16_dry_run": (lambda s, d: W.push_plan(WQ.synced_nodes(s, d), WQ.state(s, d)).groupBy("ord").agg(F.count_if(F.expr("action = 'create'")).alias("n_create"), F.count_if(F.expr("action = 'update'")).alias("n_update"), F.count_if(F.expr("action = 'skip'")).alias("n_skip")), WQ.SY + ", a as (select case node_type when 'epic' then 0 when 'feature' then 1 else 2 end ord, case when linear_id is null then 'create' when content_hash = hash_at_sync and node_type <> 'epic' then 'skip' else 'update' end x from sn left join st on node_id = id where node_type in ('epic', 'feature', 'task')) select ord, count(*) filter (x = 'create') n_create, count(*) filter (x = 'update') n_update, count(*) filter (x = 'skip') n_skip from a group by 1"),
     "G17_link": (g17, WQ.SY + """, q as (select id, 'L-' || (k + 1) linear_id from (select id, try_cast(substr(id, 3) as bigint) k from nodes where node_type in ('feature', 'persona')) union all select 'gone-x-' || n_nationkey, 'X-' || n_nationkey from nation)
 select q.id, q.linear_id, case when n.id is null then 'no_node' when n.node_type not in ('epic', 'feature', 'task') then 'wrong_type' when o.node_id is not null and o.node_id <> q.id then 'taken' when w.linear_id = q.linear_id then 'unchanged' when w.linear_id is not null then 'relinked' else 'linked' end outcome
 from q left join nodes n using (id) left join st w on w.node_id = q.id left join st o on o.linear_id = q.linear_id"""),
-    "K6_phrases": (lambda s, d: SR.phrases(corpus(s, d), phrase_queries(s, d)), RQ.DOCS + f", x as materialized (select id, {RQ.TOK.format(CC)} w from dx), q as (select id query_id, ({RQ.TOK.format('title')})[1:2] p from dx where id % 100 = 0), y as (select id, unnest(w) a, unnest(list_append(w[2:], null)) b from x) select query_id, id, count(*) n from y join q on a = p[1] and (len(p) = 1 or b = p[2]) group by 1, 2"),
-    "K6_whole_phrases": (title_phrases, None),
+    "K6_whole_phrases": (title_phrases, RQ.DOCS + f", x as materialized (select id, w, ' ' || array_to_string(w, '  ') || ' ' s from (select id, {RQ.TOK.format(CC)} w from dx)), q as (select id query_id, p, ' ' || array_to_string(p, '  ') || ' ' s from (select id, {RQ.TOK.format('title')} p from dx where id % 100 = 0) where len(p) > 0), y as materialized (select query_id, id, w, p from x join q on contains(x.s, q.s)) select query_id, id, len(list_filter(range(1, len(w) - len(p) + 2), lambda i: w[i:i + len(p) - 1] = p)) n from y"),
     "K6_prefixes": (lambda s, d: SR.prefixes(corpus(s, d), prefix_queries(s, d)), RQ.DOCS + f", x as materialized (select id, unnest({RQ.TOK.format(CC)}) t from dx), q as (select id query_id, left(({RQ.TOK.format('title')})[-1], 3) p from dx where id % 100 = 0) select query_id, id, count(*) n from x join q on starts_with(t, p) where p is not null group by 1, 2"),
-    "R5_semantic_section": (r5, RQ.VEC + RQ.knn_sql("vectors", 30) + " select query_id, near.id, rank from near join vectors a on a.id = near.id join vectors b on b.id = query_id where a.node_type = b.node_type and near.id <> query_id"),
     "R5_typed_section": (r5_typed, RQ.VEC + ", p as (select a.id query_id, b.id, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) similarity from vectors a join vectors b on a.node_type = b.node_type and a.id <> b.id where a.id % 100 = 0) select query_id, id, (row_number() over (partition by query_id order by round(similarity, 9) desc, id))::int rank from p qualify rank <= 30"),
     "R10_issue_payload": (r10, R10),
     "G11_session_context": (g11, RQ.DOCS + f", se as (select session_id id, body from ({WQ.I0} select session_id, body from se))" + RQ.bm25_sql("dx", RQ.DTEXT, "body", 20, queries="se") + " select query_id, id, rank from hits"),

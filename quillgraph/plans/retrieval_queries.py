@@ -160,6 +160,19 @@ def bm25_sql(source: str, text: str, query: str, k: int, every: bool = False, na
  {name} as materialized (select *, (row_number() over (partition by query_id order by round(score, 9) desc, id))::int rank from sc qualify rank <= {k})"""
 
 
+def budget_sql(source: str, budget: int, name: str = "fit") -> str:
+    """CTEs from ``source`` (g, id, summary, detail, place) to ``name`` (g, id, place, detail): each group's rows one after the
+    other, by place; a row whose summary does not fit is left out, the detail that does not is cut and uses up the budget."""
+    return f""", so as materialized (select *, row_number() over (partition by g order by place) i from {source}),
+ sf as (
+  select g, 0::bigint i, {budget}::bigint room, null::varchar id, null::bigint place, null::varchar detail, false kept from so where i = 1
+  union all
+  select g, i, case when cost > room then room when need <= room - cost then room - cost - need else 0 end, id, place,
+    case when need <= room - cost then detail when room - cost - 1 <= 0 then null when length(detail) > (room - cost - 1) * 4 then left(detail, (room - cost - 1) * 4) || '…' else detail end, cost <= room
+  from (select so.g, so.i, sf.room, so.id::varchar id, so.place, so.detail, length(summary) // 4 + 1 as cost, case when so.detail is null then 0 else length(so.detail) // 4 + 1 end need from sf join so on so.g = sf.g and so.i = sf.i + 1)),
+ {name} as materialized (select g, id, place, detail from sf where kept)"""
+
+
 def knn_sql(source: str, k: int, name: str = "near") -> str:
     return f""", vn as materialized (select id, embedding e from {source}),
  vp as (select a.id query_id, b.id, list_cosine_similarity(a.e::double[], b.e::double[]) similarity from vn a, vn b where a.id % 100 = 0),
@@ -215,7 +228,7 @@ QUERIES = {
     "K6_combined": (k6_combined, ENT + K6_COMBINED_TAIL.format(TOK.format("concat_ws(' ', summary, detail)"), TOK.format("summary"))),
     "K7_journal_hybrid": (k7, K7),
     "K10_rerank": (k10, K10),
-    "W4_skip_budget": (w4, None),
+    "W4_skip_budget": (w4, JW + ", sr as (select query_id g, id, rank place, summary, detail from hits join ex using (id))" + budget_sql("sr", 60) + " select g query_id, place::int rank, id::varchar id, length(detail)::int n_detail from fit"),
     "K17_similar_titles": (lambda s, d: R.similar_titles(B.view(s, d, "docs")), B.oracle("docs") + CLASSES + ", w as (select node_type, rep, n, list_filter(regexp_split_to_array(k, '\\s+'), lambda x: x <> '') w from c), p as (select a.rep a, b.rep b, a.n n_a, b.n n_b, len(list_filter(a.w, lambda x: list_contains(b.w, x))) / greatest(len(a.w), len(b.w))::double s from w a join w b on a.node_type = b.node_type and a.rep < b.rep where len(a.w) > 0 and len(b.w) > 0 and len(a.w) >= 0.8 * len(b.w)) select a, b, n_a, n_b, round(s, 6) similarity from p where round(s, 6) >= 0.8"),
     "K18_near_titles": (lambda s, d: R.near_titles(B.view(s, d, "docs")), B.oracle("docs") + CLASSES + " select a.rep a, b.rep b, a.n n_a, b.n n_b, levenshtein(a.k, b.k)::int distance from c a join c b on a.node_type = b.node_type and a.rep < b.rep where abs(length(a.k) - length(b.k)) <= 2 and levenshtein(a.k, b.k) <= 2"),
 }

@@ -10,6 +10,7 @@ from quillgraph.functions.stem import stems
 from quillgraph.operators import journal as J
 from quillgraph.operators import maintain as M
 from quillgraph.operators import reports as P
+from quillgraph.plans import stem_sql
 from quillgraph.sources import bindings as B
 
 S = SparkSession
@@ -119,16 +120,18 @@ QUERIES = {
     "P6_make_suffix": (p6, N + ", x as (select replace(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' ', '-') j from nodes) select case when length(j) <= 50 then j when contains(left(j, 51), '-') then regexp_replace(left(j, 51), '-[^-]*$', '') else left(j, 50) end slug, count(*) n, count(*) n_ids from x group by 1"),
     "P8_body_section": (lambda s, d: nodes(s, d).select("id", T.body_section(C("body"), "Notes").alias("section")), N + "select id, case when contains(body, chr(10) || '## Notes' || chr(10)) then trim(split_part(body, '## Notes' || chr(10), 2)) end section from nodes"),
     "P9_first_paragraph": (lambda s, d: nodes(s, d).select("id", F.sha2(T.without_title(C("body")), 256).alias("rest"), T.first_paragraph(C("body"), 20).alias("lead")), N + ", x as (select id, regexp_replace(body, '^# [^\\n]*\\n*', '') r from nodes), y as (select id, r, trim(regexp_replace(split_part(r, chr(10) || '##', 1), '\\s+$', '')) p from x) select id, sha256(r) rest, case when length(p) > 20 then left(p, 17) || '...' else p end lead from y"),
-    "P10_summary": (lambda s, d: docs(s, d).select("id", T.summary(C("body"), 40).alias("summary")), D + f", x as (select id, {LINE1} l from docs) select id, case when length(l) <= 40 then l else regexp_replace(left(l, 40), '\\s\\S*$', '') || '...' end summary from x"),
-    "P10_body_summary": (lambda s, d: docs(s, d).select("id", T.body_summary(C("body"), 40).alias("summary")), None),
+    "P10_body_summary": (lambda s, d: docs(s, d).select("id", T.body_summary(C("body"), 40).alias("summary")), D + r""", l as (select id, regexp_split_to_array(coalesce(body, ''), '\r?\n') l from docs),
+ a as (select id, l[list_position(list_transform(l, lambda x: not starts_with(x, '#') and regexp_matches(x, '[^\s\p{Z}\x0B\x85]')), true):] l from l where list_contains(list_transform(l, lambda x: not starts_with(x, '#') and regexp_matches(x, '[^\s\p{Z}\x0B\x85]')), true)),
+ b as (select id, list_position(list_transform(l, lambda x: regexp_matches(x, '[^\s\p{Z}\x0B\x85]')), false) e, l from a),
+ t as (select docs.id, coalesce(array_to_string(case when e > 0 then l[:e - 1] else l end, ' '), '') t from docs left join b using (id))
+select id, case when length(t) <= 40 then t else regexp_replace(left(t, 40), ' [^ ]*$', '') || '...' end summary from t"""),
     "P11_first_line": (lambda s, d: docs(s, d).select("id", T.first_line(C("body")).alias("line")), D + f"select id, {LINE1} line from docs"),
     "P12_slug": (lambda s, d: docs(s, d).select("id", T.slug(C("title")).alias("slug")), D + ", x as (select id, replace(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' ', '-') j from docs) select id, case when length(j) <= 50 then j when contains(left(j, 51), '-') then regexp_replace(left(j, 51), '-[^-]*$', '') else left(j, 50) end slug from x"),
     "P12_slug_words": (lambda s, d: docs(s, d).select("id", T.slug_words(C("title")).alias("slug")), D + ", x as (select id, coalesce(nullif(trim(regexp_replace(title, '^\\s*#+\\s*', '')), ''), 'untitled') l from docs) select id, left(replace(trim(regexp_replace(lower(l), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ', '-'), 50) slug from x"),
     "P12_typed_slug": (lambda s, d: nodes(s, d).select("id", T.typed_slug(C("body"), C("node_type")).alias("slug")), N + ", x as (select id, case node_type when 'feature' then 'feat' else node_type end p, replace(trim(regexp_replace(lower(body), '[^a-z0-9]+', ' ', 'g')), ' ', '-') j from nodes) select id, p || '-' || case when length(j) <= 50 then j when contains(left(j, 50), '-') then regexp_replace(left(j, 50), '-[^-]*$', '') else left(j, 50) end slug from x"),
-    "P13_query_terms": (lambda s, d: docs(s, d).select("id", F.array_join(T.query_terms(F.substring("title", 1, 60)), "|").alias("terms")), D + "select id, array_to_string(list_filter(list_transform(regexp_split_to_array(substr(title, 1, 60), '\\s+'), lambda t: regexp_replace(t, '[^\\p{L}\\p{N}_-]', '', 'g')), lambda t: t <> ''), '|') terms from docs"),
     "P13_whole_titles": (lambda s, d: docs(s, d).select("id", F.array_join(T.query_terms(C("title")), "|").alias("terms")), D + "select id, array_to_string(list_filter(list_transform(regexp_split_to_array(title, '\\s+'), lambda t: regexp_replace(t, '[^\\p{L}\\p{N}_-]', '', 'g')), lambda t: t <> ''), '|') terms from docs"),
     "P14_tokens": (lambda s, d: docs(s, d).select(F.explode(T.tokens(C("body"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")), D + "select term, count(*) n from (select unnest(list_filter(regexp_split_to_array(lower(body), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) term from docs) group by 1"),
-    "P14_stems": (lambda s, d: stems(docs(s, d)).groupBy("stem").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df")), None),
+    "P14_stems": (lambda s, d: stems(docs(s, d)).groupBy("stem").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df")), D + ", k as materialized (select id, unnest(list_filter(regexp_split_to_array(lower(coalesce(body, '')), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) t from docs), r as (select distinct t from k), " + stem_sql.stems("r", "voc") + " select w stem, count(*) tf, count(distinct id) df from k join voc using (t) group by 1"),
     "P17_recency": (lambda s, d: events(s, d).select("event_id", F.round(T.recency(C("ts"), F.lit("2024-01-15").cast("timestamp")), 6).alias("recency")), "select event_id, round(case when ts >= timestamp '2024-01-15' then 0.5 else 0.5 * pow(2.0, -(epoch(timestamp '2024-01-15') - floor(epoch(ts))) / 86400.0 / 14.0) end, 6)::double recency from events"),
     "P18_kind_boost": (lambda s, d: B.view(s, d, "entries").select("id", T.kind_boost(C("kind")).alias("boost")), E + "select id, (case kind when 'decision' then 0.5 when 'dead_end' then 0.5 when 'finding' then 0.3 when 'outcome' then 0.2 when 'assumption' then -0.1 else 0.0 end)::double boost from entries"),
     "P19_dedup_key": (lambda s, d: docs(s, d).select("id", F.sha2(T.dedup_key(C("body")), 256).alias("k")), D + "select id, sha256(lower(trim(regexp_replace(body, '\\s+', ' ', 'g')))) k from docs"),

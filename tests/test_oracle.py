@@ -10,7 +10,7 @@ import pytest
 from quillgraph.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = "M2_repair J4_disallowed J6_as_of_join V2_bfs_edge_types A3_totals W2_distinct_summaries K12_by_commits P8_body_section P12_slug P24_high_entropy K1_keyword_search K3_vector_search K4_hybrid K6_phrases K7_journal_hybrid K17_similar_titles K18_near_titles G1_gaps G3_phase_moves G9_pull_plan R7_render R10_issue_payload S2_parse_markdown M13_schema_deltas J5_missing_reverse K4_hybrid_without_vectors K6_journal_keyword K6_combined K10_rerank P25_block P36_angle J25_resolve A14_ingest_report A17_warnings R8_modes R9_sections R11_context_attachments S14_template S16_snapshot G8_push_targets G15_commit_then_validate G17_link M10_refreshed M12_suffix_plan M13_applied M15_pruned W8_retention V1_bfs".split()
+SOME = "M2_repair J4_disallowed J6_as_of_join V2_bfs_edge_types A3_totals W2_distinct_summaries K12_range_digest K13_path_digest P8_body_section P12_slug P24_high_entropy K1_keyword_search K3_vector_search K4_hybrid K6_whole_phrases K7_journal_hybrid K17_similar_titles K18_near_titles G1_gaps G3_phase_moves G9_pull_plan R7_render R10_issue_payload S2_parse_markdown M13_schema_deltas J5_missing_reverse K4_hybrid_without_vectors K6_journal_keyword K6_combined K10_rerank P25_block P36_angle J25_resolve A14_ingest_report A17_warnings R8_modes R9_sections R11_context_attachments S14_template S16_snapshot G8_push_targets G15_commit_then_validate G17_link M10_refreshed M12_suffix_plan M13_applied M15_pruned W8_retention V1_bfs".split()
 NAMES = sorted(registry.oracle_sql()) if os.environ.get("QUILLGRAPH_ALL") else SOME
 
 
