@@ -137,6 +137,7 @@ def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from c.counts()
             c.longer()
             yield from c.counts()
+        pa.default_memory_pool().release_unused()
 
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,6 +186,7 @@ def frequent(docs: DataFrame, lang_col: str, text_col: str, least: int) -> tuple
                 for _ in range(MOST_WORDS - 2):
                     c.longer(good)
                     yield from c.counts()
+            pa.default_memory_pool().release_unused()
 
     long = checkpoint(summed(texts.mapInArrow(_long, COUNTS)).filter(F.col("f") >= least))
     return short.filter("words > 0").unionByName(long), short.filter("words = 0").select("lang", F.col("f").alias("n"))
