@@ -74,7 +74,3 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
         before = out
     return docs
-
-
-#: The mixing stage has a token budget of its own accord; this name is kept for callers of the earlier pipeline without one.
-run_budget = run

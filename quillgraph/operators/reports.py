@@ -38,27 +38,66 @@ def log_tail(events: DataFrame, n: int, at: str = "ts", key: str = "event_id") -
     return events.orderBy(F.desc(at), F.desc(key)).limit(n)
 
 
-#: The remote state of a local status, for a type of its own and for any.
-REMOTE_STATES: Mapping[tuple[str | None, str], str] = {
-    ("feature", "draft"): "Triage",
-    (None, "draft"): "Backlog",
-    (None, "active"): "In Progress",
-    (None, "discussing"): "In Progress",
-    (None, "completed"): "Done",
-    (None, "decided"): "Done",
+#: The remote state of a node's status, by type.
+REMOTE_STATES: Mapping[str, Mapping[str, str]] = {
+    "task": {"backlog": "Backlog", "in_progress": "In Progress", "done": "Done", "blocked": "Blocked", "cut": "Canceled"},
+    "feature": {"draft": "Backlog", "active": "In Progress", "completed": "Done", "superseded": "Canceled", "archived": "Canceled"},
+    "epic": {"draft": "planned", "active": "started", "completed": "completed", "archived": "canceled"},
 }
+#: The status of a remote state in lower case, by type.
+LOCAL_STATUSES: Mapping[str, Mapping[str, str]] = {
+    "task": {
+        "backlog": "backlog",
+        "triage": "backlog",
+        "in progress": "in_progress",
+        "started": "in_progress",
+        "done": "done",
+        "completed": "done",
+        "blocked": "blocked",
+        "canceled": "cut",
+        "cancelled": "cut",
+        "duplicate": "cut",
+    },
+    "feature": {
+        "backlog": "draft",
+        "triage": "draft",
+        "in progress": "active",
+        "started": "active",
+        "done": "completed",
+        "completed": "completed",
+        "canceled": "superseded",
+        "cancelled": "superseded",
+        "duplicate": "superseded",
+    },
+    "epic": {
+        "planned": "draft",
+        "backlog": "draft",
+        "started": "active",
+        "in progress": "active",
+        "completed": "completed",
+        "done": "completed",
+        "paused": "active",
+        "canceled": "archived",
+        "cancelled": "archived",
+    },
+}
+
+
+def _mapped(node_type: Column, value: Column, *tables: Mapping[str, Mapping[str, str]]) -> Column:
+    """The first table's value for the type and the value; null if none has one."""
+    return F.coalesce(*[F.when((node_type == t) & (value == v), to) for table in tables for t, row in table.items() for v, to in row.items()], F.lit(None).cast("string"))
 
 
-def remote_state(node_type: Column, status: Column, states: Mapping[tuple[str | None, str], str] = REMOTE_STATES) -> Column:
-    """The remote state of a node's status; the type's own mapping goes first, null if there is none."""
-    order = sorted(states.items(), key=lambda x: (x[0][0] is None, x[0][0] or "", x[0][1]))
-    return F.coalesce(*[F.when((status == s) if t is None else (node_type == t) & (status == s), v) for (t, s), v in order])
+def remote_state(node_type: Column, status: Column, overrides: Mapping[str, Mapping[str, str]] | None = None) -> Column:
+    """The remote state of a node's status; a project's own mapping goes first; null for a type or status without one."""
+    return _mapped(node_type, status, overrides or {}, REMOTE_STATES)
 
 
-def local_status(node_type: Column, state: Column, states: Mapping[tuple[str | None, str], str] = REMOTE_STATES) -> Column:
-    """The first status that the remote state stands for, the type's own first; null if there is none."""
-    order = sorted(enumerate(states.items()), key=lambda x: (x[1][0][0] is None, x[0]))
-    return F.coalesce(*[F.when((state == v) if t is None else (node_type == t) & (state == v), s) for _, ((t, s), v) in order])
+def local_status(node_type: Column, state: Column, overrides: Mapping[str, Mapping[str, str]] | None = None) -> Column:
+    """The status that a remote state stands for, in any case; a project's own mapping, status to state, is
+    read backwards and goes first; null for a type or state without one."""
+    back = {t: {v.lower(): k for k, v in reversed(row.items())} for t, row in (overrides or {}).items()}
+    return _mapped(node_type, F.lower(state), back, LOCAL_STATUSES)
 
 
 def fields(nodes: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -174,15 +213,24 @@ def commit_then_validate(tentative: DataFrame, new_edges: DataFrame, nodes: Data
 
 def snippets(hits: DataFrame, size: int = 32, marks: tuple[str, str] = (">>>", "<<<"), more: str = "...") -> DataFrame:
     """(query_id, id, snippet): of each hit (with ``terms`` and ``body``) the ``size`` tokens with most query terms,
-    the first of several, hits marked and cut ends shown."""
-
-    def best(w: Column, terms: Column) -> Column:
-        hit = F.transform(w, lambda x: F.array_contains(terms, F.lower(x)).cast("int"))
-        last = F.greatest(F.size(w) - size, F.lit(0))
-        score = T.let(hit, lambda h: F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.aggregate(F.slice(h, i + 1, size), F.lit(0), lambda a, x: a + x).alias("n"), (-i).alias("i"))))
-        at = -F.array_max(score)["i"]
-        marked = F.transform(F.slice(w, at + 1, size), lambda x: F.when(F.array_contains(terms, F.lower(x)), F.concat(F.lit(marks[0]), x, F.lit(marks[1]))).otherwise(x))
-        return F.concat(F.when(at > 0, more).otherwise(""), F.array_join(marked, " "), F.when(at < last, more).otherwise(""))
-
-    cut = F.array_remove(F.split("body", r"[^\p{L}\p{N}]+", -1), "")
-    return hits.select("query_id", "id", T.let(cut, lambda w: best(w, F.col("terms"))).alias("snippet"))
+    the first of several, hits marked and cut ends shown.
+
+    A hit's tokens meet its terms in a join, so long queries cost no scan a token. The best window ends at a hit, so
+    only runs of hits are tried, at most ``size`` ahead of each."""
+    cut = hits.select("query_id", "id", "terms", F.array_remove(F.split("body", r"[^\p{L}\p{N}]+", -1), "").alias("w"))
+    asked = hits.select("query_id", F.explode("terms").alias("term")).distinct()
+    tokens = cut.select("query_id", "id", F.posexplode("w").alias("at", "token")).withColumn("term", F.lower("token"))
+    places = tokens.join(asked, ["query_id", "term"]).groupBy("query_id", "id").agg(F.sort_array(F.collect_list("at")).alias("p"))
+    p = F.coalesce("p", F.array().cast("array<int>"))
+
+    def run(first: Column, k: Column) -> Column:
+        """The hits of the window from a hit on: how many, and the earliest window that holds them."""
+        held = F.filter(F.slice(p, k + 1, size), lambda x: x < first + size)
+        return F.struct(F.size(held).alias("n"), (-F.greatest(F.element_at(held, -1) - (size - 1), F.lit(0))).alias("i"))
+
+    best = F.coalesce(-F.array_max(F.transform(p, run))["i"], F.lit(0))
+    last = F.greatest(F.size("w") - size, F.lit(0))
+    shown = cut.select("query_id", "id", "w").join(places, ["query_id", "id"], "left").select("query_id", "id", "w", p.alias("p"), best.alias("at"), last.alias("last"))
+    marked = F.transform(F.slice("w", F.col("at") + 1, size), lambda x, i: F.when(F.array_contains("p", F.col("at") + i), F.concat(F.lit(marks[0]), x, F.lit(marks[1]))).otherwise(x))
+    text = F.concat(F.when(F.col("at") > 0, more).otherwise(""), F.array_join(marked, " "), F.when(F.col("at") < F.col("last"), more).otherwise(""))
+    return shown.select("query_id", "id", text.alias("snippet"))

@@ -251,7 +251,7 @@ QUERIES = {
     "J2_incoming": (lambda s, d: G.incoming(edges(s, d), nodes(s, d).filter("node_type = 'epic'")).select("source_id", "target_id", "edge_type"), NE + "select source_id, target_id, edge_type from edges where target_id in (select id from nodes where node_type = 'epic')"),
     "J3_dangling": (lambda s, d: G.dangling(nodes(s, d), edges(s, d)).select("source_id", "target_id", "edge_type"), NE + "select source_id, target_id, edge_type from edges where target_id not in (select id from nodes)"),
     "J4_disallowed": (lambda s, d: M.disallowed(nodes(s, d), edges(s, d), *schema(s)).groupBy("source_type", "edge_type", "target_type").agg(F.count(F.lit(1)).alias("n")), f"{FULL}, {TRIPLES} select source_type, edge_type, target_type, count(*) n from bad group by all"),
-    "J5_missing_reverse": (lambda s, d: M.missing_reverse(nodes(s, d), edges(s, d), B.edge_types(s)).select("source_id", "target_id", "reverse"), f"{FULL}, {TRIPLES} select source_id, target_id, reverse from lacking"),
+    "J5_missing_reverse": (lambda s, d: M.missing_reverse(nodes(s, d), edges(s, d), B.edge_types(s)).select("source_id", "target_id", "reverse"), f"{FULL}, known as materialized (select e.source_id, e.target_id, reverse from edges e join edge_types using (edge_type) join nodes n on n.id = e.target_id), there as materialized (select distinct target_id source_id, source_id target_id, edge_type reverse, 1 one from edges) select source_id, target_id, reverse from known left join there using (source_id, target_id, reverse) where one is null"),
     "J6_as_of_join": (j6, J6),
     "J25_resolve": (resolve, J25),
     "A1_type_counts": (lambda s, d: G.type_counts(nodes(s, d)), N + "select node_type, count(*) n from nodes group by 1"),

@@ -95,21 +95,15 @@ def r4(s: S, d: str) -> DataFrame:
     return inner.groupBy("root_id", "ordinal").agg(F.count(F.lit(1)).alias("n"), F.min("end_id").alias("first_target"))
 
 
-def r9(s: S, d: str) -> DataFrame:
-    """A brief for every feature: open work, blockers, the complex flag and a breadcrumb."""
-    item = WQ.items(s, d).groupBy("root_id").agg(F.count_if(F.expr("ordinal = 1")).alias("n_deliverables"), F.count_if((C("ordinal") == 2) & (C("item_status") == "discussing")).alias("n_blockers"))
-    serve = edges(s, d).filter("edge_type = 'serves'").groupBy(C("source_id").alias("root_id")).agg(F.min_by("target_id", "edge_idx").alias("persona"))
-    up = W.ancestors(nodes(s, d), edges(s, d)).select(C("id").alias("persona"), "parent", "grandparent")
-    x = WQ.roots(s, d).select("root_id").join(item, "root_id", "left").join(serve, "root_id", "left").join(up, "persona", "left")
-    n, b = F.coalesce("n_deliverables", F.lit(0)).cast("long"), F.coalesce("n_blockers", F.lit(0)).cast("long")
-    return x.select("root_id", n.alias("n_deliverables"), b.alias("n_blockers"), ((n >= 4) | (b > 0)).alias("complex"), F.concat_ws(" > ", "grandparent", "parent", "persona").alias("breadcrumb"))
+def feature_briefs(s: S, d: str) -> DataFrame:
+    """The sections of a brief for every feature, whose parents are its personas and theirs epics."""
+    kinds = DOC.BriefEdges(parent=("serves", "persona"), decision=("child_of", "epic"), child=("served_by", "feature"), component=("uses", "component"), blocker="depends_on")
+    return DOC.briefs(nodes(s, d).filter("node_type = 'feature'").select(C("id").alias("root_id")), nodes(s, d), edges(s, d), kinds)
 
 
-R9 = WQ.ITEMS + """, i as (select root_id, count(*) filter (ordinal = 1) d, count(*) filter (ordinal = 2 and item_status = 'discussing') b from it group by 1),
- sv as (select source_id root_id, min_by(target_id, edge_idx) persona from edges where edge_type = 'serves' group by 1),
- f as (select source_id, min_by(target_id, edge_idx) up from edges where edge_type = 'child_of' group by 1)
-select ro.root_id, coalesce(d, 0) n_deliverables, coalesce(b, 0) n_blockers, coalesce(d, 0) >= 4 or coalesce(b, 0) > 0 complex, concat_ws(' > ', g.up, p.up, persona) breadcrumb
-from ro left join i using (root_id) left join sv using (root_id) left join f p on p.source_id = persona left join f g on g.source_id = p.up"""
+def r9(s: S, d: str) -> DataFrame:
+    """The document of each brief."""
+    return DOC.brief_documents(feature_briefs(s, d)).select("root_id", F.sha2("document", 256).alias("document"))
 
 
 def health(s: S, d: str) -> DataFrame:
@@ -208,12 +202,8 @@ R8 = WQ.ITEMS + " " + " union all ".join(_R8.format(m, w) for m, w in (("as_of",
 
 
 def brief_sections(s: S, d: str) -> DataFrame:
-    """The ten sections of a brief for every feature, whose parents are its personas and theirs epics."""
-    kinds = DOC.BriefEdges(parent=("serves", "persona"), decision=("child_of", "epic"), child=("served_by", "feature"), component=("uses", "component"), blocker="depends_on")
-    e = edges(s, d).withColumn("edge_type", C("edge_type"))
-    roots = nodes(s, d).filter("node_type = 'feature'").select(C("id").alias("root_id"))
-    out = DOC.briefs(roots, nodes(s, d), e, kinds)
-    return out.groupBy("ordinal", "heading").agg(F.count(F.lit(1)).alias("n")).filter("ordinal > 1")
+    """How many briefs have each section."""
+    return feature_briefs(s, d).groupBy("ordinal", "heading").agg(F.count(F.lit(1)).alias("n")).filter("ordinal > 1")
 
 
 R9_SECTIONS = NE + """, f as (select id, title, body from nodes where node_type = 'feature'),
@@ -280,20 +270,23 @@ def r5_typed(s: S, d: str) -> DataFrame:
 
 
 def r10(s: S, d: str) -> DataFrame:
-    """An issue body: the node's own text, then a folded list for each kind of edge; ends that
-    do not exist stay by id."""
-    n = nodes(s, d).select(C("id").alias("target_id"), C("title").alias("label"))
-    e = edges(s, d).filter(C("source_id").like("o-%")).join(n, "target_id", "left").select("source_id", "edge_type", "edge_idx", F.coalesce("label", "target_id").alias("label"))
-    part = e.groupBy("source_id", "edge_type").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("edge_idx", "label"))), lambda x: F.concat(F.lit("- "), x["label"])), "\n").alias("body"))
-    fold = F.concat(F.lit("<details><summary>"), C("edge_type"), F.lit("</summary>\n"), C("body"), F.lit("\n</details>"))
-    folds = part.groupBy(C("source_id").alias("id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("edge_type", fold.alias("t")))), lambda x: x["t"]), "\n").alias("folds"))
-    return nodes(s, d).filter("node_type = 'feature'").join(folds, "id", "left").select("id", F.sha2(F.concat_ws("\n\n", T.without_title(C("body")), "folds"), 256).alias("payload"))
+    """The issue body of every feature."""
+    roots = nodes(s, d).filter("node_type = 'feature'").select(C("id").alias("root_id"))
+    return DOC.issue_bodies(roots, nodes(s, d), edges(s, d)).select("root_id", F.sha2("body", 256).alias("payload"))
 
 
-R10 = NE + """, e as (select source_id, edge_type, edge_idx, coalesce(title, target_id) l from edges left join nodes on id = target_id where source_id like 'o-%'),
- p as (select source_id, edge_type, '<details><summary>' || edge_type || '</summary>' || chr(10) || string_agg('- ' || l, chr(10) order by edge_idx, l) || chr(10) || '</details>' t from e group by 1, 2),
- f as (select source_id id, string_agg(t, chr(10) order by edge_type) folds from p group by 1)
-select id, sha256(concat_ws(chr(10) || chr(10), regexp_replace(body, '^# [^\\n]*\\n*', ''), folds)) payload from nodes left join f using (id) where node_type = 'feature'"""
+#: A node's own text, and the first line after its headings and blank lines.
+OWN = "trim(regexp_replace(body, '^# [^\\n]*\\n*', ''), ' ' || chr(9) || chr(10) || chr(13))"
+LEAD = "regexp_extract(body, '^(?:(?:#[^\\n]*|[ \\t]*)\\n)*([^#\\n][^\\n]*)', 1)"
+R10 = NE + f""", x as (
+  select source_id, edge_idx, case when edge_type = 'child_of' then 0 when edge_type = 'serves' then 1 when edge_type = 'depends_on' then 2 else 3 end k,
+    case when edge_type = 'child_of' then 'Parents' when edge_type = 'serves' then 'Personas' when edge_type = 'depends_on' then 'Decisions' else 'Components' end heading,
+    '- **' || title || '** (' || coalesce(status, '—') || ')' || case when {LEAD} <> '' then ': ' || {LEAD} else '' end line
+  from edges join nodes on id = target_id
+  where (edge_type = 'child_of' and node_type in ('epic', 'feature', 'task')) or (edge_type = 'serves' and node_type = 'persona') or (edge_type = 'depends_on' and node_type = 'decision') or (edge_type in ('uses', 'exposes') and node_type in ('component', 'api_surface'))),
+ p as (select source_id, k, '<details><summary>' || heading || '</summary>' || chr(10) || chr(10) || string_agg(line, chr(10) order by edge_idx, line) || chr(10) || '</details>' t from x group by source_id, k, heading),
+ f as (select source_id id, string_agg(t, chr(10) || chr(10) order by k) folds from p group by 1)
+select id root_id, sha256(concat_ws(chr(10) || chr(10) || '---' || chr(10) || chr(10), nullif({OWN}, ''), folds)) payload from nodes left join f using (id) where node_type = 'feature'"""
 
 
 def g17(s: S, d: str) -> DataFrame:
@@ -359,6 +352,31 @@ union all select 'unknown_node_type', node_type, count(*) from nodes where node_
 union all select 'unknown_edge_type', edge_type, count(*) from edges where edge_type not in (select edge_type from edge_types) group by 2
 union all select 'no_status', node_type, count(*) from nodes join node_types using (node_type) where list_contains(required, 'status') and status is null group by 2"""
 
+_E = "chr(10)"
+#: Targets of a root's edges of one type, each once, at its first place.
+_HOP = "(select {root} root_id, nodes.id, min(edge_idx) o, any_value(nodes.title) t, any_value(nodes.status) s, any_value({own}) b, any_value({lead}) lead from {start} join edges on source_id = {by} and edge_type = '{edge}' join nodes on nodes.id = target_id where {where} group by 1, 2)"
+_hop = lambda start, root, by, edge, where: _HOP.format(start=start, root=root, by=by, edge=edge, where=where, own=OWN, lead=LEAD)
+_MARK = "case s when 'done' then '[x]' when 'decided' then '[x]' when 'answered' then '[x]' when 'in_progress' then '[~]' when 'blocked' then '[!]' when 'cut' then '[-]' else '[ ]' end"
+_ITEMS = f"string_agg('- ' || {_MARK} || ' ' || t || ' (' || id || ')', {_E} order by o, id)"
+R9 = NE + f""", f as materialized (select id root_id, title ft, status fs, {OWN} own from nodes where node_type = 'feature'),
+ pa as materialized {_hop("f", "f.root_id", "f.root_id", "serves", "node_type = 'persona'")},
+ gr as {_hop("pa", "pa.root_id", "pa.id", "child_of", "node_type = 'epic'")},
+ bl as {_hop("f", "f.root_id", "f.root_id", "depends_on", "true")},
+ co as {_hop("f", "f.root_id", "f.root_id", "uses", "node_type = 'component'")},
+ si as {_hop("pa", "pa.root_id", "pa.id", "served_by", "node_type = 'feature' and target_id <> pa.root_id")},
+ sc as (select root_id, string_agg(t, ' > ' order by k, o) scope from (select root_id, t, o, 0 k from gr union all select root_id, t, o, 1 from pa) group by 1),
+ se as (
+  select root_id, 1 n, '# ' || ft || {_E} || {_E} || 'Task ' || root_id || coalesce(', ' || fs, '') || coalesce({_E} || 'Scope: ' || scope, '') t from f left join sc using (root_id)
+  union all select root_id, 2, '## Directive' || {_E} || {_E} || case when root_id in (select root_id from bl) then '{DOC.WORDING["complex"]}' else '{DOC.WORDING["simple"]}' end from f
+  union all select root_id, 3, '## Objective' || {_E} || {_E} || own from f where own <> ''
+  union all select root_id, 5, '## Context' || {_E} || {_E} || string_agg('### ' || t || coalesce(' (' || s || ')', '') || {_E} || lead, {_E} order by o, id) from pa group by 1
+  union all select root_id, 6, '## Blocked by' || {_E} || {_E} || {_ITEMS} from bl group by 1
+  union all select root_id, 7, '## Components' || {_E} || {_E} || string_agg('### ' || t || {_E} || b, {_E} order by o, id) from co group by 1
+  union all select root_id, 9, '## Siblings' || {_E} || {_E} || {_ITEMS} from si group by 1
+  union all select root_id, 10, '## When done' || {_E} || {_E} || '{DOC.WORDING["done"]}' from f)
+select root_id, sha256(string_agg(t, {_E} || {_E} order by n)) document from se group by 1"""
+
+
 QUERIES = {
     "S4_schema_tables": (s4, B.oracle("nodes", "node_types", "allowed_edges") + "select n.node_type, n, directory, (select count(*) from allowed_edges a where a.source_type = n.node_type and directory is not null) n_allowed from (select node_type, count(*) n from nodes group by 1) n left join node_types t on t.node_type = n.node_type"),
     "S7_archive_days": (s7, E + "select strftime(ts, '%Y/%m/%d') as day, count(distinct session_id) n_sessions, count(*) n from entries group by 1"),

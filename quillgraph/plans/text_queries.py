@@ -111,6 +111,16 @@ P29 = f"""with t as (select event_id, case event_id % 4 when 0 then 'decison' wh
  u as (select said, min_by(k, (levenshtein(said, k), k)) k, min(levenshtein(said, k)) far from (select distinct said from t), (values {KINDS}) v(k) group by 1)
 select event_id, case when far <= 3 then k end kind from t join u using (said)"""
 
+P33 = "case when node_type = 'feature' then case status when 'draft' then 'Backlog' when 'active' then 'In Progress' when 'completed' then 'Done' when 'superseded' then 'Canceled' when 'archived' then 'Canceled' end when node_type = 'epic' then case status when 'draft' then 'planned' when 'active' then 'started' when 'completed' then 'completed' when 'archived' then 'canceled' end end"
+
+
+def p33_back(s: S, d: str) -> DataFrame:
+    """Remote states, some in other cases and some of other names, back to statuses."""
+    own, end = P.remote_state(C("node_type"), C("status")), F.right("id", F.lit(1))
+    state = F.when(end == "1", F.upper(own)).when(end == "2", "Triage").when(end == "3", "CANCELLED").when(end == "4", "paused").otherwise(own)
+    return nodes(s, d).select("id", "node_type", state.alias("state")).select("id", "state", P.local_status(C("node_type"), C("state")).alias("status"))
+
+
 QUERIES = {
     "P1_title": (lambda s, d: nodes(s, d).select("id", T.title(C("body"), C("id")).alias("title")), N + "select id, coalesce(nullif(trim(regexp_extract(body, '(?m)^(?:# )+(.*)$', 1)), ''), id) title from nodes"),
     "P2_content_hash": (lambda s, d: docs(s, d).select("id", T.content_hash(C("body")).alias("content_hash")), D + "select id, sha256(body) content_hash from docs"),
@@ -148,7 +158,8 @@ select id, case when length(t) <= 40 then t else regexp_replace(left(t, 40), ' [
     "P30_age": (lambda s, d: events(s, d).select("event_id", T.age((C("event_id") * 37 % 300000)).alias("age")), "select event_id, case when s < 60 then s || 's' when s < 3600 then s // 60 || 'm' when s < 86400 then s // 3600 || 'h' else s // 86400 || 'd' end age from (select event_id, event_id * 37 % 300000 s from events)"),
     "P31_parse_size": (lambda s, d: events(s, d).select("event_id", T.parse_size(F.concat(C("user_id").cast("string"), F.element_at(F.array(*map(F.lit, ["", "K", "m", "G", "x"])), (C("event_id") % 5 + 1).cast("int")))).alias("bytes")), "select event_id, case event_id % 5 when 0 then user_id when 1 then user_id * 1024 when 2 then user_id * 1048576 when 3 then user_id * 1073741824 end::bigint bytes from events"),
     "P32_needs": (lambda s, d: nodes(s, d).filter(T.needs_marker(C("body"))).select("id"), N + "select id from nodes where regexp_matches(body, '(?im)^\\s*needs:')"),
-    "P33_status_map": (lambda s, d: nodes(s, d).select("id", P.remote_state(C("node_type"), C("status")).alias("state")), N + "select id, case when node_type = 'feature' and status = 'draft' then 'Triage' when status = 'draft' then 'Backlog' when status in ('active', 'discussing') then 'In Progress' when status in ('completed', 'decided') then 'Done' end state from nodes"),
+    "P33_status_map": (lambda s, d: nodes(s, d).select("id", P.remote_state(C("node_type"), C("status")).alias("state")), N + f"select id, {P33} state from nodes"),
+    "P33_local_status": (p33_back, N + f", r as (select id, node_type, case right(id, 1) when '1' then upper({P33}) when '2' then 'Triage' when '3' then 'CANCELLED' when '4' then 'paused' else {P33} end state from nodes) select id, state, case when node_type = 'feature' then case when lower(state) in ('backlog', 'triage') then 'draft' when lower(state) in ('in progress', 'started') then 'active' when lower(state) in ('done', 'completed') then 'completed' when lower(state) in ('canceled', 'cancelled', 'duplicate') then 'superseded' end when node_type = 'epic' then case when lower(state) in ('planned', 'backlog') then 'draft' when lower(state) in ('started', 'in progress', 'paused') then 'active' when lower(state) in ('completed', 'done') then 'completed' when lower(state) in ('canceled', 'cancelled') then 'archived' end end status from r"),
     "P34_fields": (lambda s, d: P.fields(nodes(s, d), ("status", "owner", "updated")), N + "select id, 'status' field, status as value from nodes where status is not null union all select id, 'owner', owner from nodes where owner is not null union all select id, 'updated', strftime(updated, '%Y-%m-%d') from nodes where updated is not null"),
     "P35_embedding_text": (lambda s, d: nodes(s, d).select("id", F.sha2(T.embedding_text(C("title"), C("body")), 256).alias("h")), N + "select id, sha256(title || chr(10) || chr(10) || body) h from nodes"),
     "P37_directory": (lambda s, d: P.node_paths(nodes(s, d), B.node_types(s)), B.oracle("nodes", "node_types") + "select id, directory || '/' || id || '.md' file_path from nodes join node_types using (node_type)"),

@@ -15,9 +15,13 @@ FRONT = r"(?s)\A\s*---[ \t]*\r?\n(.*?)\n---[ \t]*(?:\r?\n(.*))?\z"
 
 
 def scan(spark: SparkSession, directory: str) -> DataFrame:
-    """(file_path, content) of all *.md files below a first level of folders."""
+    """(file_path, content) of all *.md files below a first level of folders; files in ``directory`` itself are no nodes."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    root = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString().rstrip("/")
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(directory, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("content"))
+    inner = F.regexp_replace(F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")), "^[a-z0-9]+:/+", "/")
+    below = F.substring(inner, F.length(F.regexp_replace(F.lit(root), "^[a-z0-9]+:/+", "/")) + 2, 1 << 20)
+    return files.filter(below.contains("/")).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("content"))
 
 
 def _field(front: Column, name: str) -> Column:
