@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from quillgraph.functions import text as T
 from quillgraph.operators import embed as E
 from quillgraph.operators import journal as J
+from quillgraph.sources import tables as ST
 from quillgraph.sources.schema import ENTRY_DDL
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of the package
@@ -105,7 +106,8 @@ def checked(entries: DataFrame, rules: Mapping[str, str] = T.SECRET_RULES) -> Da
 def ingest(entries: DataFrame, table: str, rejects: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Validate, redact, append once by id; rejects and corrupt lines go to ``rejects``.
 
-    Each batch writes a folder of its own number, so a batch that runs again replaces its rows.
+    Each batch writes a folder of its own number, by hash bucket of the id, so a batch that runs again replaces its rows and
+    one of few ids looks for them in few folders.
     ``every``: the interval of a stream that goes on ("60 seconds"); without one what is there
     is taken and the query ends."""
 
@@ -114,11 +116,9 @@ def ingest(entries: DataFrame, table: str, rejects: str, checkpoint: str, every:
         bad = F.col("reason").isNotNull() | F.col("_corrupt").isNotNull()
         spark = batch.sparkSession
         new = rows.filter(~bad).drop("reason", "_corrupt").dropDuplicates(["id"])
-        path = spark._jvm.org.apache.hadoop.fs.Path(table)
-        if path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
-            there = spark.read.option("basePath", table).parquet(table).filter(F.col("batch") != number)
-            new = new.join(there.select("id"), "id", "left_anti")
-        new.write.mode("overwrite").parquet(f"{table}/batch={number}")
+        there = ST.known(spark, table, "id", new, batch=number)
+        new = new if there is None else new.join(there, "id", "left_anti")
+        new.withColumn("bucket", ST.bucket(["id"])).write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/batch={number}")
         rows.filter(bad).write.mode("overwrite").parquet(f"{rejects}/batch={number}")
 
     trigger = {"availableNow": True} if every is None else {"processingTime": every}
@@ -139,12 +139,17 @@ def publish(entries: DataFrame, table: str, rejects: str, checkpoint: str, every
 
 def embed_new(entries: DataFrame, table: str, checkpoint: str, embedder: E.Embedder | None = None) -> StreamingQuery:
     """Vectors for the new entries of each batch worth one; the entries themselves are written elsewhere,
-    so a failure here loses no entry, and a batch that runs again replaces its vectors."""
+    so a failure here loses no entry, and a batch that runs again replaces its vectors. Contents that an earlier batch
+    has embedded by the same model are not embedded again."""
 
     def write(batch: DataFrame, number: int) -> None:
         text = T.embedding_text(F.col("summary"), F.col("detail"))
         rows = batch.filter(F.col("kind").isin(*J.EMBEDDED_KINDS)).select(F.sha2(text, 256).alias("content_hash"), text.alias("text"))
-        none = batch.sparkSession.createDataFrame([], "content_hash string, model string, dim int, embedding array<float>")
-        E.fill(none, rows, embedder).write.mode("overwrite").parquet(f"{table}/batch={number}")
+        model = embedder or E.HashedWords()
+        there = ST.known(batch.sparkSession, f"{table}/model={model.fingerprint}", "content_hash", rows, batch=number)
+        none = batch.sparkSession.createDataFrame([], "content_hash string, model string")
+        done = none if there is None else there.withColumn("model", F.lit(model.fingerprint))
+        new = E.fill(done, rows, model).drop("model").withColumn("bucket", ST.bucket(["content_hash"]))
+        new.write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/model={model.fingerprint}/batch={number}")
 
     return entries.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
