@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.plans import graph_queries, journal_queries, more_queries, retrieval_queries, text_queries, workflow_queries
+from quillgraph.plans import graph_queries, journal_queries, more_queries, retrieval_queries, store_queries, text_queries, workflow_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (graph_queries, journal_queries, text_queries, retrieval_queries, workflow_queries, more_queries)
+MODULES = (graph_queries, journal_queries, text_queries, retrieval_queries, workflow_queries, more_queries, store_queries)
 
 
 def queries() -> dict[str, Query]:
