@@ -41,7 +41,9 @@ def missing_reverse(nodes: DataFrame, edges: DataFrame, edge_types: DataFrame) -
 
 def validate(nodes: DataFrame, edges: DataFrame, node_types: DataFrame, allowed: DataFrame, edge_types: DataFrame) -> DataFrame:
     """M1: (kind, severity, node_id, detail): unknown type, missing status or owner, status not
-    allowed, dangling edge, edge not allowed, missing reverse edge."""
+    allowed, dangling edge, edge not allowed, missing reverse edge. The edges are written out once, for three
+    checks read them, one of them twice."""
+    edges = checkpoint(edges.select("source_id", "target_id", "edge_type"))
     typed = nodes.join(node_types, "node_type")
     issue = lambda df, kind, severity, node, detail: df.select(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), F.col(node).alias("node_id"), detail.alias("detail"))
     arrow = F.concat(F.col("edge_type"), F.lit(" -> "), F.col("target_id"))
