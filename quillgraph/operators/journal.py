@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillgraph.functions import text as T
+from quillgraph.operators.ranks import prior
 from quillgraph.operators.search import skip_budget
 
 
@@ -182,5 +183,4 @@ def first_seen(entries: DataFrame) -> DataFrame:
 
 def transitions(changes: DataFrame, key: str, status: str, at: str, tie: str) -> DataFrame:
     """Each change of ``status`` of a key: (key, at, prior, status); repeats are none."""
-    prior = F.lag(status).over(Window.partitionBy(key).orderBy(at, tie))
-    return changes.withColumn("prior", prior).filter(F.col("prior").isNotNull() & (F.col("prior") != F.col(status)))
+    return prior(changes, [key], [F.asc(at), F.asc(tie)], status, "prior").filter(F.col("prior").isNotNull() & (F.col("prior") != F.col(status)))

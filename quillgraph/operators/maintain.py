@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillgraph.functions import text as T
+from quillgraph.operators.ranks import numbered
 from quillgraph.plans.lineage import checkpoint
 
 
@@ -64,16 +65,17 @@ def validate(nodes: DataFrame, edges: DataFrame, node_types: DataFrame, allowed:
 
 
 def renumber(edges: DataFrame) -> DataFrame:
-    """Each source's edges sorted by target (ties by type) and numbered from 0."""
-    at = F.row_number().over(Window.partitionBy("source_id").orderBy("target_id", "edge_type", F.col("valid_from").asc_nulls_first()))
-    return edges.withColumn("edge_idx", (at - 1).cast("int"))
+    """Each source's edges sorted by target (ties by type) and numbered from 0; a hub's in ranges, not in one window."""
+    order = [F.asc("target_id"), F.asc("edge_type"), F.col("valid_from").asc_nulls_first()]
+    return numbered(edges, ["source_id"], order, "_at").withColumn("edge_idx", (F.col("_at") - 1).cast("int")).drop("_at")
 
 
 def repair(nodes: DataFrame, edges: DataFrame, edge_types: DataFrame) -> DataFrame:
-    """The edges with one added for each missing reverse, renumbered."""
+    """The edges with one added for each missing reverse, renumbered. Both are written out, for they are read again."""
+    edges = checkpoint(edges)
     add = missing_reverse(nodes, edges, edge_types).select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), F.col("reverse").alias("edge_type")).distinct()
     add = add.withColumns({"edge_idx": F.lit(0), "valid_from": F.lit(None).cast("date"), "valid_until": F.lit(None).cast("date")})
-    return renumber(edges.unionByName(add.select(edges.columns)))
+    return renumber(edges.unionByName(checkpoint(add.select(edges.columns))))
 
 
 KEY = ["source_id", "edge_type", "target_id"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
 from quillgraph.operators import journal as J
+from quillgraph.operators.ranks import running
 from quillgraph.plans.retrieval_queries import budget_sql
 from quillgraph.sources import bindings as B
 
@@ -53,11 +54,8 @@ def k8(s: S, d: str) -> DataFrame:
 def t6(s: S, d: str) -> DataFrame:
     """Batch twin of the session lifecycle: a final entry closes a session, the next entry of the
     same (worktree, agent) opens another; sessions are numbered from 0."""
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("worktree", "agent").orderBy("ts", "id")
-    closed = F.coalesce(F.lag(F.col("final").cast("int")).over(w), F.lit(0))
-    numbered = entries(s, d).withColumn("_c", closed).withColumn("session_no", F.sum("_c").over(w))
+    entry = entries(s, d).withColumn("_f", F.col("final").cast("long"))
+    numbered = running(entry, ["worktree", "agent"], [F.asc("ts"), F.asc("id")], F.col("_f"), "_t").withColumn("session_no", F.col("_t") - F.col("_f"))
     return numbered.groupBy("worktree", "agent", "session_no").agg(F.count(F.lit(1)).alias("n"), F.max("final").alias("closed"))
 
 
