@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
+from quillgraph.functions.frontmatter import EDGE_FIELDS, node_fields
 from quillgraph.sources.schema import ENTRY_DDL
 
 #: Opening fence, front matter, closing fence on a line of its own, body after one newline.
@@ -24,58 +25,34 @@ def scan(spark: SparkSession, directory: str) -> DataFrame:
     return files.filter(below.contains("/")).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("content"))
 
 
-def _field(front: Column, name: str) -> Column:
-    """A scalar of the front matter, without quotes; null if absent or empty."""
-    raw = F.trim(F.regexp_extract(front, rf"(?m)^{name}:[ \t]*(.*)$", 1))
-    bare = F.regexp_replace(raw, "^(['\"])(.*)\\1$", "$2")
-    return F.when(bare.isin("", "null", "~"), None).otherwise(bare)
-
-
-def _tags(front: Column) -> Column:
-    """tags: [a, b] or a block of "- a" lines."""
-    flow = F.regexp_extract(front, r"(?m)^tags:[ \t]*\[(.*)\]", 1)
-    block = F.regexp_extract(front, r"(?m)^tags:[ \t]*\n((?:[ \t]*-[ \t]*[^\n]+\n?)+)", 1)
-    listed = F.when(flow != "", F.split(flow, r"\s*,\s*")).otherwise(F.transform(F.split(F.trim(block), "\n"), lambda x: F.regexp_replace(x, r"^\s*-\s*", "")))
-    return F.filter(F.transform(listed, lambda x: F.trim(F.regexp_replace(x, "['\"]", ""))), lambda x: x != "")
-
-
-EDGE = "(?m)^[ \\t]*-[ \\t]*target:[ \\t]*[^\\n]*(?:\\n[ \\t]+(?:type|valid_from|valid_until|annotation):[^\\n]*)*"
-
-
-def _edges(front: Column) -> Column:
-    """edges: a block of entries that begin with "- target:"."""
-    item = lambda e, k: F.nullif(F.trim(F.regexp_replace(F.regexp_extract(e, rf"{k}:[ \t]*([^\n]*)", 1), "['\"]", "")), F.lit(""))
-    return F.transform(
-        F.regexp_extract_all(front, F.lit(EDGE), F.lit(0)),
-        lambda e: F.struct(item(e, "target").alias("target"), item(e, "type").alias("type"), item(e, "valid_from").cast("date").alias("valid_from"), item(e, "valid_until").cast("date").alias("valid_until"), item(e, "annotation").alias("annotation")),
-    )
+def _read(files: DataFrame) -> DataFrame:
+    """(file_path, content, body, front, f): the file's halves and the fields of its front matter."""
+    front, body = F.regexp_extract("content", FRONT, 1), F.coalesce(F.regexp_extract("content", FRONT, 2), F.lit(""))
+    halves = F.inline(F.array(F.struct(front.alias("front"), body.alias("body"))))  # a generator, so that no field cuts the file again
+    return files.select("file_path", "content", halves).withColumn("f", node_fields(F.col("front")))
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """NODES rows of (file_path, content); files without front matter or id are left to :func:`rejected`."""
-    front, body = F.regexp_extract("content", FRONT, 1), F.coalesce(F.regexp_extract("content", FRONT, 2), F.lit(""))
-    halves = F.inline(F.array(F.struct(front.alias("front"), body.alias("body"))))  # a generator, so that no field cuts the file again
-    cut = files.select("file_path", halves).filter("front <> ''")
-    f = F.col("front")
-    node_id = _field(f, "id")
-    out = cut.select(
-        node_id.alias("id"),
-        _field(f, "type").alias("node_type"),
-        *[_field(f, c).alias(c) for c in ("status", "owner")],
-        *[F.try_to_timestamp(_field(f, c)).alias(c) for c in ("created", "updated")],
-        _tags(f).alias("tags"),
-        _edges(f).alias("edges"),
-        T.title(F.col("body"), node_id).alias("title"),
+    """NODES rows of (file_path, content). A file is left to :func:`rejected` if its front matter is none or not well
+    formed, lacks an id or type, has an edge without target or type, or a date or time that is none."""
+    f = F.col("f")
+    return _read(files).filter("f.problem is null").select(
+        f["id"].alias("id"),
+        f["type"].alias("node_type"),
+        *[f[c].alias(c) for c in ("status", "owner")],
+        *[F.try_to_timestamp(f[c]).alias(c) for c in ("created", "updated")],
+        f["tags"].alias("tags"),
+        F.transform(f["edges"], lambda e: e.withField("valid_from", e["valid_from"].cast("date")).withField("valid_until", e["valid_until"].cast("date"))).alias("edges"),
+        T.title(F.col("body"), f["id"]).alias("title"),
         "body",
         "file_path",
         T.content_hash(F.col("body")).alias("content_hash"),
     )
-    return out.filter("id is not null")
 
 
 def rejected(files: DataFrame) -> DataFrame:
-    """Files that hold no node."""
-    return files.filter((F.regexp_extract("content", FRONT, 1) == "") | _field(F.regexp_extract("content", FRONT, 1), "id").isNull())
+    """(file_path, content, problem) of files that hold no node."""
+    return _read(files).select("file_path", "content", F.when(F.col("front") == "", "no front matter").otherwise(F.col("f.problem")).alias("problem")).filter("problem is not null")
 
 
 def unique(nodes: DataFrame) -> DataFrame:
@@ -83,19 +60,35 @@ def unique(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("id").agg(F.max_by(F.struct(*nodes.columns), "file_path").alias("n")).select("n.*")
 
 
+#: Texts that a plain scalar cannot hold, or that would be read as another type.
+UNSAFE = r"(?is)\A(?:|[\s\-?:,\[\]{}#&*!|>'\"%@`].*|.*[\s:]|.*(?:: | #|:\t|\t#|[\[\]{},]).*|~|null|true|false|yes|no|on|off|[-+.]?[0-9][0-9a-f_.:+-]*)\z"
+BREAKS = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\x85": "\\N", "\u2028": "\\L", "\u2029": "\\P"}
+
+
+def scalar(value: Column) -> Column:
+    """A text as a YAML scalar: plain where that is read back as the same text, quoted otherwise."""
+    double = value
+    for found, escape in BREAKS.items():
+        double = F.replace(double, F.lit(found), F.lit(escape))
+    single = F.concat(F.lit("'"), F.replace(value, F.lit("'"), F.lit("''")), F.lit("'"))
+    return F.when(value.rlike("[\n\r\t\x85\u2028\u2029]"), F.concat(F.lit('"'), double, F.lit('"'))).when(value.rlike(UNSAFE), single).otherwise(value)
+
+
 def serialise(nodes: DataFrame) -> DataFrame:
-    """S3: (id, content): front matter in a fixed order, then the body."""
+    """S3: (id, content): front matter in a fixed order, then the body; :func:`parse` reads the same node back."""
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value))
-    edge = lambda e: F.concat_ws("\n", F.concat(F.lit("  - target: "), e["target"]), F.concat(F.lit("    type: "), e["type"]), F.concat(F.lit("    valid_from: "), e["valid_from"].cast("string")), F.concat(F.lit("    valid_until: "), e["valid_until"].cast("string")), F.concat(F.lit("    annotation: "), e["annotation"]))
+    moment = lambda name: line(name, F.date_format(name, "yyyy-MM-dd'T'HH:mm:ssXXX"))
+    fields = lambda e: (scalar(e["target"]), scalar(e["type"]), e["valid_from"].cast("string"), e["valid_until"].cast("string"), scalar(e["annotation"]))
+    edge = lambda e: F.concat_ws("\n", *[line(f"{'    ' if k else '  - '}{name}", value) for k, (name, value) in enumerate(zip(EDGE_FIELDS, fields(e)))])
     head = F.concat_ws(
         "\n",
         F.lit("---"),
-        line("id", F.col("id")),
-        line("type", F.col("node_type")),
-        line("status", F.col("status")),
-        line("owner", F.col("owner")),
-        line("updated", F.date_format("updated", "yyyy-MM-dd'T'HH:mm:ss'Z'")),
-        F.when(F.size("tags") > 0, F.concat(F.lit("tags: ["), F.array_join("tags", ", "), F.lit("]"))),
+        line("id", scalar(F.col("id"))),
+        line("type", scalar(F.col("node_type"))),
+        line("status", scalar(F.col("status"))),
+        *[moment(c) for c in ("created", "updated") if c in nodes.columns],
+        line("owner", scalar(F.col("owner"))),
+        F.when(F.size("tags") > 0, F.concat(F.lit("tags: ["), F.array_join(F.transform("tags", scalar), ", "), F.lit("]"))),
         F.when(F.size("edges") > 0, F.concat(F.lit("edges:\n"), F.array_join(F.transform("edges", edge), "\n"))),
         F.lit("---"),
     )
