@@ -24,6 +24,8 @@ DDL = f"{', '.join(f'{c} string' for c in FIELDS)}, tags array<string>, edges ar
 QUOTED = r""""(?:[^"\\]|\\(?s:.))*"|'(?:[^']|'')*'"""
 #: A key and its colon: quoted, or plain up to a colon before a blank.
 KEY = re.compile(rf"({QUOTED}|[^\s'\"\[\]{{}},&*!|>%@`#](?:[^\s:]|:(?=\S)|[ \t]+(?=[^\s:#]))*?)[ \t]*:(?=[ \t]|$)")
+#: A line that needs no further look: a bare key and one bare word.
+SIMPLE = re.compile(r"([A-Za-z_]\w*): ([A-Za-z0-9][\w./+-]*)$")
 #: In a flow: blanks and comments, then punctuation, a quoted or a plain scalar.
 FLOW = re.compile(rf"[ \t\n]*+(?:(?<=[ \t\n])#[^\n]*+[ \t\n]*+)*+(?:([\[\]{{}},])|({QUOTED})|(:)|((?:[^\s,\[\]{{}}:#\"']|:(?=[^\s,\[\]{{}}]))(?:[^\s,\[\]{{}}:]|:(?=[^\s,\[\]{{}}])|[ \t]+(?=[^\s,\[\]{{}}:#]))*)|$)")
 ESCAPE = re.compile(r"\\(x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|\n[ \t]*|(?s:.))|[ \t]*\n((?:[ \t]*\n)*)[ \t]*")
@@ -73,7 +75,7 @@ class Reader:
         while self.at < len(self.rows):
             row = self.rows[self.at]
             bare = row.lstrip(" ")
-            if bare.strip() and bare[0] != "#":
+            if bare and bare[0] != "#" and not bare.isspace():
                 if bare[0] == "\t":
                     raise Malformed("tab in indentation")
                 return len(row) - len(bare)
@@ -93,7 +95,7 @@ class Reader:
         row = self.rows[self.at]
         if row.startswith("-", depth) and row[depth + 1 : depth + 2] in ("", " ", "\t"):
             return self.sequence(depth)
-        if KEY.match(row, depth):
+        if SIMPLE.match(row, depth) or KEY.match(row, depth):
             return self.mapping(depth)
         return self.value(row[depth:].rstrip(), above)
 
@@ -101,10 +103,12 @@ class Reader:
         out = []
         while self.indent() == depth and self.rows[self.at].startswith("-", depth) and self.rows[self.at][depth + 1 : depth + 2] in ("", " ", "\t"):
             rest = self.rows[self.at][depth + 1 :]
-            if rest.strip() and rest.lstrip()[0] != "#":
+            bare = rest.lstrip()
+            if bare and bare[0] != "#":
                 # what follows the dash is a node of its own, as deep as it stands
-                self.rows[self.at] = " " * (depth + 1) + rest.replace("\t", " ", len(rest) - len(rest.lstrip()))
-                out.append(self.node(self.indent(), depth))
+                inner = depth + 1 + len(rest) - len(bare)
+                self.rows[self.at] = " " * inner + bare
+                out.append(self.node(inner, depth))
             else:
                 self.at += 1
                 out.append(self.node(self.indent(), depth) if self.indent() > depth else None)
@@ -116,6 +120,11 @@ class Reader:
         out: dict = {}
         while self.indent() == depth:
             row = self.rows[self.at]
+            simple = SIMPLE.match(row, depth)
+            if simple and simple[1] not in out and self.ended(depth):
+                out[simple[1]] = _plain(simple[2])
+                self.at += 1
+                continue
             found = KEY.match(row, depth)
             if not found:
                 if row.startswith("-", depth):
@@ -136,6 +145,11 @@ class Reader:
             raise Malformed(f"line {self.at + 1} is indented")
         return out
 
+    def ended(self, depth: int) -> bool:
+        """Whether the next line cannot go on with a value of this one."""
+        row = self.rows[self.at + 1] if self.at + 1 < len(self.rows) else "-"
+        return row != "" and row[: depth + 1].strip(" \t") != ""
+
     def value(self, rest: str, depth: int) -> object:
         """The node whose first line holds ``rest``; its further lines are deeper than ``depth``."""
         first = rest[0]
