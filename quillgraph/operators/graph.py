@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillgraph.functions import text as T
+from quillgraph.operators.ranks import numbered
 from quillgraph.plans.lineage import checkpoint
 
 
@@ -61,8 +61,9 @@ def bfs(roots: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int, ed
     A root that does not exist has no row. A node is reached once, by the candidate with the
     smallest (parent's position, type position, edge_idx); ``edge_types`` orders neighbours
     by its own order and an empty list admits all. Each hop is a join on the frontier and is
-    written out; the driver sees only whether the frontier is empty. Hops carry parents, and
-    the paths are put together level by level at the end."""
+    written out; the driver sees only whether the frontier is empty. Positions are given by ranges where
+    a root reaches more than a window should hold. Hops carry parents, and the paths are put together level by level
+    at the end."""
     e = edges.filter(F.col("edge_type").isin(list(edge_types))) if edge_types else edges
     rank = F.coalesce(*[F.when(F.col("edge_type") == t, i) for i, t in enumerate(edge_types)]) if edge_types else F.lit(0)
     e = e.join(nodes.select(F.col("id").alias("target_id")), "target_id", "left_semi").select(F.col("source_id").alias("id"), "target_id", rank.alias("tp"), "edge_idx")
@@ -74,12 +75,13 @@ def bfs(roots: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int, ed
         met = frontier.join(e, "id").select("root_id", F.col("target_id").alias("id"), F.struct("pos", "tp", "edge_idx").alias("via"), F.col("id").alias("parent"))
         fresh = met.join(seen, ["root_id", "id"], "left_anti")
         first = fresh.groupBy("root_id", "id").agg(F.min(F.struct("via", "parent")).alias("m"))
-        place = F.row_number().over(Window.partitionBy("root_id").orderBy("m.via", "id"))
-        frontier = checkpoint(first.select("root_id", "id", F.lit(depth).alias("depth"), place.alias("pos"), "m.parent"))
-        if frontier.isEmpty():
+        first = checkpoint(first.select("root_id", "id", "m.*"))
+        if first.isEmpty():
             break
+        placed = numbered(first, ["root_id"], [F.col("via"), F.col("id")], "pos")
+        frontier = placed.select("root_id", "id", F.lit(depth).alias("depth"), F.col("pos").cast("int").alias("pos"), "parent")
         levels.append(frontier)
-        seen = seen.unionByName(frontier.select("root_id", "id"))
+        seen = seen.unionByName(first.select("root_id", "id"))
     out = path = levels[0].withColumn("path", F.array("root_id")).drop("parent")
     for level in levels[1:]:
         up = path.select("root_id", F.col("id").alias("parent"), F.col("path").alias("_path"))

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quillgraph.operators import graph as G
 from quillgraph.operators import journal as J
 from quillgraph.operators import maintain as M
 from quillgraph.operators import ranks as R
@@ -44,3 +45,15 @@ def test_hubs_are_renumbered_and_followed_alike(spark, monkeypatch):
     monkeypatch.setattr(R, "HUB", 5)
     assert (sorted(map(tuple, M.renumber(e).collect())), sorted(map(tuple, J.transitions(c, "key", "status", "at", "tie").collect()))) == plain
     assert len(plain[1]) == 29
+
+
+def test_roots_with_many_nodes_are_traversed_alike(spark, monkeypatch):
+    r = random.Random(5)
+    n = spark.createDataFrame([(f"n{k}",) for k in range(60)], "id string")
+    e = spark.createDataFrame([(f"n{r.randrange(20)}", k, f"n{r.randrange(70)}", r.choice(["uses", "serves", "x"])) for k in range(400)], "source_id string, edge_idx int, target_id string, edge_type string")
+    roots = spark.createDataFrame([("n0",), ("n1",), ("n0",), ("gone",), (None,)], "root_id string")
+    for types in ((), ("serves", "uses")):
+        plain = sorted(map(repr, G.bfs(roots, n, e, 3, types).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(R, "HUB", 4)
+            assert sorted(map(repr, G.bfs(roots, n, e, 3, types).collect())) == plain and len(plain) > 60
