@@ -87,3 +87,23 @@ def test_changes(spark):
     assert {r.id for r in n2.collect()} == {"a", "z"} and {(r.source_id, r.target_id) for r in e2.collect()} == {("a", "z"), ("z", "a")}
     n3, e3 = M.delete_nodes(n, e, spark.createDataFrame([("b",)], "id string"))
     assert n3.count() == 1 and G.dangling(n3, e3).count() == 1
+
+
+def test_traversal_deals_a_hop_once(spark, monkeypatch):
+    """A hop is one exchange of what it meets, by root; the result is the same where hubs are numbered by ranges."""
+    from quillgraph.operators import ranks
+
+    pairs = [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("c", "e"), ("d", "a"), ("a", "a"), ("b", "c"), ("e", "gone")]
+    nodes = spark.createDataFrame([(i,) for i in "abcde"], "id string")
+    edges = spark.createDataFrame([(s, t, "uses", i) for i, (s, t) in enumerate(pairs)], "source_id string, target_id string, edge_type string, edge_idx int")
+    roots = spark.createDataFrame([("a",), ("c",), ("none",)], "root_id string")
+    out = G.bfs(roots, nodes, edges, 2)
+    rows = sorted((r.root_id, r.depth, r.pos, r.id, ">".join(r.path)) for r in out.collect())
+    assert rows == [
+        ("a", 0, 0, "a", "a"), ("a", 1, 1, "b", "a>b"), ("a", 1, 2, "c", "a>c"), ("a", 2, 1, "d", "a>b>d"), ("a", 2, 2, "e", "a>c>e"),
+        ("c", 0, 0, "c", "c"), ("c", 1, 1, "d", "c>d"), ("c", 1, 2, "e", "c>e"), ("c", 2, 1, "a", "c>d>a"),
+    ]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "LeftAnti" not in plan
+    monkeypatch.setattr(ranks, "HUB", 1)
+    assert sorted((r.root_id, r.depth, r.pos, r.id, ">".join(r.path)) for r in G.bfs(roots, nodes, edges, 2).collect()) == rows
