@@ -107,3 +107,14 @@ def test_traversal_deals_a_hop_once(spark, monkeypatch):
     assert plan.count("RepartitionByExpression") == 1 and "LeftAnti" not in plan
     monkeypatch.setattr(ranks, "HUB", 1)
     assert sorted((r.root_id, r.depth, r.pos, r.id, ">".join(r.path)) for r in G.bfs(roots, nodes, edges, 2).collect()) == rows
+
+
+def test_missing_reverse_deals_edges_once(spark):
+    """Loops, repeated edges, unknown types and absent targets, from one exchange of the edges."""
+    rows = [("a", "uses", "b"), ("b", "used_by", "a"), ("a", "uses", "c"), ("a", "uses", "c"), ("c", "uses", "c"), ("d", "serves", "d"), ("d", "served_by", "d"), ("a", "odd", "b"), ("a", "uses", "gone"), ("c", "uses", "b"), ("b", "uses", "c"), ("a", "uses", None)]
+    edges = spark.createDataFrame(rows, "source_id string, edge_type string, target_id string")
+    nodes = spark.createDataFrame([(i,) for i in "abcd"], "id string")
+    out = M.missing_reverse(nodes, edges, B.edge_types(spark)).select("source_id", "edge_type", "target_id", "reverse")
+    assert sorted(map(tuple, out.collect())) == sorted((s, "uses", t, "used_by") for s, t in (("a", "c"), ("a", "c"), ("c", "c"), ("c", "b"), ("b", "c")))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "LeftAnti" not in plan
