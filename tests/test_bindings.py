@@ -37,3 +37,10 @@ def test_rows_of_the_sql(spark, sf, tied):
         found = connection.execute(f"{B.oracle('edges')} select {COLUMNS} from edges").fetchall()
         assert rows(spark, folder) == sorted(repr(r) for r in found)
 
+
+
+def test_lines_are_read_once(spark, sf):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    e = B.view(spark, sf, "edges").select("source_id", "target_id", "edge_type")
+    assert plan(e).count("lineitem.parquet") == 1
+    assert plan(e.filter("edge_type = 'child_of'")).count("lineitem.parquet") == 0
