@@ -118,3 +118,13 @@ def test_missing_reverse_deals_edges_once(spark):
     assert sorted(map(tuple, out.collect())) == sorted((s, "uses", t, "used_by") for s, t in (("a", "c"), ("a", "c"), ("c", "c"), ("c", "b"), ("b", "c")))
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") == 1 and "LeftAnti" not in plan
+
+
+def test_candidates_are_dealt_as_lists(spark):
+    """A hop's exchange by root has a row a list, not one a candidate, and no path where none is asked for."""
+    n, e = nodes(spark, *"abcd"), edges(spark, ("a", "x", "b"), ("a", "x", "c"), ("a", "x", "d"))
+    out = G.bfs(spark.createDataFrame([("a",)], "root_id string"), n, e, 1, paths=False)
+    assert out.columns == ["root_id", "id", "depth", "pos"]
+    assert [(r.id, r.pos) for r in out.orderBy("depth", "pos").collect()] == [("a", 0), ("b", 1), ("c", 2), ("d", 3)]
+    dealt = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "REPARTITION_BY_COL" in line]
+    assert dealt and all("SortAggregate" not in line for line in out._jdf.queryExecution().executedPlan().toString().splitlines())
