@@ -39,3 +39,16 @@ def test_same_rows(spark, sf, duck, name):
     order = [c[0] for c in cursor.description]
     assert sorted(order) == columns
     assert got == sorted(repr([plain(r[order.index(c)]) for c in columns]) for r in cursor.fetchall())
+
+
+def test_near_titles_count_characters(spark, tmp_path):
+    """Edits are of characters in both engines, whatever their bytes."""
+    titles = ["Straße", "Strasse", "日本語の本", "日本语的本", "日本", "中国", "naïve", "naive", "nave", "übermäßig", "ubermassig", "ubermaßig", "a", "é", ""]
+    rows = [(i, t, "de", "x") for i, t in enumerate(titles)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["K18_near_titles"](spark, str(tmp_path)).select("a", "b", "distance").collect()
+    connection = duckdb.connect()
+    connection.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = connection.execute(f"select a, b, distance from ({registry.oracle_sql()['K18_near_titles']})").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert {("0", "1", 2), ("2", "3", 2), ("4", "5", 2), ("6", "7", 1), ("11", "9", 2)} <= set(want)
