@@ -82,3 +82,11 @@ def test_porter_stems(spark):
     pairs = [p.split() for p in want.split("|")]
     got = {r.id: r.stem for r in stems(spark.createDataFrame([(w, w) for w, _ in pairs], "id string, body string")).collect()}
     assert got == {w: s for w, s in pairs}
+
+
+def test_prefixes_are_counted_by_document(spark):
+    """No exchange deals a row a term, and a term shorter than a prefix does not match it."""
+    docs = spark.createDataFrame([(1, ["abc", "ab", "abd", "abc"]), (2, ["a", "xyz"])], "id int, terms array<string>")
+    out = R.prefixes(docs, spark.createDataFrame([(7, "abc"), (8, "ab"), (9, "ab"), (10, "a")], "query_id int, prefix string"))
+    assert sorted(map(tuple, out.collect())) == [(7, 1, 2), (8, 1, 4), (9, 1, 4), (10, 1, 4), (10, 2, 1)]
+    assert "hashpartitioning(term" not in out._jdf.queryExecution().executedPlan().toString()
