@@ -1,5 +1,6 @@
 """Search, budgets, text functions and journal operators on small fixtures."""
 
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -90,3 +91,20 @@ def test_prefixes_are_counted_by_document(spark):
     out = R.prefixes(docs, spark.createDataFrame([(7, "abc"), (8, "ab"), (9, "ab"), (10, "a")], "query_id int, prefix string"))
     assert sorted(map(tuple, out.collect())) == [(7, 1, 2), (8, 1, 4), (9, 1, 4), (10, 1, 4), (10, 2, 1)]
     assert "hashpartitioning(term" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vectors_that_serve_many_rows(spark, monkeypatch):
+    """Contents meet once and give the rows that all rows would give; few similarities are held at a time."""
+    r = random.Random(3)
+    vectors = [(c, [float(r.randint(-1, 1)) for _ in range(3)]) for c in range(40)] + [(40, None), (41, [1.0])]
+    uses = [(n, r.randint(0, 41)) for n in range(400)]
+    v = spark.createDataFrame(vectors, "content long, embedding array<float>")
+    u = spark.createDataFrame(uses, "id long, content long")
+    q = u.filter("id % 10 = 0").select(F.col("id").alias("query_id"), "content")
+    rows = lambda df: sorted((x.query_id, x.id, x.rank, round(x.similarity, 9)) for x in df.collect())
+    want = rows(R.nearest(u.join(v, "content"), q.join(v, "content"), 12))
+    monkeypatch.setattr(R, "CELLS", 50)
+    met = []
+    monkeypatch.setattr(R, "nearest", lambda a, b, k, plain=R.nearest: met.append((a.count(), b.count())) or plain(a, b, k))
+    assert rows(R.nearest_uses(v, u, q, 12)) == want and len(want) > 300
+    assert met[0][0] <= 42 and met[0][1] <= 42
