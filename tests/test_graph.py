@@ -128,3 +128,34 @@ def test_candidates_are_dealt_as_lists(spark):
     assert [(r.id, r.pos) for r in out.orderBy("depth", "pos").collect()] == [("a", 0), ("b", 1), ("c", 2), ("d", 3)]
     dealt = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "REPARTITION_BY_COL" in line]
     assert dealt and all("SortAggregate" not in line for line in out._jdf.queryExecution().executedPlan().toString().splitlines())
+
+
+def test_distances_equal_the_traversal(spark):
+    """Nodes, depths and carried columns, also by way of a missing node, hubs of several lists and several edges between two nodes."""
+    e = edges(spark, ("a", "x", "b"), ("a", "y", "b"), ("b", "x", "c"), ("c", "x", "a"), ("a", "x", "gone"), ("gone", "x", "d"), ("d", "x", "a"))
+    n = nodes(spark, "a", "b", "c", "d", d="epic")
+    roots = spark.createDataFrame([("a",), ("b",), ("d",), ("gone",), ("a",)], "root_id string")
+    for depth in (0, 1, 2, 3):
+        got = G.distances(roots, n, e, depth, ["node_type"])
+        want = G.bfs(roots, n, e, depth, paths=False).join(n.select("id", "node_type"), "id")
+        rows = lambda df: sorted(map(tuple, df.select("root_id", "id", "depth", "node_type").collect()))
+        assert rows(got) == rows(want) and len(rows(want)) >= 3
+    star = spark.range(3 * G.PACK).select(F.lit("h").alias("source_id"), F.concat(F.lit("t"), "id").alias("target_id"))
+    far = star.select(F.col("target_id").alias("id")).unionByName(spark.createDataFrame([("h",)], "id string"))
+    assert G.distances(spark.createDataFrame([("h",)], "root_id string"), far, star, 2).count() == 3 * G.PACK + 1
+
+
+def test_reached_nodes_are_dealt_once(spark, sf):
+    """K4 ranks what is reached where the last hop dealt it."""
+    from quillgraph.operators import search as R
+
+    n = spark.createDataFrame([(i, "x", None, 3, 0.0) for i in "abcd"], "id string, node_type string, updated timestamp, tokens long, boost double")
+    e = edges(spark, ("a", "x", "b"), ("b", "x", "c"))
+    hops = G.scored(G.distances(spark.createDataFrame([("a",)], "root_id string"), n, e, 1, ["boost", "tokens"])).withColumnRenamed("root_id", "query_id")
+    words = spark.createDataFrame([("a", "b", 1.0), ("a", "d", 0.5)], "query_id string, id string, score double")
+    out = R.hybrid(hops, words, None, n, F.current_timestamp())
+    assert [(r.id, r.rank) for r in out.orderBy("rank").collect()] == [("b", 1), ("a", 2), ("d", 3)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Final Plan ==")[-1].split("== Initial Plan ==")[0]
+    over = final[: final.index("Union")]
+    assert "Exchange" not in over
