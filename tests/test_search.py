@@ -108,3 +108,26 @@ def test_vectors_that_serve_many_rows(spark, monkeypatch):
     monkeypatch.setattr(R, "nearest", lambda a, b, k, plain=R.nearest: met.append((a.count(), b.count())) or plain(a, b, k))
     assert rows(R.nearest_uses(v, u, q, 12)) == want and len(want) > 300
     assert met[0][0] <= 42 and met[0][1] <= 42
+
+
+def test_title_pairs_are_ruled_out_before_titles_are_sent(spark):
+    """Titles that share a rare word but little else do not meet; overlap equals the plain count, repeats and long titles too."""
+    r = random.Random(7)
+    base = [[f"w{r.randint(0, 400)}" for _ in range(r.choice([3, 8, 20, 60, 500]))] for _ in range(40)]
+    titles = [" ".join(w if r.random() > 0.1 else f"x{r.randint(0, 9)}" for w in t) for t in base for _ in range(3)]
+    titles += ["x x x x", "x", "x y y y y", "y x", *[f"shared u{n} v{n} t{n}" for n in range(30)]]
+    rows = [(n, "t", t) for n, t in enumerate(titles)]
+    want, seen = set(), {}
+    for n, _, t in rows:
+        seen.setdefault(t, n)
+    words = {n: t.split() for t, n in seen.items()}
+    for a in words:
+        for b in words:
+            same = round(sum(w in words[b] for w in words[a]) / max(len(words[a]), len(words[b])), 6)
+            if a < b and same >= 0.8:
+                want.add((a, b, same))
+    df = R.similar_titles(spark.createDataFrame(rows, "id long, node_type string, title string"))
+    assert {(x.a, x.b, x.similarity) for x in df.collect()} == want and len(want) > 20
+    signed = R._signed(spark.createDataFrame([(1, ["a", "b", "a"]), (2, [])], "rep long, w array<string>")).orderBy("rep").collect()
+    bits = [sum(bin(x & (1 << 64) - 1).count("1") for x in s.bits) for s in signed]
+    assert bits in ([2, 0], [1, 0]) and "bit_count" in df._jdf.queryExecution().analyzed().toString()
