@@ -240,3 +240,85 @@ def matcher(shared: object, wide: int) -> Callable[[Iterator[pa.RecordBatch]], I
                     yield pa.RecordBatch.from_arrays([a.names.take(pa.array(q)), batch.column("id").slice(top).take(pa.array(doc))], names=["q", "id"])
 
     return run
+
+
+#: Tokens of documents that a task looks at at a time (one document at least).
+TOKENS = 1 << 20
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def _hashes(codes: np.ndarray) -> Iterator[np.ndarray]:
+    """For 1, 2, 4, ... words: a hash of the words from each place on."""
+    h, width = _mixed(codes.astype(np.int64).astype(np.uint64) + np.uint64(2)), 1
+    while len(h):
+        yield h
+        h, width = _mixed(h[:-width] * np.uint64(0xD6E8FEB86659FD93) + h[width:]), 2 * width
+
+
+def phrase_table(names: pa.Array, terms: pa.ListArray) -> dict[str, object]:
+    """Phrases as numbers of words. By the largest power of two up to their lengths: the phrases in order of the hash of so many
+    first words, that hash and that of so many last words."""
+    coded = terms.flatten().dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    n = pc.list_value_length(terms).to_numpy(zero_copy_only=False).astype(np.int64)
+    start, level = _starts(n)[:-1], np.log2(np.maximum(n, 1)).astype(np.int64)
+    levels = {}
+    for j, h in zip(range(int(level.max(initial=-1)) + 1), _hashes(codes), strict=False):
+        of = np.flatnonzero((level == j) & (n > 0))
+        of = of[np.argsort(h[start[of]], kind="stable")]
+        if len(of):
+            levels[j] = (of, h[start[of]], h[start[of] + n[of] - (1 << j)])
+    return {"names": names, "words": coded.dictionary, "codes": codes, "start": start, "n": n, "levels": levels}
+
+
+def _phrases_in(t: dict[str, object], codes: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place, phrase) of all occurrences; ``end``: where the document of each place ends."""
+    for j, h in enumerate(_hashes(codes)):
+        if j > max(t["levels"], default=-1):
+            return
+        if j not in t["levels"]:
+            continue
+        of, first, last = t["levels"][j]
+        likely = np.zeros(1 << 20, bool)
+        likely[first >> np.uint64(44)] = True
+        at = np.flatnonzero(likely[h >> np.uint64(44)])
+        low = np.searchsorted(first, h[at])
+        many = np.searchsorted(first, h[at], "right") - low
+        for part in _parts(many):
+            which, phrase = _spread(low[part], many[part])
+            place, n = at[part][which], t["n"][of[phrase]]
+            on = np.flatnonzero(place + n <= end[place])
+            on = on[h[place[on] + n[on] - (1 << j)] == last[phrase[on]]]
+            place, phrase, n = place[on], of[phrase[on]], n[on]
+            for some in _parts(n):  # word by word, as hashes may meet by chance
+                k, here = _spread(place[some], n[some])
+                same = codes[here] == t["codes"][here - place[some][k] + t["start"][phrase[some]][k]]
+                ok = np.logical_and.reduceat(same, _starts(n[some])[:-1])
+                yield place[some][ok], phrase[some][ok]
+
+
+def phrase_counter(shared: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow over (id, terms): (q, id, n) of the phrases of a broadcast :func:`phrase_table`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = shared.value
+        many = max(1, len(t["names"]))
+        for batch in batches:
+            length = pc.fill_null(pc.list_value_length(batch.column("terms")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            upto, top = np.cumsum(length), 0
+            while top < batch.num_rows:
+                stop = max(top + 1, int(np.searchsorted(upto, (upto[top - 1] if top else 0) + TOKENS, "right")))
+                part, n, top = batch.slice(top, stop - top), length[top:stop], stop
+                coded = part.column("terms").flatten().dictionary_encode()
+                code = pc.fill_null(pc.index_in(coded.dictionary, value_set=t["words"]), -1).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(n)), n)
+                found = [row[place] * many + phrase for place, phrase in _phrases_in(t, code[coded.indices.to_numpy(zero_copy_only=False)], np.cumsum(n)[row])]
+                key, times = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]), return_counts=True)
+                if len(key):
+                    yield pa.RecordBatch.from_arrays([t["names"].take(pa.array(key % many)), part.column("id").take(pa.array(key // many)), pa.array(times.astype(np.int64))], names=["q", "id", "n"])
+
+    return run

@@ -131,3 +131,18 @@ def test_title_pairs_are_ruled_out_before_titles_are_sent(spark):
     signed = R._signed(spark.createDataFrame([(1, ["a", "b", "a"]), (2, [])], "rep long, w array<string>")).orderBy("rep").collect()
     bits = [sum(bin(x & (1 << 64) - 1).count("1") for x in s.bits) for s in signed]
     assert bits in ([2, 0], [1, 0]) and "bit_count" in df._jdf.queryExecution().analyzed().toString()
+
+
+def test_phrases_in_tasks_equal_brute_force(spark, monkeypatch):
+    """All occurrences count, also overlapping ones and phrases of many words; several passes find the same; no text is dealt."""
+    r = random.Random(3)
+    docs = [(i, [r.choice("abc") for _ in range(r.randint(0, 40))]) for i in range(60)] + [(100, ["a"] * 50), (101, []), (102, [*"xyz"] * 30)]
+    asked = [(q, docs[q][1][: r.randint(1, 40)]) for q in range(0, 60, 3)] + [(200 + k, list(p)) for k, p in enumerate(("a", "aa", "aaaaa", "ab", "ab", "zx", "w"))] + [(300, [*"xyz"] * 25), (301, [])]
+    want = {(q, i, n) for q, p in asked if p for i, w in docs if (n := sum(w[k : k + len(p)] == p for k in range(len(w))))}
+    d, q = spark.createDataFrame(docs, "id long, terms array<string>"), spark.createDataFrame(asked, "query_id long, terms array<string>")
+    got = R.phrases(d, q)
+    assert "Exchange hashpartitioning(id" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(x) for x in got.collect()} == want and (201, 100, 49) in want and (300, 102, 6) in want
+    monkeypatch.setattr(R, "PHRASE_BYTES", 200)
+    monkeypatch.setattr(R.matching, "TOKENS", 30)
+    assert {tuple(x) for x in R.phrases(d, q).collect()} == want
