@@ -159,3 +159,20 @@ def test_reached_nodes_are_dealt_once(spark, sf):
     final = plan.split("== Final Plan ==")[-1].split("== Initial Plan ==")[0]
     over = final[: final.index("Union")]
     assert "Exchange" not in over
+
+
+def test_hops_look_at_edges_of_their_frontier(spark):
+    """Edges of other nodes are left out before anything is dealt, and a root's candidates are not sorted as rows, with paths or without."""
+    n = spark.range(400).select(F.concat(F.lit("n"), "id").alias("id"))
+    e = spark.range(399).select(F.concat(F.lit("n"), "id").alias("source_id"), F.lit(0).alias("edge_idx"), F.concat(F.lit("n"), F.col("id") + 1).alias("target_id"), F.lit("x").alias("edge_type"))
+    kept = []
+
+    def near(keep):
+        kept.append(keep(e).count())
+        return keep(e)
+
+    for paths in (True, False):
+        out = G.bfs(spark.createDataFrame([("n5",), ("n90",)], "root_id string"), n, near, 2, paths=paths)
+        assert sorted((r.id, r.depth, r.pos) for r in out.collect()) == [("n5", 0, 0), ("n6", 1, 1), ("n7", 2, 1), ("n90", 0, 0), ("n91", 1, 1), ("n92", 2, 1)]
+        assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert len(kept) == 4 and all(2 <= k < 10 for k in kept)
