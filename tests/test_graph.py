@@ -176,3 +176,18 @@ def test_hops_look_at_edges_of_their_frontier(spark):
         assert sorted((r.id, r.depth, r.pos) for r in out.collect()) == [("n5", 0, 0), ("n6", 1, 1), ("n7", 2, 1), ("n90", 0, 0), ("n91", 1, 1), ("n92", 2, 1)]
         assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
     assert len(kept) == 4 and all(2 <= k < 10 for k in kept)
+
+
+def test_edges_are_validated_in_one_pass(spark, monkeypatch):
+    """Loops, repeated edges, nodes of one id, ends that are missing, unknown types: as by the single checks, and no edge is written out."""
+    n = spark.createDataFrame([("a", "feature"), ("b", "persona"), ("c", "component"), ("d", "odd"), ("e", "feature"), ("e", "persona"), ("f", None), ("g", "epic"), ("g", "epic")], "id string, node_type string").withColumns({"status": F.lit("active"), "owner": F.lit("o")})
+    pairs = [(x, t, y) for x in ("a", "b", "d", "e", "f", "g", "gone", None) for y in ("a", "b", "c", "e", "f", "g", "lost", None) for k, t in enumerate(("serves", "served_by", "uses", "depends_on", "child_of", "what")) if (ord((x or "z")[0]) * 7 + ord((y or "y")[0]) * 3 + k * 5) % 4]
+    e = spark.createDataFrame(pairs + pairs[::3], "source_id string, edge_type string, target_id string")
+    schema = B.node_types(spark), B.allowed_edges(spark), B.edge_types(spark)
+    want = [("dangling_edge", *r) for r in G.dangling(n, e).select("source_id", "edge_type", "target_id").collect()]
+    want += [("disallowed_edge", *r) for r in M.disallowed(n, e, *schema).select("source_id", "edge_type", "target_id").collect()]
+    want += [("missing_reverse", *r) for r in M.missing_reverse(n, e, schema[2]).select("source_id", "edge_type", "target_id").collect()]
+    monkeypatch.setattr(M, "checkpoint", None)
+    got = M.validate(n, e, *schema).filter("kind in ('dangling_edge', 'disallowed_edge', 'missing_reverse')")
+    assert sorted((r.kind, str(r.node_id), str(r.detail)) for r in got.collect()) == sorted((k, str(s), "None" if None in (t, y) else f"{t} -> {y}") for k, s, t, y in want)
+    assert len({k for k, *_ in want}) == 3
