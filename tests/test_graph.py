@@ -191,3 +191,19 @@ def test_edges_are_validated_in_one_pass(spark, monkeypatch):
     got = M.validate(n, e, *schema).filter("kind in ('dangling_edge', 'disallowed_edge', 'missing_reverse')")
     assert sorted((r.kind, str(r.node_id), str(r.detail)) for r in got.collect()) == sorted((k, str(s), "None" if None in (t, y) else f"{t} -> {y}") for k, s, t, y in want)
     assert len({k for k, *_ in want}) == 3
+
+
+def test_modes_share_one_join(spark):
+    """Items of all modes, each as :func:`sections_at` finds it, from one look at the edges."""
+    from quillgraph.operators import documents as D
+
+    day = lambda m: date(2026, m, 1)
+    n = nodes(spark, "r", "a", "b", "c", a="persona", b="persona", c="persona").withColumn("status", F.when(F.col("id") == "c", "superseded").when(F.col("id") == "b", F.lit(None)).otherwise("active"))
+    e = edges(spark, ("r", "serves", "a", (day(1), day(3))), ("r", "serves", "b", (day(1), None)), ("r", "serves", "c"), ("r", "uses", "a"), ("r", "serves", "gone"))
+    sections = spark.createDataFrame([(0, "P", "serves", "persona", []), (1, "Q", "serves", "persona", ["superseded"])], "ordinal int, heading string, edge_type string, target_type string, statuses array<string>")
+    roots = spark.createDataFrame([("r", day(4))], "root_id string, day date")
+    got = D.sections_of_modes(roots, sections, e, n)
+    rows = {m: sorted((r.ordinal, r.target_id) for r in got.filter(m if m != "history" else "true").collect()) for m in ("as_of", "current", "history")}
+    for m, found in rows.items():
+        assert found == sorted((r.ordinal, r.target_id) for r in D.sections_at(roots, sections, e, n, m).collect())
+    assert rows == {"as_of": [(0, "b"), (1, "b")], "current": [(0, "b"), (1, "b")], "history": [(0, "a"), (0, "b"), (0, "c"), (1, "b"), (1, "c")]}
