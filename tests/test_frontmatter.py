@@ -66,3 +66,40 @@ def test_a_text_is_read_once(spark):
     files = spark.createDataFrame([("a.md", "---\nid: a\ntype: b\n---\n")], "file_path string, content string")
     plan = MD.parse(files)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_plain_texts_are_read_in_columns(monkeypatch):
+    """Texts of the layout that is written are read without a look at single lines, with the same fields; others, and those with a date that is none, line by line."""
+    import random
+
+    import pyarrow as pa
+
+    from quillgraph.functions import frontmatter as FM
+
+    r, text = random.Random(2), pa.string()
+    kind = pa.struct([*[(c, text) for c in FM.FIELDS], ("tags", pa.list_(text)), ("edges", pa.list_(pa.struct([(c, text) for c in FM.EDGE_FIELDS]))), ("problem", text)])
+
+    def made(odd):
+        word = lambda: r.choice(["a", "x-1", "4-NOT SPECIFIED", "Brand#13", "a  b", "1-URGENT", "nullable", "true", *odd])
+        some = lambda line: [line] if r.random() < 0.5 else []
+        rows = [f"id: n{r.randrange(9)}", "type: t", *some(f"status: {word()}"), *some("created: 1995-06-17T00:00:00Z"), *some("updated: 2020-01-01T01:02:03+02:00"), *some(f"owner: {word()}"), *some("tags: [a, x-2]")]
+        items = [line for _ in range(r.randrange(4)) for line in (f"  - target: p-{r.randrange(99)}", "    type: uses", *some(f"    valid_from: {r.choice(['1995-06-17', *(odd and ['1995-02-30'])])}"), *some("    valid_until: 1999-01-01"), *some(f"    annotation: {word()}"))]
+        return "\n".join([*rows, *(["edges:", *items] if items else [])])
+
+    plain, mixed = [made([]) for _ in range(300)], [made(["null", "a: b", "a #b", "'q'", "~", "", "é"]) for _ in range(600)] + [None, "", "id: 1"]
+    whole = lambda x: {**dict.fromkeys(f.name for f in kind), **FM.node(x or "")}
+    want = [[whole(x) for x in texts] for texts in (plain, mixed)]
+    assert {x["problem"] is None for x in want[1]} == {True, False}
+    monkeypatch.setattr(FM, "SLICE", 2000)
+    assert FM.read(pa.array(mixed), kind).to_pylist() == want[1]
+    monkeypatch.setattr(FM, "node", None)
+    assert FM.read(pa.array(plain), kind).to_pylist() == want[0]
+
+
+def test_fences_are_found_with_and_without_the_pattern(spark):
+    from quillgraph.sources import markdown as MD
+
+    texts = ["---\nid: a\n---\nbody\n---\nmore", "---\n\n---\n", "---\n---\nx", "--- \nid: a\n---\nb", "---\r\nid: a\r\n---\r\nb", "---\nid: a\n---  \nb", "---\nid: a\n----\nx\n---\nb", "---\nid: a\n---", "---\nid: é\n---\nü\n", "", "x", None, "\n---\nid: a\n---\nb"]
+    df = spark.createDataFrame([(str(i), x) for i, x in enumerate(texts)], "file_path string, content string")
+    plain = df.select("file_path", F.regexp_extract("content", MD.FRONT, 1).alias("front"), F.coalesce(F.regexp_extract("content", MD.FRONT, 2), F.lit("")).alias("body"))
+    assert sorted(map(repr, MD._read(df).select("file_path", "front", "body").collect())) == sorted(map(repr, plain.collect()))
