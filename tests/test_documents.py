@@ -128,3 +128,20 @@ def test_publishing_flushes_at_the_end(spark, tmp_path):
     (folder / "2.json").write_text(row(2))
     finish()
     assert {r.id for r in spark.read.parquet(out).collect()} == {"e1", "e2"}
+
+
+def test_briefs_deal_a_hop_by_root_once(spark):
+    """No exchange by root and target beside the one by root, and blockers are looked for once."""
+    import re
+
+    from quillgraph.operators import documents as D
+
+    nodes = spark.createDataFrame([("t", "task", "One", "active", "# One"), ("u", "task", "Two", "done", "# Two"), ("f", "feature", "F", "active", "# F\n\nLead")], "id string, node_type string, title string, status string, body string")
+    edges = spark.createDataFrame([("t", 0, "f", "child_of"), ("f", 0, "t", "decomposes_to"), ("f", 1, "u", "decomposes_to"), ("f", 2, "u", "decomposes_to"), ("t", 1, "u", "blocked_by"), ("t", 2, "gone", "blocked_by")], "source_id string, edge_idx int, target_id string, edge_type string")
+    out = D.briefs(spark.createDataFrame([("t",)], "root_id string"), nodes, edges)
+    assert {r.ordinal: r.body for r in out.collect()} == {
+        1: "Task t, active\nScope: F", 2: D.WORDING["complex"], 4: "### Leave alone: Two\n", 5: "### F (active)\nLead", 6: "- [x] Two (u)", 9: "- [x] Two (u)", 10: D.WORDING["done"],
+    }
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(root_id#\d+, target_id#\d+", plan)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("= blocked_by") <= 1
