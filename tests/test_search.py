@@ -146,3 +146,22 @@ def test_phrases_in_tasks_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(R, "PHRASE_BYTES", 200)
     monkeypatch.setattr(R.matching, "TOKENS", 30)
     assert {tuple(x) for x in R.phrases(d, q).collect()} == want
+
+
+def test_title_words_are_ranked_once_each(spark):
+    """Repeated words count in a title's prefix as often as they stand; the words that are ranked carry no signature."""
+    import random
+
+    r = random.Random(4)
+    titles = [" ".join(r.choices("abcdef", [9, 5, 3, 2, 1, 1], k=r.randint(1, 12))) for _ in range(120)] + ["", " "]
+    df = spark.createDataFrame([(f"{i:04}", "t", x) for i, x in enumerate(titles)], "id string, node_type string, title string")
+    reps = {}
+    for i, x in enumerate(titles):
+        reps.setdefault(x, f"{i:04}")
+    held = [(i, x.split()) for x, i in reps.items() if x.split()]
+    want = {(a, b): round(sum(w in y for w in x) / max(len(x), len(y)), 6) for a, x in held for b, y in held if a < b}
+    out = R.similar_titles(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Window" in line and "bits" in line] and "sum(k#" in plan
+    got = {(x.a, x.b): x.similarity for x in out.collect()}
+    assert got == {k: v for k, v in want.items() if v >= 0.8} and len(got) > 20
